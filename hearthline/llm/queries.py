@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, shards
+from . import chat_format, line_dedup, packing, shards, toxicity
 from .common import table
 
 
@@ -64,6 +65,25 @@ FROM e GROUP BY conv_id
 """
 
 
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with score, learnt from the labels that are not held out."""
+    return toxicity.score_documents(docs, table(spark, sf_dir, "labels").where(~held_out()))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_scores(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -72,6 +92,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
+    "op7_toxicity": op7_toxicity,
+    "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
 SQL = {"op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL}
