@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, packing, shards, toxicity
+from . import chat_format, line_dedup, near_dedup, packing, shards, toxicity
 from .common import table
 
 
@@ -65,6 +65,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
@@ -92,6 +96,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
+    "op6_near_dedup": op6_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,

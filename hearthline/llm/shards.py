@@ -66,7 +66,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, id_col:
     base = written(base.withColumn("_row", F.monotonically_increasing_id()), "sizes")
     rows = base.count()
     quota = quotas(rows, shards)
-    hubs = base.where("_link is not null").groupBy("_link").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_link")
+    # Written, so that both sides of the join below come out of shuffles that Spark may split at a hot key.
+    hubs = written(base.where("_link is not null").groupBy("_link").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_link"), "hubs")
     start = base.join(hubs, "_link").select("_row", "_link", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int").alias("shard"))
     linked = propagate(within_quota(written(start, "labels"), quota), quota, rounds)
     held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded: one row per shard
@@ -82,7 +83,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, id_col:
         target = F.when(F.col("_place") < end, F.lit(s)).otherwise(target)
     labels = linked.select("_row", "shard").unionByName(fill.select("_row", target.cast("int").alias("shard")))
     placed = written(base.drop("_link").join(labels, "_row"), "placed")
-    for used in (base, linked, singles):
+    for used in (base, hubs, linked, singles):
         delete(used)
     return ranked(placed, "shard", "_row", rows, "slot").drop("_row")
 
