@@ -94,3 +94,28 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def whole_groups(batches: Iterator, column: str, most_bytes: int = 8_000_000) -> Iterator:
+    """Tables of sorted batches, cut where `column` changes: a group is never split, and a table holds more
+    than about most_bytes only where one group does."""
+    import pyarrow as pa
+
+    held: list = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < most_bytes:
+            continue
+        t = pa.Table.from_batches(held)
+        values = t.column(column).to_numpy()
+        others = np.flatnonzero(values != values[-1])
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if cut:
+            yield t.slice(0, cut)
+        held, size = t.slice(cut).to_batches(), 0  # the next look comes after as many bytes again
+    if held:
+        yield pa.Table.from_batches(held)
