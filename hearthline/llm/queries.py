@@ -6,10 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, near_dedup, packing, repeats, shards, toxicity
+from . import chat_format, decontaminate, language, line_dedup, near_dedup, packing, repeats, shards, toxicity, vector_search
 from .common import table
 
 
+def op1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", vector_search.scaled(F.col("embedding")).alias("v"))
+    return vector_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+OP1_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -65,6 +84,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -98,12 +121,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_vector_search": op1_vector_search,
+    "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
+    "op5_decontamination": op5_decontamination,
     "op6_near_dedup": op6_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
-SQL = {"op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL}
+SQL = {"op1_vector_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL}

@@ -57,11 +57,15 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lowered, cut at ASCII white space), and each text's word count."""
+#: For words without punctuation: every ASCII character but letters and digits.
+IS_PUNCTUATION = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
+
+
+def word_hashes(texts: list[bytes], cut: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lowered, cut at the bytes of `cut`), and each text's word count."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     raw = LOWER[raw]
-    space = IS_SPACE[raw]
+    space = cut[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(raw) and not space[0]:
         edge = np.append(0, edge)
