@@ -3,7 +3,7 @@
 1. Each text's shingle set is hashed into REGISTERS buckets; a register keeps the least hash of its bucket
    as a leading-zero count and MANTISSA bits. Empty registers borrow from others in a fixed random order.
    Documents with the same set (128 bits of digest) form a class and go on as its smallest doc_id.
-2. Bands of BAND registers are hashed. Buckets with the same members are kept once. Inside a bucket, registers
+2. Bands of five registers (four for thresholds below 0.85) are hashed. Buckets with the same members are kept once. Inside a bucket, registers
    are compared and the Jaccard estimate is corrected for register collisions; pairs above `loose` (six
    standard errors below the threshold) join candidates, of which only a spanning forest is emitted.
 3. Connected candidates come together with their full sets, and only exact links (percent * union <=
@@ -12,7 +12,7 @@
 Large buckets and candidate groups are cut into chunks by a hash of the id, and every two chunks meet in a
 block of bounded size, so that no task holds a whole group and no pair is lost.
 
-Chance of losing one link at the threshold: (1 - 0.85 ** 5) ** 25 = 4e-7.
+Chance of losing one link at the threshold: (1 - 0.85 ** 5) ** 25 = 4e-7, (1 - 0.8 ** 4) ** 32 = 5e-8.
 
 Defined cases: null and empty texts, and texts of white space, have the empty set and are linked with
 nothing; fewer words than a shingle make one shingle of the whole sequence; rows with the same id are one
@@ -33,8 +33,7 @@ from .common import delete, written
 from .components import connected
 from .textscan import mix, shingle_sets, slices
 
-SHINGLE, REGISTERS, BAND, MANTISSA = 5, 128, 5, 10
-BANDS = REGISTERS // BAND
+SHINGLE, REGISTERS, MANTISSA = 5, 128, 10
 CHUNK, CHUNK_MOST, SHINGLES_PER_CHUNK = 256, 65_536, 400_000
 SHIFT = np.uint64(64 - REGISTERS.bit_length() + 1)
 BORDERS = np.arange(REGISTERS, dtype=np.uint64) << SHIFT
@@ -57,13 +56,14 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
 
 
-def bands(regs: np.ndarray) -> np.ndarray:
-    """Hashes of the bands of registers; regs: (texts, REGISTERS)."""
-    h = np.zeros((len(regs), BANDS), np.uint64)
-    r = regs[:, : BANDS * BAND].reshape(len(regs), BANDS, BAND).astype(np.uint64)
-    for k in range(BAND):
+def bands(regs: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the bands of `width` registers; regs: (texts, REGISTERS)."""
+    n = REGISTERS // width
+    h = np.zeros((len(regs), n), np.uint64)
+    r = regs[:, : n * width].reshape(len(regs), n, width).astype(np.uint64)
+    for k in range(width):
         h = mix(h * np.uint64(31) + r[:, :, k] + np.uint64(k + 1))
-    return mix(h + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return mix(h + np.arange(n, dtype=np.uint64)).view(np.int64)
 
 
 def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -99,7 +99,7 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, band: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, a, b: digest of the set, registers, bands); null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 regs = np.stack([registers(s) if len(s) else np.zeros(REGISTERS, np.uint16) for s in sets])
                 full = [len(s) > 0 for s in sets]
                 digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist() if len(s) else (None, None) for s in sets]
-                bs = bands(regs)
+                bs = bands(regs, band)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[at:upto],
@@ -240,7 +240,7 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     loose = threshold - 6 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
     id_type = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(signatures(docs), "signatures")
+    signed = written(signatures(docs, 5 if percent >= 85 else 4), "signatures")
     classes = written(signed.where("a is not null").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")), "classes")
     reps = signed.where("a is not null").join(classes.select("a", "b", F.col("rep").alias("doc_id")), ["a", "b", "doc_id"]).dropDuplicates(["doc_id"])
     reps = written(reps.select("doc_id", "n_shingles", "registers", "bands"), "reps")

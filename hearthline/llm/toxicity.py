@@ -268,9 +268,11 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_texts: int, max_chars: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """At most max_texts labelled texts, picked by a hash of the id."""
+    """At most max_texts labelled texts, picked by a hash of the id. Six times as many labels are drawn first,
+    so that the side which is broadcast to the documents has a fixed bound."""
+    drawn = labels.where(F.col(label_col).isNotNull()).select(id_col, label_col).orderBy(F.xxhash64(F.lit(5), id_col), label_col).limit(6 * max_texts)
     short = docs.where(F.col(text_col).isNotNull() & (F.char_length(text_col) <= max_chars)).select(id_col, text_col)
-    both = short.join(labels.where(F.col(label_col).isNotNull()).select(id_col, label_col), id_col)
+    both = short.join(F.broadcast(drawn), id_col)
     got = both.orderBy(F.xxhash64(F.lit(5), id_col), text_col, label_col).limit(max_texts).collect()
     return [r[text_col] for r in got], np.array([int(r[label_col]) for r in got])
 
