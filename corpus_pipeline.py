@@ -1,27 +1,66 @@
-"""A training-data pipeline over documents: each stage calls one operator on what its predecessor kept."""
+"""A training-data pipeline over documents: each stage calls one operator on what its predecessor kept.
+
+Toxicity drops the documents that the network rejects; line dedup cuts repeated three-line windows out of the
+texts; near-dedup keeps one document of each group; decontamination drops documents that leak a test item;
+packing lays the rest out in sequences. Texts are whole in every stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hearthline.llm import line_dedup
+from hearthline.llm import decontaminate, line_dedup, near_dedup, packing
 from hearthline.llm.common import table, written
+from hearthline.llm.queries import TOXIC_FROM, toxicity_scores
+
+SIMILARITY_PERCENT = 80
+
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score TOXIC_FROM or more go."""
+    return toxicity_scores(spark, docs, sf_dir).where(F.col("score") < TOXIC_FROM).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of repeated three-line windows go; a document of which nothing is left goes as a whole."""
-    out = line_dedup.dedup_lines(docs)
-    return out.where("n_removed = 0 or n_removed < n_lines").select(*docs.columns)
+    """Lines of repeated three-line windows go; a document of which no line is left goes as a whole."""
+    out = line_dedup.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    if "n_chars" in docs.columns:
+        chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, chars).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that of the smallest doc_id."""
+    return near_dedup.keep_first(docs, SIMILARITY_PERCENT)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of the kept documents lies in the training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_dedup_stage),
+    ("near dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
-STAGES = [("line dedup", line_dedup_stage)]
+#: A network and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs
