@@ -34,7 +34,7 @@ from .components import connected
 from .textscan import mix, shingle_sets, slices
 
 SHINGLE, REGISTERS, MANTISSA = 5, 128, 10
-CHUNK, CHUNK_MOST, SHINGLES_PER_CHUNK = 256, 65_536, 400_000
+CHUNK, CHUNK_MOST, SHINGLES_PER_CHUNK = 128, 65_536, 400_000
 SHIFT = np.uint64(64 - REGISTERS.bit_length() + 1)
 BORDERS = np.arange(REGISTERS, dtype=np.uint64) << SHIFT
 #: For an empty register, the others in the order of asking.
@@ -165,7 +165,9 @@ def over_blocks(blocks: DataFrame, links: Callable[[pa.Table], np.ndarray], id_t
         if held:
             yield edges(pa.concat_tables(held))
 
-    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(run, f"a {id_type}, b {id_type}")
+    # As many tasks as the session's shuffles have: a block costs more time than its bytes tell.
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
 def candidate_links(reps: DataFrame, loose: float, id_type: str) -> DataFrame:
