@@ -47,7 +47,8 @@ def ranked(df: DataFrame, key: str, order: str, rows: int, to: str, per_bucket:
     plus the rows of the key's earlier buckets. So no task holds more than a bucket of a key,
     however many rows the key has. df is read twice: give a written table."""
     n = max(64, -(-rows // per_bucket))
-    df = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(17), order), F.lit(n)).cast("int"))
+    # Seeded by `to`: a key that came out of another ranking must not follow this one's buckets.
+    df = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(to), order), F.lit(n)).cast("int"))
     sizes = df.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
