@@ -19,6 +19,11 @@ def rounded(x: ColumnLike, digits: int = 0) -> Column:
     return F.round(col(x).cast("decimal(20,6)"), digits).cast("double")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
@@ -92,7 +97,10 @@ UNITS = r"(?i)(km|bam|eur|usd|m2|m²|€|\$|\s| )"
 def locale_number(x: ColumnLike, integer_like: bool = False) -> Column:
     """Number of a text in either convention: 1.234,50 or 1,234.50. A single group of three after one mark
     is thousands only where integers are expected; everything else that is ambiguous is null."""
-    s = F.regexp_replace(col(x).cast("string"), UNITS, "")
+    return let(F.regexp_replace(col(x).cast("string"), UNITS, ""), lambda s: _number(s, integer_like))
+
+
+def _number(s: Column, integer_like: bool) -> Column:
     as_number = lambda t: t.try_cast("double")
     drop = lambda t, mark: F.replace(t, F.lit(mark), F.lit(""))
     dots_then_comma = as_number(F.replace(drop(s, "."), F.lit(","), F.lit(".")))
@@ -171,11 +179,20 @@ def least_price(deal: ColumnLike, kind: ColumnLike) -> Column:
 def norm_price(price: ColumnLike, deal: ColumnLike, kind: ColumnLike) -> Column:
     """struct(price, state, reason): missing, zero and on request are unpriced, not invalid."""
     s = F.lower(F.trim(col(price).cast("string")))
-    n = locale_number(s, integer_like=True)
-    unpriced = col(price).isNull() | (s == "") | s.rlike("upit|dogovor|request") | (n == 0)
-    state = F.when(unpriced, "unpriced").when(n.isNull() | (n < 0) | (n < least_price(deal, kind)), "invalid").otherwise("valid")
-    reason = F.when(unpriced, None).when(n.isNull(), "not_a_number").when(n < 0, "negative").when(n < least_price(deal, kind), "below_minimum")
-    return F.struct(F.when(state == "valid", n).alias("price"), state.alias("state"), reason.alias("reason"))
+    asked = F.coalesce((s == "") | s.rlike("upit|dogovor|request"), F.lit(True))
+    return price_state(locale_number(s, integer_like=True), asked, deal, kind)
+
+
+def price_state(amount: ColumnLike, unpriced: Column, deal: ColumnLike, kind: ColumnLike) -> Column:
+    """struct(price, state, reason) of an amount; zero is unpriced as well."""
+
+    def judge(n: Column) -> Column:
+        none, least = unpriced | F.coalesce(n == 0, F.lit(False)), least_price(deal, kind)
+        reason = F.when(none, None).when(n.isNull(), "not_a_number").when(n < 0, "negative").when(n < least, "below_minimum")
+        state = F.when(none, "unpriced").when(reason.isNotNull(), "invalid").otherwise("valid")
+        return F.struct(F.when(state == "valid", n).alias("price"), state.alias("state"), reason.alias("reason"))
+
+    return let(col(amount), judge)
 
 
 def total_from_rate(rate: ColumnLike, area: ColumnLike) -> Column:
@@ -191,7 +208,7 @@ def read_price(price: ColumnLike, deal: ColumnLike, kind: ColumnLike, area: Colu
     """struct(price, deal, basis): a low price of a "sale" may be a rate per square metre, a rent or a night.
     A declared sale never becomes a rent."""
     n, low = col(price), (col(deal) == "sale") & (col(price) < least_price(deal, kind)) & (col(price) > 0)
-    sure = col(declared) == "sale"
+    sure = F.coalesce(col(declared) == "sale", F.lit(False))
     land = low & col(kind).isin(*LAND) & (n <= LAND_RATE_MOST)
     home = low & col(kind).isin(*HOMES) & (n >= F.when(sure, HOME_RATE_DECLARED).otherwise(HOME_RATE_LEAST))
     cottage = low & (col(kind) == "cottages") & (n < COTTAGE_NIGHT_MOST) & ~sure
