@@ -34,7 +34,10 @@ from .components import connected
 from .textscan import mix, shingle_sets, slices
 
 SHINGLE, REGISTERS, MANTISSA = 5, 128, 10
-CHUNK, CHUNK_MOST, SHINGLES_PER_CHUNK = 128, 65_536, 400_000
+#: A bucket is cut into chunks of CHUNK rows, but into CHUNKS_MOST at most before chunks grow: so a row is repeated
+#: that many times at most until chunks reach CHUNK_MOST rows.
+CHUNK, CHUNKS_MOST, CHUNK_MOST = 256, 16, 65_536
+MEMBERS_PER_CHUNK, SHINGLES_PER_CHUNK = 512, 2_000_000
 SHIFT = np.uint64(64 - REGISTERS.bit_length() + 1)
 BORDERS = np.arange(REGISTERS, dtype=np.uint64) << SHIFT
 #: For an empty register, the others in the order of asking.
@@ -177,7 +180,7 @@ def candidate_links(reps: DataFrame, loose: float, id_type: str) -> DataFrame:
     # Buckets of the same members (near copies share most bands) are compared once.
     once = written(buckets.groupBy("n", "x", "least").agg(F.min(F.struct("band", "h")).alias("k")).select("k.band", "k.h", "n"), "buckets")
     members = banded.join(once, ["band", "h"]).withColumn("bucket", F.xxhash64("band", "h"))
-    size = F.least(F.greatest(F.lit(CHUNK), F.ceil(F.col("n") / 64)), F.lit(CHUNK_MOST))
+    size = F.least(F.greatest(F.lit(CHUNK), F.ceil(F.col("n") / CHUNKS_MOST)), F.lit(CHUNK_MOST))
     dealt = in_blocks(members.select("doc_id", "bucket", F.ceil(F.col("n") / size).alias("chunks")), "chunks", "bucket", "doc_id")
     blocks = dealt.select("doc_id", "block", "second", "cross").join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
 
@@ -250,7 +253,7 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     grouped = connected(candidates)
     member = grouped.select(F.col("id").alias("doc_id"), F.col("component").alias("group")).unionByName(grouped.select(F.col("component").alias("doc_id"), F.col("component").alias("group")).distinct())
     member = written(member.join(reps.select("doc_id", "n_shingles"), "doc_id"), "members")
-    sizes = written(member.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n_shingles") / SHINGLES_PER_CHUNK)).alias("chunks")), "sizes")
+    sizes = written(member.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_CHUNK), F.ceil(F.sum("n_shingles") / SHINGLES_PER_CHUNK)).alias("chunks")), "sizes")
     links = written(exact_links(docs, member.select("doc_id", "group").join(sizes, "group"), percent, id_type), "links")
     found = connected(links)
     many = written(classes.where("rows > 1").select("a", "b", "rep"), "classes")
