@@ -40,6 +40,26 @@ def delete(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+REST = "__rest"
+
+
+def set_aside(df: DataFrame, *keep: str) -> DataFrame:
+    """df's `keep` columns, and all others in one struct, so that their names cannot clash with an operator's own."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in keep]
+    return df.select(*keep, F.struct(*others, F.lit(True).alias("__row")).alias(REST))
+
+
+def brought_back(df: DataFrame, columns: list[str], made: list[str]) -> DataFrame:
+    """The columns in their first order and then the made ones, which replace any of the same name."""
+    old = [F.col(f"`{c}`") if c in df.columns else F.col(REST)[c].alias(c) for c in columns if c not in made]
+    return df.select(*old, *made)
+
+
+def without_ids(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """df's rows whose id is not among gone's `_gone`."""
+    return set_aside(df, id_col).join(gone, F.col(id_col) == F.col("_gone"), "left_anti").transform(lambda out: brought_back(out, df.columns, []))
+
+
 def ranked(df: DataFrame, key: str, order: str, rows: int, to: str, per_bucket: int = 20_000) -> DataFrame:
     """Adds `to`: a gapless rank from 0 among the rows of each key.
 

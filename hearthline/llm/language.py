@@ -96,6 +96,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id") -> Data
     langs = model[0]
     if not langs:
         return pages.where("false").select(id_col, F.lit("").alias("lang"), F.lit(0.0).alias("posterior"), F.lit("").alias("text_lang"), F.lit("").alias("declared"), F.lit("").alias("host"))
+    pages = pages.select(id_col, "url", "html")
     seen = written(with_evidence(pages, model).withColumn("p", F.transform("loglik", F.exp)), "evidence")
     n = len(langs)
     sums = [F.sum(F.get("p", k)).alias(f"s{k}") for k in range(n)]

@@ -7,7 +7,7 @@ covers are removed, the others stay in order. Windows are judged on the input, n
 Defined cases: null text has no lines and stays null; '' is one empty line; documents of fewer lines
 than `window` have no window and stay; rows with the same doc_id and text count as one earlier and one
 later occurrence in no fixed order; an empty table gives an empty result. Columns other than the id
-and text pass through untouched.
+and text pass through untouched, but for such as are named like the counts, which these replace.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import two_hashes
+from .common import brought_back, set_aside, two_hashes
 
 
 def covered_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,10 +34,10 @@ def covered_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text
 def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text's repeated lines removed, plus n_lines and n_removed."""
     # Lines are split below the join, so that the gather over kept positions reads a computed column.
-    split = docs.withColumn("_lines", F.split(text_col, "\n", -1)).drop(text_col)
+    split = set_aside(docs, id_col, text_col).withColumn("_lines", F.split(text_col, "\n", -1)).drop(text_col)
     out = split.join(covered_lines(docs, window, id_col, text_col), F.col(id_col).eqNullSafe(F.col("_id")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_covered")
     count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
     text = F.when(F.col("_covered").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
     out = out.withColumns({text_col: text, "n_lines": count("_lines"), "n_removed": count("_covered")})
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    return brought_back(out, docs.columns, ["n_lines", "n_removed"])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, written
+from .common import delete, without_ids, written
 from .components import connected
 from .textscan import mix, shingle_sets, slices
 
@@ -267,4 +267,4 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 def keep_first(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near-duplicates: of each component the document with the smallest id stays."""
     gone = near_components(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return without_ids(docs, id_col, gone)

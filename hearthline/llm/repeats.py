@@ -18,7 +18,8 @@ window by window under a key of the window's own hash, so no task gathers them.
 
 Defined cases: null text is empty; ids must be integers, rows with a null id take no part and stay whole; rows
 with the same id count as one document for what is earlier; texts shorter than `length` stay whole; an empty
-table gives an empty result; other columns pass through.
+table gives an empty result; other columns pass through, but for such as are named like the results, which these
+replace.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, written
+from .common import REST, brought_back, delete, set_aside, written
 from .textscan import mix, powers, prefix_hashes, slices, whole_groups
 
 KGRAM = 24
@@ -242,17 +243,15 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: str = "bytes") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept_sha256; with keep="bytes" also kept, the bytes left."""
     work = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(work, length).withColumnRenamed("doc_id", "_id").withColumnRenamed("gone", "_gone")
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
-    extra = ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * (keep == "bytes")
-    columns = docs.columns
-    text_at = columns.index(text_col)
-    drop = [] if keep == "bytes" else [text_col]
-    passed = [(n, t) for n, t in docs.dtypes if n not in drop]
+    spans = repeated_spans(work, length).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
+    joined = set_aside(docs, id_col, text_col).join(spans, F.col(id_col).cast("long") == F.col("_id"), "left").select(id_col, REST, text_col, "_gone")
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * (keep == "bytes")]
+    kinds = [f"`{n}` {t}" for n, t in joined.dtypes[: 3 if keep == "bytes" else 2]] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept binary"][: len(made)]
+    passed = [id_col, REST, text_col][: 3 if keep == "bytes" else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = batch.column(text_at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            texts, gone = batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()
             rows = []
             for t, marks in zip(texts, gone):
                 t, marks = t or b"", marks or []
@@ -262,10 +261,8 @@ def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
                 kept = b"".join(t[a:b] for a, b in zip(edges[0::2], edges[1::2]))
                 rows.append((len(t), len(t) - len(kept), len(first), hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*rows)) or [[]] * 5
-            made = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            if keep != "bytes":
-                made.pop()
-            old = [batch.column(k) for k, name in enumerate(columns) if name not in drop]
-            yield pa.RecordBatch.from_arrays([*old, *made], [n for n, _ in passed] + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(made)])
+            arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))][: len(made)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], *arrays], [*passed, *made])
 
-    return joined.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in passed) + extra)
+    out = joined.mapInArrow(run, ", ".join(kinds))
+    return brought_back(out, [c for c in docs.columns if c != text_col or keep == "bytes"], made)

@@ -9,7 +9,7 @@ counts differ by one at most (law `rows`).
 
 Defined cases: null text is of no bytes, has crc32 0 and no links; empty texts are equal texts;
 repeated rows are placed as rows of their own; fewer rows than shards leave shards empty; an empty table
-gives an empty result; other columns pass through.
+gives an empty result; other columns pass through, but for such as are named like the results, which these replace.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, ranked, two_hashes, written
+from .common import brought_back, delete, ranked, set_aside, two_hashes, written
 
 
 def quotas(rows: int, shards: int) -> list[int]:
@@ -29,7 +29,7 @@ def free_table(spark, free: list[int]) -> DataFrame:
     return spark.createDataFrame([(s, int(f)) for s, f in enumerate(free)], "to int, free long")
 
 
-def propagate(linked: DataFrame, quota: list[int], rounds: int = 4) -> DataFrame:
+def propagate(linked: DataFrame, quota: list[int], rounds: int = 12) -> DataFrame:
     """linked (_row, _link, shard): moves rows towards their neighbours' shards within the quotas."""
     spark, shards = linked.sparkSession, len(quota)
     for _ in range(rounds):
@@ -54,11 +54,12 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = 4) -> DataFrame
     return linked
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 12, text_col: str = "text") -> DataFrame:
     """docs' columns but the text, with size, text_crc32, shard and slot (gapless from 0 in each shard)."""
     text = F.col(text_col)
     a, b = two_hashes(text)
-    base = docs.withColumns({
+    made = ["size", "text_crc32", "shard", "slot"]
+    base = set_aside(docs, text_col).withColumns({
         "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long"),
         "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary")),
         "_link": F.when(text.isNotNull(), F.struct(a.alias("a"), b.alias("b"))),
@@ -85,7 +86,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, id_col:
     placed = written(base.drop("_link").join(labels, "_row"), "placed")
     for used in (base, hubs, linked, singles):
         delete(used)
-    return ranked(placed, "shard", "_row", rows, "slot").drop("_row")
+    return brought_back(ranked(placed, "shard", "_row", rows, "slot"), [c for c in docs.columns if c != text_col], made)
 
 
 def within_quota(linked: DataFrame, quota: list[int]) -> DataFrame:

@@ -11,7 +11,8 @@ characters each (a documented bound on the fit only; every text is scored whole)
 
 Defined cases: null and empty texts are one window of padding and get the score of no words; texts
 without spaces are one word; rows without a label, or with a null label, teach nothing; without any label the
-score is 0.5 for all texts; repeated rows are scored as rows of their own; other columns are not read.
+score is 0.5 for all texts; repeated rows are scored as rows of their own; an empty table gives an
+empty result; other columns pass unread, but for one named score, which is replaced.
 """
 
 from __future__ import annotations
@@ -296,4 +297,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_texts: int = 4000, m
                 at = upto
             yield batch.append_column("score", pa.array(scores))
 
+    docs = docs.drop("score")
     return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double")
