@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -317,23 +319,20 @@ def _(s, d):
     return export.csv_rows(read(s, d, "events").select("event_id", cell.alias("cell")))
 
 
-@query("groups_to_json", "SELECT 'nations' AS \"group\", count(*) AS n FROM nation UNION ALL SELECT 'regions', count(*) FROM region", adapter=False)
+@query("groups_to_json", "SELECT 'customers' AS \"group\", count(*) AS n FROM customer UNION ALL SELECT 'suppliers', count(*) FROM supplier", adapter=False)
 def _(s, d):
-    out = export.groups_to_json({"nations": read(s, d, "nation"), "regions": read(s, d, "region")})
+    out = export.groups_to_json({"customers": read(s, d, "customer"), "suppliers": read(s, d, "supplier")})
     return out.groupBy("group").agg(F.count(F.when(F.col("row").startswith("{"), 1)).alias("n"))
 
 
-@query("versioned_publish", "SELECT 2 AS version, count(*) AS n FROM nation", adapter=False)
+@query("versioned_publish", "SELECT 2 AS version, count(*) AS n FROM customer", adapter=False)
 def _(s, d):
-    import tempfile
-
-    folder = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    folder = f"{folder}/published-{F.__name__}-{abs(hash((d, id(s))))}"
-    nation = read(s, d, "nation")
-    archive.publish({"nation": nation.limit(3)}, folder, 1)
-    archive.publish({"nation": nation}, folder, 2)
-    nation.limit(1).write.mode("overwrite").parquet(f"{folder}/nation/version=3")  # written, never committed
-    return archive.read_latest(s, folder, "nation").agg(F.lit(archive.latest_version(s, folder)).alias("version"), F.count(F.lit(1)).alias("n"))
+    shared = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    folder, customers = f"{shared}/published-{uuid.uuid4().hex}", read(s, d, "customer")
+    archive.publish({"customer": customers.where("c_custkey % 2 = 0")}, folder, 1)
+    archive.publish({"customer": customers}, folder, 2)
+    customers.where("c_custkey % 3 = 0").write.mode("overwrite").parquet(f"{folder}/customer/version=3")  # written, never committed
+    return archive.read_latest(s, folder, "customer").agg(F.lit(archive.latest_version(s, folder)).alias("version"), F.count(F.lit(1)).alias("n"))
 
 
 # -- areas ---------------------------------------------------------------------------------------------------------------
@@ -380,7 +379,9 @@ def _(s, d):
 
 @query("outline_features")
 def _(s, d):
-    return geo.features(areas(s, d))
+    """Outlines of the areas that hold open items."""
+    held = market(s, d).entities.where("closed_at is null").select(F.col("area_key").alias("name")).distinct()
+    return geo.features(areas(s, d).join(held, "name"))
 
 
 # -- alerts ---------------------------------------------------------------------------------------------------------------
