@@ -92,6 +92,20 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], chr(10)) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, chr(10)) FROM words WHERE len(w) BETWEEN 1 AND 4),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM both_ JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT a, y FROM reach JOIN links ON b = x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) r ON r.a = d.doc_id
+"""
+
 TOXIC_FROM = 0.7
 
 
@@ -113,6 +127,21 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="none")
 
 
+OP8_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM b)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM starts) WHERE n > 1),
+marked AS (SELECT doc_id, p, coalesce((p > lag(p) OVER w + 100)::INTEGER, 1) AS new FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM marked) GROUP BY doc_id, g),
+pieces AS (
+  SELECT b.doc_id, z AS f, substr(h, 2 * z + 1, 2 * (coalesce(lead(a) OVER (PARTITION BY b.doc_id ORDER BY a), length(h) // 2) - z)) AS x FROM b JOIN spans USING (doc_id)
+  UNION ALL SELECT b.doc_id, 0, CASE WHEN a IS NULL THEN h ELSE substr(h, 1, 2 * a) END FROM b LEFT JOIN (SELECT doc_id, min(a) AS a FROM spans GROUP BY 1) s ON s.doc_id = b.doc_id)
+SELECT b.doc_id, length(h) // 2 AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM b LEFT JOIN (SELECT doc_id, sum(z - a) AS r, count(*) AS c FROM spans GROUP BY 1) s ON s.doc_id = b.doc_id
+JOIN (SELECT doc_id, string_agg(x, '' ORDER BY f) AS x FROM pieces GROUP BY 1) k ON k.doc_id = b.doc_id
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -135,4 +164,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
-SQL = {"op1_vector_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL}
+SQL = {"op1_vector_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_near_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL}
