@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 24, 12, 8, 6, 6, 8
 VOCABULARY, TRIGRAMS = 3000, 2048
+SMOOTH = 2.0  # texts of each class that every word is taken to be in besides
 CACHE = 300_000  # distinct words whose gates a task remembers
 Params = dict[str, np.ndarray]
 
@@ -163,8 +164,12 @@ def pad_row(p: Params) -> tuple[np.ndarray, np.ndarray]:
     return gates(p, np.zeros((1, WORD_DIM), np.float32), np.zeros((1, CHAR_DIM), np.float32))
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 7) -> tuple[dict[str, int], Params]:
-    """Vocabulary and parameters. Each word's vector starts with its smoothed log odds between the classes."""
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 0.02, seed: int = 7, least_steps: int = 320, drop: float = 0.15, decay: float = 0.5) -> tuple[dict[str, int], Params]:
+    """Vocabulary and parameters. Each word's vector starts with its smoothed log odds between the classes. Few texts
+    go in smaller batches and more epochs, so that there are least_steps steps at any size. Against learning by heart,
+    a share of the words is unknown in each step, and vectors decay towards where they began."""
+    batch = 64 if len(texts) >= 2000 else 16
+    epochs = max(epochs, -(-least_steps // max(1, -(-len(texts) // batch))))
     y = np.asarray(labels, np.float32)
     tokens = [[normal(c) for c in t.split()] for t in texts]
     counts: dict[str, list[int]] = {}
@@ -172,7 +177,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 64,
         for w in set(ws):
             counts.setdefault(w, [0, 0])[int(label)] += 1
     n1, n0 = y.sum() + 1, (1 - y).sum() + 1
-    odds = {w: float(np.log((c[1] + 0.5) / n1 / ((c[0] + 0.5) / n0))) for w, c in counts.items() if sum(c) >= 3}
+    odds = {w: float(np.log((c[1] + SMOOTH) / n1 / ((c[0] + SMOOTH) / n0))) for w, c in counts.items() if sum(c) >= 3}
     best = sorted(odds, key=lambda w: (-abs(odds[w]) * min(sum(counts[w]), 50), w))[:VOCABULARY]
     vocabulary = {w: k + 1 for k, w in enumerate(best)}
     rng = np.random.default_rng(seed)
@@ -187,6 +192,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 64,
     per = np.array([len(t.split()) for t in texts], np.int64)
     win, owner = windows(per, rows)
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    began = {k: p[k].copy() for k in ("word", "char")}
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
@@ -198,10 +204,10 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 64,
             if used[0] != 0:
                 used, local = np.append(0, used), local + 1
             k = used[1:] - 1
-            span = sizes[k]
+            span, seen = sizes[k], (vocab[k] > 0) & (rng.random(len(k)) >= drop)
             code = codes[np.repeat(begins[k] - np.cumsum(span) + span, span) + np.arange(span.sum())] if len(k) else codes[:0]
             chars = np.vstack([np.zeros((1, CHAR_DIM)), char_means(p["char"], code, np.cumsum(span) - span)]).astype(np.float32)
-            vecs = np.vstack([np.zeros((1, WORD_DIM)), p["word"][vocab[k]] * (vocab[k] > 0)[:, None]]).astype(np.float32)
+            vecs = np.vstack([np.zeros((1, WORD_DIM)), p["word"][vocab[k]] * seen[:, None]]).astype(np.float32)
             gf, gb = gates(p, vecs, chars)
             logits = forward(p, gf, gb, local)
             split = np.cumsum([first[q + 1] - first[q] for q in pick])
@@ -227,7 +233,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 64,
                 g[f"w{way}"], g[f"b{way}"] = x.T @ by_row, by_row.sum(0)
                 dx += by_row @ p[f"w{way}"].T
             g["word"] = np.zeros_like(p["word"])
-            np.add.at(g["word"], vocab[k], dx[1:, :WORD_DIM] * (vocab[k] > 0)[:, None])
+            np.add.at(g["word"], vocab[k], dx[1:, :WORD_DIM] * seen[:, None])
             g["char"] = np.zeros_like(p["char"])
             np.add.at(g["char"], code, np.repeat(dx[1:, WORD_DIM:] / np.maximum(span, 1)[:, None], span, 0))
             step += 1
@@ -236,6 +242,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 64,
                 grad = np.clip(g[name], -1, 1).astype(np.float32)
                 m[name] += 0.1 * (grad - m[name])
                 v[name] += 0.001 * (grad * grad - v[name])
+                if name in began:
+                    p[name] -= lr * decay * (p[name] - began[name])
                 p[name] -= lr * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-6)
     return vocabulary, p
 
@@ -278,7 +286,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_texts: int, max_char
     return [r[text_col] for r in got], np.array([int(r[label_col]) for r in got])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_texts: int = 4000, max_chars: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", batch_chars: int = 1_500_000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, max_texts: int = 4000, max_chars: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", batch_chars: int = 1_500_000) -> DataFrame:
     """docs with a score from 0 to 1. labels: the rows that may teach (id and label)."""
     texts, y = labelled_sample(docs, labels, max_texts, max_chars, id_col, text_col, label_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, y) if len(texts) else None)  # a few hundred KB

@@ -297,7 +297,7 @@ def test_toxicity_defined_cases(spark, docs):
 
 def test_toxicity_scores_every_window():
     texts = ["fine words here"] * 400 + ["you awful thing"] * 400
-    model = toxicity.fit(texts, np.array([0] * 400 + [1] * 400), epochs=12)
+    model = toxicity.fit(texts, np.array([0] * 400 + [1] * 400))
     score = toxicity.Scorer(*model).score
     late = " ".join(["fine words here"] * 700 + ["you awful thing"])
     assert score([late])[0] > 0.7 > 0.3 > score([" ".join(["fine words here"] * 700)])[0]
