@@ -9,7 +9,6 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import expr as X
 from ..operators import geo
 from ..sources import archive, export, payloads
 from ..sources.facts import market, read
