@@ -65,10 +65,10 @@ obs AS (SELECT *, {RATE} AS rate FROM cards)
 """
 
 
-@query("upsert_state", "SELECT entity_id, title, deal, rooms, price, rate, CASE WHEN list_contains(keys, 's7') THEN keys ELSE list_append(keys, 's7') END AS search_keys, first_seen FROM obs", STATE_SQL)
+@query("upsert_state", "SELECT entity_id, title, deal, rooms, price, rate, array_to_string(CASE WHEN list_contains(keys, 's7') THEN keys ELSE list_append(keys, 's7') END, ',') AS search_keys, first_seen FROM obs", STATE_SQL)
 def _(s, d):
     ids = cards(s, d).select("entity_id")
-    return ingested(s, d).state.join(ids, "entity_id", "left_semi").select("entity_id", "title", "deal", "rooms", "price", "rate", "search_keys", "first_seen")
+    return ingested(s, d).state.join(ids, "entity_id", "left_semi").select("entity_id", "title", "deal", "rooms", "price", "rate", F.array_join("search_keys", ",").alias("search_keys"), "first_seen")
 
 
 @query("closures", "SELECT entity_id, DATE '2001-08-01' AS closed_at, price AS closing_price FROM st WHERE search_key = 's7' AND entity_id % 4 = 0 AND closed_at IS NULL AND entity_id % 10 <> 0", STATE_SQL)
@@ -77,11 +77,11 @@ def _(s, d):
     return new.state.join(new.lifecycle.where("event = 'closed'").select("entity_id"), "entity_id", "left_semi").select("entity_id", "closed_at", "closing_price")
 
 
-@query("membership_removed", "SELECT entity_id, list_filter(search_keys, lambda k: k <> 's7') AS search_keys FROM st WHERE list_contains(search_keys, 's7') AND entity_id % 4 = 0", STATE_SQL)
+@query("membership_removed", "SELECT entity_id, array_to_string(list_filter(search_keys, lambda k: k <> 's7'), ',') AS search_keys FROM st WHERE list_contains(search_keys, 's7') AND entity_id % 4 = 0", STATE_SQL)
 def _(s, d):
     st = state_table(s, d)
     out = state.drop_membership(st.drop("search_key"), KEY, cards(s, d))
-    return out.join(st.where(F.array_contains("search_keys", KEY) & (F.col("entity_id") % 4 == 0)).select("entity_id"), "entity_id", "left_semi").select("entity_id", "search_keys")
+    return out.join(st.where(F.array_contains("search_keys", KEY) & (F.col("entity_id") % 4 == 0)).select("entity_id"), "entity_id", "left_semi").select("entity_id", F.array_join("search_keys", ",").alias("search_keys"))
 
 
 @query("lifecycle_events", """SELECT entity_id, 'reopened' AS event, NULL::DATE AS opened_on, price FROM obs WHERE was_closed IS NOT NULL
@@ -110,9 +110,9 @@ def _(s, d):
     return state_table(s, d).where(F.array_contains("search_keys", KEY)).join(cards(s, d), "entity_id", "left_anti").select("entity_id")
 
 
-@query("sweep", "SELECT entity_id, list_sort(list_filter(search_keys, lambda k: k IN ('s1', 's2', 'extra'))) AS search_keys, CASE WHEN closed_at IS NULL AND len(list_filter(search_keys, lambda k: k IN ('s1', 's2', 'extra'))) = 0 THEN DATE '2001-08-01' ELSE closed_at END AS closed_at FROM st", STATE_SQL)
+@query("sweep", "SELECT entity_id, array_to_string(list_sort(list_filter(search_keys, lambda k: k IN ('s1', 's2', 'extra'))), ',') AS search_keys, CASE WHEN closed_at IS NULL AND len(list_filter(search_keys, lambda k: k IN ('s1', 's2', 'extra'))) = 0 THEN DATE '2001-08-01' ELSE closed_at END AS closed_at FROM st", STATE_SQL)
 def _(s, d):
-    return state.sweep(state_table(s, d), ["s1", "s2", "extra"], DAY).select("entity_id", "search_keys", "closed_at")
+    return state.sweep(state_table(s, d), ["s1", "s2", "extra"], DAY).select("entity_id", F.array_join("search_keys", ",").alias("search_keys"), "closed_at")
 
 
 @query("sweep_allowed", "SELECT search_key AS cycle, coalesce(sum(cards), 0) > 0 OR bool_and(status = 'ok' AND is_complete) AS allowed FROM runs GROUP BY 1")
