@@ -13,27 +13,35 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..plans.state import ingest_snapshot
 from ..sources.archive import latest_version, publish, read_latest
 
-CARDS = "snapshot_id bigint, search_key string, day date, entity_id bigint, title string, url string, deal string, kind string, rooms string, sqm double, price double, price_state string, area_key string, seller string"
+CARDS = "snapshot_id bigint, search_key string, day date, entity_id bigint, title string, url string, deal string, kind string, rooms string, sqm double, price double, price_state string, area_key string, seller string, snapshot_rows bigint"
 
 
 def stream_snapshots(spark: SparkSession, landing: str, store: str, checkpoint: str, empty_state: DataFrame, files_per_batch: int = 16) -> StreamingQuery:
-    """Complete snapshots (Parquet files of CARDS) are folded into the store in order of their id. A snapshot older than
-    the version in the store is skipped, so a batch that runs again changes nothing."""
+    """Complete snapshots (Parquet files of CARDS) are folded into the store, each search's in order of their id. A snapshot
+    not newer than the last one of its search is skipped, so a batch that runs again changes nothing.
+
+    A snapshot's files may come in several batches: its rows are read from the landing folder, and it is folded when there
+    are snapshot_rows of them. Without snapshot_rows (null or no such column) what has landed counts as the whole."""
+    last_ids = "search_key string, snapshot_id bigint"
 
     def fold(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        heads = batch.select("snapshot_id", "search_key", "day").distinct().orderBy("snapshot_id").collect()  # one row per snapshot
-        for h in heads:
+        found = batch.select("snapshot_id", "search_key").distinct()
+        landed = spark.read.schema(CARDS).parquet(landing).join(F.broadcast(found), ["snapshot_id", "search_key"], "left_semi").persist()
+        heads = landed.groupBy("snapshot_id", "search_key").agg(F.min("day").alias("day"), F.count(F.lit(1)).alias("n"), F.max("snapshot_rows").alias("whole"))
+        for h in heads.orderBy("snapshot_id", "search_key").collect():  # one row per snapshot
             newest = latest_version(spark, store)
-            if newest is not None and h["snapshot_id"] <= newest:
+            last = spark.createDataFrame([], last_ids) if newest is None else read_latest(spark, store, "searches")
+            before = last.where(F.col("search_key") == h["search_key"]).first()
+            if (before and h["snapshot_id"] <= before["snapshot_id"]) or (h["whole"] is not None and h["n"] != h["whole"]):
                 continue
             state = empty_state if newest is None else read_latest(spark, store, "state")
             past = None if newest is None else read_latest(spark, store, "lifecycle").where("event = 'reopened'")
-            cards = batch.where(F.col("snapshot_id") == h["snapshot_id"]).drop("snapshot_id", "search_key", "day")
+            cards = landed.where((F.col("snapshot_id") == h["snapshot_id"]) & (F.col("search_key") == h["search_key"])).drop("snapshot_id", "search_key", "day", "snapshot_rows")
             out = ingest_snapshot(state, cards, h["search_key"], h["day"], past)
-            life = out.lifecycle if newest is None else read_latest(spark, store, "lifecycle").unionByName(out.lifecycle)
-            publish({"state": out.state, "lifecycle": life, "summary": out.summary}, store, h["snapshot_id"])
-        batch.unpersist()
+            grown = {n: df if newest is None else read_latest(spark, store, n).unionByName(df) for n, df in (("lifecycle", out.lifecycle), ("markers", out.markers))}
+            searches = last.where(F.col("search_key") != h["search_key"]).unionByName(spark.createDataFrame([(h["search_key"], h["snapshot_id"])], last_ids))
+            publish({"state": out.state, **grown, "summary": out.summary, "searches": searches}, store, 1 if newest is None else newest + 1)
+        landed.unpersist()
 
     source = spark.readStream.schema(CARDS).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
     return source.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

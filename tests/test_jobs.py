@@ -142,6 +142,28 @@ def test_stream_of_snapshots(spark, tmp_path):
     assert set(by_id(archive.read_latest(spark, store, "state"))) == {1, 2}
 
 
+def test_stream_of_several_searches_and_files(spark, tmp_path):
+    """A search's first snapshot counts although another search has a later id; a snapshot waits for all its files."""
+    landing, store = str(tmp_path / "landing"), str(tmp_path / "store")
+
+    def snap(n, key, day, whole, *rows):
+        df = spark.createDataFrame([(n, key, day, *r, whole) for r in rows], "snapshot_id long, search_key string, day date, " + CARD + ", snapshot_rows long")
+        df.coalesce(1).write.mode("append").parquet(landing)
+        streams.stream_snapshots(spark, landing, store, str(tmp_path / "cp"), spark.createDataFrame([], STATE), 1).awaitTermination()
+        return by_id(archive.read_latest(spark, store, "state"))
+
+    snap(5, "a", D1, 2, card(1), card(2))
+    rows = snap(4, "b", D1, 1, card(3))
+    assert set(rows) == {1, 2, 3}
+    rows = snap(6, "a", D2, 2, card(1))  # the file with the other card is still to come
+    assert rows[2].closed_at is None and rows[2].last_seen == D1
+    rows = snap(6, "a", D2, 2, card(2))
+    assert rows[1].last_seen == rows[2].last_seen == D2 and all(r.closed_at is None for r in rows.values())
+    rows = snap(5, "b", D2, 1, card(4))
+    assert rows[3].closed_at == D2 and rows[4].closed_at is None
+    assert sorted((r.entity_id, r.on_date) for r in archive.read_latest(spark, store, "markers").collect()) == [(1, D1), (2, D1), (3, D1), (4, D2)]
+
+
 def test_stream_of_alerts(spark, tmp_path):
     t = datetime(2024, 1, 1)
     rows = [("x", f, t + timedelta(minutes=m)) for m, f in ((0, True), (10, True), (30, True), (31, False))] + [("y", True, t)]
