@@ -39,9 +39,19 @@ KGRAM = 24
 FLUSH = 600_000  # runs that a task gathers before it sends what it cannot settle itself
 SAMPLE_DOCS, HOT = 50_000, 50  # anchors with HOT runs in the sample are sent window by window
 INDEX = np.uint64((1 << 24) - 1)
+PIECE = 1_000_000  # windows of a text that are looked at together; with the bytes of the last one, far below INDEX
 RUN = "key long, ctx long, doc_id long, first long, n long, settled boolean"
 
 
+def in_pieces(ids: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(ids, texts, where they begin) with longer texts as pieces of PIECE windows, which overlap by length - 1 bytes:
+    every window lies whole in one piece. A run cut by a border has another ctx than its copies; as its anchor is the
+    same, its windows are compared."""
+    begins = [range(0, max(1, len(t) - length + 1), PIECE) for t in texts]
+    parts = [t[at : at + PIECE + length - 1] if len(b) > 1 else t for t, b in zip(texts, begins) for at in b]
+    return np.repeat(ids, [len(b) for b in begins]), parts, np.array([at for b in begins for at in b], np.int64)
+
+
 def runs(texts: list[bytes], length: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
     """(key, ctx, number of the text, first window, windows) of all runs in the texts."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -131,10 +141,10 @@ def run_rows(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
+            ids, texts, begin = in_pieces(batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist(), length)
             for at, upto in slices(texts, 1_000_000):
                 key, ctx, text, first, n = runs(texts[at:upto], length, keys.value)
-                held.append((key, ctx, ids[at:upto][text], first, n))
+                held.append((key, ctx, ids[at:upto][text], begin[at:upto][text] + first, n))
                 rows += len(key)
                 if rows >= FLUSH:
                     yield flush(held)

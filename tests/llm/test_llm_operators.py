@@ -353,6 +353,15 @@ def test_repeats(spark, rows, hot, monkeypatch):
     assert got == brute_repeats(rows + more, 100)
 
 
+def test_repeats_far_into_a_long_text(spark):
+    """Windows past 2 ** 24 bytes of one text, and across the borders of its pieces, meet their copies."""
+    text = random.Random(3).randbytes(8_400_000).hex()
+    copies = {2: text[16_790_000:16_790_400], 3: text[repeats.PIECE - 200 : repeats.PIECE + 200], 4: text[-150:]}
+    df = spark.createDataFrame([(1, text), *copies.items()], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in repeats.cut_repeats(df, keep="none").collect()}
+    assert got == {1: 0, 2: 400, 3: 400, 4: 150}
+
+
 def test_repeats_defined_cases(spark):
     df = spark.createDataFrame([(1, "a" * 150 + "b"), (1, "a" * 150 + "b"), (None, "z" * 300), (2, None), (3, "a" * 150 + "c")], "doc_id long, text string")
     out = {(r.doc_id, r.n_removed) for r in repeats.cut_repeats(df).collect()}
