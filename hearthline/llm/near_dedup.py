@@ -9,8 +9,14 @@
 3. Connected candidates come together with their full sets, and only exact links (percent * union <=
    100 * intersection) go on, again as a spanning forest. Their components are the answer.
 
-Large buckets and candidate groups are cut into chunks by a hash of the id, and every two chunks meet in a
-block of bounded size, so that no task holds a whole group and no pair is lost.
+Large buckets are cut into chunks by a hash of the id, and every two chunks meet in a block. A block's rows of
+registers are held (131,072 at most), but estimates only for a tile of them: a row leaves once it is linked, so near
+copies cost a few estimates a row, and only rows that link with nothing meet all others.
+
+Candidate groups of few chunks are compared whole, chunk by chunk. Members of larger ones are first dealt DEALS times
+into pieces of a chunk's size; links found there join most near copies. Then every member outside the group's largest
+part is compared with all members, and what is in that part already is not compared with itself again. No pair of
+members in different parts is left out.
 
 Chance of losing one link at the threshold: (1 - 0.85 ** 5) ** 25 = 4e-7, (1 - 0.8 ** 4) ** 32 = 5e-8.
 
@@ -23,10 +29,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import delete, without_ids, written
@@ -37,7 +44,11 @@ SHINGLE, REGISTERS, MANTISSA = 5, 128, 10
 #: A bucket is cut into chunks of CHUNK rows, but into CHUNKS_MOST at most before chunks grow: so a row is repeated
 #: that many times at most until chunks reach CHUNK_MOST rows.
 CHUNK, CHUNKS_MOST, CHUNK_MOST = 256, 16, 65_536
+#: Blocks of up to TILE rows are estimated at once, larger ones FRONT rows against TILE at a time.
+TILE, FRONT = 1024, 64
 MEMBERS_PER_CHUNK, SHINGLES_PER_CHUNK = 512, 2_000_000
+#: Candidate groups of up to FEW chunks are compared whole; members of larger ones are first dealt DEALS times.
+FEW, DEALS = 4, 3
 SHIFT = np.uint64(64 - REGISTERS.bit_length() + 1)
 BORDERS = np.arange(REGISTERS, dtype=np.uint64) << SHIFT
 #: For an empty register, the others in the order of asking.
@@ -83,7 +94,8 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     same = np.empty((len(x), len(y)), np.float32)
     for k in range(0, len(x), 64):
         same[k : k + 64] = (x[k : k + 64, None, :] == y[None, :, :]).mean(2)
-    by_chance = expected_collisions(n[:, None], m[None, :])
+    (of_n, at_n), (of_m, at_m) = np.unique(n, return_inverse=True), np.unique(m, return_inverse=True)
+    by_chance = expected_collisions(of_n[:, None], of_m[None, :])[at_n[:, None], at_m[None, :]]
     return (same - by_chance) / (1 - by_chance)
 
 
@@ -102,6 +114,35 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def apart(linked: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+    """Only links between the two sides, if there are sides."""
+    return linked if side is None else linked & (side[:, None] != side[None, :])
+
+
+def estimated_forest(regs: np.ndarray, n: np.ndarray, side: np.ndarray | None, loose: float) -> list[tuple[int, int]]:
+    """forest() of the rows whose estimates are `loose` or more, holding estimates of FRONT rows against TILE."""
+    if len(regs) <= TILE:
+        return forest(apart(estimate(regs, regs, n, n) >= loose, side))
+    left, edges = np.ones(len(regs), bool), []
+    for root in range(len(regs)):
+        if not left[root]:
+            continue
+        left[root] = False
+        fronts = [[root], []] if side is None or not side[root] else [[], [root]]  # by side
+        while any(fronts):
+            k = 0 if fronts[0] else 1
+            now = np.array(fronts[k][-FRONT:])
+            del fronts[k][-FRONT:]
+            others = np.flatnonzero(left if side is None else left & (side != side[now[0]]))
+            for at in range(0, len(others), TILE):
+                met = others[at : at + TILE]
+                met = met[(estimate(regs[now], regs[met], n[now], n[met]) >= loose).any(0)]
+                left[met] = False
+                edges += [(int(m), root) for m in met]
+                fronts[0 if side is None else 1 - k] += met.tolist()
+    return edges
+
+
 def signatures(docs: DataFrame, band: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, a, b: digest of the set, registers, bands); null where the set is empty."""
 
@@ -139,18 +180,16 @@ def in_blocks(rows: DataFrame, chunks: str, group: str, id_col: str) -> DataFram
     return dealt.withColumns({"block": block, "second": F.col("_c") > F.col("_d"), "cross": F.col("_c") != F.col("_d")}).drop("_c", "_d", chunks)
 
 
-def over_blocks(blocks: DataFrame, links: Callable[[pa.Table], np.ndarray], id_type: str) -> DataFrame:
-    """(a, b): spanning forests of the links in each block. A task reads its blocks one after the other."""
+def over_blocks(blocks: DataFrame, links: Callable[[pa.Table, np.ndarray | None], list[tuple[int, int]]], id_type: str) -> DataFrame:
+    """(a, b): spanning forests of the links in each block; `links` takes a block and its sides, if only pairs of both
+    sides count. A task reads its blocks one after the other."""
 
     def edges(part: pa.Table) -> pa.RecordBatch:
         ids = part.column("doc_id").to_pylist()
         found = []
         if len(ids) > 1:
-            linked = links(part)
-            if part.column("cross")[0].as_py():
-                side = np.array(part.column("second").to_pylist())
-                linked &= side[:, None] != side[None, :]
-            found = [(ids[i], ids[j]) for i, j in forest(linked) if ids[i] != ids[j]]
+            side = np.array(part.column("second").to_pylist()) if part.column("cross")[0].as_py() else None
+            found = [(ids[i], ids[j]) for i, j in links(part, side) if ids[i] != ids[j]]
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], part.schema.field("doc_id").type) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +223,10 @@ def candidate_links(reps: DataFrame, loose: float, id_type: str) -> DataFrame:
     dealt = in_blocks(members.select("doc_id", "bucket", F.ceil(F.col("n") / size).alias("chunks")), "chunks", "bucket", "doc_id")
     blocks = dealt.select("doc_id", "block", "second", "cross").join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
 
-    def links(part: pa.Table) -> np.ndarray:
+    def links(part: pa.Table, side: np.ndarray | None) -> list[tuple[int, int]]:
         regs = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(part.num_rows, REGISTERS)
         n = part.column("n_shingles").to_numpy().astype(float)
-        return estimate(regs, regs, n, n) >= loose
+        return estimated_forest(regs, n, side, loose)
 
     out = written(over_blocks(blocks, links, id_type), "candidates")
     delete(once)
@@ -214,9 +253,12 @@ def exact_counts(sets: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def exact_links(docs: DataFrame, groups: DataFrame, percent: int, id_type: str) -> DataFrame:
-    """Forests of the links between documents of one candidate group; groups (doc_id, chunks, group)."""
-    dealt = docs.join(groups, "doc_id")
+PLACE = ("doc_id", "block", "second", "cross")
+
+
+def exact_links(docs: DataFrame, places: DataFrame, percent: int, id_type: str) -> DataFrame:
+    """Forests of the links between the documents of each block; places (doc_id, block, second, cross)."""
+    dealt = docs.join(places.groupBy("doc_id").agg(F.collect_list(F.struct(*PLACE[1:])).alias("places")), "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,19 +268,65 @@ def exact_links(docs: DataFrame, groups: DataFrame, percent: int, id_type: str)
                 found = [s.tobytes() for s in shingle_sets(texts[at:upto], SHINGLE)]
                 yield rest.slice(at, upto - at).append_column("shingles", pa.array(found, pa.binary()))
 
-    columns = dealt.select("doc_id", "group", "chunks", "text")
-    with_sets = columns.mapInArrow(sets, f"doc_id {id_type}, group {id_type}, chunks long, shingles binary")
-    blocks = in_blocks(with_sets, "chunks", "group", "doc_id").select("doc_id", "block", "second", "cross", "shingles")
+    columns = dealt.select("doc_id", "places", "text")
+    with_sets = columns.mapInArrow(sets, f"doc_id {id_type}, places array<struct<block:bigint,second:boolean,cross:boolean>>, shingles binary")
+    blocks = with_sets.select("doc_id", F.explode("places").alias("p"), "shingles").select("doc_id", "p.block", "p.second", "p.cross", "shingles")
 
-    def links(part: pa.Table) -> np.ndarray:
+    def links(part: pa.Table, side: np.ndarray | None) -> list[tuple[int, int]]:
         found = [np.frombuffer(b, np.uint64) for b in part.column("shingles").to_pylist()]
         n = np.array([len(s) for s in found], np.int64)
         both = np.rint(exact_counts(found)).astype(np.int64)
-        return 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        return forest(apart(100 * both >= percent * (n[:, None] + n[None, :] - both), side))
 
     return over_blocks(blocks, links, id_type)
 
 
+def chunks_needed() -> Column:
+    return F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_CHUNK), F.ceil(F.sum("n_shingles") / SHINGLES_PER_CHUNK))
+
+
+def pieces(members: DataFrame) -> DataFrame:
+    """Places of each member in DEALS pieces of its group; members (doc_id, group, chunks)."""
+    dealt = members.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    piece = F.pmod(F.xxhash64(F.lit(13), "_k", "doc_id"), F.col("chunks"))
+    return dealt.select("doc_id", F.xxhash64("group", F.lit("piece"), "_k", piece).alias("block"), F.lit(False).alias("second"), F.lit(False).alias("cross"))
+
+
+def rest_against_all(parts: DataFrame) -> DataFrame:
+    """Places where all members outside their group's largest part meet each other and that part's members;
+    parts (doc_id, group, part, n_shingles)."""
+    of_part = parts.groupBy("group", "part").agg(F.count(F.lit(1)).alias("_n"))
+    largest = of_part.groupBy("group").agg(F.max_by("part", F.struct("_n", "part")).alias("_largest"))
+    sided = parts.join(largest, "group").withColumn("large", F.col("part") == F.col("_largest"))
+    sizes = sided.groupBy("group", "large").agg(chunks_needed().alias("_c"))
+    sizes = sizes.groupBy("group").agg(F.max(F.when(F.col("large"), F.col("_c"))).alias("of_large"), F.max(F.when(~F.col("large"), F.col("_c"))).alias("chunks"))
+    rows = sided.join(sizes.where("chunks is not null"), "group").select("doc_id", "group", "large", "of_large", "chunks")
+    among = in_blocks(rows.where("not large").select("doc_id", "group", "chunks"), "chunks", "group", "doc_id")
+    mine = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.when(F.col("large"), F.col("of_large")).otherwise(F.col("chunks")))
+    every = F.sequence(F.lit(0).cast("long"), F.when(F.col("large"), F.col("chunks")).otherwise(F.col("of_large")) - 1)
+    across = rows.withColumn("_m", mine).withColumn("_o", F.explode(every))
+    block = F.xxhash64("group", F.lit("across"), F.when(F.col("large"), F.col("_m")).otherwise(F.col("_o")), F.when(F.col("large"), F.col("_o")).otherwise(F.col("_m")))
+    return among.select(*PLACE).unionByName(across.select("doc_id", block.alias("block"), F.col("large").alias("second"), F.lit(True).alias("cross")))
+
+
+def group_links(docs: DataFrame, member: DataFrame, percent: int, id_type: str) -> list[DataFrame]:
+    """Written tables of links that join all documents which exact links within their candidate group connect;
+    member (doc_id, group, n_shingles)."""
+    sizes = written(member.groupBy("group").agg(chunks_needed().alias("chunks")), "sizes")
+    sized = member.join(sizes, "group")
+    few, many = sized.where(F.col("chunks") <= FEW), sized.where(F.col("chunks") > FEW)
+    out = [written(exact_links(docs, in_blocks(few.select("doc_id", "group", "chunks"), "chunks", "group", "doc_id").select(*PLACE), percent, id_type), "links")]
+    if sizes.where(F.col("chunks") > FEW).head(1):
+        out.append(written(exact_links(docs, pieces(many.select("doc_id", "group", "chunks")), percent, id_type), "links"))
+        found = connected(out[-1]).select(F.col("id").alias("doc_id"), F.col("component"))
+        parts = many.join(found, "doc_id", "left").select("doc_id", "group", F.coalesce("component", "doc_id").alias("part"), "n_shingles")
+        parts = written(parts, "parts")
+        out.append(written(exact_links(docs, rest_against_all(parts), percent, id_type), "links"))
+        delete(parts)
+    delete(sizes)
+    return out
+
+
 def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs."""
     threshold = percent / 100
@@ -253,13 +341,12 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     grouped = connected(candidates)
     member = grouped.select(F.col("id").alias("doc_id"), F.col("component").alias("group")).unionByName(grouped.select(F.col("component").alias("doc_id"), F.col("component").alias("group")).distinct())
     member = written(member.join(reps.select("doc_id", "n_shingles"), "doc_id"), "members")
-    sizes = written(member.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_CHUNK), F.ceil(F.sum("n_shingles") / SHINGLES_PER_CHUNK)).alias("chunks")), "sizes")
-    links = written(exact_links(docs, member.select("doc_id", "group").join(sizes, "group"), percent, id_type), "links")
-    found = connected(links)
+    links = group_links(docs, member, percent, id_type)
+    found = connected(reduce(DataFrame.unionByName, links))
     many = written(classes.where("rows > 1").select("a", "b", "rep"), "classes")
     out = signed.select("doc_id", "n_shingles", "a", "b").join(many, ["a", "b"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    for used in (classes, reps, candidates, member, sizes, links):
+    for used in (classes, reps, candidates, member, *links):
         delete(used)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -245,6 +246,46 @@ def test_near_dedup_keeps_the_first(spark):
     assert near_dedup.near_components(df.where("false")).count() == 0
 
 
+def test_near_dedup_of_a_large_group(spark, monkeypatch):
+    """Members of a large group travel a few times, not once for each chunk, and pairs across parts are not lost."""
+    monkeypatch.setattr(near_dedup, "MEMBERS_PER_CHUNK", 8)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    data = [(k, edited(rng, base, rng.randrange(3))) for k in range(300)]
+    data += [(1000 + k, edited(rng, base, rng.randrange(6, 12))) for k in range(40)]  # links are few, at the threshold
+    travelled = []
+
+    def counted(docs, places, *more, plain=near_dedup.exact_links):
+        travelled.append(places.count())
+        return plain(docs, places, *more)
+
+    monkeypatch.setattr(near_dedup, "exact_links", counted)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(df, 85).collect()}
+    assert got == {k: v[1] for k, v in brute_components(data, 85).items()}
+    assert sum(travelled) < len(data) * len(data) / 8 / 2  # all pairs of chunks: len(data) ** 2 / 8
+
+
+@pytest.mark.parametrize("sides", (False, True))
+def test_large_blocks_are_estimated_by_tiles(sides):
+    """Same forest as of the whole matrix, in memory that does not grow with the square of the block."""
+    rng = np.random.default_rng(4)
+    rows, kinds = 6000, 5
+    base = rng.integers(0, 4000, (kinds, near_dedup.REGISTERS)).astype(np.uint16)
+    regs = base[np.arange(rows) % kinds].copy()
+    regs[np.arange(rows), rng.integers(0, near_dedup.REGISTERS, rows)] = 9999
+    n, side = 300.0 + rng.integers(0, 9, rows), rng.random(rows) < 0.5 if sides else None
+    tracemalloc.start()
+    edges = near_dedup.estimated_forest(regs, n, side, 0.66)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # the matrix of estimates alone has 36e6 cells of 8 bytes
+    assert len(edges) == len({a for a, _ in edges}) == rows - kinds and all(a % kinds == b % kinds for a, b in edges)
+    few = slice(0, 900)
+    whole = near_dedup.estimated_forest(regs[few], n[few], None if side is None else side[few], 0.66)
+    assert whole == near_dedup.forest(near_dedup.apart(near_dedup.estimate(regs[few], regs[few], n[few], n[few]) >= 0.66, None if side is None else side[few]))
+
+
 def test_jaccard_estimate_corrects_collisions():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 2**64, 5000, np.uint64)) for _ in range(20)]
