@@ -83,50 +83,94 @@ def covered_days(window: Window, coverage: Column) -> Column:
 
 # -- the catalogue of controls ------------------------------------------------------------------------------------
 
-#: Fixed yes/no amenities by control and attribute codes.
+#: Fixed yes/no amenities of the source: control and attribute codes.
 AMENITIES = {
-    "elevator": ("lift",), "parking": ("parking",), "balcony": ("balcony", "balkon"), "air_conditioning": ("klima",), "electricity": ("struja",),
-    "water": ("voda",), "sewerage": ("kanalizacija",), "gas": ("plin",), "registered": ("uknjizeno",), "internet": ("internet",),
-    "cable_tv": ("kablovska-tv",), "security_door": ("blindirana-vrata",), "telephone": ("telefonski-prikljucak",), "video_surveillance": ("video-nadzor",),
-    "storage": ("ostava",), "basement_attic": ("podrum-tavan",), "alarm": ("alarm",), "students": ("za-studente",), "bills_included": ("ukljucen-trosak-rezija",),
-    "pets": ("kucni-ljubimci",), "pool": ("bazen",), "new_build": ("novogradnja",), "recently_renovated": ("nedavno-adaptiran",), "furnished": ("furnished", "namjesten"), "garage": ("garaza",),
+    "balcony": ("balkon",), "air_conditioning": ("klima",), "electricity": ("struja",), "water": ("voda",), "sewerage": ("kanalizacija",), "gas": ("plin",), "registered": ("uknjizeno-zk",),
+    "internet": ("internet",), "cable_tv": ("kablovska-tv",), "security_door": ("blindirana-vrata",), "telephone": ("telefonski-priklju-ak", "telefonski-prikljucak"), "video_surveillance": ("video-nadzor",),
+    "storage": ("ostava-pajz", "ostava-spajz"), "basement_attic": ("podrum-tavan",), "alarm": ("alarm",), "students": ("za-studente",), "bills_included": ("ukljucen-trosak-rezija",), "pets": ("kucni-ljubimci",),
+    "pool": ("bazen",), "new_build": ("novogradnja",), "recently_renovated": ("nedavno-adaptiran",),
 }
-SELECTS = {"deal": "deal", "property_type": "kind", "neighborhood": "area_key", "rooms": "rooms", "seller_type": "seller"}
-SELECT_CODES = {"heating": ("grijanje",), "condition": ("stanje",), "orientation": ("orijentacija",), "flooring": ("vrsta-poda",), "unit_levels": ("broj-etaza",)}
-RANGES = {"price_bam": "price", "ppm2_bam": "rate", "sqm": "sqm", "floor_num": "floor_num"}
-RANGE_CODES = {"year_built": ("godina-izgradnje",), "bathrooms": ("broj-kupatila",), "floors_total": ("broj-spratova",), "plot_sqm": ("okucnica",), "balcony_sqm": ("kvadratura-balkona",), "views": ("views",), "favorites": ("favorites",)}
-SEARCHES = {"address": ("address", "adresa"), "agent_license": ("licenca",), "agency_contract": ("ugovor",)}
+#: Fixed texts that are searched in, and spellings that are one value.
+SEARCHES = {"address": ("adresa",), "agent_license": ("ime-i-broj-licence-agenta",), "agency_contract": ("broj-posrednickog-ugovora",)}
+HEATINGS, CONDITIONS, FURNISHINGS = {"Drugo": "Ostalo"}, {"Renovirana": "Renoviran"}, {"true": "Namješten", "false": "Nenamješten"}
+EVENT_OWN = ("deal", "property_type", "neighborhood", "rooms", "sqm")
+
+
+def attribute(*codes: str) -> Column:
+    return X.attribute("characteristics", *codes)
+
+
+def flat(name: str) -> Column:
+    return F.element_at("extra", name)
+
+
+def either(typed: str, *codes: str) -> Column:
+    """A typed column, else the attribute."""
+    return F.coalesce(F.col(typed).cast("string"), attribute(*codes))
+
+
+def bam(value: Column) -> Column:
+    return F.when(F.col("currency") == "BAM", value)
+
+
+def furnishing() -> Column:
+    return F.coalesce(attribute("opremljenost", "namjesten", "namjestena"), flat("furnished"))
+
+
+def rate_of() -> Column:
+    return F.col("price") / F.nullif(F.col("sqm"), F.lit(0.0))
+
+
+#: What each control compares with its setting; fixed codes of the source. Money counts in one currency only.
+SELECTS = {
+    "deal": lambda: X.text_value("deal"), "property_type": lambda: X.text_value("kind"), "neighborhood": lambda: X.text_value("area_key"), "rooms": lambda: X.text_value("rooms"), "seller_type": lambda: X.text_value("seller"),
+    "floor_num": lambda: X.text_value(either("floor_num", "sprat")),
+    "elevator": lambda: X.boolean_value(either("elevator", "lift")),
+    "heating": lambda: X.text_value(X.renamed(F.coalesce(flat("heating"), attribute("vrsta-grijanja", "grijanje")), HEATINGS)),
+    "condition": lambda: X.text_value(X.renamed(either("condition", "stanje"), CONDITIONS)),
+    "parking": lambda: X.boolean_value(either("parking", "parking")),
+    "furnished": lambda: X.text_value(X.renamed(furnishing(), FURNISHINGS)),
+    "garage": lambda: X.boolean_value(F.coalesce(flat("garage"), attribute("gara-a", "garaza"))),
+    "orientation": lambda: X.text_value(F.coalesce(flat("orientation"), attribute("primarna-orjentacija"))),
+    "flooring": lambda: X.text_value(attribute("vrsta-poda")),
+}
+RANGES = {
+    "price_bam": lambda: bam(F.col("price")), "ppm2_bam": lambda: bam(rate_of()), "sqm": lambda: F.col("sqm"), "year_built": lambda: F.col("year_built"),
+    "bathrooms": lambda: X.numeric_value(F.coalesce(flat("bathrooms"), attribute("broj-kupatila", "broj-kupatil"))),
+    "floors_total": lambda: X.numeric_value(F.coalesce(flat("floors_total"), attribute("broj-spratova", "ukupno-spratova"))),
+    "unit_levels": lambda: X.numeric_value(F.coalesce(flat("unit_levels"), attribute("broj-etaza"))),
+    "plot_sqm": lambda: X.numeric_value(F.coalesce(flat("plot_sqm"), attribute("okucnica-kvadratura"))),
+    "balcony_sqm": lambda: X.numeric_value(attribute("kvadratura-balkona")), "views": lambda: X.numeric_value(flat("views")), "favorites": lambda: X.numeric_value(flat("favorites")),
+}
+CONTROLS = (*SELECTS, *RANGES, *AMENITIES, *SEARCHES)
 
 
 def control(name: str) -> Column:
     """What a control compares with its setting."""
     if name in AMENITIES:
-        return X.boolean_value(X.attribute("extra", *AMENITIES[name]))
-    if name in SELECTS:
-        return X.known(SELECTS[name])
-    if name in SELECT_CODES:
-        return X.text_value(X.attribute("extra", *SELECT_CODES[name]))
-    if name in RANGES:
-        return F.col(RANGES[name])
-    if name in RANGE_CODES:
-        return X.numeric_value(X.attribute("extra", *RANGE_CODES[name]))
-    return X.attribute("extra", *SEARCHES[name])
+        return X.boolean_value(attribute(*AMENITIES[name]))
+    if name in SEARCHES:
+        return X.folded(attribute(*SEARCHES[name]))
+    return (SELECTS.get(name) or RANGES[name])()
+
+
+def setting_test(name: str, value, event: bool = False) -> Column | None:
+    """The test that one setting makes, or None while it is unset."""
+    values = value if isinstance(value, (list, tuple)) else [value]
+    if not values or values[0] in (None, "", ALL) or (isinstance(values[0], str) and not values[0].strip()):
+        return None
+    base = name.removesuffix("_min").removesuffix("_max")
+    if base != name and base in RANGES:
+        c = {"price_bam": F.col("price"), "ppm2_bam": rate_of()}[base] if event and base in ("price_bam", "ppm2_bam") else control(base)
+        return c >= float(values[0]) if name.endswith("_min") else c <= float(values[0])
+    if name in SEARCHES:
+        return X.contains_folded(attribute(*SEARCHES[name]), values[0])
+    return control(name).isin(list(values))
 
 
 def property_filters(df: DataFrame, chosen: dict) -> DataFrame:
     """Settings by control: a list for selects and amenities, NAME_min and NAME_max for ranges, a text for searches."""
-    tests = []
-    for name, value in chosen.items():
-        base = name.removesuffix("_min").removesuffix("_max")
-        if value in (None, "", [], ALL) or (isinstance(value, list) and ALL in value):
-            continue
-        if base != name and (base in RANGES or base in RANGE_CODES):
-            c = control(base)
-            tests.append(c >= value if name.endswith("_min") else c <= value)
-        elif name in SEARCHES:
-            tests.append(X.contains_folded(control(name), value))
-        else:
-            tests.append(control(name).isin(value if isinstance(value, list) else [value]))
+    tests = [t for t in (setting_test(*c) for c in chosen.items()) if t is not None]
     return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
 
 
@@ -158,15 +202,20 @@ def filter_populations(populations: dict[str, DataFrame], predicates: list[tuple
 
 
 def event_property(lifecycle: DataFrame, entities: DataFrame, chosen: dict) -> DataFrame:
-    """Amenity filters on events go through the entity's latest details; the rest is the event's own snapshot."""
-    details = entities.select("entity_id", "extra")
-    return property_filters(lifecycle.join(details, "entity_id", "left"), chosen).drop("extra")
-
-
-def option_lists(df: DataFrame, controls: list[str]) -> DataFrame:
-    """(control, value): sorted distinct values of every select, in one pass."""
+    """Filters on events: an event's own deal, type, area, rooms, size and price, whatever its currency; everything else
+    through the entity's latest details."""
+    base = lambda name: name.removesuffix("_min").removesuffix("_max")
+    own = {k: v for k, v in chosen.items() if base(k) in (*EVENT_OWN, "price_bam", "ppm2_bam")}
+    tests = [t for t in (setting_test(k, v, True) for k, v in own.items()) if t is not None]
+    out = lifecycle.where(reduce(lambda a, b: a & b, tests)) if tests else lifecycle
+    other = {k: v for k, v in chosen.items() if k not in own and setting_test(k, v) is not None}
+    return out.join(property_filters(entities, other).select("entity_id"), "entity_id", "left_semi") if other else out
+
+
+def option_lists(df: DataFrame, controls: Iterable[str] = (*SELECTS, *AMENITIES)) -> DataFrame:
+    """(control, value): distinct values of every select, in one pass."""
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("control"), control(c).cast("string").alias("value")) for c in controls)))
-    return df.select(each.alias("o")).select("o.control", "o.value").where("value is not null").distinct()
+    return df.select(each.alias("o")).select("o.control", "o.value").distinct()
 
 
 def option_order(column: str = "value") -> list[Column]:
@@ -175,11 +224,16 @@ def option_order(column: str = "value") -> list[Column]:
     return [F.lower(c).isin("unknown"), F.regexp_extract(c, r"^(\d+)", 1).try_cast("long").asc_nulls_last(), c.asc()]
 
 
-def listing_reference(text: Column | str) -> Column:
-    """Id of a bare number or of a link's last number; null if there is none of at most 12 digits."""
-    s = F.trim(X.col(text))
-    found = F.coalesce(F.nullif(F.regexp_extract(s, r"^(\d{1,12})$", 1), F.lit("")), F.nullif(F.regexp_extract(s, r"^https?://\S*/(\d{1,12})(?:[/?#]\S*)?$", 1), F.lit("")))
-    return found.try_cast("long")
+#: Fixed form of a link to an item.
+LISTING_LINK = r"(?i)^https?://(?:www\.)?olx\.ba/artikal/(\d{1,12})(?:[/?#]\S*)?$"
+
+
+def listing_reference(text: Column | str, strict: bool = False) -> Column:
+    """Id of a bare number of at most 12 digits or of an item's link; null for an empty text. Anything else is null, or
+    an error if strict."""
+    s = X.trimmed(text)
+    found = F.coalesce(F.nullif(F.regexp_extract(s, r"^(\d{1,12})$", 1), F.lit("")), F.nullif(F.regexp_extract(s, LISTING_LINK, 1), F.lit(""))).try_cast("long")
+    return F.when(found.isNull() & (s != ""), F.raise_error(F.lit("Expected a listing link or id")).cast("long")).otherwise(found) if strict else found
 
 
 def search_rows(df: DataFrame, text: str) -> DataFrame:

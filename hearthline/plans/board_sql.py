@@ -8,7 +8,7 @@ from ..operators.comparables import Manual
 from ..operators.filters import Window
 from ..sources.facts import market
 from .boards import GROUPS, Board
-from .market_sql import med, q, r, sql
+from .market_sql import FURNISHED, LIFT, PARKED, filled, med, q, r, sql
 
 AS_OF, NOW, WINDOW = date(2001, 8, 1), datetime(2001, 8, 1), Window(date(2001, 5, 3), date(2001, 8, 1))
 SUBJECT = Manual(sqm=75.0, rooms="2", area_key="NATION_3", kind="building")
@@ -230,7 +230,7 @@ BODIES: dict[str, tuple[str, str]] = {
     "renter_20": (f"SELECT area_key, {med('price')} AS median_rent, count(*) AS listings FROM base WHERE price >= 50 AND area_key IS NOT NULL GROUP BY 1", base("rent")),
     "renter_21": (f"SELECT {ROOMS}, {med('price')} AS median_rent, count(*) AS listings FROM base WHERE price >= 50 GROUP BY 1", base("rent")),
     "renter_22": (f"SELECT area_key, listings, median_rent, median_rent_ppm2, new_n, d AS median_days_to_exit FROM (SELECT {AREA}, count(*) AS listings, {med('price', 0, 'price >= 50')} AS median_rent, {med(RENT_RATE, 1)} AS median_rent_ppm2, {cnt(win('first_seen'))} AS new_n FROM base GROUP BY 1) LEFT JOIN (SELECT {AREA}, {med('days_listed')} AS d FROM gone GROUP BY 1) USING (area_key)", f"{base('rent')}, {allx('rent')}"),
-    "renter_30": (f"SELECT amenity, {cnt('y')} AS with_n, {med('price', 0, 'y')} AS median_with, {cnt('n')} AS without_n, {med('price', 0, 'n')} AS median_without, {r('100.0 * (' + q('price', 0.5, 'y') + ' / nullif(' + q('price', 0.5, 'n') + ', 0) - 1)', 1)} AS difference_pct FROM (SELECT amenity, price, coalesce(lower(v) IN ('true', '1', 'da', 'yes'), false) AS y, coalesce(lower(v) IN ('false', '0', 'ne', 'no'), false) AS n FROM (SELECT price, unnest(['Furnished', 'Parking', 'Lift', 'Balcony']) AS amenity, unnest([furnished, parking, lift, balcony]) AS v FROM base WHERE price >= 50)) GROUP BY 1", base("rent")),
+    "renter_30": (f"SELECT amenity, {cnt('y')} AS with_n, {med('price', 0, 'y')} AS median_with, {cnt('n')} AS without_n, {med('price', 0, 'n')} AS median_without, {r('100.0 * (' + q('price', 0.5, 'y') + ' / nullif(' + q('price', 0.5, 'n') + ', 0) - 1)', 1)} AS difference_pct FROM (SELECT amenity, price, coalesce(lower(v) IN ('true', '1', 'da', 'yes'), false) AS y, coalesce(lower(v) IN ('false', '0', 'ne', 'no'), false) AS n FROM (SELECT price, unnest(['Furnished', 'Pets allowed', 'Bills included', 'Parking', 'Air conditioning', 'Lift', 'Balcony', 'Suitable for students']) AS amenity, unnest([{FURNISHED}, NULL, NULL, {PARKED}, {filled('klima')}, {LIFT}, {filled('balkon')}, NULL]) AS v FROM base WHERE price >= 50)) GROUP BY 1", base("rent")),
     "renter_40": (f"SELECT {DAY_BIN} AS days_bracket, count(*) AS listings, min(days_listed) AS starts_at FROM gone WHERE days_listed >= 0 GROUP BY 1", allx("rent")),
     "renter_41": (f"SELECT {ROOMS}, {pct('sum(x)')} AS exit_ratio FROM (SELECT rooms, 1 AS x FROM gone UNION ALL SELECT rooms, 0 FROM base) GROUP BY 1", f"{base('rent')}, {allx('rent')}"),
     "renter_50": (newest("base", f"{r(RENT_RATE, 1)} AS rent_ppm2,"), base("rent")),

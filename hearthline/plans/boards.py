@@ -18,7 +18,7 @@ from ..functions import expr as X
 from ..operators import aggregates as A
 from ..operators import comparables as C
 from ..operators import histories as H
-from ..operators.filters import Selection, Window, active, covered_days, cross_filter, exits, filter_populations, property_filters, when_covered, where_deal
+from ..operators.filters import Selection, Window, active, attribute, covered_days, cross_filter, either, event_property, exits, filter_populations, furnishing, when_covered, where_deal
 from ..sources.facts import Facts
 
 GROUPS: dict[str, Callable[[Board], DataFrame]] = {}
@@ -36,10 +36,7 @@ class Board:
     @cached_property
     def _filtered(self) -> dict[str, DataFrame]:
         e = property_filters(self.selection.apply(self.facts.entities), self.selection.properties)
-        x = self.selection.apply(exits(self.facts.lifecycle))
-        if self.selection.properties:
-            ids = property_filters(self.facts.entities, self.selection.properties).select("entity_id")
-            x = x.join(ids, "entity_id", "left_semi")
+        x = event_property(self.selection.apply(exits(self.facts.lifecycle)), self.facts.entities, self.selection.properties)
         return filter_populations({"entities": e, "exits": x}, list(self.selection.cross))
 
     def all(self, deal: str | None = None) -> DataFrame:
@@ -442,7 +439,7 @@ def _(b):
 
 @group("health_26")
 def _(b):
-    bad = F.element_at("extra", "price_state").isin("invalid", "conflict")
+    bad = F.element_at("extra", "latest_price_state").isin("invalid", "conflict")
     return b.facts.entities.where(bad & (F.col("first_seen") > F.lit(b.window.start))).agg(rows_n().alias("invalid_latest"))
 
 
@@ -508,7 +505,8 @@ def _(b):
 
 @group("home_2")
 def _(b):
-    e, open_, flat = b.facts.entities, F.col("closed_at").isNull(), F.col("kind") == b.selection.category[0] if b.selection.category != ("All",) else F.lit(True)
+    e, open_ = b.facts.entities, F.col("closed_at").isNull()
+    flat = F.lit(True) if "All" in b.selection.category else F.coalesce(F.col("kind").isin(*b.selection.category), F.lit(False))
     w, sale = b.window, (F.col("deal") == "sale")
     g = e.agg(
         X.count_if(open_).alias("active"), X.median("rate", open_ & flat & sale & positive("rate")).alias("_r"), X.median("price", open_ & flat & (F.col("deal") == "rent") & positive("price")).alias("_m"),
@@ -750,7 +748,10 @@ def _(b):
 
 @group("renter_30")
 def _(b):
-    flags = {n: X.attribute("extra", c) for n, c in (("Furnished", "furnished"), ("Parking", "parking"), ("Lift", "lift"), ("Balcony", "balcony"))}
+    flags = {
+        "Furnished": furnishing(), "Pets allowed": attribute("kucni-ljubimci"), "Bills included": attribute("ukljucen-trosak-rezija"), "Parking": either("parking", "parking"), "Air conditioning": attribute("klima"),
+        "Lift": either("elevator", "lift"), "Balcony": attribute("balkon"), "Suitable for students": attribute("za-studente"),
+    }
     return A.premium_by_flag(b.base("rent").where("price >= 50"), flags)
 
 

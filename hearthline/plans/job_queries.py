@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import geo
@@ -14,7 +14,7 @@ from ..sources import archive, export, payloads
 from ..sources.facts import market, read
 from . import alerts, normalize, state
 from .board_sql import AS_OF, NOW, NOW_SQL, med, r
-from .market_sql import sql
+from .market_sql import reading, sql
 
 QUERIES, SQL = {}, {}
 
@@ -216,69 +216,158 @@ def _(s, d):
 # -- normalisation ------------------------------------------------------------------------------------------------------
 
 
+CATEGORIES = (23, 2668, 24, 29, 25, 26, 30, 1193, 2672, 28, 270, 9999)
+
+
+def pick(k, words):
+    return F.get(F.array(*(F.lit(w).cast("string") for w in words)), k.cast("int"))
+
+
+def json_object(**fields) -> Column:
+    """A JSON object of fields that are JSON already; those that are null are left out."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items())), F.lit("}"))
+
+
+def quoted(c) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def item_json() -> Column:
+    """An order as an item of a result page, with all that pages get wrong."""
+    i, p = F.col("o_orderkey"), F.floor("o_totalprice").cast("string")
+    label = lambda name, v: F.concat(F.lit('{"label":"' + name + '","value":'), v, F.lit("}"))
+    title = F.when(i % 50 == 2, "ab").when(i % 7 == 0, F.concat(F.lit(" Garsonjera "), i.cast("string"))).when(i % 3 == 0, F.concat(F.lit("Prodaja stana "), i.cast("string"))).when(i % 3 == 1, F.concat(F.lit("Najam kuce "), i.cast("string"))).otherwise(F.concat(F.lit("Oglas "), i.cast("string")))
+    price = F.when(i % 10 == 0, '"po dogovoru"').when(i % 10 != 1, F.when(i % 2 == 0, quoted(p)).otherwise((i % 4000).cast("string")))
+    point = F.concat(F.lit('{"lat":'), F.when(i % 2 == 0, (44 + i % 5).cast("string")).otherwise(quoted((44 + i % 5).cast("string"))), F.lit(',"lon":17.5}'))
+    item = json_object(
+        id=F.when(i % 50 == 1, '"x1"').when(i % 2 == 0, i.cast("string")).otherwise(quoted(i.cast("string"))), title=quoted(title), price=price,
+        display_price=quoted(F.when(i % 9 == 0, "Na upit").otherwise(F.concat(p, F.lit(" KM")))), listing_type=quoted(pick(i % 5, ("sell", "rent", "prodaja", "x", None))), category_id=pick(i % 12, CATEGORIES),
+        special_labels=F.concat(F.lit("["), F.concat_ws(",", F.lit("7"), F.when(i % 13 == 0, label(normalize.SQM_LABEL, F.lit('"7.500"'))).when(i % 13 != 1, label(normalize.SQM_LABEL, (40 + i % 60).cast("string"))), label(normalize.ROOMS_LABEL, quoted(pick(i % 3, ("Trosoban (3)", "2", "x"))))), F.lit("]")),
+        location=F.when(i % 3 == 0, F.concat(F.lit('{"location":'), point, F.lit("}"))).otherwise(point), user_type=quoted(pick(i % 3, ("shop", "robot", "private"))), date=F.when(i % 4 == 0, "1752875036000").otherwise((1752875036 + i).cast("string")),
+    )
+    return F.when(i % 50 == 3, F.lit("7")).otherwise(item)
+
+
 def item_payloads(s: SparkSession, d: str) -> DataFrame:
     """A result page per customer, as the archive holds it: JSON texts with the customer's orders as items."""
-    i = F.col("o_orderkey")
-    item = F.struct(
-        F.when(i % 50 == 1, F.lit("x1")).otherwise(i.cast("string")).alias("id"), F.when(i % 50 == 2, F.lit("ab")).otherwise(F.concat(F.lit("Stan "), i.cast("string"))).alias("title"),
-        F.when(i % 10 == 0, "po dogovoru").otherwise(F.floor("o_totalprice").cast("string")).alias("price"), F.concat(F.floor("o_totalprice").cast("string"), F.lit(" KM")).alias("display_price"),
-        F.lit("prodaja").alias("listing_type"), F.lit(23).alias("category_id"), F.array(F.struct(F.lit("Kvadrata").alias("name"), (40 + i % 60).cast("string").alias("value"))).alias("labels"),
-        F.struct((44.0 + i % 5).alias("lat"), F.lit(17.5).alias("lon")).alias("location"), F.when(i % 2 == 0, "shop").otherwise("robot").alias("user_type"),
-    )
-    g = read(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(item)).alias("data"), F.count(F.lit(1)).alias("n"))
-    meta = F.struct(F.col("n").alias("total"), F.lit(1).alias("last_page"), F.lit(200).alias("per_page"), F.lit(1).alias("current_page"))
-    body = F.when(F.col("o_custkey") % 20 == 0, F.lit('{"error": true}')).otherwise(F.to_json(F.struct("data", meta.alias("meta"))))
-    return g.select(F.col("o_custkey").alias("id"), F.lit("search").alias("kind"), (F.col("o_custkey") % 33 == 0).alias("diagnostic"), body.alias("payload"))
+    c = F.col("o_custkey")
+    g = read(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", item_json().alias("j")))).alias("x"))
+    data = F.concat(F.lit('{"data":['), F.array_join(F.transform("x", lambda x: x["j"]), ","), F.lit('],"meta":{"total":'), F.size("x").cast("string"), F.lit(',"current_page":1}}'))
+    return g.select(c.alias("id"), F.lit("search").alias("kind"), (c % 33 == 0).alias("diagnostic"), F.when(c % 20 == 0, F.lit('{"error": true}')).otherwise(data).alias("source_payload"), F.lit(None).cast("string").alias("payload"))
 
 
 def items(s, d):
-    return payloads.items_of(payloads.parse_pages(item_payloads(s, d), "payload")).select("id", "item").where("item is not null")
+    return payloads.items_of(payloads.parse_pages(item_payloads(s, d), "source_payload")).select("id", "item").where("place is not null")
 
 
-GIVEN = """SELECT o_custkey AS id, o_orderkey AS i, floor(o_totalprice) AS p FROM orders WHERE o_custkey % 20 <> 0"""
+#: The same items for DuckDB, as the rules' inputs.
+GIVEN = """it AS (SELECT o_custkey AS c, o_orderkey AS i, floor(o_totalprice) AS p, o_orderkey > 0 AND o_orderkey % 50 NOT IN (1, 2, 3) AS ok,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'Garsonjera ' WHEN o_orderkey % 3 = 0 THEN 'Prodaja stana ' WHEN o_orderkey % 3 = 1 THEN 'Najam kuce ' ELSE 'Oglas ' END || o_orderkey AS title,
+    ([23, 2668, 24, 29, 25, 26, 30, 1193, 2672, 28, 270, 9999])[o_orderkey % 12 + 1] AS category_id,
+    (['apartments', 'daily_rent', 'houses', 'land', 'commercial', 'vacation_homes', 'garages', 'prefab', 'warehouses', 'rooms', 'other', 'other'])[o_orderkey % 12 + 1] AS kind,
+    CASE WHEN o_orderkey % 13 = 0 THEN 7500 WHEN o_orderkey % 13 <> 1 THEN 40 + o_orderkey % 60 END::DOUBLE AS sqm,
+    CASE WHEN o_orderkey % 12 = 1 THEN 'daily_rent' ELSE (['sale', 'rent', 'sale', NULL, NULL])[o_orderkey % 5 + 1] END AS deal FROM orders WHERE o_custkey % 20 <> 0)"""
+CARDS_READ = reading("""SELECT i AS id, CASE WHEN i % 10 > 1 THEN CASE WHEN i % 2 = 0 THEN p ELSE i % 4000 END END::DOUBLE AS v, CASE WHEN i % 10 = 1 THEN 'missing' WHEN i % 2 = 1 AND i % 4000 = 0 THEN 'zero' WHEN i % 10 = 0 OR i % 9 = 0 THEN 'not_priced' END AS m,
+    kind, deal, false AS declared, title, sqm AS area FROM it WHERE ok""")
 
 
-@query("normalize_items", f"""SELECT i AS entity_id, 'Stan ' || i AS title, (40 + i % 60)::DOUBLE AS sqm, CASE WHEN i % 10 = 0 THEN 'unpriced' WHEN p < 3000 AND p * (40 + i % 60) < 3000 THEN 'invalid' ELSE 'valid' END AS price_state,
-   CASE WHEN i % 10 <> 0 THEN CASE WHEN p < 3000 THEN p * (40 + i % 60) ELSE p END END::DOUBLE AS price, CASE WHEN i % 5 < 3 THEN (44 + i % 5)::DOUBLE END AS latitude, CASE WHEN i % 2 = 0 THEN 'shop' END AS seller FROM ({GIVEN}) WHERE i > 0 AND i % 50 NOT IN (1, 2)""", adapter=False)
+@query("normalize_items", f"""WITH {GIVEN}, {CARDS_READ} SELECT i AS entity_id, title, 'https://olx.ba/artikal/' || i AS url, kind, sqm, CASE WHEN i % 7 = 0 THEN '0' ELSE (['3', '2', NULL])[i % 3 + 1] END AS rooms, r.deal, r.price, r.state AS price_state, r.reason AS price_reason, r.basis AS price_basis,
+   'BAM' AS currency, CASE WHEN i % 5 < 3 THEN 44 + i % 5 END::DOUBLE AS latitude, (['shop', NULL, 'private'])[i % 3 + 1] AS seller, CASE WHEN i % 4 <> 0 THEN make_timestamp((1752875036 + i) * 1000000) END AS renewed_at FROM it JOIN reading r ON r.id = i WHERE i % 9 <> 0
+   UNION ALL SELECT i, title, 'https://olx.ba/artikal/' || i, kind, sqm, CASE WHEN i % 7 = 0 THEN '0' ELSE (['3', '2', NULL])[i % 3 + 1] END, r.deal, r.price, r.state, r.reason, r.basis, NULL, CASE WHEN i % 5 < 3 THEN 44 + i % 5 END::DOUBLE, (['shop', NULL, 'private'])[i % 3 + 1], CASE WHEN i % 4 <> 0 THEN make_timestamp((1752875036 + i) * 1000000) END FROM it JOIN reading r ON r.id = i WHERE i % 9 = 0""", adapter=False)
 def _(s, d):
     accepted, _ = normalize.normalize_search_items(items(s, d))
-    return accepted.select("entity_id", "title", "sqm", "price_state", "price", "latitude", "seller")
+    return accepted.select("entity_id", "title", "url", "kind", "sqm", "rooms", "deal", "price", "price_state", "price_reason", "price_basis", "currency", "latitude", "seller", F.col("renewed_at").cast("timestamp_ntz").alias("renewed_at"))
 
 
-@query("rejection_reasons", f"SELECT CASE i % 50 WHEN 2 THEN 'invalid_title' ELSE 'invalid_id' END AS reason, count(*) AS n FROM ({GIVEN}) WHERE i % 50 IN (1, 2) OR i = 0 GROUP BY 1", adapter=False)
+@query("rejection_reasons", f"WITH {GIVEN} SELECT CASE WHEN i % 50 = 3 THEN 'not_an_object' WHEN i % 50 = 2 AND i > 0 THEN 'invalid_title' ELSE 'invalid_id' END AS reason, count(*) AS n FROM it WHERE NOT ok GROUP BY 1", adapter=False)
 def _(s, d):
     return normalize.normalize_search_items(items(s, d))[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("replay_summary", """SELECT o_custkey AS id, o_custkey % 33 = 0 AS diagnostic, CASE WHEN o_custkey % 33 = 0 OR o_custkey % 20 = 0 THEN 0 ELSE count(*) FILTER (WHERE o_orderkey > 0 AND o_orderkey % 50 NOT IN (1, 2)) END AS accepted,
-   CASE WHEN o_custkey % 33 = 0 OR o_custkey % 20 = 0 THEN 0 ELSE count(*) FILTER (WHERE o_orderkey % 50 NOT IN (1, 2) AND o_orderkey % 10 <> 0) END AS priced, CASE WHEN o_custkey % 33 = 0 OR o_custkey % 20 = 0 THEN 0 ELSE count(*) FILTER (WHERE o_orderkey = 0 OR o_orderkey % 50 IN (1, 2)) END AS rejected,
-   CASE WHEN o_custkey % 33 = 0 THEN 'no_source' ELSE 'replayed' END AS outcome FROM orders GROUP BY 1""", adapter=False)
+@query("search_pages", "SELECT o_custkey AS id, o_custkey % 20 <> 0 AS usable, CASE WHEN o_custkey % 20 <> 0 THEN count(*) END AS items FROM orders GROUP BY 1", adapter=False)
 def _(s, d):
-    return normalize.replay(item_payloads(s, d))
+    pages = payloads.parse_pages(item_payloads(s, d), "source_payload")
+    return pages.select("id", "usable", F.when(F.col("usable"), F.size("data")).cast("long").alias("items"))
 
 
-@query("attributes_pivot", "SELECT o_orderkey AS entity_id, (40 + o_orderkey % 60)::DOUBLE AS sqm, CASE WHEN o_orderkey % 9 < 8 THEN (o_orderkey % 9)::INTEGER END AS floor_num, CASE WHEN o_orderkey % 3 = 0 THEN 'Yes' WHEN o_orderkey % 3 = 1 THEN 'No' ELSE 'Unknown' END AS elevator, 'kept' AS unknown_code FROM orders", adapter=False)
+def detail_json() -> Column:
+    """An order as an item's details."""
+    i, p = F.col("o_orderkey"), F.floor("o_totalprice").cast("string")
+    a = lambda code, v: F.concat(F.lit('{"attr_code":"' + code + '","value":'), v, F.lit("}"))
+    attributes = F.concat(F.lit("["), F.concat_ws(
+        ",", F.when(i % 4 == 0, a("vrsta-oglasa", quoted(pick(i % 3, ("Iznajmljivanje", "Prodaja", "Potraga"))))), F.when(i % 2 == 0, a("kvadratura", (30 + i % 50).cast("string"))), a("kvadrata", F.lit('" "')), F.when(i % 2 == 1, a("kvadrata", quoted(F.concat((20 + i % 70).cast("string"), F.lit(",5"))))),
+        a("kvadrata", F.lit("1")), a("broj-soba", quoted(pick(i % 4, ("Trosoban (3)", "Garsonjera", "4+", "tri")))), a("sprat", quoted((i % 230 - 10).cast("string"))), a("grijanje", F.lit('"Plin"')), F.when(i % 3 == 0, a("vrsta-grijanja", F.lit('"Centralno"'))),
+        F.when(i % 5 == 0, a("namjestena", F.lit('"Da"'))), F.when(i % 5 == 1, a("opremljenost", F.lit('"Polunamješten"'))), F.when(i % 5 < 3, a("namjesten", F.lit('"ne"'))), a("gara-a", quoted(pick(i % 3, ("da", "ne", "?")))), a("lift", F.when(i % 2 == 0, F.lit("true")).otherwise(F.lit('"0"'))),
+        a("godina-izgradnje", (1790 + i % 400).cast("string")), a("novi-kod", quoted(F.concat((i % 9).cast("string"), F.lit(",50")))), a("novi-kod", F.lit('"x"')), F.lit("5"),
+    ), F.lit("]"))
+    detail = json_object(
+        id=i.cast("string"), title=quoted(F.when(i % 3 == 0, "Prodaja").otherwise("Stan")), price=F.when(i % 2 == 0, quoted(p)).otherwise((i % 4000).cast("string")), listing_type=quoted(pick(i % 5, ("sell", "rent", "prodaja", "x", None))), category_id=pick(i % 12, CATEGORIES), attributes=attributes,
+        location=F.lit('{"lat":"44.77","lon":17.19}'), user=F.concat(F.lit('{"type":'), quoted(pick(i % 2, ("shop", "x"))), F.lit("}")), views=(i % 50).cast("string"), created_at=F.lit("1752875036"), date=F.when(i % 2 == 0, '"1752875036"').otherwise("null"), status=F.lit('"active"'),
+    )
+    return F.when(i % 60 == 7, F.lit("[1]")).when(i % 60 == 8, F.lit('{"title":"x"}')).when(i % 60 == 9, F.lit("{")).otherwise(detail)
+
+
+DETAILS = """dt AS (SELECT o_orderkey AS i, floor(o_totalprice) AS p, CASE WHEN o_orderkey % 3 = 0 THEN 'Prodaja' ELSE 'Stan' END AS title, (['apartments', 'daily_rent', 'houses', 'land', 'commercial', 'vacation_homes', 'garages', 'prefab', 'warehouses', 'rooms', 'other', 'other'])[o_orderkey % 12 + 1] AS kind,
+    CASE WHEN o_orderkey % 2 = 0 THEN 30 + o_orderkey % 50 ELSE 20.5 + o_orderkey % 70 END::DOUBLE AS sqm, CASE WHEN o_orderkey % 4 = 0 THEN (['rent', 'sale', NULL])[o_orderkey % 3 + 1] END AS declared,
+    (['sale', 'rent', 'sale', NULL, NULL])[o_orderkey % 5 + 1] AS listed FROM orders WHERE o_orderkey > 0 AND o_orderkey % 60 NOT IN (7, 8, 9))"""
+DETAILS_READ = reading("""SELECT i AS id, CASE WHEN i % 2 = 0 THEN p ELSE i % 4000 END::DOUBLE AS v, CASE WHEN i % 2 = 1 AND i % 4000 = 0 THEN 'zero' END AS m, kind, CASE WHEN kind = 'daily_rent' THEN 'daily_rent' ELSE coalesce(declared, listed) END AS deal, declared IS NOT NULL AS declared, title, sqm AS area FROM dt""")
+
+
+@query("map_detail", f"""WITH {DETAILS}, {DETAILS_READ} SELECT i AS entity_id, kind, r.deal, declared, r.price, r.state AS price_state, r.reason AS price_reason, r.basis AS price_basis, sqm, (['3', '0', '4+', NULL])[i % 4 + 1] AS rooms, (['Trosoban (3)', 'Garsonjera', '4+', 'tri'])[i % 4 + 1] AS rooms_detail,
+   CASE WHEN i % 230 - 10 BETWEEN -5 AND 200 THEN i % 230 - 10 END::INTEGER AS floor_num, CASE WHEN i % 3 = 0 THEN 'Centralno' ELSE 'Plin' END AS heating, CASE i % 5 WHEN 0 THEN true WHEN 2 THEN false END AS furnished, CASE i % 3 WHEN 0 THEN true WHEN 1 THEN false END AS garage, i % 2 = 0 AS elevator,
+   CASE WHEN 1790 + i % 400 BETWEEN 1800 AND 2100 THEN 1790 + i % 400 END::INTEGER AS year_built, (i % 9) || '.5' AS unknown_code, 44.77::DOUBLE AS latitude, CASE WHEN i % 2 = 0 THEN 'shop' END AS seller, (i % 50)::INTEGER AS views, TIMESTAMP '2025-07-18 21:43:56' AS published_at, CASE WHEN i % 2 = 0 THEN TIMESTAMP '2025-07-18 21:43:56' END AS renewed_at
+   FROM dt JOIN reading r ON r.id = i""", adapter=False)
+def _(s, d):
+    details = payloads.parse_details(read(s, d, "orders").select(detail_json().alias("body")), "body").drop("body")
+    time_of = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return normalize.map_details(details).select(
+        "entity_id", "kind", "deal", "declared", "price", "price_state", "price_reason", "price_basis", "sqm", "rooms", "rooms_detail", "floor_num", "heating", "furnished", "garage", "elevator", "year_built",
+        F.element_at("characteristics", "novi-kod").alias("unknown_code"), "latitude", "seller", "views", time_of("published_at"), time_of("renewed_at"),
+    )
+
+
+@query("attributes_pivot", """SELECT o_orderkey AS entity_id, 'Plin' AS heating, 3 AS bathrooms, (o_orderkey % 70)::INTEGER AS unit_levels FROM orders WHERE o_orderkey % 70 BETWEEN 1 AND 50
+   UNION ALL SELECT o_orderkey, 'Plin', 3, NULL FROM orders WHERE o_orderkey % 70 NOT BETWEEN 1 AND 50""", adapter=False)
+def _(s, d):
+    a = lambda code, v: F.concat(F.lit('{"attr_code":"' + code + '","value":'), v, F.lit("}"))
+    text = F.concat(F.lit("["), F.concat_ws(",", a("vrsta-grijanja", F.lit('"Drva"')), a("broj-kupatila", F.lit("2")), a("broj-etaza", (F.col("o_orderkey") % 70).cast("string")), a("broj-kupatil", F.lit('"3"')), a("grijanje", F.lit('"Plin"')), a("grijanje", F.lit('"Struja"'))), F.lit("]"))
+    entries = normalize.attribute_entries(F.try_variant_get(F.parse_json(text), "$", "array<variant>"))
+    return normalize.attributes_to_columns(read(s, d, "orders").select(F.col("o_orderkey").alias("entity_id"), entries.alias("entries"))).select("entity_id", "heating", "bathrooms", "unit_levels")
+
+
+@query("replay_summary", f"""WITH {GIVEN}, {CARDS_READ}, pages AS (SELECT o_custkey AS id, count(*) FILTER (WHERE o_orderkey > 0 AND o_orderkey % 50 NOT IN (1, 2, 3)) AS good, count(*) FILTER (WHERE o_orderkey % 50 = 3) AS n3, count(*) FILTER (WHERE o_orderkey % 50 = 2) AS n2, count(*) FILTER (WHERE o_orderkey % 50 = 1 OR o_orderkey = 0) AS n1 FROM orders GROUP BY 1),
+   {DETAILS}, d2 AS (SELECT * FROM dt)
+   SELECT id, 'search' AS kind, id % 33 = 0 AS diagnostic, CASE WHEN id % 33 = 0 THEN NULL WHEN id % 20 = 0 THEN 0 ELSE good END AS parsed_items, CASE WHEN id % 33 = 0 THEN NULL WHEN id % 20 = 0 THEN 0 ELSE n1 + n2 + n3 END AS rejected_items,
+     CASE WHEN id % 33 = 0 THEN NULL WHEN id % 20 = 0 THEN 'data_not_array:1' ELSE concat_ws(',', CASE WHEN n1 > 0 THEN 'invalid_id:' || n1 END, CASE WHEN n2 > 0 THEN 'invalid_title:' || n2 END, CASE WHEN n3 > 0 THEN 'not_an_object:' || n3 END) END AS rejections,
+     NULL::BIGINT AS entity_id, NULL AS property_type, NULL AS rooms_known, CASE WHEN id % 33 = 0 THEN 'no_source' ELSE 'replayed' END AS outcome FROM pages
+   UNION ALL SELECT 1000000000 + o_orderkey, 'detail', o_orderkey % 33 = 0, NULL, NULL, NULL, CASE WHEN o_orderkey % 33 <> 0 THEN dt.i END, CASE WHEN o_orderkey % 33 <> 0 THEN dt.kind END, CASE WHEN o_orderkey % 33 <> 0 AND dt.i IS NOT NULL THEN 'pinned' END, CASE WHEN o_orderkey % 33 = 0 THEN 'no_source' ELSE 'replayed' END FROM orders LEFT JOIN dt ON dt.i = o_orderkey""", adapter=False)
 def _(s, d):
     i = F.col("o_orderkey")
-    a = lambda code, v: F.struct(F.lit(code).alias("attr_code"), v.cast("string").alias("value"), F.lit(code).alias("name"))
-    words = F.when(i % 3 == 0, "da").when(i % 3 == 1, "ne").otherwise("x")
-    rows = read(s, d, "orders").select(i.alias("entity_id"), F.array(a("kvadrata", 40 + i % 60), a("kvadrata", F.lit(1)), a("sprat", F.when(i % 9 < 8, (i % 9).cast("string")).otherwise("visoko")), a("lift", words), a("novi-kod", F.lit("kept"))).alias("attributes"))
-    out = normalize.attributes_to_columns(rows)
-    return out.select("entity_id", "sqm", "floor_num", "elevator", F.element_at("characteristics", "novi-kod").alias("unknown_code"))
+    details = read(s, d, "orders").select((i + 1_000_000_000).alias("id"), F.lit("detail").alias("kind"), (i % 33 == 0).alias("diagnostic"), F.lit(None).cast("string").alias("source_payload"), detail_json().alias("payload"))
+    out = normalize.replay(item_payloads(s, d).unionByName(details))
+    return out.select("id", "kind", "diagnostic", "parsed_items", "rejected_items", F.when(F.col("kind") == "search", F.coalesce("rejections", F.when(~F.col("diagnostic"), F.lit("")))).alias("rejections"), "entity_id", "property_type", F.when(F.col("has_pin"), "pinned").alias("rooms_known"), "outcome")
 
 
 def reports(s, d):
-    rows = read(s, d, "lineitem").select(F.col("l_orderkey").alias("entity_id"), F.struct(F.floor("l_extendedprice").cast("string").alias("price"), F.when(F.col("l_linenumber") == 3, F.lit("soon")).otherwise(F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("string")).alias("created_at"), F.lit("BAM").alias("currency")).alias("r"))
-    g = rows.groupBy("entity_id").agg(F.collect_list("r").alias("reports"))
-    return g.select("entity_id", F.lit("sale").alias("deal"), F.lit("apartments").alias("kind"), F.lit("total").alias("basis"), F.lit(60.0).alias("sqm"), "reports")
+    i, at = F.col("l_linenumber"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("string")
+    report = F.struct(F.when(i == 3, F.lit("soon")).otherwise(at).alias("at"), F.floor("l_extendedprice").cast("string").alias("price"), F.lit(True).alias("is_text"), F.when(i % 2 == 0, "EUR").alias("currency"))
+    g = read(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(report).alias("reports"))
+    per_sqm = F.col("l_orderkey") % 3 == 0
+    return g.select(F.col("l_orderkey").alias("entity_id"), F.when(F.col("l_orderkey") % 2 == 0, "sale").otherwise("rent").alias("deal"), F.lit("apartments").alias("kind"), F.when(per_sqm, "per_sqm").otherwise("total").alias("price_basis"), F.when(F.col("l_orderkey") % 5 > 0, 60.0).alias("sqm"), "reports")
+
 
+REPORTS = """rp AS (SELECT l_orderkey AS e, l_shipdate AS told, floor(l_extendedprice) AS v, l_linenumber AS n, CASE WHEN l_linenumber % 2 = 0 THEN 'EUR' END AS currency, l_orderkey % 3 = 0 AS per_sqm, CASE WHEN l_orderkey % 2 = 0 THEN 'sale' ELSE 'rent' END AS deal, l_orderkey % 5 > 0 AS area FROM lineitem),
+why AS (SELECT *, CASE WHEN n = 3 THEN 'invalid_timestamp' WHEN told > TIMESTAMP '2001-08-01' THEN 'future_timestamp' WHEN per_sqm THEN CASE WHEN v <= 0 THEN 'not_numeric' WHEN NOT area THEN 'per_sqm_without_area' END WHEN v = 0 THEN 'zero' WHEN v < 50 THEN 'below_' || deal || '_minimum' WHEN v < 3000 AND deal = 'sale' THEN 'below_sale_minimum' END AS reason,
+  CASE WHEN per_sqm THEN v * 60 ELSE v END AS price FROM rp)"""
 
-@query("history_accepted", "SELECT DISTINCT l_orderkey AS entity_id, l_shipdate AS reported_at, floor(l_extendedprice)::DOUBLE AS price FROM lineitem WHERE l_linenumber <> 3 AND l_shipdate <= TIMESTAMP '2001-08-01' AND floor(l_extendedprice) >= 3000", adapter=False)
+
+@query("history_accepted", f"WITH {REPORTS} SELECT entity_id, reported_at, price, currency, row_number() OVER (PARTITION BY entity_id ORDER BY reported_at, price, currency NULLS FIRST) AS place FROM (SELECT DISTINCT e AS entity_id, told AS reported_at, price::DOUBLE AS price, currency FROM why WHERE reason IS NULL) QUALIFY count(*) OVER (PARTITION BY entity_id, reported_at, price) = 1", adapter=False)
 def _(s, d):
-    return normalize.normalize_history(reports(s, d), NOW)[0].withColumn("reported_at", F.col("reported_at").cast("timestamp_ntz"))
+    good = normalize.normalize_history(reports(s, d), NOW)[0].withColumn("reported_at", F.col("reported_at").cast("timestamp_ntz"))
+    return good.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("entity_id", "reported_at", "price"))).where("_n = 1").drop("_n")  # places of ties follow the list, which this table does not fix
 
 
-@query("history_rejected", "SELECT CASE WHEN l_linenumber = 3 THEN 'invalid_time' WHEN l_shipdate > TIMESTAMP '2001-08-01' THEN 'future' ELSE CASE WHEN floor(l_extendedprice) = 0 THEN 'unpriced' ELSE 'below_minimum' END END AS reason, count(*) AS n FROM lineitem WHERE l_linenumber = 3 OR l_shipdate > TIMESTAMP '2001-08-01' OR floor(l_extendedprice) < 3000 GROUP BY 1", adapter=False)
+@query("history_rejected", f"WITH {REPORTS} SELECT reason, count(*) AS n FROM (SELECT reason FROM why WHERE reason IS NOT NULL UNION ALL SELECT 'duplicate' FROM why WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY e, told, price, currency ORDER BY n) > 1) GROUP BY 1", adapter=False)
 def _(s, d):
     return normalize.normalize_history(reports(s, d), NOW)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -295,21 +384,39 @@ def _(s, d):
 
 @query("retain_latest", "SELECT max(event_id) AS id FROM (SELECT *, event_id % 5 = 0 AS dg FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id, dg ORDER BY ts DESC, event_id DESC) = 1) GROUP BY event_type, user_id, dg", adapter=False)
 def _(s, d):
-    rows = read(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("user_id").alias("url"), F.lit("v1").alias("format"), (F.col("event_id") % 5 == 0).alias("diagnostic"), F.col("ts").alias("fetched_at"))
+    rows = read(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("user_id").alias("url"), F.when(F.col("event_id") % 5 == 0, archive.DIAGNOSTIC).otherwise(archive.CANONICAL).alias("archive_format"), F.col("ts").alias("fetched_at"))
     return archive.retain_latest(rows).select("id")
 
 
-@query("archived_responses", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 AND event_id % 5 <> 0 THEN props END AS payload, CASE WHEN event_id % 2 = 1 AND event_id % 5 <> 0 THEN props END AS source_payload FROM events", adapter=False)
+@query("archived_responses", "SELECT event_id AS id, CASE WHEN event_id % 2 = 1 AND event_id % 5 <> 0 THEN props END AS payload, CASE WHEN event_id % 2 = 0 AND event_id % 5 <> 0 THEN props END AS source_payload, CASE WHEN event_id % 5 = 0 THEN 'diagnostic-v2' ELSE 'canonical-v2' END AS archive_format FROM events", adapter=False)
+def _(s, d):
+    i = F.col("event_id")
+    rows = read(s, d, "events").select(i.alias("id"), F.when(i % 2 == 0, "search").otherwise("detail").alias("kind"), F.when(i % 5 == 0, "HTTP 500").alias("diagnostic"), F.col("props").alias("body"))
+    return archive.archived_responses(rows).select("id", "payload", "source_payload", "archive_format")
+
+
+@query("archived_details", "SELECT event_id AS entity_id, 'https://olx.ba/api/listings/' || event_id AS url, 'detail' AS kind, props AS payload, 'canonical-v2' AS archive_format FROM events WHERE event_id % 7 <> 0", adapter=False)
 def _(s, d):
+    rows = read(s, d, "events").select(F.when(F.col("event_id") % 7 != 0, F.col("event_id")).alias("entity_id"), F.col("ts").alias("fetched_at"), F.col("props").alias("body"))
+    return archive.archived_details(rows).select("entity_id", "url", "kind", "payload", "archive_format")
+
+
+def manifest_rows(s, d):
     i = F.col("event_id")
-    rows = read(s, d, "events").select(i.alias("id"), F.when(i % 2 == 0, "search").otherwise("detail").alias("kind"), (i % 5 == 0).alias("diagnostic"), F.col("props").alias("body"))
-    return archive.archived_responses(rows).select("id", "payload", "source_payload")
+    return read(s, d, "events").select(
+        F.col("user_id").alias("run_id"), (i % 3).cast("int").alias("page"), F.lit(1).alias("attempt"), F.when(i % 4 == 0, F.array(F.lit("invalid_id"))).alias("rejections"), F.when(i % 5 == 0, F.repeat("props", 100)).alias("error"), i.alias("recorded_at"),
+        (i % 6 != 0).alias("is_authoritative"), F.when(i % 6 != 0, "ok").otherwise("error").alias("response_state"), F.concat(F.lit("https://market.example/?page="), (i % 3).cast("string")).alias("url"),
+    )
+
+
+@query("page_manifest", "SELECT user_id AS run_id, event_id % 3 AS page, max(event_id) AS recorded_at, CASE WHEN max(event_id) % 4 = 0 THEN 1 ELSE 0 END AS rejection_count, CASE WHEN max(event_id) % 5 = 0 THEN least(1000, 100 * length(arg_max(props, event_id))) END AS error_chars FROM events GROUP BY 1, 2", adapter=False)
+def _(s, d):
+    return archive.page_manifest(manifest_rows(s, d)).select("run_id", "page", "recorded_at", "rejection_count", F.char_length("error").alias("error_chars"))
 
 
-@query("page_manifest", "SELECT user_id AS run_id, event_id % 3 AS page, max(event_id) AS recorded_at FROM events GROUP BY 1, 2", adapter=False)
+@query("page_diagnostics", "SELECT user_id AS run_id, 'diagnostic-v2' AS archive_format, 'https://market.example/?page=' || event_id % 3 AS url, max(event_id) AS fetched_at FROM events GROUP BY user_id, event_id % 3 HAVING max(event_id) % 4 = 0 OR max(event_id) % 6 = 0", adapter=False)
 def _(s, d):
-    rows = read(s, d, "events").select(F.col("user_id").alias("run_id"), (F.col("event_id") % 3).alias("page"), F.lit(1).alias("attempt"), F.array(F.lit("r")).alias("rejections"), F.col("props").alias("error"), F.col("event_id").alias("recorded_at"))
-    return archive.page_manifest(rows).select("run_id", "page", "recorded_at")
+    return archive.page_diagnostics(archive.page_manifest(manifest_rows(s, d))).where("payload is null and source_payload is null").select("run_id", "archive_format", "url", "fetched_at")
 
 
 @query("csv_rows", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '''=' || event_type ELSE event_type END AS cell FROM events", adapter=False)

@@ -6,99 +6,193 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..sources.payloads import attribute_map, items_of, parse_pages
+from ..sources import payloads as P
 
-#: Fixed category codes of the source.
-KINDS = {18: "houses", 23: "apartments", 24: "rooms", 25: "land", 26: "commercial", 27: "cottages", 28: "offices", 29: "garages", 30: "prefab", 31: "storage", 32: "daily_rent"}
-#: Fixed attribute codes of typed columns, with their aliases.
-TYPED = {
-    "sqm": ("kvadrata", "kvadratura"), "rooms": ("broj-soba",), "floor_num": ("sprat",), "year_built": ("godina-izgradnje",), "heating": ("vrsta-grijanja", "grijanje"),
-    "condition": ("stanje",), "parking": ("parking",), "elevator": ("lift",), "furnished": ("opremljenost", "namjesten"),
-}
+#: Fixed names of the source: labels of cards, a text for unpriced items, the address of an item, kinds of sellers.
+SQM_LABEL, ROOMS_LABEL, UNPRICED_TEXT, ITEM_URL, SELLERS = "Kvadrata", "Broj Soba", "Na upit", "https://olx.ba/artikal/", ("shop", "private")
 
+#: Fixed attribute codes of the source, with what a typed column makes of their text. Of several codes of a column the
+#: last one in an item's list counts.
+ATTRIBUTES = {
+    "rooms_detail": (("broj-soba",), lambda v: X.text_max(v, 40)),
+    "bathrooms": (("broj-kupatila", "broj-kupatil"), lambda v: X.small_int(v, 0, 50)),
+    "unit_levels": (("broj-etaza",), lambda v: X.small_int(v, 1, 50)),
+    "floor_num": (("sprat",), lambda v: X.small_int(v, -5, 200)),
+    "floors_total": (("ukupno-spratova", "broj-spratova"), lambda v: X.small_int(v, 1, 200)),
+    "heating": (("grijanje", "vrsta-grijanja"), lambda v: X.text_max(v, 60)),
+    "condition": (("stanje",), lambda v: X.text_max(v, 60)),
+    "parking": (("parking",), X.bool_text),
+    "garage": (("garaza", "gara-a"), X.bool_text),
+    "elevator": (("lift",), X.bool_text),
+    "year_built": (("godina-izgradnje",), lambda v: X.small_int(v, 1800, 2100)),
+    "plot_sqm": (("okucnica-kvadratura",), lambda v: X.num_in(v, 1, 1_000_000)),
+    "orientation": (("primarna-orjentacija",), lambda v: X.text_max(v, 40)),
+}
+FURNISHED_DETAIL, FURNISHED_FLAGS = "opremljenost", ("namjesten", "namjestena")
+AREA_CODES, ROOMS_CODE, DECLARED_CODE = ("kvadrata", "kvadratura"), "broj-soba", "vrsta-oglasa"
 
-def property_type(category: Column | str) -> Column:
-    """Unknown codes are other; a missing one stays missing."""
-    c = X.col(category)
-    table = F.create_map(*(x for k, v in KINDS.items() for x in (F.lit(k), F.lit(v))))
-    return F.when(c.isNotNull(), F.coalesce(F.element_at(table, c.cast("int")), F.lit("other")))
 
+def labelled(labels: Column, name: str) -> Column:
+    """The first value with this label, as a variant."""
+    return P.field(F.get(F.filter(labels, lambda x: P.field(x, "label") == name), 0), "value", "variant")
 
-def labelled(labels: Column, *names: str) -> Column:
-    """The first labelled value by name."""
-    return F.get(F.filter(labels, lambda x: F.lower(x["name"]).isin(*names)), 0)["value"]
+
+def pin_of(place: Column) -> Column:
+    """struct(latitude, longitude): a place may hold its point directly or under location."""
+    inner = F.when(P.is_object(P.field(place, "location", "variant")), P.field(place, "location", "variant")).otherwise(place)
+    return X.let(inner, lambda p: X.pin(X.number(P.field(p, "lat"), P.is_text(P.field(p, "lat", "variant"))), X.number(P.field(p, "lon"), P.is_text(P.field(p, "lon", "variant")))))
+
+
+def one_of(value: Column, known: tuple[str, ...]) -> Column:
+    return F.when(value.isin(*known), value)
+
+
+def currency(item: Column) -> Column:
+    return X.currency_of(P.text_field(item, "price"), P.text_field(item, "display_price"), *(P.field(item, f) for f in ("currency", "price_currency", "currency_code")))
+
+
+def price_columns(rows: DataFrame, item: Column, deal: Column, declared: Column) -> DataFrame:
+    """Adds what is read from an item's price: rows with `kind`, `sqm`, `title`."""
+    shown = X.trimmed(F.coalesce(P.text_field(item, "display_price"), F.lit("")))
+    rows = rows.withColumns({"_deal": deal, "_declared": declared, "_shown": shown, "_price": P.field(item, "price"), "_text": P.is_text(P.field(item, "price", "variant")), "currency": currency(item)})
+    rows = rows.withColumn("_read", X.read_price("_price", "_deal", "kind", "sqm", "title", "_declared", "_shown", "_text"))
+    price_text = F.when(F.col("_shown") != "", F.col("_shown")).when(F.col("_read.state") == "unpriced", UNPRICED_TEXT).otherwise(F.coalesce("_price", F.lit("")))
+    made = {"deal": "_read.deal", "price": "_read.price", "price_state": "_read.state", "price_reason": "_read.reason", "price_basis": "_read.basis"}
+    return rows.withColumns({k: F.col(v) for k, v in made.items()} | {"price_text": price_text}).drop("_deal", "_declared", "_shown", "_price", "_text", "_read")
 
 
 def rejection(item: Column) -> Column:
-    return F.when(item.isNull(), "not_an_object").when(X.norm_id(item["id"]).isNull(), "invalid_id").when(F.coalesce(F.char_length(F.trim(item["title"])), F.lit(0)) <= 2, "invalid_title")
+    """Why an item is no card, or null. An expression cannot fail on a row, so no item is lost to an exception."""
+    title = X.trimmed(P.text_field(item, "title"))
+    return F.when(~P.is_object(item), "not_an_object").when(X.norm_id(P.field(item, "id")).isNull(), "invalid_id").when(F.coalesce(F.char_length(title), F.lit(0)) <= 2, "invalid_title")
+
+
+CARD = (
+    "entity_id", "title", "url", "kind", "category_id", "sqm", "rooms", "deal", "price", "price_text", "price_state", "price_reason", "price_basis", "currency", "latitude", "longitude",
+    "renewed_at", "seller", "source_status",
+)
 
 
 def normalize_search_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) of rows with an `item`."""
+    """(accepted, rejected) of rows with an `item` (a variant)."""
     i, keep = F.col("item"), [c for c in items.columns if c != "item"]
-    marked = items.withColumn("reason", rejection(i))
-    kind = property_type(i["category_id"])
-    area = X.norm_area(labelled(i["labels"], "kvadrata", "površina", "area"))
-    deal = X.deal_type(F.coalesce(i["listing_type"], i["title"]), F.coalesce(kind == "daily_rent", F.lit(False)))
-    shown = F.coalesce(F.nullif(i["price"], F.lit("")), i["display_price"])
-    first = marked.where("reason is null").select(
-        *keep, X.norm_id(i["id"]).alias("entity_id"), F.trim(i["title"]).alias("title"), kind.alias("kind"), area.alias("sqm"), X.rooms_from(labelled(i["labels"], "broj soba", "rooms")).alias("rooms"),
-        deal.alias("_deal"), X.locale_number(shown, True).alias("_amount"), shown.alias("_shown"), X.currency_of(i["price"], i["display_price"]).alias("currency"), i["listing_type"].alias("_declared"),
-        X.pin(i["location"]["lat"], i["location"]["lon"]).alias("pin"), F.when(i["user_type"].isin("shop", "private"), i["user_type"]).alias("seller"), X.norm_unix_seconds(i["date"]).alias("renewed_at"), i["status"].alias("source_status"), i["area_name"].alias("source_area"),
-    )
-    read = first.withColumn("_read", X.read_price("_amount", "_deal", "kind", "sqm", X.deal_type("_declared")))
-    asked = F.coalesce((F.trim("_shown") == "") | F.lower("_shown").rlike("upit|dogovor|request"), F.lit(True))
-    priced = read.withColumn("_p", X.price_state("_read.price", asked, F.col("_read.deal"), F.col("kind")))
-    accepted = priced.select(*keep, "entity_id", "title", "kind", "sqm", "rooms", F.col("_read.deal").alias("deal"), F.col("_read.basis").alias("price_basis"), F.col("_p.price").alias("price"), F.col("_p.state").alias("price_state"), F.col("_p.reason").alias("price_reason"), "currency", F.col("pin.latitude").alias("latitude"), F.col("pin.longitude").alias("longitude"), "seller", "renewed_at", "source_status", "source_area")
-    return accepted, marked.where("reason is not null").select(*keep, "reason")
-
-
-def attributes_to_columns(df: DataFrame, attributes: str = "attributes") -> DataFrame:
-    """Typed columns of the known codes; all codes stay in `characteristics`."""
-    a = lambda name: X.attribute("characteristics", *TYPED[name])
-    furnished = F.lower(a("furnished"))
-    return df.withColumn("characteristics", attribute_map(F.col(attributes))).withColumns({
-        "sqm": X.norm_area(a("sqm")), "rooms": X.rooms_from(a("rooms")), "floor_num": X.small_int(a("floor_num"), -5, 100), "year_built": X.small_int(a("year_built"), 1500, 2100),
-        "heating": X.text_value(a("heating")), "condition": X.text_value(a("condition")), "parking": X.boolean_value(a("parking")), "elevator": X.boolean_value(a("elevator")),
-        "furnished": F.when(furnished.rlike("^polu|djelimi"), None).when(furnished.rlike("^namje|^oprem|^full") | furnished.isin(*X.YES_WORDS), True).when(furnished.rlike("^nenam|^neoprem") | furnished.isin(*X.NO_WORDS), False),
+    marked = items.withColumn("reason", F.when(i.isNull(), "not_an_object").otherwise(rejection(i)))
+    labels = P.objects(i, "special_labels")
+    rows = marked.where("reason is null").withColumns({
+        "entity_id": X.norm_id(P.field(i, "id")), "title": X.trimmed(P.field(i, "title")), "category_id": X.norm_id(P.field(i, "category_id")), "kind": X.property_type(P.field(i, "category_id")),
+        "_area": labelled(labels, SQM_LABEL), "_rooms": labelled(labels, ROOMS_LABEL), "_pin": pin_of(P.field(i, "location", "variant")),
+        "renewed_at": X.norm_unix_seconds(P.field(i, "date")), "seller": one_of(P.field(i, "user_type"), SELLERS), "source_status": P.text_field(i, "status"),
     })
+    rows = rows.withColumns({
+        "url": F.concat(F.lit(ITEM_URL), F.col("entity_id").cast("string")), "sqm": X.norm_area(F.col("_area").try_cast("string")), "latitude": F.col("_pin.latitude"), "longitude": F.col("_pin.longitude"),
+        "rooms": F.when(F.col("title").rlike("(?i)garsonjera"), "0").otherwise(X.rooms_from(F.col("_rooms").try_cast("string"))),
+    })
+    rows = price_columns(rows, i, X.deal_for("category_id", X.deal_type(P.field(i, "listing_type"))), F.lit(False))
+    return rows.select(*keep, *CARD), marked.where("reason is not null").select(*keep, "reason")
+
+
+def attribute_entries(attributes: Column) -> Column:
+    """array<struct<code, value>>: the first value of each code that is not empty, in the order of the list."""
+    every = F.filter(F.transform(attributes, lambda a: F.struct(P.field(a, "attr_code").alias("code"), X.trimmed(P.field(a, "value")).alias("value"))), lambda e: (e["code"] != "") & (e["value"] != ""))
+
+    def first(entries: Column) -> Column:
+        codes = F.transform(entries, lambda e: e["code"])
+        return F.filter(entries, lambda e, k: F.array_position(codes, e["code"]) == k + 1)
+
+    return X.let(every, first)
+
+
+def value_of(entries: Column, *codes: str, last: bool = False) -> Column:
+    found = F.transform(F.filter(entries, lambda e: e["code"].isin(*codes)), lambda e: e["value"])
+    return F.try_element_at(found, F.lit(-1 if last else 1))
+
+
+def attributes_to_columns(df: DataFrame, entries: str = "entries") -> DataFrame:
+    """Typed columns of the known codes; all codes stay in `characteristics`, numbers in plain form. A detailed
+    furnishing text goes before a yes or no."""
+    e = F.col(entries)
+    plain = lambda x: F.struct(x["code"].alias("key"), F.coalesce(X.plain_number(X.locale_number(x["value"])), x["value"]).alias("value"))
+    flags = F.filter(F.transform(F.filter(e, lambda x: x["code"].isin(*FURNISHED_FLAGS)), lambda x: X.bool_text(x["value"])), lambda b: b.isNotNull())
+    detail = value_of(e, FURNISHED_DETAIL)
+    typed = {name: rule(value_of(e, *codes, last=True)) for name, (codes, rule) in ATTRIBUTES.items()}
+    return df.withColumns(typed | {
+        "characteristics": F.map_from_entries(F.transform(e, plain)), "furnished": F.when(detail.isNotNull(), X.furnished_text(detail)).otherwise(F.get(flags, 0)),
+        "sqm": X.norm_area(value_of(e, *AREA_CODES)), "rooms": X.rooms_from(value_of(e, ROOMS_CODE)),
+    })
+
+
+REPORT = "struct<at:string,price:string,is_text:boolean,currency:string>"
+
+
+def reports_of(detail: Column) -> Column:
+    """array<REPORT> of a payload's price history; null where it is no array (also none in a text)."""
+    given = F.coalesce(P.field(detail, "price_history", "array<variant>"), F.try_variant_get(F.try_parse_json(P.text_field(detail, "price_history")), "$", "array<variant>"))
+    at = lambda r: F.coalesce(P.field(r, "created_at"), P.field(r, "date"))
+    return F.transform(given, lambda r: F.struct(at(r).alias("at"), P.field(r, "price").alias("price"), P.is_text(P.field(r, "price", "variant")).alias("is_text"), currency(r).alias("currency")))
 
 
 def normalize_history(details: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) entries: details (entity_id, deal, kind, basis, sqm, reports array of price, created_at)."""
-    each = details.select("entity_id", "deal", "kind", "basis", "sqm", F.posexplode("reports").alias("place", "r"))
-    at = X.norm_unix_seconds(F.col("r.created_at"))
-    amount = X.locale_number("r.price", True)
-    total = F.when(F.col("basis") == "rate", X.total_from_rate(amount, "sqm")).otherwise(amount)
-    p = X.price_state(total, F.col("r.price").isNull(), F.col("deal"), F.col("kind"))
-    each = each.withColumns({"reported_at": at, "_p": p})
-    reason = F.when(F.col("reported_at").isNull(), "invalid_time").when(F.col("reported_at") > F.lit(as_of).cast("timestamp"), "future").when(F.col("_p.state") != "valid", F.coalesce("_p.reason", F.lit("unpriced")))
-    each = each.withColumn("reason", reason)
-    order = Window.partitionBy("entity_id", "reported_at", "_p.price").orderBy("place")
-    good = each.where("reason is null").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return good.select("entity_id", "reported_at", F.col("_p.price").alias("price")), each.where("reason is not null").select("entity_id", "place", "reason")
-
-
-def map_details(details: DataFrame) -> DataFrame:
-    """Detail payloads (sources.payloads.DETAIL) as typed rows; the declared kind of offer beats the listing type."""
-    d = attributes_to_columns(details)
-    kind = property_type("category_id")
-    declared = X.attribute("characteristics", "vrsta-oglasa")
-    deal = X.deal_type(F.coalesce(declared, F.col("listing_type")), F.coalesce(kind == "daily_rent", F.lit(False)))
-    shown = F.coalesce(F.nullif("price", F.lit("")), F.col("display_price"))
-    d = d.withColumns({"entity_id": X.norm_id("id"), "kind": kind, "_shown": shown, "_pin": X.pin("location.lat", "location.lon")}).withColumn("_read", X.read_price(X.locale_number("_shown", True), deal, "kind", "sqm", X.deal_type(F.coalesce(declared, F.col("listing_type")))))
-    return d.select(
-        "entity_id", F.trim("title").alias("title"), "kind", F.col("_read.deal").alias("deal"), F.col("_read.basis").alias("basis"), F.col("_read.price").alias("price"), X.currency_of("price", "display_price").alias("currency"),
-        "sqm", "rooms", "floor_num", "year_built", "heating", "condition", "parking", "elevator", "furnished", "characteristics", F.col("_pin.latitude").alias("latitude"), F.col("_pin.longitude").alias("longitude"),
-        F.when(F.col("user.type").isin("shop", "private"), F.col("user.type")).alias("seller"), "status", "views", X.norm_unix_seconds("created_at").alias("published_at"), X.norm_unix_seconds("date").alias("renewed_at"), F.col("price_history").alias("reports"),
-    )
+    """(accepted, rejected) reports of details (entity_id, deal, kind, price_basis, sqm, reports array<REPORT>).
+
+    Accepted: (entity_id, place, reported_at, price, currency), place in the order of time, then price. A report is read
+    like the present price: as a total of the same deal, or per square metre. Rejected: (entity_id, place, reason),
+    place in the payload; of reports equal in time, price and currency the first stays."""
+    each = details.select("entity_id", "deal", "kind", "price_basis", "sqm", F.posexplode("reports").alias("place", "r"))
+    rate = X.total_from_rate(X.number("r.price", "r.is_text", True), "sqm")
+    p = F.when(F.col("price_basis") == "per_sqm", rate).otherwise(X.norm_price("r.price", "deal", "kind", None, "r.is_text"))
+    each = each.withColumns({"reported_at": X.norm_unix_seconds("r.at"), "_p": p})
+    reason = F.when(F.col("reported_at").isNull(), "invalid_timestamp").when(F.col("reported_at") > F.lit(as_of).cast("timestamp"), "future_timestamp").when(F.col("_p.state") != "valid", F.col("_p.reason"))
+    each = each.withColumns({"reason": reason, "price": F.col("_p.price"), "currency": F.col("r.currency")})
+    same = Window.partitionBy("entity_id", "reported_at", "price", "currency", F.col("reason").isNull()).orderBy("place")
+    judged = each.withColumn("reason", F.coalesce("reason", F.when(F.row_number().over(same) > 1, "duplicate"))).select("entity_id", "place", "reason", "reported_at", "price", "currency")
+    order = Window.partitionBy("entity_id").orderBy("reported_at", "price", "place")
+    good = judged.where("reason is null").withColumn("place", F.row_number().over(order))
+    return good.drop("reason"), judged.where("reason is not null").select("entity_id", "place", "reason")
+
+
+DETAIL = (
+    "entity_id", "title", "kind", "category_id", "deal", "declared", "price", "price_text", "price_state", "price_reason", "price_basis", "currency", "latitude", "longitude", "sqm", "rooms",
+    *ATTRIBUTES, "furnished", "characteristics", "views", "favorites", "seller", "source_status", "published_at", "renewed_at", "reports",
+)
+
+
+def map_details(details: DataFrame, fallback_id: str | None = None) -> DataFrame:
+    """Details (rows with `detail`, a variant) as typed rows; rows that are no object or have no id go. The kind of
+    offer that an item's own attributes declare beats its listing type, which follows the category it was posted in."""
+    d, keep = F.col("detail"), [c for c in details.columns if c != "detail"]
+    number = lambda path, most: X.small_int(P.field(d, path), 0, most)
+    rows = details.where(P.is_object(d)).withColumns({
+        "entity_id": F.coalesce(X.norm_id(P.field(d, "id")), *([X.norm_id(fallback_id)] if fallback_id else [])), "entries": attribute_entries(P.objects(d, "attributes")),
+        "title": P.field(d, "title"), "category_id": X.norm_id(P.field(d, "category_id")), "kind": X.property_type(P.field(d, "category_id")), "_pin": pin_of(P.field(d, "location", "variant")),
+        "views": number("views", 100_000_000), "favorites": number("favorites", 1_000_000), "seller": one_of(P.field(d, "user.type"), SELLERS), "source_status": P.text_field(d, "status"),
+        "published_at": X.norm_unix_seconds(P.field(d, "created_at")), "renewed_at": X.norm_unix_seconds(P.field(d, "date")), "reports": reports_of(d),
+    }).where("entity_id is not null")
+    rows = attributes_to_columns(rows).withColumns({"latitude": F.col("_pin.latitude"), "longitude": F.col("_pin.longitude"), "declared": X.deal_type(value_of(F.col("entries"), DECLARED_CODE))})
+    rows = price_columns(rows, d, X.deal_for("category_id", F.coalesce("declared", X.deal_type(P.field(d, "listing_type")))), F.col("declared").isNotNull())
+    return rows.select(*[c for c in keep if c not in DETAIL], *DETAIL)
 
 
 def replay(archive: DataFrame) -> DataFrame:
-    """Archived search responses under the present rules: counts per response; diagnostics have no source."""
-    parsed = parse_pages(archive.where("not diagnostic and kind = 'search'"), "payload")
-    accepted, rejected = normalize_search_items(items_of(parsed).select("id", "page", "place", "item").where("item is not null or place is not null"))
-    a = accepted.groupBy("id").agg(F.count(F.lit(1)).alias("accepted"), X.count_if(F.col("price_state") == "valid").alias("priced"))
-    r = rejected.groupBy("id").agg(F.count(F.lit(1)).alias("rejected"))
-    out = archive.select("id", "diagnostic").join(a, "id", "left").join(r, "id", "left").na.fill(0, ["accepted", "priced", "rejected"])
-    return out.withColumn("outcome", F.when(F.col("diagnostic"), "no_source").otherwise("replayed"))
+    """Archived responses (id, kind, diagnostic, payload of details, source_payload of searches) under the present rules,
+    one row each and nothing written: parsed and rejected items and the reasons of a search, the mapped summary of
+    a detail; diagnostics have no source."""
+    live = archive.where("not diagnostic")
+    source = F.from_json("source_payload", P.PAGE)
+    data = F.coalesce(F.try_variant_get(source["data"], "$", "array<variant>"), F.try_variant_get(source["items"], "$", "array<variant>"))
+    searches = live.where("kind = 'search'").select("id", data.alias("data"))
+    parsed, rejected = normalize_search_items(searches.select("id", F.explode("data").alias("item")))
+    told = parsed.select("id", F.lit(None).cast("string").alias("reason")).unionByName(rejected)
+    counts = told.groupBy("id", "reason").agg(F.count(F.lit(1)).alias("n"))
+    named = F.concat("reason", F.lit(":"), F.col("n").cast("string"))
+    s = counts.groupBy("id").agg(
+        F.sum(F.when(F.col("reason").isNull(), F.col("n"))).alias("parsed_items"), F.sum(F.when(F.col("reason").isNotNull(), F.col("n"))).alias("rejected_items"),
+        F.array_join(F.array_sort(F.collect_list(named)), ",").alias("rejections"),  # a handful of reasons
+    )
+    d = map_details(P.parse_details(live.where("kind = 'detail'").select("id", "payload"), "payload"))
+    d = d.select("id", "entity_id", "deal", "kind", "price_state", "price", "sqm", F.col("latitude").isNotNull().alias("has_pin")).withColumnRenamed("kind", "property_type")
+    out = archive.select("id", "kind", "diagnostic").join(s, "id", "left").join(d, "id", "left")
+    no_array = searches.where("data is null").select("id", F.lit("data_not_array:1").alias("_no"))
+    out = out.join(no_array, "id", "left").withColumn("rejections", F.coalesce("rejections", "_no")).drop("_no")
+    search = (F.col("kind") == "search") & ~F.col("diagnostic")
+    zero = lambda c: F.when(search, F.coalesce(c, F.lit(0))).cast("long")
+    return out.withColumns({"parsed_items": zero("parsed_items"), "rejected_items": zero("rejected_items"), "outcome": F.when(F.col("diagnostic"), "no_source").otherwise("replayed")})

@@ -10,6 +10,7 @@ from ..operators import filters as B
 from ..operators import histories as H
 from ..sources.facts import market, read
 from .board_sql import AREA, FROM, OPENING, TO, WINDOW, allx, board, cnt, prev, r, win
+from .market_sql import CONTROLS, reading
 from .market_sql import sql as with_market
 
 QUERIES, SQL = {}, {}
@@ -50,22 +51,43 @@ def _(s, d):
     return of("All").unionByName(of("sell"))
 
 
-@query("filter_property_select", "SELECT deal, count(*) AS n FROM entities WHERE lower(lift) IN ('true', '1', 'da', 'yes') AND (lower(parking) IN ('false', '0', 'ne', 'no') OR parking IS NULL OR parking = 'x') GROUP BY 1")
+@query("filter_property_select", f"SELECT deal, count(*) AS n FROM entities WHERE {CONTROLS['elevator']} = 'Yes' AND {CONTROLS['parking']} IN ('No', 'Unknown') AND {CONTROLS['furnished']} IN ('Namješten', 'Unknown') GROUP BY 1")
 def _(s, d):
-    chosen = {"elevator": ["Yes"], "parking": ["No", "Unknown"], "heating": "All"}
+    chosen = {"elevator": ["Yes"], "parking": ["No", "Unknown"], "heating": "All", "furnished": ["Namješten", "Unknown"], "rooms": []}
     return B.property_filters(market(s, d).entities, chosen).groupBy("deal").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("filter_property_range", "SELECT count(*) AS n FROM entities WHERE floor_num >= 2 AND floor_num <= 5 AND views NOT LIKE 'n%' AND views::DOUBLE >= 100 AND price <= 200000")
+@query("filter_property_range", f"SELECT count(*) AS n, min(price) AS least FROM entities WHERE year_built >= 1960 AND year_built <= 2010 AND {CONTROLS['views']} >= 100 AND {CONTROLS['price_bam']} <= 200000 AND {CONTROLS['ppm2_bam']} >= 500 AND {CONTROLS['unit_levels']} <= 1")
 def _(s, d):
-    return B.property_filters(market(s, d).entities, {"floor_num_min": 2, "floor_num_max": 5, "views_min": 100, "price_bam_max": 200000}).agg(F.count(F.lit(1)).alias("n"))
+    chosen = {"year_built_min": 1960, "year_built_max": 2010, "views_min": "100", "price_bam_max": 200000, "ppm2_bam_min": 500, "unit_levels_max": 1, "sqm_min": ""}
+    return B.property_filters(market(s, d).entities, chosen).agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("least"))
 
 
-@query("filter_folded_search", "SELECT count(*) AS n FROM entities WHERE contains(lower(address), 'customer#00000001') OR contains(lower(address), 'customer#1')")
+@query("filter_folded_search", "SELECT count(*) AS n FROM entities WHERE contains(lower(ch['adresa']), 'customer#00000001') OR (contains(ch['ime-i-broj-licence-agenta'], '4') AND contains(ch['broj-posrednickog-ugovora'], '4_%'))")
 def _(s, d):
     e = market(s, d).entities
-    a = B.property_filters(e, {"address": "SETALISTE dJure customer#00000001"})
-    return a.unionByName(B.property_filters(e, {"address": "djure CUSTOMER#1"})).agg(F.count(F.lit(1)).alias("n"))
+    a, b = {"address": " SETALISTE dJure customer#00000001"}, {"agent_license": "dzemal", "agency_contract": "4_%"}
+    both = B.property_filters(e, a).select("entity_id").unionByName(B.property_filters(B.property_filters(e, b), {"agent_license": "4"}).select("entity_id"))
+    return both.distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
+def valued(name: str) -> str:
+    """A control's value as the text that the comparison counts."""
+    return f"coalesce(round(({CONTROLS[name]})::DOUBLE, 3)::VARCHAR, '-')" if name in B.RANGES else f"coalesce({CONTROLS[name]}, '-')"
+
+
+for kind, names in {"selects": tuple(B.SELECTS), "ranges": tuple(c for c in B.RANGES if c not in ("price_bam", "ppm2_bam")), "amenities": tuple(B.AMENITIES), "searches": ("agent_license", "agency_contract")}.items():
+
+    @query(f"control_{kind}", "SELECT control, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS control, {valued(c)} AS value FROM entities" for c in names) + ") GROUP BY 1, 2")
+    def _(s, d, names=names):
+        text = lambda c: F.coalesce((F.round(B.control(c).cast("double"), 3) if c in B.RANGES else B.control(c)).cast("string"), F.lit("-"))
+        each = F.explode(F.array(*(F.struct(F.lit(c).alias("control"), text(c).alias("value")) for c in names)))
+        return market(s, d).entities.select(each.alias("x")).groupBy("x.control", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("control_money", f"SELECT entity_id, {CONTROLS['price_bam']} AS price_bam, round({CONTROLS['ppm2_bam']}, 3) AS ppm2_bam, {CONTROLS['address']} AS address FROM entities")
+def _(s, d):
+    return market(s, d).entities.select("entity_id", B.control("price_bam").alias("price_bam"), F.round(B.control("ppm2_bam"), 3).alias("ppm2_bam"), B.control("address").alias("address"))
 
 
 @query("cross_filter_null_aware", "SELECT coalesce(seller, '-') AS seller, count(*) AS n FROM entities WHERE (seller IN ('shop') OR seller IS NULL) AND price >= 50000 AND NOT (coalesce(rooms IN ('1'), false)) AND title LIKE 'item 1%' GROUP BY 1")
@@ -83,16 +105,16 @@ def _(s, d):
     return of("entities").unionByName(of("exits"))
 
 
-@query("event_property_join", "SELECT event, count(*) AS n FROM lifecycle WHERE lower(lift) = 'true' GROUP BY 1")
+@query("event_property_join", f"SELECT event, count(*) AS n FROM lifecycle WHERE {CONTROLS['elevator']} = 'Yes' AND rooms IN ('1', '2') AND price >= 60000 AND price / sqm <= 5000 GROUP BY 1")
 def _(s, d):
     m = market(s, d)
-    return B.event_property(m.lifecycle, m.entities, {"elevator": ["Yes"]}).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    chosen = {"elevator": ["Yes"], "rooms": ["1", "2"], "price_bam_min": 60000, "ppm2_bam_max": 5000, "heating": "All"}
+    return B.event_property(m.lifecycle, m.entities, chosen).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("option_lists", """SELECT DISTINCT control, value FROM (SELECT unnest(['deal', 'rooms', 'seller_type', 'elevator']) AS control,
-  unnest([deal, coalesce(rooms, 'unknown'), coalesce(seller, 'unknown'), CASE WHEN lower(lift) = 'true' THEN 'Yes' WHEN lower(lift) = 'false' THEN 'No' ELSE 'Unknown' END]) AS value FROM entities)""")
+@query("option_lists", "SELECT DISTINCT control, value FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS control, {CONTROLS[c]} AS value FROM entities" for c in (*B.SELECTS, *B.AMENITIES)) + ")")
 def _(s, d):
-    return B.option_lists(market(s, d).entities.withColumn("deal", F.col("deal")), ["deal", "rooms", "seller_type", "elevator"])
+    return B.option_lists(market(s, d).entities)
 
 
 @query("option_natural_order", "SELECT v AS value, row_number() OVER (ORDER BY v = 'unknown', try_cast(regexp_extract(v, '^(\\d+)', 1) AS BIGINT) NULLS LAST, v) AS place FROM (SELECT DISTINCT coalesce(floor_num::VARCHAR, 'unknown') AS v FROM entities)")
@@ -103,10 +125,13 @@ def _(s, d):
     return v.withColumn("place", F.row_number().over(Window.orderBy(*B.option_order())))  # as many rows as options
 
 
-@query("listing_reference", "SELECT entity_id, entity_id AS from_link, entity_id AS from_number FROM entities")
+@query("listing_reference", "SELECT entity_id, entity_id AS from_link, entity_id AS from_number, NULL::BIGINT AS other_host, CASE WHEN entity_id % 2 = 0 THEN entity_id END AS strict FROM entities")
 def _(s, d):
-    e = market(s, d).entities
-    return e.select("entity_id", B.listing_reference(F.concat("url", F.lit("?x=1"))).alias("from_link"), B.listing_reference(F.concat(F.lit(" "), F.col("entity_id").cast("string"))).alias("from_number"))
+    e, i = market(s, d).entities, F.col("entity_id").cast("string")
+    on_site = F.concat(F.lit("HTTPS://www.olx.ba/artikal/"), i, F.lit("/stan-centar?x=1"))
+    other = F.element_at(F.array(F.concat(F.lit("https://evil.example/artikal/"), i), F.concat(F.lit("olx.ba/artikal/"), i), F.concat(i, F.lit(" OR 1=1"))), (F.col("entity_id") % 3 + 1).cast("int"))
+    strict = B.listing_reference(F.when(F.col("entity_id") % 2 == 0, on_site).otherwise(" "), strict=True)
+    return e.select("entity_id", B.listing_reference("url").alias("from_link"), B.listing_reference(F.concat(F.lit(" "), i)).alias("from_number"), B.listing_reference(other).alias("other_host"), strict.alias("strict"))
 
 
 @query("search_rows", "SELECT count(*) AS n FROM (SELECT entity_id, title, area_key FROM entities) WHERE contains(lower(title), 'nation_1') OR contains(lower(area_key), 'nation_1')")
@@ -122,16 +147,27 @@ def _(s, d):
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("floor_num"))))
 
 
-@query("canonical_url_key", r"""SELECT page_id, p || CASE WHEN k IS NULL THEN '' ELSE '?' || k END AS url_key FROM (
-  SELECT page_id, CASE WHEN path = '' THEN '/' ELSE path END AS p, (SELECT string_agg(x, '&' ORDER BY x) FROM (SELECT unnest(string_split(query, '&')) AS x) WHERE x <> '' AND split_part(x, '=', 1) NOT IN ('page', 'ref', 'utm_source', 'utm_medium', 'utm_campaign')) AS k
-  FROM (SELECT page_id, regexp_replace(regexp_replace(split_part(u, '?', 1), '^[A-Za-z][\w+.-]*://[^/]*', ''), '/+$', '') AS path, split_part(u, '?', 2) AS query FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages)))""")
+URLS = """u AS (SELECT page_id, regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'cities=' || page_id % 7 || '&page=3&category_id=' || page_id % 5 || '&b=2&a=1&b=1' || CASE WHEN page_id % 3 = 0 THEN '#x?y=1' ELSE '' END AS url FROM pages),
+cut AS (SELECT page_id, split_part(regexp_replace(url, '#.*$', ''), '?', 1) AS front, regexp_extract(regexp_replace(url, '#.*$', ''), '[?](.*)$', 1) AS query FROM u),
+ps AS (SELECT page_id, i, split_part(x, '=', 1) AS n, x FROM (SELECT page_id, unnest(string_split(query, '&')) AS x, generate_subscripts(string_split(query, '&'), 1) AS i FROM cut)),
+keys AS (SELECT cut.page_id, coalesce(nullif(regexp_replace(front, '^[a-z]+://[^/]*', ''), ''), '/') || '?' || k AS url_key FROM cut JOIN (SELECT page_id,
+  string_agg(x, '&' ORDER BY CASE n WHEN 'category_id' THEN 0 WHEN 'canton' THEN 1 WHEN 'cities' THEN 2 ELSE 10 END, n, i) AS k FROM ps WHERE n NOT IN ('page', 'olx_scrape') GROUP BY 1) USING (page_id))"""
+
+
+def urls(s, d):
+    i, url = F.col("page_id"), F.regexp_replace("url", "#.*$", "")
+    more = F.concat(F.lit("cities="), (i % 7).cast("string"), F.lit("&page=3&category_id="), (i % 5).cast("string"), F.lit("&b=2&a=1&b=1"), F.when(i % 3 == 0, "#x?y=1").otherwise(""))
+    return read(s, d, "pages").select("page_id", F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), more).alias("url"))
+
+
+@query("canonical_url_key", f"WITH {URLS} SELECT page_id, url_key FROM keys")
 def _(s, d):
-    return read(s, d, "pages").select("page_id", X.canonical_url("url").alias("url_key"))
+    return urls(s, d).select("page_id", X.canonical_url("url").alias("url_key"))
 
 
-@query("first_per_url", r"""SELECT url_key, min(page_id) AS page_id FROM (SELECT page_id, regexp_replace(regexp_replace(split_part(regexp_replace(url, '#.*$', ''), '?', 1), '^[A-Za-z][\w+.-]*://[^/]*', ''), '/+$', '') AS url_key FROM pages) GROUP BY 1""")
+@query("first_per_url", f"WITH {URLS} SELECT url_key, min(page_id) AS page_id FROM keys GROUP BY 1")
 def _(s, d):
-    keyed = read(s, d, "pages").withColumn("url_key", X.canonical_url(F.split_part("url", F.lit("?"), F.lit(1))))
+    keyed = urls(s, d).withColumn("url_key", X.canonical_url("url"))
     return H.first_per_key(keyed, ["url_key"], [F.col("page_id")]).select("url_key", "page_id")
 
 
@@ -232,10 +268,10 @@ def _(s, d):
     return A.quantile_breaks(market(s, d).entities, "price")
 
 
-@query("unpivot_flags", "SELECT label, coalesce(value, '-') AS value, count(*) AS n FROM (SELECT unnest(['lift', 'parking']) AS label, unnest([lift, parking]) AS value FROM entities) GROUP BY ALL")
+@query("unpivot_flags", "SELECT label, coalesce(value, '-') AS value, count(*) AS n FROM (SELECT unnest(['lift', 'parking']) AS label, unnest([ch['lift'], ch['parking']]) AS value FROM entities) GROUP BY ALL")
 def _(s, d):
     e = market(s, d).entities
-    long = A.unpivot(e, ["entity_id"], {k: F.element_at("extra", k) for k in ("lift", "parking")})
+    long = A.unpivot(e, ["entity_id"], {k: F.element_at("characteristics", k) for k in ("lift", "parking")})
     return long.groupBy("label", F.coalesce("value", F.lit("-")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -277,6 +313,7 @@ def texts(s, d):
     return o.select(F.col("o_orderkey").alias("entity_id"), shown.alias("shown"), "o_orderpriority", b.alias("whole"))
 
 
+#: What the texts say.
 VALUE = "CASE entity_id % 6 WHEN 0 THEN whole + cents / 100.0 WHEN 1 THEN whole + cents / 100.0 WHEN 2 THEN whole WHEN 3 THEN whole END::DOUBLE"
 
 
@@ -285,17 +322,24 @@ def _(s, d):
     return texts(s, d).select("entity_id", "shown", X.locale_number("shown", integer_like=True).alias("value"))
 
 
-@query("norm_price", f"WITH {TEXTS} SELECT state, reason, count(*) AS n, sum(p) AS total FROM (SELECT CASE WHEN entity_id % 6 = 4 THEN 'unpriced' WHEN v IS NULL OR v < 3000 THEN 'invalid' ELSE 'valid' END AS state, CASE WHEN entity_id % 6 = 4 THEN NULL WHEN v IS NULL THEN 'not_a_number' WHEN v < 3000 THEN 'below_minimum' END AS reason, CASE WHEN v >= 3000 THEN v END AS p FROM (SELECT *, {VALUE} AS v FROM texts)) GROUP BY 1, 2")
+@query("norm_price", """SELECT entity_id, CASE WHEN reason IS NULL THEN 'valid' WHEN reason IN ('zero', 'not_priced', 'missing') THEN 'unpriced' ELSE 'invalid' END AS state, reason, CASE WHEN reason IS NULL THEN v END AS price FROM (
+  SELECT *, CASE WHEN t = '' OR t IS NULL THEN 'missing' WHEN t = 'Na upit' THEN 'not_priced' WHEN v IS NULL THEN 'not_numeric' WHEN v = 0 THEN 'zero' WHEN v < 0 THEN 'negative'
+    WHEN v < CASE WHEN deal = 'rent' THEN 50 WHEN deal = 'daily_rent' THEN 10 WHEN kind = 'garages' THEN 1000 WHEN kind = 'prefab' THEN 500 ELSE 3000 END THEN 'below_' || CASE WHEN deal IN ('rent', 'daily_rent') THEN deal ELSE 'sale' END || '_minimum' END AS reason
+  FROM (SELECT o_orderkey AS entity_id, (['sale', 'rent', 'daily_rent', NULL])[o_orderkey % 4 + 1] AS deal, (['garages', 'prefab', 'land', NULL])[o_orderkey // 4 % 4 + 1] AS kind,
+    CASE o_orderkey % 13 WHEN 0 THEN 'Na upit' WHEN 1 THEN 'x' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE (o_orderkey % 4001 - 20)::VARCHAR END AS t, CASE WHEN o_orderkey % 13 > 3 THEN o_orderkey % 4001 - 20 END::DOUBLE AS v FROM orders))""")
 def _(s, d):
-    p = texts(s, d).select(X.norm_price("shown", F.lit("sale"), F.lit("apartments")).alias("p")).select("p.*")
-    return p.groupBy("state", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("price").cast("decimal(20,2)")), 2).cast("double").alias("total"))
+    i = F.col("o_orderkey")
+    pick = lambda k, *names: F.get(F.array(*(F.lit(n).cast("string") for n in names)), k.cast("int"))
+    t = F.when(i % 13 == 0, "Na upit").when(i % 13 == 1, "x").when(i % 13 == 2, "").when(i % 13 > 3, (i % 4001 - 20).cast("string"))
+    p = X.norm_price(t, pick(i % 4, "sale", "rent", "daily_rent", None), pick(F.floor(i / 4) % 4, "garages", "prefab", "land", None))
+    return read(s, d, "orders").select(i.alias("entity_id"), p.alias("p")).select("entity_id", "p.state", "p.reason", "p.price")
 
 
-@query("norm_area", "SELECT o_orderkey AS entity_id, CASE WHEN o_orderkey % 1000 / 10.0 >= 5 THEN o_orderkey % 1000 / 10.0 END::DOUBLE AS area FROM orders")
+@query("norm_area", "SELECT o_orderkey AS entity_id, CASE WHEN v BETWEEN 5 AND 999999 THEN v END AS area FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 900 * 1000 + 500 WHEN o_orderkey % 7 = 1 THEN NULL ELSE o_orderkey % 1000 / 10.0 END::DOUBLE AS v FROM orders)")
 def _(s, d):
-    o = read(s, d, "orders")
-    text = F.concat(F.format_string("%d,%d", F.floor(F.col("o_orderkey") % 1000 / 10), F.col("o_orderkey") % 10), F.lit(" m²"))
-    return o.select(F.col("o_orderkey").alias("entity_id"), X.norm_area(text).alias("area"))
+    i = F.col("o_orderkey")
+    text = F.when(i % 7 == 0, F.concat((i % 900).cast("string"), F.lit(".500"))).when(i % 7 == 1, F.concat(i.cast("string"), F.lit(" m²"))).otherwise(F.format_string("%d,%d", F.floor(i % 1000 / 10), i % 10))
+    return read(s, d, "orders").select(i.alias("entity_id"), X.norm_area(text).alias("area"))
 
 
 @query("norm_id", "SELECT o_orderkey AS entity_id, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey > 0 THEN o_orderkey END AS id FROM orders")
@@ -305,31 +349,66 @@ def _(s, d):
     return read(s, d, "orders").select(i.alias("entity_id"), X.norm_id(text).alias("id"))
 
 
-@query("deal_type", "SELECT deal, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'rent' WHEN 1 THEN 'sale' WHEN 2 THEN 'daily_rent' ELSE 'unknown' END AS deal FROM orders) GROUP BY 1")
+WORDS = ("Izdavanje, prodaja", "Prodaja stana", "sell", "Potražnja", "Kupovina", "Iznajmljivanje", "")
+
+
+@query("deal_type", """SELECT o_orderkey AS entity_id, CASE WHEN o_orderkey % 31 = 0 THEN 'daily_rent' WHEN regexp_matches(w, '(rent|iznajm|najam|izdavanje)') THEN 'rent' WHEN regexp_matches(w, '(sell|sale|prodaj|kup)') THEN 'sale' END AS deal
+  FROM (SELECT o_orderkey, lower((['Izdavanje, prodaja', 'Prodaja stana', 'sell', 'Potražnja', 'Kupovina', 'Iznajmljivanje', ''])[o_orderkey % 7 + 1]) AS w FROM orders)""")
+def _(s, d):
+    i = F.col("o_orderkey")
+    word = F.get(F.array(*(F.lit(x) for x in WORDS)), (i % 7).cast("int"))
+    return read(s, d, "orders").select(i.alias("entity_id"), X.deal_for(F.when(i % 31 == 0, "2668").otherwise("23"), X.deal_type(word)).alias("deal"))
+
+
+@query("property_type", "SELECT c_custkey, CASE c_custkey WHEN 23 THEN 'apartments' WHEN 2668 THEN 'daily_rent' WHEN 24 THEN 'houses' WHEN 29 THEN 'land' WHEN 25 THEN 'commercial' WHEN 26 THEN 'vacation_homes' WHEN 30 THEN 'garages' WHEN 1193 THEN 'prefab' WHEN 2672 THEN 'warehouses' WHEN 28 THEN 'rooms' WHEN 0 THEN NULL ELSE 'other' END AS kind FROM customer")
 def _(s, d):
-    words = F.element_at(F.array(*(F.lit(x) for x in ("Izdavanje, prodaja", "Prodaja stana", "Izdajem na dan", "Potražnja"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return read(s, d, "orders").groupBy(X.deal_type(words).alias("deal")).agg(F.count(F.lit(1)).alias("n"))
+    return read(s, d, "customer").select("c_custkey", X.property_type(F.col("c_custkey").cast("string")).alias("kind"))
+
+
+PRICES, SHOWN, CODES = ("600", "600 €", "600 BAM", "na upit"), (None, "600 KM", "1.200 km", "600 $", "KMX"), (None, "EUR", "km", "RSD", "12", "", "€")
+
 
+def listed(words) -> str:
+    return "[" + ", ".join("NULL" if w is None else f"'{w}'" for w in words) + "]"
 
-@query("currency_of", "SELECT currency, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'BAM' WHEN 1 THEN 'EUR' WHEN 2 THEN 'conflict' END AS currency FROM orders) GROUP BY 1")
+
+@query("currency_of", f"""WITH c AS (SELECT o_orderkey AS entity_id, ({listed(PRICES)})[o_orderkey % 4 + 1] AS p, ({listed(SHOWN)})[o_orderkey // 4 % 5 + 1] AS s, ({listed(CODES)})[o_orderkey // 20 % 7 + 1] AS f FROM orders),
+m AS (SELECT entity_id, f, list_transform(list_filter([upper(trim(f))], lambda x: f IS NOT NULL AND f <> ''), lambda x: CASE x WHEN 'KM' THEN 'BAM' WHEN '€' THEN 'EUR' WHEN '$' THEN 'USD' ELSE x END) AS g,
+  list_transform(list_concat(regexp_extract_all(upper(p), '\\b(KM|BAM|EUR|USD)\\b|[€$]', 0), coalesce(regexp_extract_all(upper(s), '\\b(KM|BAM|EUR|USD)\\b|[€$]', 0), [])), lambda x: CASE x WHEN 'KM' THEN 'BAM' WHEN '€' THEN 'EUR' WHEN '$' THEN 'USD' ELSE x END) AS t FROM c)
+SELECT entity_id, CASE WHEN len(list_filter(g, lambda x: NOT regexp_full_match(x, '[A-Z]{{3}}'))) > 0 THEN 'unknown' WHEN len(list_distinct(list_concat(g, t))) > 1 THEN 'conflict' ELSE list_concat(g, t)[1] END AS currency FROM m""")
 def _(s, d):
-    i = F.col("o_orderkey") % 4
-    field, shown = F.when(i == 2, "EUR"), F.when(i == 0, "600 KM").when(i == 1, "600 €").when(i == 2, "1.200 km").otherwise("600")
-    return read(s, d, "orders").groupBy(X.currency_of(field, shown).alias("currency")).agg(F.count(F.lit(1)).alias("n"))
+    i = F.col("o_orderkey")
+    pick = lambda k, words: F.get(F.array(*(F.lit(w).cast("string") for w in words)), k.cast("int"))
+    return read(s, d, "orders").select(i.alias("entity_id"), X.currency_of(pick(i % 4, PRICES), pick(F.floor(i / 4) % 5, SHOWN), pick(F.floor(i / 20) % 7, CODES)).alias("currency"))
+
+
+KIND_LIST = ("apartments", "houses", "land", "commercial", "vacation_homes", "garages", "prefab", "warehouses", "rooms", "other", None)
+TITLES = ("", "Prodaja stana", "Najam kuce", "Poslovni prostor za izdavanje")
 
 
-@query("read_price", "SELECT basis, deal, count(*) AS n, round(sum(CAST(p AS DECIMAL(20,2))), 2)::DOUBLE AS total FROM (SELECT CASE WHEN k = 'land' AND v <= 500 THEN 'rate' WHEN k = 'apartments' AND v >= 1000 THEN 'rate' WHEN k = 'cottages' AND v < 300 THEN 'night' WHEN k = 'apartments' THEN 'rent' ELSE 'total' END AS basis, CASE WHEN k = 'cottages' AND v < 300 THEN 'daily_rent' WHEN k = 'apartments' AND v < 1000 THEN 'rent' ELSE 'sale' END AS deal, CASE WHEN (k = 'land' AND v <= 500) OR (k = 'apartments' AND v >= 1000) THEN v * 60 ELSE v END AS p FROM (SELECT (o_orderkey % 2500 + 1)::DOUBLE AS v, (['land', 'apartments', 'cottages'])[o_orderkey % 3 + 1] AS k FROM orders)) GROUP BY 1, 2")
+@query("read_price", f"""WITH {reading(f"SELECT o_orderkey AS id, (o_orderkey % 4000 - 3)::DOUBLE AS v, NULL AS m, ({listed(KIND_LIST)})[o_orderkey % 11 + 1] AS kind, (['sale', 'rent', 'daily_rent', NULL, 'sale'])[o_orderkey // 11 % 5 + 1] AS deal, o_orderkey // 55 % 2 = 1 AS declared, ({listed(TITLES)})[o_orderkey // 7 % 4 + 1] AS title, CASE o_orderkey // 3 % 3 WHEN 1 THEN 4.0 WHEN 2 THEN 60.0 END AS area FROM orders")}
+  SELECT id AS entity_id, price, state, reason, deal, basis FROM reading""")
 def _(s, d):
     i = F.col("o_orderkey")
-    kind = F.element_at(F.array(F.lit("land"), F.lit("apartments"), F.lit("cottages")), (i % 3 + 1).cast("int"))
-    p = read(s, d, "orders").select(X.read_price((i % 2500 + 1).cast("double"), F.lit("sale"), kind, F.lit(60.0), F.lit(None).cast("string")).alias("p")).select("p.*")
-    return p.groupBy("basis", "deal").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("price").cast("decimal(20,2)")), 2).cast("double").alias("total"))
+    pick = lambda k, words: F.get(F.array(*(F.lit(w).cast("string") for w in words)), k.cast("int"))
+    over = lambda n: F.floor(i / n)
+    area = F.when(over(3) % 3 == 1, 4.0).when(over(3) % 3 == 2, 60.0)
+    p = X.read_price((i % 4000 - 3).cast("double"), pick(over(11) % 5, ("sale", "rent", "daily_rent", None, "sale")), pick(i % 11, KIND_LIST), area, pick(over(7) % 4, TITLES), over(55) % 2 == 1, is_text=F.lit(False))
+    return read(s, d, "orders").select(i.alias("entity_id"), p.alias("p")).select("entity_id", "p.price", "p.state", "p.reason", "p.deal", "p.basis")
 
 
-@query("rooms_from", "SELECT rooms, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN '0' WHEN 1 THEN '3' WHEN 2 THEN '4+' END AS rooms FROM orders) GROUP BY 1")
+@query("rooms_from", "SELECT o_orderkey AS entity_id, CASE o_orderkey % 6 WHEN 0 THEN '0' WHEN 1 THEN '3' WHEN 2 THEN '4+' WHEN 5 THEN '12' END AS rooms FROM orders")
 def _(s, d):
-    words = F.element_at(F.array(*(F.lit(x) for x in ("Garsonjera", "Trosoban (3)", "4+", "nepoznato"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return read(s, d, "orders").groupBy(X.rooms_from(words).alias("rooms")).agg(F.count(F.lit(1)).alias("n"))
+    words = F.get(F.array(*(F.lit(x) for x in ("Lijepa Garsonjera", "Trosoban (3)", "4+", "nepoznato", "3 sobe", " 12 "))), (F.col("o_orderkey") % 6).cast("int"))
+    return read(s, d, "orders").select(F.col("o_orderkey").alias("entity_id"), X.rooms_from(words).alias("rooms"))
+
+
+@query("small_values", "SELECT o_orderkey AS entity_id, CASE WHEN o_orderkey % 230 - 10 BETWEEN -5 AND 200 THEN (o_orderkey % 230 - 10)::INTEGER END AS floor_num, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS furnished, CASE o_orderkey % 3 WHEN 0 THEN 'abc' END AS heating, CASE o_orderkey % 4 WHEN 0 THEN TIMESTAMP '2025-07-18 21:43:56' END AS at FROM orders")
+def _(s, d):
+    i = F.col("o_orderkey")
+    pick = lambda k, *words: F.get(F.array(*(F.lit(w) for w in words)), k.cast("int"))
+    at = X.norm_unix_seconds(pick(i % 4, "1752875036", "1752875036000", "1752875036.5", "soon")).cast("timestamp_ntz")
+    return read(s, d, "orders").select(i.alias("entity_id"), X.small_int((i % 230 - 10).cast("string"), -5, 200).alias("floor_num"), X.furnished_text(pick(i % 5, "Namješten", "nenamjesten", "da", "polunamješten", "?")).alias("furnished"), X.text_max(pick(i % 3, " abc ", " ", "x" * 61), 60).alias("heating"), at.alias("at"))
 
 
 @query("page_titles", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")

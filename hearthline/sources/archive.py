@@ -10,14 +10,23 @@ from ..operators.histories import first_per_key
 MOST_REJECTIONS, MOST_ERROR_CHARS = 100, 1000
 
 
+#: Fixed names of archive formats, and the address that a detail was read from.
+CANONICAL, DIAGNOSTIC, DETAIL_URL = "canonical-v2", "diagnostic-v2", "https://olx.ba/api/listings/"
+
+
 def archived_responses(responses: DataFrame) -> DataFrame:
-    """Rows as they are archived: search and detail bodies in columns of their own, diagnostics without a body."""
-    body = lambda kind: F.when((F.col("kind") == kind) & ~F.col("diagnostic"), F.col("body"))
-    return responses.withColumns({"payload": body("search"), "source_payload": body("detail")}).drop("body")
+    """Rows as they are archived: detail bodies in payload and search bodies in source_payload; diagnostics (rows with a
+    diagnostic text) keep neither."""
+    is_diagnostic = F.col("diagnostic").isNotNull()
+    body = lambda kind: F.when((F.col("kind") == kind) & ~is_diagnostic, F.col("body"))
+    return responses.withColumns({"payload": body("detail"), "source_payload": body("search"), "archive_format": F.when(is_diagnostic, DIAGNOSTIC).otherwise(CANONICAL)}).drop("body")
 
 
-def archived_details(details: DataFrame, url_prefix: str) -> DataFrame:
-    return details.select("entity_id", F.concat(F.lit(url_prefix), F.col("entity_id").cast("string")).alias("url"), "fetched_at", F.lit("detail").alias("kind"), F.col("body").alias("source_payload"))
+def archived_details(details: DataFrame) -> DataFrame:
+    """Details (entity_id, fetched_at, body) as archive rows; rows without an id go."""
+    url = F.concat(F.lit(DETAIL_URL), F.col("entity_id").cast("string"))
+    rows = details.where("entity_id is not null").select("entity_id", url.alias("url"), "fetched_at", F.lit("detail").alias("kind"), F.lit(None).cast("string").alias("diagnostic"), "body")
+    return archived_responses(rows)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -26,13 +35,20 @@ def append(df: DataFrame, path: str) -> None:
 
 def page_manifest(pages: DataFrame) -> DataFrame:
     """The last row of each (run, page, attempt), with bounded rejections and error text."""
-    short = pages.withColumns({"rejections": F.slice("rejections", 1, MOST_REJECTIONS), "error": F.left("error", F.lit(MOST_ERROR_CHARS))})
-    return first_per_key(short, ["run_id", "page", "attempt"], [F.desc("recorded_at")])
+    short = pages.withColumns({"rejections": F.coalesce(F.slice("rejections", 1, MOST_REJECTIONS), F.array().cast(pages.schema["rejections"].dataType)), "error": F.left("error", F.lit(MOST_ERROR_CHARS))})
+    return first_per_key(short.withColumn("rejection_count", F.size("rejections")), ["run_id", "page", "attempt"], [F.desc("recorded_at")])
+
+
+def page_diagnostics(manifest: DataFrame) -> DataFrame:
+    """Archive rows without a body for the pages that are not authoritative or have rejections: what the manifest says."""
+    doubtful = manifest.where(~F.coalesce("is_authoritative", F.lit(False)) | (F.size("rejections") > 0))
+    told = F.to_json(F.struct(F.lit("page_manifest").alias("kind"), "page", "attempt", "response_state", "rejections", "error"))
+    return archived_responses(doubtful.select("run_id", F.col("url"), F.col("recorded_at").alias("fetched_at"), F.lit("search").alias("kind"), told.alias("diagnostic"), F.lit(None).cast("string").alias("body")))
 
 
 def retain_latest(archive: DataFrame) -> DataFrame:
-    """The newest payload and the newest diagnostic of each kind, url and format."""
-    return first_per_key(archive, ["kind", "url", "format", "diagnostic"], [F.desc("fetched_at"), F.desc("id")])
+    """The newest row of each kind, url and format: the newest payload and the newest diagnostic."""
+    return first_per_key(archive, ["kind", "url", "archive_format"], [F.desc("fetched_at"), F.desc("id")])
 
 
 def publish(tables: dict[str, DataFrame], folder: str, version: int) -> None:

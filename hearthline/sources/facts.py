@@ -46,17 +46,26 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda m, *vs: F.element_at(F.array(*(F.lit(v).cast("string") for v in vs)), (i % m + 1).cast("int"))
     extra = F.create_map(
         F.lit("views"), F.when(i % 17 == 0, "n/a").when(i % 7 != 0, (i % 500).cast("string")),
-        F.lit("lift"), words(4, "true", "false", "", None),
-        F.lit("parking"), words(5, "da", "ne", "1", None, "x"),
-        F.lit("furnished"), words(3, "yes", "0", None),
-        F.lit("balcony"), words(6, "Yes", "no", "maybe", "TRUE", "", None),
-        F.lit("address"), F.concat(F.lit("Šetalište Đure "), F.col("c_name")),
-        F.lit("price_state"), words(9, "valid", "valid", "invalid", "valid", "conflict", "valid", None, "valid", "valid"),
+        F.lit("favorites"), F.when(i % 4 != 0, (i % 90).cast("string")),
+        F.lit("furnished"), words(3, "true", "false", None),
+        F.lit("heating"), words(6, "Drugo", "Plin", None, "z", None, None),
+        F.lit("garage"), words(4, "true", "false", None, None),
+        F.lit("bathrooms"), words(5, "1", "2", None, None, "x"),
+        F.lit("latest_price_state"), words(9, "valid", "valid", "invalid", "valid", "conflict", "valid", None, "valid", "valid"),
+    )
+    characteristics = F.create_map(
+        F.lit("lift"), words(4, "true", "false", "", None), F.lit("parking"), words(5, "da", "ne", "1", None, "x"), F.lit("balkon"), words(6, "Yes", "no", "maybe", "TRUE", "", None),
+        F.lit("opremljenost"), words(7, "Namješten", "", None, "true", "Polunamješten", None, "false"), F.lit("namjestena"), words(5, "Da", None, None, "ne", None), F.lit("grijanje"), words(3, "Drugo", "Struja", None),
+        F.lit("stanje"), words(4, "Renovirana", "Novogradnja", None, "A"), F.lit("sprat"), words(13, "7", *[None] * 12), F.lit("gara-a"), words(3, "Da", "0", None), F.lit("broj-kupatil"), words(3, "3", None, "1.5"),
+        F.lit("ukupno-spratova"), (i % 12).cast("string"), F.lit("broj-etaza"), words(3, "1", "2", "tri"), F.lit("okucnica-kvadratura"), (i % 900).cast("string"), F.lit("primarna-orjentacija"), words(4, "Jug", "Sjever", "", None),
+        F.lit("vrsta-poda"), words(3, "Parket", "Laminat", "k"), F.lit("kvadratura-balkona"), words(4, "4", "5.5", "5,5", None), F.lit("uknjizeno-zk"), words(3, "Da", "ne", None), F.lit("ostava-spajz"), words(4, "1", "0", "", None),
+        F.lit("telefonski-priklju-ak"), words(5, "da", None, "ne", None, "?"), F.lit("klima"), words(4, "true", "false", None, "da"), F.lit("adresa"), F.concat(F.lit("Šetalište Đure "), F.col("c_name")),
+        F.lit("ime-i-broj-licence-agenta"), F.concat(F.lit("Džemal "), (i % 50).cast("string")), F.lit("broj-posrednickog-ugovora"), F.concat((i % 70).cast("string"), F.lit("_%")),
     )
     return both.select(
         i.alias("entity_id"),
         F.concat(F.lit("item "), i.cast("string")).alias("title"),
-        F.concat(F.lit("https://market.example/item/"), i.cast("string")).alias("url"),
+        F.concat(F.lit("https://olx.ba/artikal/"), i.cast("string")).alias("url"),
         deal.alias("deal"),
         F.lower("c_mktsegment").alias("kind"),
         F.when(i % 23 != 0, F.col("n_name")).alias("area_key"),
@@ -68,7 +77,13 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 19 != 0, 17.10 + (7 * i % 101) / 1000).alias("longitude"),
         F.when(F.col("o_custkey") % 3 == 0, "shop").when(F.col("o_custkey") % 3 == 1, "private").alias("seller"),
         F.when(i % 13 != 0, (i % 9 - 1).cast("int")).alias("floor_num"),
+        words(12, "EUR", *["BAM"] * 5, "unknown", *["BAM"] * 5).alias("currency"),
+        F.when(i % 8 == 0, True).when(i % 8 == 1, False).alias("elevator"),
+        F.when(i % 9 == 0, True).when(i % 9 == 1, False).alias("parking"),
+        words(10, "Renovirana", "Novogradnja", *[None] * 8).alias("condition"),
+        F.when(i % 5 > 0, (1950 + i % 75).cast("int")).alias("year_built"),
         extra.alias("extra"),
+        characteristics.alias("characteristics"),
         first.alias("first_seen"),
         closed.alias("closed_at"),
         F.when(closed.isNotNull(), price).alias("closing_price"),

@@ -1,45 +1,73 @@
-"""Payloads of result pages and item details, read with explicit schemas: no inference, unknown attributes survive."""
+"""Payloads of result pages and item details. Items are read as variants: one odd field or entry spoils nothing else, unknown
+attributes survive, and a number can be told from a text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ITEM = "struct<id:string,title:string,price:string,display_price:string,listing_type:string,category_id:int,labels:array<struct<name:string,value:string>>,location:struct<lat:double,lon:double>,user_type:string,date:bigint,status:string,area_name:string>"
-PAGE = f"data array<{ITEM}>, meta struct<total:bigint,last_page:int,per_page:int,current_page:int>, _corrupt string"
-DETAIL = "id string, title string, category_id int, listing_type string, price string, display_price string, price_history array<struct<price:string,created_at:string,currency:string>>, attributes array<struct<attr_code:string,value:string,name:string>>, location struct<lat:double,lon:double>, user struct<id:string,type:string>, status string, views bigint, created_at string, date string, _corrupt string"
+PAGE = "data variant, items variant, meta struct<total:string,last_page:string,per_page:string,current_page:string>"
+OBJECT = "map<string,variant>"
 
 
-def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page with its file; `usable` is false without data or a numeric total."""
-    pages = spark.read.schema(PAGE).option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", True).json(path)
-    return pages.withColumns({"file": F.input_file_name(), "usable": F.col("data").isNotNull() & F.col("meta.total").isNotNull()})
+def field(item: Column, path: str, kind: str = "string") -> Column:
+    """What lies under the path, or null; a text of whatever is there unless another kind is asked for."""
+    return F.try_variant_get(item, f"$.{path}", kind)
 
 
-def read_details(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DETAIL).option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", True).json(path)
+def text_field(item: Column, path: str) -> Column:
+    """The text under the path, null if something else is there."""
+    return F.when(is_text(field(item, path, "variant")), field(item, path))
+
+
+def is_text(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+
+
+def is_object(item: Column) -> Column:
+    return F.try_variant_get(item, "$", OBJECT).isNotNull()
+
+
+def objects(item: Column, path: str) -> Column:
+    """The objects of an array, in order; null if there is no array."""
+    return F.filter(field(item, path, "array<variant>"), is_object)
+
+
+def usable(page: Column) -> Column:
+    """A page counts if its data is an array and its total a number."""
+    return F.coalesce(F.try_variant_get(page["data"], "$", "array<variant>").isNotNull() & page["meta"]["total"].try_cast("double").isNotNull(), F.lit(False))
 
 
 def parse_pages(df: DataFrame, payload: str) -> DataFrame:
-    """The same from a column of texts, as archived."""
-    page = F.from_json(payload, PAGE.rpartition(",")[0])
-    return df.withColumn("_p", page).withColumns({"data": F.col("_p.data"), "meta": F.col("_p.meta")}).withColumn("usable", F.col("data").isNotNull() & F.col("meta.total").isNotNull()).drop("_p")
+    """Adds data (array of variants), meta and usable to a column of payload texts."""
+    p = F.col("_p")
+    return df.withColumn("_p", F.from_json(payload, PAGE)).withColumns({"data": F.try_variant_get(p["data"], "$", "array<variant>"), "meta": p["meta"], "usable": usable(p)}).drop("_p")
+
+
+def read_search_pages(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """One row per page with its file; `usable` is false without a data array or a numeric total. Files hold one
+    payload each, or one per line."""
+    pages = spark.read.text(path, wholetext=not one_per_line)
+    return parse_pages(pages.withColumn("file", F.input_file_name()), "value").drop("value")
+
+
+def parse_details(df: DataFrame, payload: str) -> DataFrame:
+    """Adds the payload as a variant named detail; null where it is no JSON."""
+    return df.withColumn("detail", F.try_parse_json(payload))
+
+
+def read_details(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    details = spark.read.text(path, wholetext=not one_per_line)
+    return parse_details(details.withColumn("file", F.input_file_name()), "value").drop("value")
 
 
 def items_of(pages: DataFrame) -> DataFrame:
-    """Items of usable pages, one per row, with their place."""
-    keep = [c for c in pages.columns if c not in ("data", "meta", "_corrupt", "usable")]
-    return pages.where("usable").select(*keep, F.col("meta.current_page").alias("page"), F.posexplode_outer("data").alias("place", "item"))
+    """Items of usable pages, one per row, with their place; an empty page has one row without a place."""
+    keep = [c for c in pages.columns if c not in ("data", "meta", "usable")]
+    return pages.where("usable").select(*keep, F.col("meta.current_page").try_cast("int").alias("page"), F.posexplode_outer("data").alias("place", "item"))
 
 
 def records_from_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     """A batch of records that came as one JSON array, as rows."""
     keep = [c for c in df.columns if c != column]
     return df.select(*keep, F.inline(F.from_json(column, f"array<struct<{schema}>>")))
-
-
-def attribute_map(attributes: Column) -> Column:
-    """code -> value of an attribute array; the first of a repeated code wins."""
-    codes = F.transform(attributes, lambda a: a["attr_code"])
-    first = F.filter(attributes, lambda a, i: a["attr_code"].isNotNull() & (F.array_position(codes, a["attr_code"]) == i + 1))
-    return F.map_from_entries(F.transform(first, lambda a: F.struct(a["attr_code"], a["value"])))

@@ -31,8 +31,8 @@ def board(spark):
         (7, "daily_rent", 40.0, 35.0, None, "1", "daily_rent", -3, None, None),
     ]
     e = spark.createDataFrame(
-        [(i, f"t{i}", f"u{i}", d, k, "Centre" if i < 6 else None, r, a, p, q, None, None, "private", None, {"lift": lift} if lift else {}, day(f), day(c) if c else None, p if c else None, None, None, "a") for i, d, p, a, q, r, k, f, c, lift in rows],
-        "entity_id long, title string, url string, deal string, kind string, area_key string, rooms string, sqm double, price double, rate double, latitude double, longitude double, seller string, floor_num int, extra map<string,string>, first_seen date, closed_at date, closing_price double, details_on date, source_status string, search_key string",
+        [(i, f"t{i}", f"u{i}", d, k, "Centre" if i < 6 else None, r, a, p, q, None, None, "private", None, "BAM", None, None, None, None, {}, {"lift": lift} if lift else {}, day(f), day(c) if c else None, p if c else None, None, None, "a") for i, d, p, a, q, r, k, f, c, lift in rows],
+        "entity_id long, title string, url string, deal string, kind string, area_key string, rooms string, sqm double, price double, rate double, latitude double, longitude double, seller string, floor_num int, currency string, elevator boolean, parking boolean, condition string, year_built int, extra map<string,string>, characteristics map<string,string>, first_seen date, closed_at date, closing_price double, details_on date, source_status string, search_key string",
     )
     kept = ["title", "url", "deal", "kind", "area_key", "rooms", "sqm", "latitude", "longitude"]
     ev = spark.createDataFrame([(4, "closed", day(-8), day(-30), 150000.0), (4, "reopened", day(-7), None, 140000.0), (4, "closed", day(-5), day(-7), 130000.0), (5, "closed", day(-2), day(-20), 180000.0)], "entity_id long, event string, occurred_on date, opened_on date, price double")
