@@ -7,7 +7,9 @@ them are scored and the text's score is the highest. Training is by the same rul
 text goes through its highest window.
 
 The network is fitted on the driver on at most `max_texts` labelled texts of at most `max_chars`
-characters each (a documented bound on the fit only; every text is scored whole).
+characters each (a documented bound on the fit only; every text is scored whole). For scoring, weights and the
+values that meet them are rounded to multiples of 1 / SCALE: their products then add up exactly, in whatever order,
+and a word's vector is a sum over its own trigrams only. So a text's score does not depend on what is scored with it.
 
 Defined cases: null and empty texts are one window of padding and get the score of no words; texts
 without spaces are one word; rows without a label, or with a null label, teach nothing; without any label the
@@ -24,7 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import delete, written
+
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 24, 12, 8, 6, 6, 8
+SCALE = 4096
+MET_BY_PRODUCTS = ("wf", "wb", "uf", "ub", "wa", "va", "wo")
 VOCABULARY, TRIGRAMS = 3000, 2048
 SMOOTH = 2.0  # texts of each class that every word is taken to be in besides
 CACHE = 300_000  # distinct words whose gates a task remembers
@@ -80,8 +86,11 @@ def char_means(table: np.ndarray, codes: np.ndarray, begins: np.ndarray) -> np.n
     if not len(begins):
         return np.zeros((0, table.shape[1]), np.float32)
     sizes = np.diff(np.append(begins, len(codes)))
-    sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[codes], 0, dtype=np.float64)])
-    return ((sums[begins + sizes] - sums[begins]) / np.maximum(sizes, 1)[:, None]).astype(np.float32)
+    out = np.zeros((len(begins), table.shape[1]), table.dtype)
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(table[codes], begins[some], 0) / sizes[some, None].astype(table.dtype)
+    return out
 
 
 def windows(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,12 +116,24 @@ def start(rng: np.random.Generator) -> Params:
     return p
 
 
+def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w; exact, on values rounded to 1 / SCALE, where w holds whole multiples of it as doubles (see fixed_point)."""
+    if x.dtype == w.dtype:
+        return x @ w
+    return ((np.rint(x * x.dtype.type(SCALE)) @ w) / SCALE**2).astype(x.dtype)
+
+
+def fixed_point(p: Params) -> Params:
+    """Parameters for scoring: sums of products of whole numbers stay below 2 ** 53."""
+    return {k: np.rint(v.astype(np.float64) * SCALE) if k in MET_BY_PRODUCTS else v.astype(np.float32) for k, v in p.items()}
+
+
 def run_gru(gates: np.ndarray, u: np.ndarray, keep: list | None = None) -> np.ndarray:
     """Hidden states (steps, windows, HIDDEN); gates: (steps, windows, 3 * HIDDEN). keep gathers what backward needs."""
-    h = np.zeros((gates.shape[1], HIDDEN), np.float32)
-    out = np.empty((*gates.shape[:2], HIDDEN), np.float32)
+    h = np.zeros((gates.shape[1], HIDDEN), gates.dtype)
+    out = np.empty((*gates.shape[:2], HIDDEN), gates.dtype)
     for t in range(len(gates)):
-        hu, x = h @ u, gates[t]
+        hu, x = times(h, u), gates[t]
         zr = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])))
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         n = np.tanh(x[:, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
@@ -125,8 +146,8 @@ def run_gru(gates: np.ndarray, u: np.ndarray, keep: list | None = None) -> np.nd
 
 def back_gru(dout: np.ndarray, u: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the gates and of u."""
-    dg, du = np.empty((*dout.shape[:2], 3 * HIDDEN), np.float32), np.zeros_like(u)
-    dh = np.zeros(dout.shape[1:], np.float32)
+    dg, du = np.empty((*dout.shape[:2], 3 * HIDDEN), dout.dtype), np.zeros_like(u)
+    dh = np.zeros(dout.shape[1:], dout.dtype)
     for t in range(len(dout) - 1, -1, -1):
         h, z, r, n, hn = kept[t]
         dh = dh + dout[t]
@@ -145,19 +166,40 @@ def forward(p: Params, gates_f: np.ndarray, gates_b: np.ndarray, rows: np.ndarra
     hf = run_gru(gates_f[steps], p["uf"], kf)
     hb = run_gru(gates_b[steps[::-1]], p["ub"], kb)[::-1]
     h = np.concatenate([hf, hb], 2)
-    a = np.tanh(h @ p["wa"])
-    e = a @ p["va"] + np.where(steps == 0, np.float32(-30), np.float32(0))
+    a = np.tanh(times(h, p["wa"]))
+    e = times(a, p["va"]) + np.where(steps == 0, np.float32(-30), np.float32(0))
     e = np.exp(e - e.max(0))
     w = e / e.sum(0)
     pooled = np.einsum("tb,tbh->bh", w, h)
     if keep is not None:
         keep.update(kf=kf, kb=kb, h=h, a=a, w=w, pooled=pooled, steps=steps)
-    return pooled @ p["wo"] + p["bo"]
+    return times(pooled, p["wo"]) + p["bo"]
 
 
 def gates(p: Params, word: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.concatenate([word, chars], 1)
-    return (x @ p["wf"] + p["bf"]).astype(np.float32), (x @ p["wb"] + p["bb"]).astype(np.float32)
+    return times(x, p["wf"]) + p["bf"], times(x, p["wb"]) + p["bb"]
+
+
+def backward(p: Params, c: dict, d: np.ndarray, x: np.ndarray, rows: np.ndarray) -> tuple[Params, np.ndarray]:
+    """Gradients of all parameters behind the inputs x of the used words, and of x itself. c: what forward kept;
+    d: gradient of each window's logit; rows: (windows, WINDOW) numbers of rows of x."""
+    g = {"wo": c["pooled"].T @ d, "bo": np.array([d.sum()])}
+    dp = d[:, None] * p["wo"]
+    dw = np.einsum("bh,tbh->tb", dp, c["h"])
+    de = c["w"] * (dw - (c["w"] * dw).sum(0))
+    da = de[:, :, None] * p["va"] * (1 - c["a"] ** 2)
+    g["va"] = np.einsum("tb,tba->a", de, c["a"])
+    g["wa"] = np.einsum("tbh,tba->ha", c["h"], da)
+    dh = c["w"][:, :, None] * dp + da @ p["wa"].T
+    dx = np.zeros_like(x)
+    for way, part, kept, turn in (("f", slice(0, HIDDEN), c["kf"], 1), ("b", slice(HIDDEN, None), c["kb"], -1)):
+        dg, g[f"u{way}"] = back_gru(dh[::turn, :, part], p[f"u{way}"], kept)
+        by_row = np.zeros((len(x), 3 * HIDDEN), x.dtype)
+        np.add.at(by_row, rows.T[::turn].ravel(), dg.reshape(-1, 3 * HIDDEN))
+        g[f"w{way}"], g[f"b{way}"] = x.T @ by_row, by_row.sum(0)
+        dx += by_row @ p[f"w{way}"].T
+    return g, dx
 
 
 def pad_row(p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -216,22 +258,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 0.0
             local = local[top]
             logit = forward(p, gf, gb, local, c)
             d = ((sigmoid(logit) - y[pick]) / len(pick)).astype(np.float32)
-            g = {"wo": c["pooled"].T @ d, "bo": np.array([d.sum()])}
-            dp = d[:, None] * p["wo"]
-            dw = np.einsum("bh,tbh->tb", dp, c["h"])
-            de = c["w"] * (dw - (c["w"] * dw).sum(0))
-            da = de[:, :, None] * p["va"] * (1 - c["a"] ** 2)
-            g["va"] = np.einsum("tb,tba->a", de, c["a"])
-            g["wa"] = np.einsum("tbh,tba->ha", c["h"], da)
-            dh = c["w"][:, :, None] * dp + da @ p["wa"].T
-            x = np.concatenate([vecs, chars], 1)
-            dx = np.zeros_like(x)
-            for way, part, kept, turn in (("f", slice(0, HIDDEN), c["kf"], 1), ("b", slice(HIDDEN, None), c["kb"], -1)):
-                dg, g[f"u{way}"] = back_gru(dh[::turn, :, part], p[f"u{way}"], kept)
-                by_row = np.zeros((len(used), 3 * HIDDEN), np.float32)
-                np.add.at(by_row, local.T[::turn].ravel(), dg.reshape(-1, 3 * HIDDEN))
-                g[f"w{way}"], g[f"b{way}"] = x.T @ by_row, by_row.sum(0)
-                dx += by_row @ p[f"w{way}"].T
+            g, dx = backward(p, c, d, np.concatenate([vecs, chars], 1), local)
             g["word"] = np.zeros_like(p["word"])
             np.add.at(g["word"], vocab[k], dx[1:, :WORD_DIM] * seen[:, None])
             g["char"] = np.zeros_like(p["char"])
@@ -250,13 +277,14 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 0.0
 
 class Scorer:
     def __init__(self, vocabulary: dict[str, int], p: Params):
-        self.p, self.words = p, Words(vocabulary)
-        self.tables = pad_row(p)
+        self.p, self.words = fixed_point(p), Words(vocabulary)
+        self.tables = pad_row(self.p)
 
     def learn(self) -> None:
         vocab, codes, begins = self.words.rows_of_fresh()
         if len(vocab):
-            new = gates(self.p, self.p["word"][vocab] * (vocab > 0)[:, None], char_means(self.p["char"], codes, begins))
+            vecs = np.where((vocab > 0)[:, None], self.p["word"][vocab], np.float32(0))
+            new = gates(self.p, vecs, char_means(self.p["char"], codes, begins))
             self.tables = tuple(np.vstack(x) for x in zip(self.tables, new))
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -276,13 +304,22 @@ class Scorer:
         return sigmoid(top)
 
 
+def drawn_share(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """About `most` of the rows, by a threshold on a hash of their key; all of them, if they are no more than that."""
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(F.lit(5), *key), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_texts: int, max_chars: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """At most max_texts labelled texts, picked by a hash of the id. Six times as many labels are drawn first,
-    so that the side which is broadcast to the documents has a fixed bound."""
-    drawn = labels.where(F.col(label_col).isNotNull()).select(id_col, label_col).orderBy(F.xxhash64(F.lit(5), id_col), label_col).limit(6 * max_texts)
+    """At most max_texts labelled texts, picked by a hash of the id, one text of each id. About six times as many labels
+    are drawn first, so that the side which is broadcast to the documents does not grow with them."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias(label_col)).distinct()
+    drawn = drawn_share(known, 6 * max_texts, id_col)
     short = docs.where(F.col(text_col).isNotNull() & (F.char_length(text_col) <= max_chars)).select(id_col, text_col)
-    both = short.join(F.broadcast(drawn), id_col)
-    got = both.orderBy(F.xxhash64(F.lit(5), id_col), text_col, label_col).limit(max_texts).collect()
+    both = written(short.join(F.broadcast(drawn), id_col).groupBy(id_col, label_col).agg(F.min(text_col).alias(text_col)), "labelled")
+    got = drawn_share(both, max_texts, id_col).withColumn("_h", F.xxhash64(F.lit(5), id_col)).collect()
+    delete(both)
+    got = sorted(got, key=lambda r: (r["_h"], r[id_col], r[label_col]))[:max_texts]
     return [r[text_col] for r in got], np.array([int(r[label_col]) for r in got])
 
 

@@ -345,23 +345,60 @@ def test_toxicity_scores_every_window():
 
 
 def test_gradients():
-    """The whole backward pass against differences of the loss."""
+    """The whole backward pass, from the logits to every parameter and the words' inputs, against differences of the loss."""
     rng = np.random.default_rng(1)
-    u = rng.normal(size=(toxicity.HIDDEN, 3 * toxicity.HIDDEN)).astype(np.float32)
-    g = rng.normal(size=(5, 2, 3 * toxicity.HIDDEN)).astype(np.float32)
-    kept = []
-    out = toxicity.run_gru(g, u, kept)
-    dg, du = toxicity.back_gru(2 * out, u, kept)
-    loss = lambda g, u: float((toxicity.run_gru(g, u).astype(np.float64) ** 2).sum())
-    for _ in range(12):
-        i = tuple(rng.integers(s) for s in g.shape)
-        e = np.zeros_like(g)
-        e[i] = 1e-2
-        assert abs((loss(g + e, u) - loss(g - e, u)) / 2e-2 - dg[i]) < 0.02 * max(1, abs(dg[i]))
-        j = tuple(rng.integers(s) for s in u.shape)
-        e = np.zeros_like(u)
-        e[j] = 1e-2
-        assert abs((loss(g, u + e) - loss(g, u - e)) / 2e-2 - du[j]) < 0.02 * max(1, abs(du[j]))
+    p = {k: v.astype(np.float64) for k, v in toxicity.start(rng).items() if k not in ("word", "char")}
+    x = rng.normal(size=(9, toxicity.WORD_DIM + toxicity.CHAR_DIM))
+    rows = rng.integers(0, 9, (5, toxicity.WINDOW))
+    rows[1, 10:] = 0
+
+    def logits(p, x, keep=None):
+        return toxicity.forward(p, *toxicity.gates(p, x[:, : toxicity.WORD_DIM], x[:, toxicity.WORD_DIM :]), rows, keep)
+
+    c: dict = {}
+    out = logits(p, x, c)
+    g, dx = toxicity.backward(p, c, 2 * out, x, rows)
+    assert set(g) == set(p)
+    for name, grad in {**g, "x": dx}.items():
+        for _ in range(8):
+            at = tuple(rng.integers(n) for n in grad.shape)
+            there = {k: v.copy() for k, v in p.items()} | {"x": x.copy()}
+            there[name][at] += 1e-5
+            back = {k: v.copy() for k, v in p.items()} | {"x": x.copy()}
+            back[name][at] -= 1e-5
+            slope = ((logits(there, there["x"]) ** 2).sum() - (logits(back, back["x"]) ** 2).sum()) / 2e-5
+            assert abs(slope - grad[at]) < 1e-5 * max(1, abs(grad[at])), (name, at)
+
+
+def test_toxicity_does_not_depend_on_the_batch(spark):
+    """Equal texts have equal scores wherever they are scored, under any partitioning."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(900)] + ["awful", "...", "é", "x" * 40]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 5, 24, 25, 90, 400]))) for _ in range(300)]
+    model = toxicity.fit(texts[:200], np.array([rng.random() < 0.4 for _ in range(200)], int))
+    alone = {t: toxicity.Scorer(*model).score([t])[0] for t in texts}
+    for _ in range(4):
+        rng.shuffle(texts)
+        scorer, at = toxicity.Scorer(*model), 0
+        while at < len(texts):
+            some = texts[at : at + rng.randint(1, 80)]
+            assert [alone[t] for t in some] == scorer.score(some).tolist()
+            at += len(some)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 3 == 0) for k in range(150)], "doc_id long, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    got = defaultdict(set)
+    for parts in (1, 3, 7):
+        for r in toxicity.score_documents(docs.repartition(parts), labels).collect():
+            got[texts[r.doc_id % len(texts)]].add(r.score)
+    assert all(len(s) == 1 for s in got.values())
+
+
+def test_toxicity_labels_are_drawn_by_a_threshold(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).unionByName(spark.createDataFrame([(5, "again")] * 50, "doc_id long, text string"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic")).unionByName(spark.createDataFrame([(5, 1)] * 50, "doc_id long, toxic long"))
+    texts, y = toxicity.labelled_sample(docs, labels, 100, 4000, "doc_id", "text", "toxic")
+    assert 60 <= len(texts) <= 100 and len(set(texts)) == len(texts) and len(y) == len(texts)
+    assert len(toxicity.labelled_sample(docs, labels, 10_000, 4000, "doc_id", "text", "toxic")[0]) == 3000
 
 
 # -- 8 ------------------------------------------------------------------------------------------------------------
