@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import date
 
@@ -433,8 +432,7 @@ def _(s, d):
 
 @query("versioned_publish", "SELECT 2 AS version, count(*) AS n FROM customer", adapter=False)
 def _(s, d):
-    shared = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    folder, customers = f"{shared}/published-{uuid.uuid4().hex}", read(s, d, "customer")
+    folder, customers = f"{archive.shared_folder(s)}/published-{uuid.uuid4().hex}", read(s, d, "customer")
     archive.publish({"customer": customers.where("c_custkey % 2 = 0")}, folder, 1)
     archive.publish({"customer": customers}, folder, 2)
     customers.where("c_custkey % 3 = 0").write.mode("overwrite").parquet(f"{folder}/customer/version=3")  # written, never committed
