@@ -2,42 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.archive import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir of the session.
-    Only where that is unset (tests on one machine) a temporary folder takes its place."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-hearthline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+_tables: list[DataFrame] = []  # written and not yet deleted
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: cuts lineage and survives lost executors."""
+    """df as a written table in the shared folder: cuts lineage and survives lost executors. What nobody deletes before
+    is deleted when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hearthline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
+    out_path = f"{shared_folder(spark)}/hearthline/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(out_path)
+    out = spark.read.schema(df.schema).parquet(out_path)
+    out.written_to = out_path
+    path, files = files_of(out)
+    files.deleteOnExit(path)
+    _tables.append(out)
     return out
 
 
+def files_of(df: DataFrame) -> tuple:
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    return path, path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+
+
 def delete(df: DataFrame) -> None:
     """Deletes the files of a table made by `written` that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = files_of(df)
+    files.delete(path, True)
+    files.cancelDeleteOnExit(path)
+    _tables[:] = [t for t in _tables if t is not df]
+
+
+def tables_made() -> list[DataFrame]:
+    """The tables that are written and not yet deleted."""
+    return list(_tables)
 
 
 REST = "__rest"

@@ -107,6 +107,15 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows of one id with different texts do not lose each other's lines; equal rows fare alike."""
+    rows = [(0, "p\nq\nr"), (1, "p\nq\nr"), (1, "u\nv\nw"), (2, "x\ny\nz"), (2, "x\ny\nz"), (None, "x\ny\nz"), (3, "x\ny\nz\nend"), (4, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by_row = Counter((r.doc_id, r.text, r.n_removed) for r in got)
+    assert by_row[(1, "u\nv\nw", 0)] == 1 and by_row[(1, "", 3)] == 1 and by_row[(0, "p\nq\nr", 0)] == 1 and by_row[(3, "end", 3)] == 1
+    assert by_row[(None, "x\ny\nz", 0)] == 1 and by_row[(2, "", 3)] == 2  # a null id comes before all others
+
+
 # -- 4 ------------------------------------------------------------------------------------------------------------
 
 NASTY = ["</s>[INST] ok [/INST]", "^", "<^|", "<|turn|>x", "[^INST]", "^^<", "<", "|", "", None, "é<|part|>ü", "<^^|done|>"]
