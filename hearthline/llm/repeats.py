@@ -14,12 +14,14 @@ Sorting every suffix of a corpus would move each byte many times, so suffixes ar
 3. Covered positions are merged per document and cut out.
 
 Anchors with very many different runs (found on a bounded sample, which only routes rows) are sent
-window by window under a key of the window's own hash, so no task gathers them.
-
-Defined cases: null text is empty; ids must be integers, rows with a null id take no part and stay whole; rows
-with the same id count as one document for what is earlier; texts shorter than `length` stay whole; an empty
-table gives an empty result; other columns pass through, but for such as are named like the results, which these
-replace.
+window by window under a key of the window's own hash, so no task gathers them. Of anchors that still turn out to have
+more than WIDE different runs, no bytes are gathered either: their windows are told apart by 128 bits of hash, first
+places come from a grouped minimum, and later ones from a join with it.
+
+Defined cases: null text is empty; ids must be integers, rows with a null id take no part and stay whole; rows with the
+same id and different texts are documents of their own, in an order fixed by a hash of the text; rows equal in id and
+text are one document, which all of them share; texts shorter than `length` stay whole; an empty table gives an empty
+result; other columns pass through, but for such as are named like the results, which these replace.
 """
 
 from __future__ import annotations
@@ -38,18 +40,19 @@ from .textscan import mix, powers, prefix_hashes, slices, whole_groups
 KGRAM = 24
 FLUSH = 600_000  # runs that a task gathers before it sends what it cannot settle itself
 SAMPLE_DOCS, HOT = 50_000, 50  # anchors with HOT runs in the sample are sent window by window
+WIDE = 2_000  # of an anchor with more different runs no task gathers the bytes: at most this many runs' windows do
 INDEX = np.uint64((1 << 24) - 1)
 PIECE = 1_000_000  # windows of a text that are looked at together; with the bytes of the last one, far below INDEX
-RUN = "key long, ctx long, doc_id long, first long, n long, settled boolean"
+RUN = "key long, ctx long, doc_id long, row long, first long, n long, settled boolean"
 
 
-def in_pieces(ids: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(ids, texts, where they begin) with longer texts as pieces of PIECE windows, which overlap by length - 1 bytes:
+def in_pieces(texts: list[bytes], length: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(numbers of the texts, pieces, where they begin) with longer texts as pieces of PIECE windows, which overlap by length - 1 bytes:
     every window lies whole in one piece. A run cut by a border has another ctx than its copies; as its anchor is the
     same, its windows are compared."""
     begins = [range(0, max(1, len(t) - length + 1), PIECE) for t in texts]
     parts = [t[at : at + PIECE + length - 1] if len(b) > 1 else t for t, b in zip(texts, begins) for at in b]
-    return np.repeat(ids, [len(b) for b in begins]), parts, np.array([at for b in begins for at in b], np.int64)
+    return np.repeat(np.arange(len(texts)), [len(b) for b in begins]), parts, np.array([at for b in begins for at in b], np.int64)
 
 
 def runs(texts: list[bytes], length: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -93,33 +96,41 @@ def runs(texts: list[bytes], length: int, hot: np.ndarray) -> tuple[np.ndarray,
     return key, ctx, text, lo - begin_of[lo], hi - lo
 
 
-def merged(doc: np.ndarray, first: np.ndarray, n: np.ndarray, slack: int = 0) -> tuple[np.ndarray, ...]:
-    """Stretches [first, first + n) of each document joined where they touch or lie within `slack`."""
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before in any of the columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def merged(doc: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, slack: int = 0) -> tuple[np.ndarray, ...]:
+    """Stretches [first, first + n) of each document (doc, row) joined where they touch or lie within `slack`."""
     if not len(doc):
-        return doc, first, n
-    order = np.lexsort((first, doc))
-    doc, first, end = doc[order], first[order], (first + n)[order]
-    new_doc = np.append(True, doc[1:] != doc[:-1])
+        return doc, row, first, n
+    order = np.lexsort((first, row, doc))
+    doc, row, first, end = doc[order], row[order], first[order], (first + n)[order]
+    new_doc = starts_of(doc, row)
     # Running maximum of the ends within each document: shift every document above the one before.
     shift = (np.cumsum(new_doc) - 1) * (int(end.max()) + 1 + slack)
     reach = np.maximum.accumulate(end + shift)
     new = np.append(True, (first + shift)[1:] > reach[:-1] + slack) | new_doc
     at = np.flatnonzero(new)
     last = np.append(at[1:] - 1, len(doc) - 1)
-    return doc[at], first[at], (reach - shift)[last] - first[at]
+    return doc[at], row[at], first[at], (reach - shift)[last] - first[at]
 
 
-def settle(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(order, head, later, several): rows sorted by (key, ctx, place); head: first of its (key, ctx);
-    later: the same bytes lie earlier; several: the key has other runs as well."""
-    order = np.lexsort((first, doc, ctx, key))
-    key, ctx, doc, first = key[order], ctx[order], doc[order], first[order]
-    new_key = np.append(True, key[1:] != key[:-1])
-    head = new_key | np.append(True, ctx[1:] != ctx[:-1])
+def settle(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(order, head, later, runs): rows sorted by (key, ctx, place); head: first of its (key, ctx);
+    later: the same bytes lie earlier; runs: how many different ones the key has."""
+    order = np.lexsort((first, row, doc, ctx, key))
+    key, ctx, doc, row, first = (x[order] for x in (key, ctx, doc, row, first))
+    new_key, head = starts_of(key), starts_of(key, ctx)
     at = np.flatnonzero(head)[np.cumsum(head) - 1]
-    later = (doc != doc[at]) | (first != first[at])
+    later = (doc != doc[at]) | (row != row[at]) | (first != first[at])
     number = np.cumsum(new_key) - 1
-    return order, head, later, (np.bincount(number[head]) > 1)[number]
+    return order, head, later, np.bincount(number[head])[number]
 
 
 def run_rows(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
@@ -128,23 +139,25 @@ def run_rows(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
     keys = docs.sparkSession.sparkContext.broadcast(hot)  # SAMPLE_DOCS times runs of a text, over HOT, at most
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, ctx, doc, first, n = (np.concatenate(x) for x in zip(*held))
-        order, head, later, _ = settle(key, ctx, doc, first)
-        key, ctx, doc, first, n = (x[order] for x in (key, ctx, doc, first, n))
-        gone = merged(doc[later], first[later], n[later])
-        spread = mix(gone[0].astype(np.uint64) * np.uint64(3) + gone[1].astype(np.uint64))
+        key, ctx, doc, row, first, n = (np.concatenate(x) for x in zip(*held))
+        order, head, later, _ = settle(key, ctx, doc, row, first)
+        key, ctx, doc, row, first, n = (x[order] for x in (key, ctx, doc, row, first, n))
+        gone = merged(doc[later], row[later], first[later], n[later])
+        spread = mix(gone[0].astype(np.uint64) * np.uint64(3) + gone[2].astype(np.uint64))
         cols = [np.concatenate([key[head], spread]).view(np.int64), np.concatenate([ctx[head], spread]).view(np.int64)]
-        cols += [np.concatenate([x[head], g]) for x, g in zip((doc, first, n), gone)]
+        cols += [np.concatenate([x[head], g]) for x, g in zip((doc, row, first, n), gone)]
         settled = np.repeat([False, True], [int(head.sum()), len(gone[0])])
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, settled)], ["key", "ctx", "doc_id", "first", "n", "settled"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, settled)], ["key", "ctx", "doc_id", "row", "first", "n", "settled"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
-            ids, texts, begin = in_pieces(batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist(), length)
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            of, texts, begin = in_pieces(batch.column(2).cast(pa.binary()).to_pylist(), length)
             for at, upto in slices(texts, 1_000_000):
                 key, ctx, text, first, n = runs(texts[at:upto], length, keys.value)
-                held.append((key, ctx, ids[at:upto][text], begin[at:upto][text] + first, n))
+                owner = of[at:upto][text]
+                held.append((key, ctx, ids[owner], hashes[owner], begin[at:upto][text] + first, n))
                 rows += len(key)
                 if rows >= FLUSH:
                     yield flush(held)
@@ -153,7 +166,7 @@ def run_rows(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
             yield flush(held)
 
     long_enough = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    return long_enough.select("doc_id", "text").mapInArrow(run, RUN)
+    return long_enough.select("doc_id", "row", "text").mapInArrow(run, RUN)
 
 
 def hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
@@ -166,34 +179,36 @@ def hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
 
 
 def sort_out(rows: DataFrame) -> DataFrame:
-    """(doc_id, first, n, key): stretches of later copies (key null) and runs whose anchors have several (key set)."""
+    """(doc_id, row, first, n, key, wide): stretches of later copies (key null) and runs whose anchors have several (key
+    set; wide: more than WIDE)."""
+    columns = ("key", "ctx", "doc_id", "row", "first", "n", "settled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "key"):
-            key, ctx, doc, first, n, settled = (t.column(c).to_numpy() for c in ("key", "ctx", "doc_id", "first", "n", "settled"))
-            done = [x[settled] for x in (doc, first, n)]
-            key, ctx, doc, first, n = (x[~settled] for x in (key, ctx, doc, first, n))
-            order, head, later, several = settle(key, ctx, doc, first)
-            key, doc, first, n = (x[order] for x in (key, doc, first, n))
-            look = head & several
-            out = [np.concatenate([d, x[later], x[look]]) for d, x in zip(done, (doc, first, n))]
+            *given, settled = (t.column(c).to_numpy() for c in columns)
+            done = [x[settled] for x in given[2:]]
+            key, ctx, doc, row, first, n = (x[~settled] for x in given)
+            order, head, later, several = settle(key, ctx, doc, row, first)
+            key, doc, row, first, n = (x[order] for x in (key, doc, row, first, n))
+            look = head & (several > 1)
+            out = [np.concatenate([d, x[later], x[look]]) for d, x in zip(done, (doc, row, first, n))]
             keys = np.concatenate([np.zeros(len(done[0]) + int(later.sum()), np.int64), key[look]])
+            wide = np.concatenate([np.zeros(len(keys) - int(look.sum()), bool), several[look] > WIDE])
             null = np.arange(len(keys)) < len(keys) - int(look.sum())
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(keys, mask=null)], ["doc_id", "first", "n", "key"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(keys, mask=null), pa.array(wide)], ["doc_id", "row", "first", "n", "key", "wide"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, first long, n long, key long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, row long, first long, n long, key long, wide boolean")
 
 
-def longest_previous(suffixes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def longest_previous(suffixes: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Whether each suffix (fixed width) has a longest previous factor of that width: in suffix order, its
     previous or next smaller position lies within the same stretch of full common prefixes."""
     order = np.argsort(suffixes, kind="stable")  # the suffix array
     s = suffixes[order]
     stretch = np.cumsum(np.append(True, s[1:] != s[:-1])) - 1  # neighbours' common prefix falls short between stretches
     place = np.empty(len(order), np.int64)
-    by_place = np.lexsort((pos, doc))
-    same = np.append(True, (doc[by_place][1:] != doc[by_place][:-1]) | (pos[by_place][1:] != pos[by_place][:-1]))
-    place[by_place] = np.cumsum(same) - 1
+    by_place = np.lexsort((pos, row, doc))
+    place[by_place] = np.cumsum(starts_of(doc[by_place], row[by_place], pos[by_place])) - 1
     place = place[order]
     top = len(order) + 1
     # Running minima within stretches: later stretches are shifted down going right, up going left.
@@ -204,57 +219,98 @@ def longest_previous(suffixes: np.ndarray, doc: np.ndarray, pos: np.ndarray) ->
     return found
 
 
+def cut_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list, ...]]:
+    """Of documents (doc_id, row, text, looks) the runs to look at: lists of key, doc, row, first window and bytes."""
+    for batch in batches:
+        ids, hashes, marks = (batch.column(k).to_pylist() for k in (0, 1, 3))
+        texts = batch.column(2).cast(pa.binary()).to_pylist()
+        rows = [(m["key"], d, h, m["first"], t[m["first"] : m["first"] + m["n"] - 1 + length]) for d, h, t, ms in zip(ids, hashes, texts, marks) for m in ms]
+        for at in range(0, len(rows), 20_000):
+            yield tuple(zip(*rows[at : at + 20_000]))
+
+
+def windows_of(parts: list[bytes], first: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(bytes together, where each window starts in them, number of its part, its place in the text)."""
+    size = np.array([len(p) for p in parts], np.int64)
+    n = size - length + 1
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    part = np.repeat(np.arange(len(parts)), n)
+    return np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.cumsum(size) - size, n) + within, part, first[part] + within
+
+
 def window_repeats(docs: DataFrame, looks: DataFrame, length: int) -> DataFrame:
-    """(doc_id, first, n) of repeated windows in runs whose anchors have several; looks (doc_id, looks)."""
+    """(doc_id, row, first, n) of repeated windows in runs whose anchors have several; looks (doc_id, row, looks)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, marks = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
-            rows = [(m["key"], d, m["first"], t[m["first"] : m["first"] + m["n"] - 1 + length]) for d, t, ms in zip(ids, texts, marks) for m in ms]
-            for at in range(0, len(rows), 20_000):
-                cols = list(zip(*rows[at : at + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "doc_id", "first", "bytes"])
+        for cols in cut_runs(batches, length):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "doc_id", "row", "first", "bytes"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "key", 2_000_000):
-            parts = t.column("bytes").to_pylist()
-            size = np.array([len(p) for p in parts], np.int64)
-            n = size - length + 1
-            raw = np.frombuffer(b"".join(parts), np.uint8)
-            begin = np.cumsum(size) - size
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            starts = np.repeat(begin, n) + within
-            every = np.lib.stride_tricks.sliding_window_view(raw, length)
-            suffixes = np.ascontiguousarray(every[starts]).view(f"S{length}").ravel()
-            doc = np.repeat(t.column("doc_id").to_numpy(), n)
-            pos = np.repeat(t.column("first").to_numpy(), n) + within
-            found = longest_previous(suffixes, doc, pos)
-            out = merged(doc[found], pos[found], np.ones(int(found.sum()), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc_id", "first", "n"])
-
-    bytes_of = docs.select("doc_id", "text").join(looks, "doc_id").mapInArrow(cut, "key long, doc_id long, first long, bytes binary")
-    return bytes_of.repartition("key").sortWithinPartitions("key").mapInArrow(find, "doc_id long, first long, n long")
+            raw, starts, part, pos = windows_of(t.column("bytes").to_pylist(), t.column("first").to_numpy(), length)
+            suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, length)[starts]).view(f"S{length}").ravel()
+            doc, row = t.column("doc_id").to_numpy()[part], t.column("row").to_numpy()[part]
+            found = longest_previous(suffixes, doc, row, pos)
+            out = merged(doc[found], row[found], pos[found], np.ones(int(found.sum()), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc_id", "row", "first", "n"])
+
+    bytes_of = docs.select("doc_id", "row", "text").join(looks, ["doc_id", "row"]).mapInArrow(cut, "key long, doc_id long, row long, first long, bytes binary")
+    return bytes_of.repartition("key").sortWithinPartitions("key").mapInArrow(find, "doc_id long, row long, first long, n long")
+
+
+def wide_repeats(docs: DataFrame, looks: DataFrame, length: int) -> DataFrame:
+    """The same for anchors of very many runs: windows meet by 128 bits of hash in a grouped minimum and a join."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, hashes, first, parts in cut_runs(batches, length):
+            raw, starts, part, pos = windows_of(list(parts), np.array(first, np.int64), length)
+            sums, inv = prefix_hashes(raw)
+            a = mix((sums[starts + length] - sums[starts]) * inv[starts])
+            sums, inv = prefix_hashes(raw ^ np.uint8(0xA5))
+            b = mix((sums[starts + length] - sums[starts]) * inv[starts] + a)
+            cols = (a.view(np.int64), b.view(np.int64), np.array(ids, np.int64)[part], np.array(hashes, np.int64)[part], pos)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "doc_id", "row", "first"])
+
+    rows = docs.select("doc_id", "row", "text").join(looks, ["doc_id", "row"]).mapInArrow(cut, "a long, b long, doc_id long, row long, first long")
+    rows = written(rows, "windows")
+    place = F.struct("doc_id", "row", "first")
+    least = written(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1").drop("n"), "least")
+    out = written(rows.join(least, ["a", "b"]).where(place != F.col("least")).select("doc_id", "row", "first", F.lit(1).cast("long").alias("n")), "later")
+    delete(rows)
+    delete(least)
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, stretches of repeated window starts): docs (doc_id long, text)."""
+    """(doc_id, row, gone: stretches of repeated window starts), a written table; docs (doc_id long, row long, text)."""
     powers(1_000_000)
     rows = run_rows(docs, length, hot_anchors(docs, length))
     marks = sort_out(rows)
-    stretch = F.struct("first", "n")
-    marks = written(marks.groupBy("doc_id").agg(F.collect_list(F.when(F.col("key").isNull(), stretch)).alias("gone"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "first", "n"))).alias("looks")), "marks")
-    more = window_repeats(docs, marks.where(F.size("looks") > 0).select("doc_id", "looks"), length)
-    more = more.groupBy("doc_id").agg(F.collect_list(stretch).alias("gone"))
-    spans = written(marks.select("doc_id", "gone").unionByName(more).groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone")), "spans")
-    delete(marks)
+    stretch, look = F.struct("first", "n"), F.struct("key", "first", "n")
+    kept = lambda test, what: F.collect_list(F.when(test, what))
+    narrow = F.col("key").isNotNull() & ~F.col("wide")
+    marks = written(marks.groupBy("doc_id", "row").agg(kept(F.col("key").isNull(), stretch).alias("gone"), kept(narrow, look).alias("looks"), kept(F.col("wide"), look).alias("wide")), "marks")
+    more = window_repeats(docs, marks.where(F.size("looks") > 0).select("doc_id", "row", "looks"), length)
+    wide = marks.where(F.size("wide") > 0).select("doc_id", "row", F.col("wide").alias("looks"))
+    made = [marks]
+    if wide.head(1):
+        made.append(wide_repeats(docs, wide, length))
+        more = more.unionByName(made[-1])
+    more = more.groupBy("doc_id", "row").agg(F.collect_list(stretch).alias("gone"))
+    spans = written(marks.select("doc_id", "row", "gone").unionByName(more).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("gone")).alias("gone")), "spans")
+    for used in made:
+        delete(used)
     return spans
 
 
 def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: str = "bytes") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept_sha256; with keep="bytes" also kept, the bytes left."""
-    work = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(work, length).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    joined = set_aside(docs, id_col, text_col).join(spans, F.col(id_col).cast("long") == F.col("_id"), "left").select(id_col, REST, text_col, "_gone")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    work = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    spans = repeated_spans(work, length).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+    mine = set_aside(docs, id_col, text_col).withColumn("_hash", F.xxhash64(text))
+    joined = mine.join(spans, (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_hash") == F.col("_row")), "left").select(id_col, REST, text_col, "_gone")
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * (keep == "bytes")]
     kinds = [f"`{n}` {t}" for n, t in joined.dtypes[: 3 if keep == "bytes" else 2]] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept binary"][: len(made)]
     passed = [id_col, REST, text_col][: 3 if keep == "bytes" else 2]
@@ -266,7 +322,8 @@ def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
             for t, marks in zip(texts, gone):
                 t, marks = t or b"", marks or []
                 first, n = np.array([m["first"] for m in marks], np.int64), np.array([m["n"] for m in marks], np.int64)
-                _, first, n = merged(np.zeros(len(marks), np.int64), first, n + length - 1)
+                none = np.zeros(len(marks), np.int64)
+                *_, first, n = merged(none, none, first, n + length - 1)
                 edges = [0, *(x for pair in zip(first.tolist(), (first + n).tolist()) for x in pair), len(t)]
                 kept = b"".join(t[a:b] for a, b in zip(edges[0::2], edges[1::2]))
                 rows.append((len(t), len(t) - len(kept), len(first), hashlib.sha256(kept).hexdigest(), kept))

@@ -430,9 +430,10 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [50, 2])
-def test_repeats(spark, rows, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "wide"), [(50, 2000), (2, 2000), (50, 2)])
+def test_repeats(spark, rows, hot, wide, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "WIDE", wide)
     rng = random.Random(6)
     more = [(20_000 + i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 20))) * rng.randint(0, 30)) for i in range(150)] + [(20_500, "é" * 99), (20_501, "é" * 99 + "x")]
     df = clashing(spark.createDataFrame(rows + more, "doc_id long, text string")).repartition(3)
@@ -451,16 +452,27 @@ def test_repeats_far_into_a_long_text(spark):
 
 def test_repeats_defined_cases(spark):
     df = spark.createDataFrame([(1, "a" * 150 + "b"), (1, "a" * 150 + "b"), (None, "z" * 300), (2, None), (3, "a" * 150 + "c")], "doc_id long, text string")
-    out = {(r.doc_id, r.n_removed) for r in repeats.cut_repeats(df).collect()}
-    assert (None, 0) in out and (2, 0) in out and (3, 150) in out and (1, 149) in out
+    out = Counter((r.doc_id, r.n_removed) for r in repeats.cut_repeats(df).collect())
+    assert out == {(None, 0): 1, (2, 0): 1, (3, 150): 1, (1, 149): 2}
     assert repeats.cut_repeats(df.where("false")).count() == 0
 
 
+def test_repeats_of_repeated_ids(spark):
+    """An id's second text loses only its own repeated bytes."""
+    rng = random.Random(4)
+    one, two, three = ("".join(rng.choice("abcdefgh") for _ in range(180)) for _ in range(3))
+    rows = [(1, one), (2, one), (2, two), (3, two + three), (3, three + "x" * 5)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[(1, 180, 0)] == got[(2, 180, 180)] == got[(2, 180, 0)] == 1
+    assert got[(3, 360, 180)] + got[(3, 360, 360)] == 1 and got[(3, 185, 180)] + got[(3, 185, 0)] == 1  # the order of these two is that of a hash
+    assert got[(3, 360, 180)] == got[(3, 185, 180)]
+
+
 def test_longest_previous_on_small_strings():
     text = b"abcabxabcab"
     pos = np.arange(len(text) - 2)
     suffixes = np.array([text[p : p + 3] for p in pos], "S3")
-    assert repeats.longest_previous(suffixes, np.zeros(len(pos), np.int64), pos).tolist() == [text.find(text[p : p + 3]) < p for p in pos]
+    assert repeats.longest_previous(suffixes, np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64), pos).tolist() == [text.find(text[p : p + 3]) < p for p in pos]
 
 
 # -- 9 ------------------------------------------------------------------------------------------------------------
