@@ -42,7 +42,7 @@ def delete(df: DataFrame) -> None:
     path, files = files_of(df)
     files.delete(path, True)
     files.cancelDeleteOnExit(path)
-    _tables[:] = [t for t in _tables if t is not df]
+    _tables[:] = [t for t in _tables if t.written_to != df.written_to]
 
 
 def tables_made() -> list[DataFrame]:

@@ -9,7 +9,7 @@ from .common import delete, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> (id, component): the smallest id reachable, for every id that has an edge to another.
+    """edges (a, b) -> (id, component), a written table: the smallest id reachable, for every id that has an edge to another.
 
     Each step is a grouped minimum and a join back, so that no node's neighbours meet in one task; the
     rounds grow with the logarithm of the longest path."""
@@ -35,5 +35,7 @@ def connected(edges: DataFrame) -> DataFrame:
         now = after
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out.written_to = now.written_to
+            return out
         mark = seen

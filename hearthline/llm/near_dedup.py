@@ -9,14 +9,12 @@
 3. Connected candidates come together with their full sets, and only exact links (percent * union <=
    100 * intersection) go on, again as a spanning forest. Their components are the answer.
 
-Large buckets are cut into chunks by a hash of the id, and every two chunks meet in a block. A block's rows of
-registers are held (131,072 at most), but estimates only for a tile of them: a row leaves once it is linked, so near
-copies cost a few estimates a row, and only rows that link with nothing meet all others.
-
-Candidate groups of few chunks are compared whole, chunk by chunk. Members of larger ones are first dealt DEALS times
-into pieces of a chunk's size; links found there join most near copies. Then every member outside the group's largest
-part is compared with all members, and what is in that part already is not compared with itself again. No pair of
-members in different parts is left out.
+Buckets and candidate groups are met in the same way, in blocks of a fixed size whatever their own is. Groups of few
+chunks are compared whole: every two chunks meet in a block. Members of larger ones are first dealt DEALS times into
+pieces of a chunk's size; links found there join most near copies. Then every member outside the group's largest part
+(of all members that are connected by now) is compared with all members, and what is in that part already is not
+compared with itself again. No pair of members in different parts is left out. So copies travel a few times each, and
+only members that link with nothing meet all others, in blocks spread over all tasks.
 
 Chance of losing one link at the threshold: (1 - 0.85 ** 5) ** 25 = 4e-7, (1 - 0.8 ** 4) ** 32 = 5e-8.
 
@@ -41,13 +39,10 @@ from .components import connected
 from .textscan import mix, shingle_sets, slices
 
 SHINGLE, REGISTERS, MANTISSA = 5, 128, 10
-#: A bucket is cut into chunks of CHUNK rows, but into CHUNKS_MOST at most before chunks grow: so a row is repeated
-#: that many times at most until chunks reach CHUNK_MOST rows.
-CHUNK, CHUNKS_MOST, CHUNK_MOST = 256, 16, 65_536
-#: Blocks of up to TILE rows are estimated at once, larger ones FRONT rows against TILE at a time.
-TILE, FRONT = 1024, 64
+#: Sizes of a chunk: rows of registers, and members or shingles of full sets.
+CHUNK = 128
 MEMBERS_PER_CHUNK, SHINGLES_PER_CHUNK = 512, 2_000_000
-#: Candidate groups of up to FEW chunks are compared whole; members of larger ones are first dealt DEALS times.
+#: Groups of up to FEW chunks are compared whole; members of larger ones are first dealt DEALS times.
 FEW, DEALS = 4, 3
 SHIFT = np.uint64(64 - REGISTERS.bit_length() + 1)
 BORDERS = np.arange(REGISTERS, dtype=np.uint64) << SHIFT
@@ -119,30 +114,6 @@ def apart(linked: np.ndarray, side: np.ndarray | None) -> np.ndarray:
     return linked if side is None else linked & (side[:, None] != side[None, :])
 
 
-def estimated_forest(regs: np.ndarray, n: np.ndarray, side: np.ndarray | None, loose: float) -> list[tuple[int, int]]:
-    """forest() of the rows whose estimates are `loose` or more, holding estimates of FRONT rows against TILE."""
-    if len(regs) <= TILE:
-        return forest(apart(estimate(regs, regs, n, n) >= loose, side))
-    left, edges = np.ones(len(regs), bool), []
-    for root in range(len(regs)):
-        if not left[root]:
-            continue
-        left[root] = False
-        fronts = [[root], []] if side is None or not side[root] else [[], [root]]  # by side
-        while any(fronts):
-            k = 0 if fronts[0] else 1
-            now = np.array(fronts[k][-FRONT:])
-            del fronts[k][-FRONT:]
-            others = np.flatnonzero(left if side is None else left & (side != side[now[0]]))
-            for at in range(0, len(others), TILE):
-                met = others[at : at + TILE]
-                met = met[(estimate(regs[now], regs[met], n[now], n[met]) >= loose).any(0)]
-                left[met] = False
-                edges += [(int(m), root) for m in met]
-                fronts[0 if side is None else 1 - k] += met.tolist()
-    return edges
-
-
 def signatures(docs: DataFrame, band: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, a, b: digest of the set, registers, bands); null where the set is empty."""
 
@@ -212,23 +183,24 @@ def over_blocks(blocks: DataFrame, links: Callable[[pa.Table, np.ndarray | None]
     return blocks.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
-def candidate_links(reps: DataFrame, loose: float, id_type: str) -> DataFrame:
-    """Forests of pairs that share a band and whose estimate is above `loose`."""
+def candidate_links(reps: DataFrame, loose: float, id_type: str) -> list[DataFrame]:
+    """Written tables of links that join all rows which share a band, have an estimate above `loose` and are connected
+    by such pairs."""
     banded = reps.select("doc_id", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.min("doc_id").alias("least")).where("n > 1")
     # Buckets of the same members (near copies share most bands) are compared once.
-    once = written(buckets.groupBy("n", "x", "least").agg(F.min(F.struct("band", "h")).alias("k")).select("k.band", "k.h", "n"), "buckets")
-    members = banded.join(once, ["band", "h"]).withColumn("bucket", F.xxhash64("band", "h"))
-    size = F.least(F.greatest(F.lit(CHUNK), F.ceil(F.col("n") / CHUNKS_MOST)), F.lit(CHUNK_MOST))
-    dealt = in_blocks(members.select("doc_id", "bucket", F.ceil(F.col("n") / size).alias("chunks")), "chunks", "bucket", "doc_id")
-    blocks = dealt.select("doc_id", "block", "second", "cross").join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
+    once = written(buckets.groupBy("n", "x", "least").agg(F.min(F.struct("band", "h")).alias("k")).select("k.band", "k.h", F.ceil(F.col("n") / CHUNK).alias("chunks")), "buckets")
+    member = banded.join(once, ["band", "h"]).select("doc_id", F.xxhash64("band", "h").alias("group"), F.lit(0).cast("long").alias("n_shingles"), "chunks")
 
     def links(part: pa.Table, side: np.ndarray | None) -> list[tuple[int, int]]:
         regs = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(part.num_rows, REGISTERS)
         n = part.column("n_shingles").to_numpy().astype(float)
-        return estimated_forest(regs, n, side, loose)
+        return forest(apart(estimate(regs, regs, n, n) >= loose, side))
+
+    def met(places: DataFrame) -> DataFrame:
+        return over_blocks(places.join(reps.select("doc_id", "n_shingles", "registers"), "doc_id"), links, id_type)
 
-    out = written(over_blocks(blocks, links, id_type), "candidates")
+    out = linked_groups(member, bool(once.where(F.col("chunks") > FEW).head(1)), met, F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.lit(1)))
     delete(once)
     return out
 
@@ -292,13 +264,13 @@ def pieces(members: DataFrame) -> DataFrame:
     return dealt.select("doc_id", F.xxhash64("group", F.lit("piece"), "_k", piece).alias("block"), F.lit(False).alias("second"), F.lit(False).alias("cross"))
 
 
-def rest_against_all(parts: DataFrame) -> DataFrame:
+def rest_against_all(parts: DataFrame, needed: Column) -> DataFrame:
     """Places where all members outside their group's largest part meet each other and that part's members;
-    parts (doc_id, group, part, n_shingles)."""
+    parts (doc_id, group, part, n_shingles), needed: chunks of some rows."""
     of_part = parts.groupBy("group", "part").agg(F.count(F.lit(1)).alias("_n"))
     largest = of_part.groupBy("group").agg(F.max_by("part", F.struct("_n", "part")).alias("_largest"))
     sided = parts.join(largest, "group").withColumn("large", F.col("part") == F.col("_largest"))
-    sizes = sided.groupBy("group", "large").agg(chunks_needed().alias("_c"))
+    sizes = sided.groupBy("group", "large").agg(needed.alias("_c"))
     sizes = sizes.groupBy("group").agg(F.max(F.when(F.col("large"), F.col("_c"))).alias("of_large"), F.max(F.when(~F.col("large"), F.col("_c"))).alias("chunks"))
     rows = sided.join(sizes.where("chunks is not null"), "group").select("doc_id", "group", "large", "of_large", "chunks")
     among = in_blocks(rows.where("not large").select("doc_id", "group", "chunks"), "chunks", "group", "doc_id")
@@ -309,20 +281,29 @@ def rest_against_all(parts: DataFrame) -> DataFrame:
     return among.select(*PLACE).unionByName(across.select("doc_id", block.alias("block"), F.col("large").alias("second"), F.lit(True).alias("cross")))
 
 
+def linked_groups(member: DataFrame, some_large: bool, met: Callable[[DataFrame], DataFrame], needed: Column) -> list[DataFrame]:
+    """Written tables of links that join all rows which links within their group connect; member (doc_id, group,
+    n_shingles, chunks), met: places -> links."""
+    few = member.where(F.col("chunks") <= FEW)
+    out = [written(met(in_blocks(few.select("doc_id", "group", "chunks"), "chunks", "group", "doc_id").select(*PLACE)), "links")]
+    if some_large:
+        many = written(member.where(F.col("chunks") > FEW), "many")
+        out.append(written(met(pieces(many.select("doc_id", "group", "chunks"))), "links"))
+        found = connected(reduce(DataFrame.unionByName, out))
+        parts = many.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "group", F.coalesce("component", "doc_id").alias("part"), "n_shingles")
+        parts = written(parts, "parts")
+        out.append(written(met(rest_against_all(parts, needed)), "links"))
+        for used in (many, parts, found):
+            delete(used)
+    return out
+
+
 def group_links(docs: DataFrame, member: DataFrame, percent: int, id_type: str) -> list[DataFrame]:
-    """Written tables of links that join all documents which exact links within their candidate group connect;
+    """Written tables of exact links that join all documents which such links within their candidate group connect;
     member (doc_id, group, n_shingles)."""
     sizes = written(member.groupBy("group").agg(chunks_needed().alias("chunks")), "sizes")
-    sized = member.join(sizes, "group")
-    few, many = sized.where(F.col("chunks") <= FEW), sized.where(F.col("chunks") > FEW)
-    out = [written(exact_links(docs, in_blocks(few.select("doc_id", "group", "chunks"), "chunks", "group", "doc_id").select(*PLACE), percent, id_type), "links")]
-    if sizes.where(F.col("chunks") > FEW).head(1):
-        out.append(written(exact_links(docs, pieces(many.select("doc_id", "group", "chunks")), percent, id_type), "links"))
-        found = connected(out[-1]).select(F.col("id").alias("doc_id"), F.col("component"))
-        parts = many.join(found, "doc_id", "left").select("doc_id", "group", F.coalesce("component", "doc_id").alias("part"), "n_shingles")
-        parts = written(parts, "parts")
-        out.append(written(exact_links(docs, rest_against_all(parts), percent, id_type), "links"))
-        delete(parts)
+    some_large = bool(sizes.where(F.col("chunks") > FEW).head(1))
+    out = linked_groups(member.join(sizes, "group"), some_large, lambda places: exact_links(docs, places, percent, id_type), chunks_needed())
     delete(sizes)
     return out
 
@@ -338,7 +319,7 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     reps = signed.where("a is not null").join(classes.select("a", "b", F.col("rep").alias("doc_id")), ["a", "b", "doc_id"]).dropDuplicates(["doc_id"])
     reps = written(reps.select("doc_id", "n_shingles", "registers", "bands"), "reps")
     candidates = candidate_links(reps, loose, id_type)
-    grouped = connected(candidates)
+    grouped = connected(reduce(DataFrame.unionByName, candidates))
     member = grouped.select(F.col("id").alias("doc_id"), F.col("component").alias("group")).unionByName(grouped.select(F.col("component").alias("doc_id"), F.col("component").alias("group")).distinct())
     member = written(member.join(reps.select("doc_id", "n_shingles"), "doc_id"), "members")
     links = group_links(docs, member, percent, id_type)
@@ -346,7 +327,7 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     many = written(classes.where("rows > 1").select("a", "b", "rep"), "classes")
     out = signed.select("doc_id", "n_shingles", "a", "b").join(many, ["a", "b"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    for used in (classes, reps, candidates, member, *links):
+    for used in (classes, reps, *candidates, grouped, member, *links):
         delete(used)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -275,24 +274,24 @@ def test_near_dedup_of_a_large_group(spark, monkeypatch):
     assert sum(travelled) < len(data) * len(data) / 8 / 2  # all pairs of chunks: len(data) ** 2 / 8
 
 
-@pytest.mark.parametrize("sides", (False, True))
-def test_large_blocks_are_estimated_by_tiles(sides):
-    """Same forest as of the whole matrix, in memory that does not grow with the square of the block."""
-    rng = np.random.default_rng(4)
-    rows, kinds = 6000, 5
-    base = rng.integers(0, 4000, (kinds, near_dedup.REGISTERS)).astype(np.uint16)
-    regs = base[np.arange(rows) % kinds].copy()
-    regs[np.arange(rows), rng.integers(0, near_dedup.REGISTERS, rows)] = 9999
-    n, side = 300.0 + rng.integers(0, 9, rows), rng.random(rows) < 0.5 if sides else None
-    tracemalloc.start()
-    edges = near_dedup.estimated_forest(regs, n, side, 0.66)
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert peak < 100e6  # the matrix of estimates alone has 36e6 cells of 8 bytes
-    assert len(edges) == len({a for a, _ in edges}) == rows - kinds and all(a % kinds == b % kinds for a, b in edges)
-    few = slice(0, 900)
-    whole = near_dedup.estimated_forest(regs[few], n[few], None if side is None else side[few], 0.66)
-    assert whole == near_dedup.forest(near_dedup.apart(near_dedup.estimate(regs[few], regs[few], n[few], n[few]) >= 0.66, None if side is None else side[few]))
+def test_near_dedup_of_a_large_bucket(spark, monkeypatch):
+    """Rows of a large bucket travel a few times each, in blocks of a chunk's size, whatever the bucket's size is."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    data = [(k, edited(rng, base, rng.randrange(2))) for k in range(400)] + [(1000 + k, edited(rng, base, rng.randrange(4, 8))) for k in range(30)]
+    sizes = []
+
+    def counted(blocks, *more, plain=near_dedup.over_blocks):
+        if "registers" in blocks.columns:
+            sizes.extend(r["count"] for r in blocks.groupBy("block").count().collect())
+        return plain(blocks, *more)
+
+    monkeypatch.setattr(near_dedup, "over_blocks", counted)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(df, 85).collect()}
+    assert got == {k: v[1] for k, v in brute_components(data, 85).items()}
+    assert max(sizes) <= 4 * 16  # two chunks, dealt by hash
 
 
 def test_jaccard_estimate_corrects_collisions():
