@@ -151,39 +151,81 @@ def test_chat_parts(spark):
 # -- 5 ------------------------------------------------------------------------------------------------------------
 
 
-def test_decontamination_against_plain_scores(spark):
+def plain_leaks(items, texts):
+    """(text, item) -> best score: every passage against every item, from the formula alone."""
+    split = lambda t: decontaminate.word_hashes([(t or "").encode()], decontaminate.IS_PUNCTUATION)[0].tolist()
+    known = [(i, t, split(t)) for i, t in items if t is not None]
+    df = Counter(w for _, _, ws in known for w in set(ws))
+    mean, half = np.mean([len(ws) for _, _, ws in known]), max(64, max(len(ws) for _, _, ws in known))
+    out = {}
+    for i, t in texts:
+        words = split(t)
+        for p in range(max(1, -(-len(words) // half))):
+            inside = words[p * half : (p + 2) * half]
+            for j, text, ws in known:
+                weight = {w: np.log(1 + (len(known) - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, f in Counter(ws).items()}
+                score = sum(v for w, v in weight.items() if w in set(inside)) / max(1e-9, sum(weight.values()))
+                if score >= 0.6:
+                    shares = []
+                    for part in decontaminate.parts(text):
+                        pw = np.array(split(part), np.uint64)
+                        k = min(5, -(-len(pw) // 3))
+                        shares.append(np.isin(np.unique(decontaminate.shingles(pw, k)), decontaminate.shingles(np.array(inside, np.uint64), k)).mean())
+                    if min(shares) >= 0.5:
+                        out[i, j] = max(out.get((i, j), 0), score)
+    return out
+
+
+def leak_cases():
     rng = random.Random(2)
     vocabulary = [f"w{k}" for k in range(400)]
-    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(8, 30))) + ". " + " ".join(rng.choices(vocabulary, k=6)) + ".") for k in range(40)] + [(99, ""), (98, None)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(8, 30))) + ". " + " ".join(rng.choices(vocabulary, k=6)) + ".") for k in range(40)] + [(97, "___? w1 w2 w3 w4 w5 w6."), (99, ""), (98, None)]
     texts = []
     for i in range(120):
         words = rng.choices(vocabulary, k=rng.randint(0, 400))
         if i % 3 == 0:
-            at, item = rng.randint(0, len(words)), items[rng.randrange(40)][1].split()
+            at, item = rng.randint(0, len(words)), items[rng.randrange(41)][1].split()
             if i % 2:
                 item[rng.randrange(len(item))] = "changed"
             words[at:at] = item
         texts.append((i, " ".join(words)))
-    texts += [(500, None), (501, "")]
-    index = decontaminate.Index([i for i, t in items if t is not None], [t for _, t in items if t is not None], 0.6, 0.5, 0.5)
-    want = set()
-    for i, t in texts:  # every passage against every item, without bounds
-        words, _ = decontaminate.word_hashes([(t or "").encode()], decontaminate.IS_PUNCTUATION)
-        for p in range(max(1, -(-len(words) // index.half))):
-            inside = words[p * index.half : (p + 2) * index.half]
-            here, score = set(inside.tolist()), np.zeros(len(index.ids))
-            for k, h in enumerate(index.terms.tolist()):
-                if h in here:
-                    s = slice(index.start[k], index.start[k] + index.size[k])
-                    score[index.item[s]] += index.weight[s]
-            for j in np.flatnonzero(score >= 0.6):
-                if min(np.isin(x, decontaminate.shingles(inside, n)).mean() for x, n in index.shares[j]) >= 0.5:
-                    want.add((i, index.ids[j]))
+    return items, texts + [(500, None), (501, ""), (502, "w1 w2 w3 w4 w5 w6")]
+
+
+@pytest.mark.parametrize("per_index", [20_000, 5])
+def test_decontamination_against_plain_scores(spark, per_index, monkeypatch):
+    """One index and ten find the same leaks with the same scores: those of the formula."""
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_INDEX", per_index)
+    items, texts = leak_cases()
+    want = plain_leaks(items, texts)
     df, bench = clashing(spark.createDataFrame(texts, "doc_id long, text string")), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()}
-    assert got == want and len(got) >= 35
-    assert decontaminate.drop_leaks(df, bench).count() == len(texts) - len({i for i, _ in got})
-    assert decontaminate.find_leaks(df, bench.where("false")).count() == 0 and decontaminate.find_leaks(df.where("false"), bench).count() == 0
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(df, bench).collect()}
+    assert set(got) == set(want) and len(got) >= 35 and (502, 97) in got
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    if per_index == 20_000:
+        assert decontaminate.drop_leaks(df, bench).count() == len(texts) - len({i for i, _ in got})
+        assert decontaminate.find_leaks(df, bench.where("false")).count() == 0 and decontaminate.find_leaks(df.where("false"), bench).count() == 0
+
+
+def test_pivots_miss_nothing():
+    """Every item that reaches the threshold is found, as by scoring all."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    items = [" ".join(rng.choice(vocabulary, 12, p=np.arange(1, 2001) / 2001000)) for _ in range(600)]
+    words = [np.unique(decontaminate.word_hashes([t.encode()], decontaminate.IS_PUNCTUATION)[0]) for t in items]
+    terms, df = np.unique(np.concatenate(words), return_counts=True)
+    index = decontaminate.Index(list(range(600)), items, decontaminate.Statistics(600, 12.0, 12, terms, df), 0.6, 0.5, 0.5)
+    passage, term = [], []
+    for p in range(50):
+        mine = np.unique(np.concatenate([np.flatnonzero(np.isin(index.terms, words[k])) for k in rng.integers(0, 600, 3)] + [rng.integers(0, len(index.terms), 40)]))
+        passage, term = np.append(passage, [p] * len(mine)).astype(int), np.append(term, mine).astype(int)
+    got = {(int(p), int(i)) for p, i, s in zip(*index.retrieve(passage, term))}
+    dense = np.zeros((50, 600))
+    owner = index.key // index.m
+    for p in range(50):
+        on = np.isin(owner, term[passage == p])
+        dense[p] = np.bincount(index.item[on], index.weight[on], 600)
+    assert got == {(int(p), int(i)) for p, i in zip(*np.nonzero(dense >= 0.6))} and len(got) >= 100
 
 
 def test_leaks_of_given_tables(spark):
