@@ -18,7 +18,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, BODY, PART, DONE = "<|turn|>", "<|body|>", "<|part|>", "<|done|>"
@@ -76,17 +76,12 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.transform(media, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"))).alias("media"),
     )
     one = one.withColumns({"head_chars": F.char_length("head"), "body_chars": F.char_length("body")})
-    turns = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body", "head", "head_chars", "body_chars", "media"))).alias("turns"))
-    tail = len(DONE)
-    walk = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts")),
-        lambda acc, t: F.struct((acc["at"] + t["head_chars"] + t["body_chars"] + tail).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")),
-    )
-    placed = turns.select("conv_id", F.explode(F.array(F.struct(F.col("turns"), walk["starts"].alias("starts")))).alias("x")).select("conv_id", "x.*")
-    span = lambda t, i: F.struct(i.alias("turn"), t["head_chars"].alias("start"), t["body_chars"].alias("length"), t["role"].alias("role"))
-    numbered = F.zip_with(F.transform("turns", span), "starts", lambda s, at: F.struct(s["turn"].alias("turn"), s["start"].alias("start"), s["length"].alias("length"), (at + s["start"]).alias("at"), s["role"].alias("role")))
-    spans = F.transform(F.filter(numbered, lambda s: s["role"] == learn), lambda s: F.struct(s["turn"], s["start"], s["length"], s["at"]))
+    # Where each turn begins: a running sum, so that long conversations cost no more a turn than short ones.
+    before = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "body").rowsBetween(Window.unboundedPreceding, -1)
+    one = one.withColumn("starts", F.coalesce(F.sum(F.col("head_chars") + F.col("body_chars") + len(DONE)).over(before), F.lit(0)).cast("long"))
+    placed = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body", "starts", "head", "head_chars", "body_chars", "media"))).alias("turns"))
+    span = lambda t, i: F.struct(i.alias("turn"), t["head_chars"].alias("start"), t["body_chars"].alias("length"), (t["starts"] + t["head_chars"]).alias("at"), t["role"].alias("role"))
+    spans = F.transform(F.filter(F.transform("turns", span), lambda s: s["role"] == learn), lambda s: F.struct(s["turn"], s["start"], s["length"], s["at"]))
     return placed.select(
         "conv_id",
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(DONE))), "").alias("formatted"),

@@ -27,6 +27,10 @@ from .common import written
 BUCKETS, EVIDENCE, STRENGTH, SMOOTH = 16_384, 200, 5.0, 0.5
 
 
+#: The last two labels of a host, or three where a general label stands before a country's.
+DOMAIN = r"([^.]+\.(?:(?:co|com|net|org|gov|edu|ac)\.[a-z]{2}|[^.]+))$"
+
+
 def trigram_buckets(text: bytes) -> np.ndarray:
     raw = np.frombuffer(text, np.uint8).astype(np.uint32)
     if len(raw) < 3:
@@ -59,7 +63,7 @@ def trigram_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
 
 
 def visible_text(html: Column) -> Column:
-    without = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1>|<!--.*?-->|<div class=\"ad\">.*?</div>", " ")
+    without = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1>|<!--.*?-->", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(without, r"(?s)<[^>]*>", " "), r"&[#\w]+;|\s+", " "))
 
 
@@ -84,7 +88,7 @@ def with_evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], url_col
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "loglik"])
 
     base = pages.withColumns({"host": host, "declared": declared, "_text": visible_text(F.col(html_col))})
-    base = base.withColumns({"suffix": F.regexp_extract("host", r"([^.]+)$", 1), "domain": F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)}).drop(html_col)
+    base = base.withColumns({"suffix": F.regexp_extract("host", r"([^.]+)$", 1), "domain": F.regexp_extract("host", DOMAIN, 1)}).drop(html_col)
     base = base.select(*[c for c in base.columns if c != "_text"], "_text")
     schema = ", ".join(f"`{c}` {t}" for c, t in base.dtypes if c != "_text") + ", loglik array<double>"
     return base.mapInArrow(run, schema)

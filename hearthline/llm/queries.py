@@ -84,6 +84,34 @@ FROM e GROUP BY conv_id
 """
 
 
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formatter on typed parts: every message is a text and what its turn attaches to it."""
+    c, t = F.col("conv_id"), F.coalesce(F.col("turn"), F.lit(0)).cast("int")
+    name = lambda end: F.concat(F.lit("f"), c.cast("string"), F.lit("-"), t.cast("string"), F.lit(end))
+    part = lambda kind, end, **measures: F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("text"), name(end).alias("ref"), *(measures.get(m, F.lit(None)).cast(k).alias(m) for m, k in (("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))))
+    attached = (
+        F.when(t % 4 == 0, F.array(part("image", ".png", width=c % 100 + 1, height=t + 14))).when(t % 4 == 1, F.array(part("audio", ".wav", seconds=(t + 1) / 2)))
+        .when(t % 4 == 2, F.array(part("document", ".pdf", pages=c % 9), part("image", ".jpg"))).otherwise(F.array().cast(f"array<{chat_format.PART_TYPE}>"))
+    )
+    messages = table(spark, sf_dir, "conversations").withColumn("parts", F.concat(chat_format.text_part(F.coalesce("text", F.lit(""))), attached))
+    out = chat_format.format_chats(messages)
+    refs = F.array_join(F.transform("attachments", lambda a: F.concat(a["kind"], F.lit(":"), a["ref"], F.lit(":"), a["tokens"].cast("string"))), "\n")
+    return out.select("conv_id", F.size("attachments").cast("long").alias("n_attachments"), "media_tokens", F.sha2(refs.cast("binary"), 256).alias("attachments_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+CHAT_PARTS_SQL = r"""
+WITH m AS (SELECT conv_id AS c, turn, coalesce(turn, 0) AS t, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+e AS (SELECT *, (SELECT sum((length(x) - length(replace(x, s, ''))) // length(s))
+                 FROM (SELECT unnest(['^', '<|', '<s>', '</s>', '[INST]', '[/INST]']) AS s)) AS added
+      FROM (SELECT *, role || chr(1) || text AS x FROM m)),
+p AS (SELECT c, turn, role, text, added, CASE t % 4 WHEN 0 THEN ['image:f' || c || '-' || t || '.png:' || ((c % 100 + 1 + 13) // 14 * ((t + 14 + 13) // 14))] WHEN 1 THEN ['audio:f' || c || '-' || t || '.wav:' || ceil((t + 1) / 2 * 25)::BIGINT]
+    WHEN 2 THEN ['document:f' || c || '-' || t || '.pdf:' || c % 9 * 512, 'image:f' || c || '-' || t || '.jpg:1'] ELSE [] END AS parts FROM e),
+j AS (SELECT c, flatten(list(parts ORDER BY turn NULLS FIRST, role, text)) AS parts, sum(length(role) + length(text) + added + 24 + coalesce(list_sum(list_transform(parts, lambda x: length(split_part(x, ':', 1)) + 4 + 8)), 0))::BIGINT AS chars FROM p GROUP BY 1)
+SELECT c AS conv_id, len(parts) AS n_attachments, coalesce(list_sum(list_transform(parts, lambda x: split_part(x, ':', 3)::BIGINT)), 0)::BIGINT AS media_tokens,
+       sha256(array_to_string(parts, chr(10))) AS attachments_sha256, chars AS formatted_chars FROM j
+"""
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -157,6 +185,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
+    "chat_parts": chat_parts,
     "op5_decontamination": op5_decontamination,
     "op6_near_dedup": op6_near_dedup,
     "op7_toxicity": op7_toxicity,
@@ -164,4 +193,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
-SQL = {"op1_vector_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_near_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL}
+SQL = {"op1_vector_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "chat_parts": CHAT_PARTS_SQL, "op6_near_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL}

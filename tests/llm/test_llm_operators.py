@@ -69,6 +69,61 @@ def test_language_agrees_with_the_address(spark):
     assert got.join(truth, "page_id").where("lang = t").count() >= 0.98 * truth.count()
 
 
+def plain_language(pages, docs):
+    """The fusion in plain Python: page -> (language, posterior, language of the text alone)."""
+    buckets = language.BUCKETS
+    langs = sorted({lang for lang, t in docs if lang is not None and t is not None})
+    counts = {lang: np.full(buckets, 0.5) for lang in langs}
+    for lang, t in docs:
+        if lang in counts and t is not None:
+            np.add.at(counts[lang], language.trigram_buckets(t.encode().lower()), 1)
+    logp = np.log(np.stack([counts[lang] / counts[lang].sum() for lang in langs]))
+    rows = []
+    for i, url, html in pages:
+        text = re.sub(r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1>|<!--.*?-->", " ", html or "")
+        text = re.sub(r"&[#\w]+;|\s+", " ", re.sub(r"(?s)<[^>]*>", " ", text)).strip(" ")
+        code = language.trigram_buckets(text.encode().lower())
+        s = logp[:, code].sum(1) if len(code) else np.zeros(len(langs))
+        s = (s - s.max()) * min(1.0, language.EVIDENCE / max(1, len(code)))
+        host = (re.findall(r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", url or "") or [""])[0].lower()
+        labels = host.split(".")
+        n = 3 if len(labels) > 2 and labels[-2] in ("co", "com", "net", "org", "gov", "edu", "ac") and len(labels[-1]) == 2 else 2
+        declared = (re.findall(r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)", html or "") or [""])[0].lower()
+        rows.append({"id": i, "loglik": s - np.log(np.exp(s).sum()), "declared": declared, "suffix": labels[-1], "domain": ".".join(labels[-n:]) if len(labels) > 1 else "", "host": host})
+    out = {}
+    total = lambda by, r: sum((np.exp(x["loglik"]) for x in rows if x is not r and (by is None or x[by] == r[by])), np.zeros(len(langs)))
+    for r in rows:
+        every, k = total(None, r), len(langs)
+        prior = (every + language.SMOOTH) / (every.sum() + language.SMOOTH * k)
+        for by in ("domain", "host"):
+            mine = total(by, r)
+            prior = (mine + language.STRENGTH * prior) / (mine.sum() + language.STRENGTH)
+        given = lambda by: np.log((total(by, r) + language.SMOOTH) / (every + language.SMOOTH * len({x[by] for x in rows})))  # noqa: B023, E731
+        score = r["loglik"] + given("declared") + given("suffix") + np.log(prior)
+        out[r["id"]] = (langs[int(score.argmax())], 1 / np.exp(score - score.max()).sum(), langs[int(r["loglik"].argmax())])
+    return out
+
+
+def test_language_against_plain_python(spark):
+    rng = random.Random(11)
+    words = {"en": "the and of to in that with from".split(), "de": "der die und das nicht mit von ist".split(), "es": "los las una que con para por del".split()}
+    docs = [(lang, " ".join(rng.choices(words[lang], k=40))) for lang in words for _ in range(6)] + [(None, "x"), ("en", None)]
+    pages = []
+    for i in range(60):
+        lang = rng.choice(list(words))
+        host = rng.choice(["a.shop.co.uk", "b.shop.co.uk", "x.de", "y.x.de", "z.com"])
+        tag = rng.choice([f' lang="{lang}"', " lang=de", ""])
+        pages.append((i, f"http://{host}/p{i}", f"<html{tag}><head><style>der die</style></head><body><!-- los -->{' '.join(rng.choices(words[lang], k=rng.choice([0, 3, 30, 300])))} &amp; </body></html>"))
+    pages += [(100, None, None), (101, "no address", ""), (102, "http://x.de/", None)]
+    want = plain_language(pages, docs)
+    found = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), spark.createDataFrame(docs, "lang string, text string"))
+    got = {r.page_id: r for r in found.collect()}
+    assert set(got) == set(want)
+    for i, (lang, posterior, text_lang) in want.items():
+        assert (got[i].lang, got[i].text_lang) == (lang, text_lang) or posterior < 0.5 + 1e-9, i
+        assert abs(got[i].posterior - posterior) < 1e-9
+
+
 def test_language_defined_cases(spark):
     docs = spark.createDataFrame([("en", "the and of the " * 20), ("de", "der die und das " * 20), (None, "x"), ("en", None)], "lang string, text string")
     html = '<html lang="{}"><body>{}</body></html>'
