@@ -3,6 +3,11 @@
 Toxicity drops the documents that the network rejects; line dedup cuts repeated three-line windows out of the
 texts; near-dedup keeps one document of each group; decontamination drops documents that leak a test item;
 packing lays the rest out in sequences. Texts are whole in every stage.
+
+Defined cases, in every stage: null and empty texts are kept (they are scored as no words, have no repeated lines, link
+with nothing, leak nothing and are packed as an end id alone); repeated rows are treated alike, and near-dedup keeps all
+rows of the smallest id of a group; rows of one id with different texts are scored, cut and packed on their own, but go
+together where near-dedup or decontamination drops their id; an empty table gives an empty result; other columns pass.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.llm import decontaminate, line_dedup, near_dedup, packing
-from hearthline.llm.common import table, written
+from hearthline.llm.common import delete, table, tables_made, written
 from hearthline.llm.queries import TOXIC_FROM, toxicity_scores
 
 SIMILARITY_PERCENT = 80
@@ -60,7 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's written table; what the stages wrote for themselves, and the tables before it, are deleted."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        before, given = tables_made(), docs
+        docs = written(stage(spark, given, sf_dir), f"stage-{k}")
+        for made in tables_made():
+            if made is not docs and (made is given or all(made is not t for t in before)):
+                delete(made)
     return docs

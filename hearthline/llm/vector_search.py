@@ -73,7 +73,8 @@ def approximations(known: DataFrame, lo: np.ndarray, width: np.ndarray) -> DataF
 
 
 def scan(file: DataFrame, queries: tuple[np.ndarray, np.ndarray], lo: np.ndarray, width: np.ndarray, k: int) -> DataFrame:
-    """(query_id, class_id, bound, slack) of what a task cannot rule out; bound - slack is the lower bound."""
+    """(query_id, class_id, bound, slack) of what a task cannot rule out, a written table; bound - slack is the lower
+    bound. The queries' matrix is forgotten afterwards."""
     ids, q = queries
     above, below = np.maximum(q, 0) @ (width - 1), np.minimum(q, 0) @ (width - 1)
     sent = file.sparkSession.sparkContext.broadcast((ids, q, above, above - below))  # QUERIES_PER_BLOCK rows
@@ -104,26 +105,30 @@ def scan(file: DataFrame, queries: tuple[np.ndarray, np.ndarray], lo: np.ndarray
             i, names, bound = i[keep], names[keep], bound[keep]
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(names), pa.array(bound), pa.array(slack[i])], ["query_id", "class_id", "bound", "slack"])
 
-    return file.mapInArrow(run, "query_id long, class_id long, bound double, slack double")
+    out = written(file.mapInArrow(run, "query_id long, class_id long, bound double, slack double"), "scan")
+    sent.destroy()
+    return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): vectors and queries are (vec_id long, v array<long>); a query's own id is no
-    candidate. Queries go in blocks of about QUERIES_PER_BLOCK, each one scan of the file."""
+    candidate. Queries go in blocks of about QUERIES_PER_BLOCK, each one scan of the file into a written table, so that
+    the plan does not grow with their number. Scores must stay below 2 ** 63, or the sums stop with an overflow error;
+    bounds are doubles, exact while scores stay below 2 ** 53."""
     vectors, queries = (d.where("vec_id is not null and v is not null") for d in (vectors, queries))
     known = written(classes(vectors, k), "classes")
     lo, width = cells(known)
     asked = written(queries.groupBy("vec_id", "v").agg(F.lit(1)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries")
     blocks = max(1, -(-asked.count() // QUERIES_PER_BLOCK))
     file = written(approximations(known, lo, width), "cells")
-    found = None
+    found = []
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
         q = matrix(rows.column("q").combine_chunks(), len(lo)) if rows.num_rows else np.zeros((0, len(lo)))
-        one = scan(file, (rows.column("query_id").to_numpy(), q), lo, width, k)
-        found = one if found is None else found.unionByName(one)
+        found.append(scan(file, (rows.column("query_id").to_numpy(), q), lo, width, k))
+    every = known.sparkSession.read.schema(found[0].schema).parquet(*(f.written_to for f in found))
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "class_id")
-    ranked = found.withColumn("n", F.row_number().over(by_bound))
+    ranked = every.withColumn("n", F.row_number().over(by_bound))
     kth = F.max(F.when(F.col("n") == k + 1, F.col("bound"))).over(Window.partitionBy("query_id"))
     left = written(ranked.withColumn("kth", kth).where("kth is null or bound >= kth - slack").select("query_id", "class_id", "bound", "n"), "bounds")
 
@@ -139,5 +144,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     rows = first.unionByName(exact(more.select("query_id", "class_id"))).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out = rows.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
-    delete(file)
+    for used in (file, *found):
+        delete(used)
     return out.select("query_id", "rank", "vec_id", "score")

@@ -5,6 +5,8 @@ import pytest
 from test_llm_operators import brute_components
 from pyspark.sql import functions as F
 
+from hearthline.llm import common
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -55,8 +57,27 @@ def test_decontamination_drops_documents_with_items(spark, docs):
     assert leaking and not leaking & kept and len(kept) >= docs.count() - len(leaking) - 3
 
 
+def odd_tables(spark, folder, docs):
+    """A folder of tables with these documents and the given others."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(9001, None), (9002, ""), (9003, "a few words"), (9003, "a few words"), (9004, "x" * 20_000), (None, "no id")], "doc_id long, text string")
+    odd = odd.select("doc_id", "text", *(F.lit(None).cast(t).alias(c) for c, t in given.dtypes if c not in ("doc_id", "text")), F.lit("clash").alias("score"))
+    out = P.run(spark, odd_tables(spark, tmp_path / "odd", given.withColumn("score", F.lit("clash")).unionByName(odd)))
+    assert {9001, 9002, 9003, 9004} <= ids(out) and out.where("doc_id = 9003").count() == 2
+    assert P.run(spark, odd_tables(spark, tmp_path / "none", given.where("false"))).count() == 0
+
+
 def test_run(spark):
+    left = len(common.tables_made())
     out = P.run(spark, "/root/testdata/sf0.001")
     r = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()
     assert out.count() > 0 and r[0] <= 4096
+    assert len(common.tables_made()) == left + 1  # the result; everything else is deleted
     assert [n for n, _ in P.STAGES] == ["toxicity", "line dedup", "near dedup", "decontamination", "packing"] and P.ORACLE_SQL is None
