@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,71 +37,99 @@ def state_table(s: SparkSession, d: str) -> DataFrame:
     e = market(s, d).entities
     i = F.col("entity_id")
     keys = F.when(F.col("closed_at").isNotNull(), F.array().cast("array<string>")).when(i % 10 == 0, F.array(F.col("search_key"), F.lit("extra"))).otherwise(F.array("search_key"))
-    return e.select("entity_id", "title", "deal", "kind", "area_key", "rooms", "sqm", "price", "rate", "latitude", "first_seen", F.col("first_seen").alias("last_seen"), "closed_at", "closing_price", "details_on", F.when(i % 5 == 0, F.lit(DAY)).alias("attempted_on"), keys.alias("search_keys"), "search_key")
+    noon = (F.col("details_on").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12))).alias("details_at")
+    return e.select(
+        "entity_id", "title", "deal", "kind", "area_key", "rooms", "sqm", "price", "currency", "rate", "latitude", "longitude", "first_seen", F.when(i % 3 != 0, F.col("first_seen")).alias("published_on"),
+        F.col("first_seen").alias("last_seen"), "closed_at", "closing_price", noon, F.when(i % 5 == 0, F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(mins=(i % 1500).cast("int"))).alias("attempted_at"), keys.alias("search_keys"), "search_key",
+        F.create_map(F.lit("views"), (i % 500).cast("string")).alias("extra"), F.when(i % 6 == 0, F.create_map(F.lit(state.DECLARED_CODE), F.lit("x"))).otherwise(F.create_map(F.lit("lift"), F.lit("da"))).alias("characteristics"),
+    )
 
 
 def cards(s: SparkSession, d: str) -> DataFrame:
-    i = F.col("entity_id")
+    """Most of a search's items with new facts, some twice (the earlier one is wrong), and some new ones."""
+    i, price = F.col("entity_id"), F.col("price")
     seen = state_table(s, d).where(F.col("search_key") == KEY).where(i % 4 != 0)
-    known = seen.select("entity_id", "title", F.lit("unknown").alias("deal"), "kind", F.lit(None).cast("string").alias("area_key"), F.when(i % 2 == 0, F.col("rooms")).alias("rooms"), "sqm", F.when(i % 5 == 0, F.col("price") * 0.5).otherwise(F.col("price")).alias("price"), F.when(i % 7 == 0, "invalid").otherwise("valid").alias("price_state"))
-    fresh = seen.where(i % 9 == 0).select((i + 1_000_000_000).alias("entity_id"), "title", F.lit("sale").alias("deal"), "kind", "area_key", "rooms", "sqm", "price", F.lit("valid").alias("price_state"))
-    return known.unionByName(fresh)
+    asked = F.when(i % 11 == 0, None).when(i % 5 == 0, price * 0.5).otherwise(price)
+    known = seen.select(
+        "entity_id", F.concat("title", F.lit("!")).alias("title"), pick(i % 5, ("rent", "sale", None, "daily_rent", "unknown")).alias("deal"), F.when(i % 2 == 1, F.col("kind")).alias("kind"), F.when(i % 2 == 0, F.col("rooms")).alias("rooms"),
+        F.when(i % 3 != 0, F.col("sqm") + 1).alias("sqm"), asked.alias("price"), F.when(i % 7 == 0, "invalid").when(i % 11 == 0, "unpriced").otherwise("valid").alias("price_state"), F.when(i % 2 == 0, "BAM").alias("currency"), F.lit(1).alias("place"),
+    )
+    wrong = known.where(i % 13 == 0).withColumns({"title": F.lit("old"), "price": F.lit(1.0), "deal": F.lit("rent"), "place": F.lit(0)})
+    fresh = seen.where(i % 9 == 0).select((i + 1_000_000_000).alias("entity_id"), "title", F.lit("sale").alias("deal"), "kind", "rooms", "sqm", "price", F.lit("valid").alias("price_state"), F.lit("EUR").alias("currency"), F.lit(1).alias("place"))
+    return wrong.unionByName(known).unionByName(fresh)
 
 
 def ingested(s: SparkSession, d: str) -> state.Ingested:
     return state.ingest_snapshot(state_table(s, d).drop("search_key"), cards(s, d), KEY, DAY)
 
 
-RATE = "CASE WHEN deal = 'sale' AND sqm >= 5 AND {0} BETWEEN 1 AND 15000 THEN {0} END".format(r("price / sqm"))
 STATE_SQL = f"""
-st AS (SELECT *, first_seen AS last_seen, CASE WHEN closed_at IS NOT NULL THEN [] WHEN entity_id % 10 = 0 THEN [search_key, 'extra'] ELSE [search_key] END AS search_keys,
-   CASE WHEN entity_id % 5 = 0 THEN DATE '2001-08-01' END AS attempted_on FROM entities),
+st AS (SELECT *, first_seen AS last_seen, CASE WHEN closed_at IS NOT NULL THEN [] WHEN entity_id % 10 = 0 THEN [search_key, 'extra'] ELSE [search_key] END AS search_keys, details_on::TIMESTAMP + INTERVAL 12 HOUR AS details_at,
+   CASE WHEN entity_id % 5 = 0 THEN TIMESTAMP '2001-08-01' - to_minutes(entity_id % 1500) END AS attempted_at, entity_id % 6 = 0 AS declared FROM entities),
 seen AS (SELECT * FROM st WHERE search_key = 's7' AND entity_id % 4 <> 0),
-cards AS (SELECT entity_id, title, deal, kind, area_key, rooms, sqm, CASE WHEN entity_id % 7 <> 0 AND entity_id % 5 = 0 THEN price * 0.5 ELSE price END AS price, price AS was, rate AS rate_was,
-    CASE WHEN entity_id % 7 = 0 THEN 'invalid' ELSE 'valid' END AS price_state, closed_at AS was_closed, first_seen, false AS is_new, search_keys AS keys FROM seen
-  UNION ALL SELECT entity_id + 1000000000, title, 'sale', kind, area_key, rooms, sqm, price, NULL, NULL, 'valid', NULL, DATE '2001-08-01', true, [] FROM seen WHERE entity_id % 9 = 0),
-obs AS (SELECT *, {RATE} AS rate FROM cards)
+cd AS (SELECT entity_id, title || '!' AS title, (['rent', 'sale', NULL, 'daily_rent', 'unknown'])[entity_id % 5 + 1] AS cdeal, kind, rooms, CASE WHEN entity_id % 3 <> 0 THEN sqm + 1 END AS csqm, CASE WHEN entity_id % 11 <> 0 THEN CASE WHEN entity_id % 5 = 0 THEN price * 0.5 ELSE price END END AS cprice,
+    CASE WHEN entity_id % 7 = 0 THEN 'invalid' WHEN entity_id % 11 = 0 THEN 'unpriced' ELSE 'valid' END AS price_state, CASE WHEN entity_id % 2 = 0 THEN 'BAM' ELSE 'unknown' END AS currency, deal AS was_deal, price AS was, rate AS rate_was, sqm AS was_sqm, declared, closed_at AS was_closed, first_seen, false AS is_new, search_keys AS keys FROM seen
+  UNION ALL SELECT entity_id + 1000000000, title, 'sale', kind, rooms, sqm, price, 'valid', 'EUR', NULL, NULL, NULL, NULL, false, NULL, DATE '2001-08-01', true, [] FROM seen WHERE entity_id % 9 = 0),
+dl AS (SELECT *, CASE WHEN cdeal = 'daily_rent' THEN 'daily_rent' WHEN declared AND was_deal <> 'daily_rent' THEN was_deal WHEN cdeal IN ('rent', 'sale') THEN cdeal ELSE 'unknown' END AS deal, cprice IS NOT NULL AND price_state = 'valid' AS valid FROM cd),
+pr AS (SELECT *, CASE WHEN valid THEN cprice WHEN was_deal = deal THEN was END AS price, coalesce(csqm, was_sqm) AS sqm FROM dl),
+obs AS (SELECT *, CASE WHEN rr BETWEEN 1 AND 15000 THEN rr END AS rate FROM (SELECT *, CASE WHEN deal = 'sale' AND sqm >= 5 AND price > 0 THEN {r("price / sqm")} END AS rr FROM pr))
 """
+REMOVED = "search_key = 's7' AND entity_id % 4 = 0 AND closed_at IS NULL"
+
+
+@query("upsert_state", """SELECT entity_id, title, deal, kind, rooms, sqm, price, currency, rate, array_to_string(CASE WHEN list_contains(keys, 's7') THEN keys ELSE list_append(keys, 's7') END, ',') AS search_keys, first_seen, DATE '2001-08-01' AS last_seen, NULL::DATE AS closed_at,
+   price_state AS latest, CASE WHEN NOT is_new THEN (entity_id % 500)::VARCHAR END AS views FROM obs""", STATE_SQL)
+def _(s, d):
+    rows = ingested(s, d).state.where(F.element_at("extra", "latest_price_state").isNotNull())
+    return rows.select("entity_id", "title", "deal", "kind", "rooms", "sqm", "price", "currency", "rate", F.array_join("search_keys", ",").alias("search_keys"), "first_seen", "last_seen", "closed_at", F.element_at("extra", "latest_price_state").alias("latest"), F.element_at("extra", "views").alias("views"))
 
 
-@query("upsert_state", "SELECT entity_id, title, deal, rooms, price, rate, array_to_string(CASE WHEN list_contains(keys, 's7') THEN keys ELSE list_append(keys, 's7') END, ',') AS search_keys, first_seen FROM obs", STATE_SQL)
+@query("unseen_state", f"SELECT count(*) AS n, sum(price::DECIMAL(20,2))::DOUBLE AS price, count(closed_at) AS closed, sum(len(search_keys) - CASE WHEN {REMOVED} THEN 1 ELSE 0 END)::BIGINT AS keys FROM st WHERE NOT (search_key = 's7' AND entity_id % 4 <> 0)".replace("count(closed_at)", f"count(*) FILTER (WHERE closed_at IS NOT NULL OR ({REMOVED} AND entity_id % 10 <> 0))"), STATE_SQL)
 def _(s, d):
-    ids = cards(s, d).select("entity_id")
-    return ingested(s, d).state.join(ids, "entity_id", "left_semi").select("entity_id", "title", "deal", "rooms", "price", "rate", F.array_join("search_keys", ",").alias("search_keys"), "first_seen")
+    rows = ingested(s, d).state.where(F.element_at("extra", "latest_price_state").isNull())
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("price").cast("decimal(20,2)")).cast("double").alias("price"), F.count("closed_at").alias("closed"), F.sum(F.size("search_keys")).alias("keys"))
 
 
-@query("closures", "SELECT entity_id, DATE '2001-08-01' AS closed_at, price AS closing_price FROM st WHERE search_key = 's7' AND entity_id % 4 = 0 AND closed_at IS NULL AND entity_id % 10 <> 0", STATE_SQL)
+@query("closures", f"SELECT entity_id, DATE '2001-08-01' AS closed_at, price AS closing_price FROM st WHERE {REMOVED} AND entity_id % 10 <> 0", STATE_SQL)
 def _(s, d):
-    new = ingested(s, d)
-    return new.state.join(new.lifecycle.where("event = 'closed'").select("entity_id"), "entity_id", "left_semi").select("entity_id", "closed_at", "closing_price")
+    rows = state.snapshot_rows(state_table(s, d).drop("search_key"), cards(s, d), KEY, DAY)
+    return rows.where("closing").select("entity_id", "closed_at", "closing_price")
 
 
 @query("membership_removed", "SELECT entity_id, array_to_string(list_filter(search_keys, lambda k: k <> 's7'), ',') AS search_keys FROM st WHERE list_contains(search_keys, 's7') AND entity_id % 4 = 0", STATE_SQL)
 def _(s, d):
     st = state_table(s, d)
-    out = state.drop_membership(st.drop("search_key"), KEY, cards(s, d))
+    out = state.drop_membership(st.select("entity_id", "search_keys"), KEY, cards(s, d).select("entity_id"))
     return out.join(st.where(F.array_contains("search_keys", KEY) & (F.col("entity_id") % 4 == 0)).select("entity_id"), "entity_id", "left_semi").select("entity_id", F.array_join("search_keys", ",").alias("search_keys"))
 
 
-@query("lifecycle_events", """SELECT entity_id, 'reopened' AS event, NULL::DATE AS opened_on, price FROM obs WHERE was_closed IS NOT NULL
-   UNION ALL SELECT entity_id, 'closed', first_seen, price FROM st WHERE search_key = 's7' AND entity_id % 4 = 0 AND closed_at IS NULL AND entity_id % 10 <> 0""", STATE_SQL)
+@query("lifecycle_events", f"""SELECT entity_id, 'reopened' AS event, NULL::DATE AS opened_on, price FROM obs WHERE was_closed IS NOT NULL
+   UNION ALL SELECT entity_id, 'closed', first_seen, price FROM st WHERE {REMOVED} AND entity_id % 10 <> 0""", STATE_SQL)
 def _(s, d):
     return ingested(s, d).lifecycle.select("entity_id", "event", "opened_on", "price")
 
 
-@query("price_markers", "SELECT entity_id, DATE '2001-08-01' AS on_date, price, 'search' AS source FROM obs WHERE price > 0 AND (is_new OR price IS DISTINCT FROM was)", STATE_SQL)
+@query("price_markers", "SELECT entity_id, DATE '2001-08-01' AS on_date, price, currency, 'search' AS source FROM obs WHERE valid AND (is_new OR was_deal <> deal OR price IS DISTINCT FROM was)", STATE_SQL)
 def _(s, d):
     return ingested(s, d).markers
 
 
-@query("snapshot_summary", f"SELECT count(*) AS listing_count, {med('rate')} AS median_rate, count(*) FILTER (WHERE is_new) AS new_count, count(*) FILTER (WHERE rate < rate_was AND price_state = 'valid') AS drop_count FROM obs", STATE_SQL)
+@query("upsert_prices", "SELECT entity_id, on_date, CASE WHEN entity_id % 3 = 0 THEN 7.0 ELSE price END AS price FROM history UNION ALL SELECT DISTINCT entity_id, DATE '2030-01-01', 7.0 FROM history WHERE entity_id % 3 = 0")
+def _(s, d):
+    h = market(s, d).history
+    third = h.where("entity_id % 3 = 0")
+    again = third.withColumn("price", F.lit(7.0)).unionByName(third.select("entity_id", F.lit(date(2030, 1, 1)).alias("on_date"), F.lit(7.0).alias("price"), "source").distinct())
+    return state.upsert_prices(h, again).select("entity_id", "on_date", "price")
+
+
+@query("snapshot_summary", f"SELECT count(*) AS listing_count, {med('rate', 0, 'valid AND rate > 0')} AS median_rate, count(*) FILTER (WHERE is_new) AS new_count, count(*) FILTER (WHERE valid AND rate < rate_was) AS drop_count FROM obs", STATE_SQL)
 def _(s, d):
     return ingested(s, d).summary
 
 
-@query("carry_price", "SELECT entity_id, price FROM obs WHERE price_state = 'invalid'", STATE_SQL)
+@query("carry_price", "SELECT entity_id, deal, price FROM obs WHERE NOT valid", STATE_SQL)
 def _(s, d):
-    return state.observe(state_table(s, d), cards(s, d).select("entity_id", "deal", "kind", "sqm", "price", "price_state")).where("price_state = 'invalid'").select("entity_id", "price")
+    return state.snapshot_rows(state_table(s, d).drop("search_key"), cards(s, d), KEY, DAY).where("_seen and not _valid").select("entity_id", "deal", "price")
 
 
 @query("seen_minus_snapshot", "SELECT entity_id FROM st WHERE search_key = 's7' AND closed_at IS NULL AND entity_id % 4 = 0", STATE_SQL)
@@ -109,21 +137,30 @@ def _(s, d):
     return state_table(s, d).where(F.array_contains("search_keys", KEY)).join(cards(s, d), "entity_id", "left_anti").select("entity_id")
 
 
-@query("sweep", "SELECT entity_id, array_to_string(list_sort(list_filter(search_keys, lambda k: k IN ('s1', 's2', 'extra'))), ',') AS search_keys, CASE WHEN closed_at IS NULL AND len(list_filter(search_keys, lambda k: k IN ('s1', 's2', 'extra'))) = 0 THEN DATE '2001-08-01' ELSE closed_at END AS closed_at FROM st", STATE_SQL)
+@query("sweep", "SELECT entity_id, array_to_string(CASE WHEN len(list_filter(search_keys, lambda k: k NOT IN ('s1', 's2', 'extra'))) > 0 THEN list_sort(list_filter(search_keys, lambda k: k IN ('s1', 's2', 'extra'))) ELSE search_keys END, ',') AS search_keys, CASE WHEN closed_at IS NULL AND len(list_filter(search_keys, lambda k: k IN ('s1', 's2', 'extra'))) = 0 THEN DATE '2001-08-01' ELSE closed_at END AS closed_at FROM st", STATE_SQL)
 def _(s, d):
     return state.sweep(state_table(s, d), ["s1", "s2", "extra"], DAY).select("entity_id", F.array_join("search_keys", ",").alias("search_keys"), "closed_at")
 
 
+@query("retire_searches", f"SELECT search_key, coalesce(retired_at, CASE WHEN search_key NOT IN ('u1', 'u2', 'u10') THEN {NOW_SQL} END) AS retired_at FROM searches")
+def _(s, d):
+    return state.retire_searches(market(s, d).searches, ["u1", "u2", "u10"], NOW).select("search_key", "retired_at")
+
+
 @query("sweep_allowed", "SELECT search_key AS cycle, coalesce(sum(cards), 0) > 0 OR bool_and(status = 'ok' AND is_complete) AS allowed FROM runs GROUP BY 1")
 def _(s, d):
     return state.sweep_allowed(market(s, d).runs.withColumnRenamed("search_key", "cycle"))
 
 
-@query("enrich_merge", "SELECT entity_id, coalesce(sqm, 33.0) AS sqm, CASE WHEN entity_id % 2 = 0 THEN 'detailed' ELSE title END AS title, least(first_seen, DATE '1999-01-01') AS first_seen, coalesce(rooms, '9') AS rooms FROM st WHERE entity_id % 3 = 0", STATE_SQL)
+@query("enrich_merge", f"""SELECT entity_id, title, sqm, rooms, deal, price, CASE WHEN rr BETWEEN 1 AND 15000 THEN rr END AS rate, coalesce(published, DATE '1999-01-01') AS first_seen, published_on, details_at FROM (
+  SELECT *, CASE WHEN deal = 'sale' AND sqm >= 5 AND price > 0 THEN {r('price / sqm')} END AS rr FROM (
+    SELECT *, CASE WHEN entity_id % 7 <> 0 THEN was + 1 WHEN deal = was_deal THEN was END AS price FROM (
+      SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN 'detailed' ELSE title END AS title, coalesce(sqm, 33.0) AS sqm, coalesce(rooms, '9') AS rooms, (['sale', 'rent', 'unknown', 'daily_rent', 'unknown'])[entity_id % 5 + 1] AS deal, deal AS was_deal, price AS was, CASE WHEN entity_id % 3 <> 0 THEN first_seen END AS published,
+        CASE WHEN entity_id % 3 <> 0 THEN first_seen ELSE DATE '1999-01-01' END AS published_on, {NOW_SQL} AS details_at FROM st WHERE entity_id % 4 = 0)))""", STATE_SQL)
 def _(s, d):
-    st = state_table(s, d)
-    details = st.where("entity_id % 3 = 0").select("entity_id", F.lit(33.0).alias("sqm"), F.when(F.col("entity_id") % 2 == 0, "detailed").alias("title"), F.lit(date(1999, 1, 1)).alias("first_seen"), F.lit("9").alias("rooms"))
-    return state.enrich(st, details).where("entity_id % 3 = 0").select("entity_id", "sqm", "title", "first_seen", "rooms")
+    st, i = state_table(s, d), F.col("entity_id")
+    details = st.where("entity_id % 4 = 0").select("entity_id", F.lit(33.0).alias("sqm"), F.when(i % 2 == 0, "detailed").alias("title"), F.lit(date(1999, 1, 1)).alias("published_on"), F.lit("9").alias("rooms"), pick(i % 5, ("sale", "rent", None, "daily_rent", "unknown")).alias("deal"), (F.col("price") + 1).alias("price"), F.when(i % 7 == 0, "invalid").otherwise("valid").alias("price_state"))
+    return state.enrich(st, details, NOW).where("entity_id % 4 = 0").select("entity_id", "title", "sqm", "rooms", "deal", "price", "rate", "first_seen", "published_on", "details_at")
 
 
 @query("merge_card_and_detail", "SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN 'detailed' ELSE title END AS title, CASE WHEN entity_id % 3 = 0 THEN 'unknown' ELSE deal END AS deal FROM entities")
@@ -141,27 +178,38 @@ def _(s, d):
     return state.daily_reported_prices(details)
 
 
-@query("enrichment_queue", """SELECT entity_id, reason, pool FROM (SELECT *, count(*) OVER () AS pool FROM (SELECT *, CASE WHEN details_on IS NULL THEN 'never' WHEN latitude IS NULL THEN 'unpinned' WHEN sqm IS NULL THEN 'missing_area' WHEN m > details_on THEN 'price_changed' WHEN DATE '2001-08-01' - details_on > 7 THEN 'stale' END AS reason
-   FROM st LEFT JOIN (SELECT entity_id, max(on_date) AS m FROM history GROUP BY 1) USING (entity_id) WHERE closed_at IS NULL) WHERE reason IS NOT NULL AND NOT (attempted_on IS NOT NULL AND DATE '2001-08-01' - attempted_on < 1))
-   ORDER BY details_on IS NOT NULL, attempted_on NULLS FIRST, entity_id LIMIT 75""", STATE_SQL)
+def prices(s: SparkSession, d: str) -> DataFrame:
+    """Reported prices, and those of every third item as markers of a search."""
+    return market(s, d).history.withColumn("source", F.when(F.col("entity_id") % 3 == 0, state.SEARCH_SOURCE).otherwise(F.col("source")))
+
+
+@query("enrichment_queue", f"""SELECT entity_id, unpinned, missing_sqm, never_detailed, stale, price_changed, pool_total FROM (SELECT *, count(*) OVER () AS pool_total FROM (
+   SELECT *, latitude IS NULL OR longitude IS NULL AS unpinned, sqm IS NULL AND price IS NOT NULL AND deal = 'sale' AS missing_sqm, details_at IS NULL AS never_detailed, coalesce(details_at <= {NOW_SQL} - INTERVAL 7 DAY, false) AS stale, coalesce(m >= coalesce(details_on, DATE '1900-01-01'), false) AS price_changed
+   FROM st LEFT JOIN (SELECT entity_id, max(on_date) AS m FROM history WHERE entity_id % 3 = 0 GROUP BY 1) USING (entity_id) WHERE closed_at IS NULL AND entity_id % 2 = 0 AND (attempted_at IS NULL OR attempted_at <= {NOW_SQL} - INTERVAL 720 MINUTE))
+   WHERE unpinned OR missing_sqm OR never_detailed OR stale OR price_changed) ORDER BY never_detailed DESC, attempted_at NULLS FIRST, entity_id LIMIT 75""", STATE_SQL)
 def _(s, d):
-    return state.enrichment_queue(state_table(s, d), market(s, d).history, DAY, 75)
+    st = state_table(s, d)
+    return state.enrichment_queue(st, prices(s, d), NOW, 75, st.where("entity_id % 2 = 0").select("entity_id"))
 
 
-@query("clear_markers", "SELECT entity_id, count(*) AS n FROM history WHERE entity_id NOT IN (SELECT entity_id FROM entities WHERE details_on IS NOT NULL) GROUP BY 1")
+@query("mark_attempts", f"SELECT entity_id, CASE WHEN entity_id % 7 = 0 THEN {NOW_SQL} ELSE attempted_at END AS attempted_at FROM st", STATE_SQL)
 def _(s, d):
-    m = market(s, d)
-    return state.clear_markers(m.history, m.entities.where("details_on is not null")).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    st = state_table(s, d)
+    return state.mark_attempts(st, st.where("entity_id % 7 = 0").select("entity_id"), NOW).select("entity_id", "attempted_at")
 
 
-@query("abandoned_runs", "SELECT run_id, CASE WHEN status = 'running' AND started_at < TIMESTAMP '2001-07-20 00:00:00' THEN 'error' ELSE status END AS status FROM runs")
+@query("clear_markers", "SELECT entity_id, count(*) AS n FROM history WHERE entity_id % 3 <> 0 OR entity_id NOT IN (SELECT entity_id FROM entities WHERE details_on IS NOT NULL) GROUP BY 1")
 def _(s, d):
-    from datetime import datetime
+    return state.clear_markers(prices(s, d), market(s, d).entities.where("details_on is not null")).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
 
-    return state.recover_abandoned_runs(market(s, d).runs, datetime(2001, 7, 20, 0, 30), 30).select("run_id", "status")
+
+@query("abandoned_runs", """SELECT run_id, CASE WHEN gone THEN 'error' ELSE status END AS status, CASE WHEN gone THEN TIMESTAMP '2001-07-20 00:30:00' ELSE finished_at END AS finished_at, CASE WHEN gone THEN 'scraper process stopped before run completion' ELSE error END AS error
+   FROM (SELECT *, status = 'running' AND finished_at IS NULL AND started_at < TIMESTAMP '2001-07-20 00:00:00' AS gone FROM runs)""")
+def _(s, d):
+    return state.recover_abandoned_runs(market(s, d).runs, datetime(2001, 7, 20, 0, 30), 30).select("run_id", "status", "finished_at", "error")
 
 
-@query("has_recent_run", "SELECT DISTINCT search_key FROM runs WHERE status = 'ok' AND is_complete AND finished_at >= TIMESTAMP '2001-07-31 00:00:00'")
+@query("has_recent_run", "SELECT DISTINCT search_key FROM runs WHERE status = 'ok' AND is_complete AND finished_at > TIMESTAMP '2001-07-31 00:00:00'")
 def _(s, d):
     return state.has_recent_run(market(s, d).runs, NOW, 24 * 60)
 
@@ -539,3 +587,44 @@ def _(s, d):
     source = s.readStream.schema(e.schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     out = drained(hourly_runs(source.select(F.col("ts").alias("started_at"), F.col("event_type").alias("status"))), "hourly_runs_out", "complete")
     return out.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+#: Three snapshots of two searches, as files: (id, search, day), and the items that each holds.
+SNAPSHOTS = ((1, "a", date(2001, 7, 30), "entity_id % 2 = 0"), (2, "b", date(2001, 7, 30), "entity_id % 3 = 0"), (3, "a", date(2001, 7, 31), "entity_id % 2 = 0 and entity_id % 10 <> 0"))
+
+
+@query("stream_snapshots", """WITH e AS (SELECT o_orderkey AS entity_id, o_totalprice AS price, o_orderkey % 2 = 0 AS in_1, o_orderkey % 3 = 0 AS in_2, o_orderkey % 2 = 0 AND o_orderkey % 10 <> 0 AS in_3, o_orderkey % 4 = 0 AS cut FROM orders WHERE o_orderkey > 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0))
+   SELECT entity_id, concat_ws(',', CASE WHEN in_3 THEN 'a' END, CASE WHEN in_2 THEN 'b' END) AS search_keys, CASE WHEN in_3 AND cut THEN price * 0.5 ELSE price END AS price, CASE WHEN NOT in_3 AND NOT in_2 THEN DATE '2001-07-31' END AS closed_at,
+     CASE WHEN in_3 AND cut THEN 2 ELSE 1 END AS markers, CASE WHEN NOT in_3 AND NOT in_2 THEN 1 ELSE 0 END AS events FROM e""", adapter=False)
+def _(s, d):
+    from ..streaming.streams import CARDS, stream_snapshots
+
+    folder = f"{archive.shared_folder(s)}/snapshots-{uuid.uuid4().hex}"
+    o = read(s, d, "orders").select(F.col("o_orderkey").alias("entity_id"), F.col("o_totalprice").alias("price"))
+    for n, key, day, which in SNAPSHOTS:
+        price = F.when(F.lit(n == 3) & (F.col("entity_id") % 4 == 0), F.col("price") * 0.5).otherwise(F.col("price"))
+        rows = o.where(which).withColumns({"snapshot_id": F.lit(n).cast("long"), "search_key": F.lit(key), "day": F.lit(day), "price": price, "deal": F.lit("sale"), "price_state": F.lit("valid"), "sqm": F.lit(50.0)})
+        missing = [(c.split()[0], c.split()[1]) for c in CARDS.split(", ") if c.split()[0] not in rows.columns]
+        rows.withColumns({c: F.lit(None).cast(t) for c, t in missing}).write.mode("append").parquet(f"{folder}/landing")
+    empty = s.createDataFrame([], "entity_id long, title string, deal string, kind string, rooms string, sqm double, price double, rate double, first_seen date, last_seen date, closed_at date, closing_price double, search_keys array<string>")
+    stream_snapshots(s, f"{folder}/landing", f"{folder}/store", f"{folder}/checkpoint", empty).awaitTermination()
+    count = lambda df, name: df.groupBy("entity_id").agg(F.count(F.lit(1)).alias(name))
+    out = archive.read_latest(s, f"{folder}/store", "state")
+    out = out.join(count(archive.read_prices(s, f"{folder}/store"), "markers"), "entity_id", "left").join(count(archive.read_deltas(s, f"{folder}/store", "lifecycle"), "events"), "entity_id", "left").na.fill(0, ["markers", "events"])
+    return out.select("entity_id", F.array_join("search_keys", ",").alias("search_keys"), "price", "closed_at", "markers", "events")
+
+
+@query("stream_alerts", """WITH rows_ AS (SELECT 'u' || user_id AS name, ts AS at_, event_type IN ('error', 'click') AS failing FROM events),
+   g AS (SELECT *, count(*) FILTER (WHERE NOT failing) OVER (PARTITION BY name ORDER BY at_, failing) AS g FROM rows_),
+   runs_ AS (SELECT name, g, min(at_) AS since FROM g WHERE failing GROUP BY 1, 2),
+   ends AS (SELECT r.name, since, (SELECT min(at_) FROM g WHERE g.name = r.name AND NOT failing AND g.g = r.g + 1) AS over FROM runs_ r),
+   held AS (SELECT *, since + INTERVAL 60 MINUTE AS due FROM ends)
+   SELECT name, date_trunc('millisecond', due) AS at, 'fired' AS notice FROM held WHERE due < coalesce(over, (SELECT date_trunc('millisecond', max(at_)) FROM rows_) + INTERVAL 1 MILLISECOND)
+   UNION ALL SELECT name, over, 'resolved' FROM held WHERE due < over""", adapter=False)
+def _(s, d):
+    from ..streaming.streams import stream_alerts
+
+    e = read(s, d, "events")
+    source = s.readStream.schema(e.schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    conditions = source.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), F.col("event_type").isin("error", "click").alias("failing"), F.col("ts").cast("timestamp").alias("at"))
+    return drained(stream_alerts(conditions, 60), "alerts_drained", "append").withColumn("at", F.col("at").cast("timestamp_ntz"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators.histories import first_per_key
+from ..operators.histories import first_per_key, last_wins
 
 # -- column policies -------------------------------------------------------------------------------------------------
 
@@ -69,16 +69,28 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, rules: dict[str, Polic
 
 # -- one snapshot ------------------------------------------------------------------------------------------------------
 
+#: Fixed: the attribute by which an item's details declare its kind of offer, and where markers come from.
+DECLARED_CODE, SEARCH_SOURCE = "vrsta-oglasa", "search"
 
-def resolve_deal(nightly: Column, declared: Column, card: Column) -> Column:
-    """A nightly category, then what the details declared, then the card; else unknown."""
-    known = lambda c: F.when(c != "unknown", c)
-    return F.coalesce(F.when(nightly, F.lit("daily_rent")), known(declared), known(card), F.lit("unknown"))
 
+def has_valid_price(price: Column, state: Column) -> Column:
+    return price.isNotNull() & ~F.coalesce(state.isin("invalid", "unpriced"), F.lit(False))
 
-def carry_price(state: Column, new: Column, old: Column, same_deal: Column) -> Column:
-    """An invalid price keeps the one before, unless the deal changed."""
-    return F.when((state == "invalid") & F.coalesce(same_deal, F.lit(True)), old).otherwise(new)
+
+def resolve_deal(card: Column, prior: Column, declared: Column) -> Column:
+    """A nightly card, then the deal that details derived from the declared kind of offer, then the card; else unknown."""
+    kept = F.when(F.coalesce(declared, F.lit(False)) & (prior != "daily_rent"), prior)
+    return F.when(card == "daily_rent", card).otherwise(F.coalesce(kept, F.when(card.isin("rent", "sale"), card), F.lit("unknown")))
+
+
+def carry_price(valid: Column, new: Column, old: Column, same_deal: Column) -> Column:
+    """A price that is missing or invalid keeps the one before, unless the deal changed."""
+    return F.when(valid, new).when(F.coalesce(same_deal, F.lit(False)), old)
+
+
+def rate_of(price: Column, sqm: Column, deal: Column) -> Column:
+    rate = F.when((deal == "sale") & (price > 0) & (sqm >= 5), X.rounded(price / sqm, 0))
+    return F.when(rate.between(1, 15_000), rate)
 
 
 @dataclass
@@ -89,39 +101,87 @@ class Ingested:
     summary: DataFrame  # one row
 
 
+#: How columns of known items take what a card says; all others are replaced by it.
 STATE_RULES: dict[str, Policy] = {
-    "title": new_first, "url": new_first, "kind": new_first, "rooms": new_first, "sqm": new_first, "area_key": new_first, "seller": new_first,
-    "first_seen": old_first, "last_seen": later, "search_keys": add_member, "extra": merge_map,
+    **{c: new_first for c in ("kind", "rooms", "sqm", "price_text", "latitude", "longitude", "seller", "source_status", "area_key")},
+    "renewed_on": later, "extra": merge_map, "search_keys": add_member,
 }
 
 
-def observe(state: DataFrame, cards: DataFrame) -> DataFrame:
-    """Cards with what was known of them: resolved deal, carried price, rate, and the facts of change."""
-    before = state.select("entity_id", F.col("deal").alias("_deal"), F.col("price").alias("_price"), F.col("rate").alias("_rate"), F.col("closed_at").alias("_closed"), F.lit(True).alias("_known"))
-    c = cards.join(before, "entity_id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
-    c = c.withColumn("deal", resolve_deal(F.col("kind") == "daily_rent", F.col("_deal"), F.col("deal")))
-    c = c.withColumn("price", carry_price(F.col("price_state"), F.col("price"), F.col("_price"), F.col("_deal") == F.col("deal")))
-    rate = F.when((F.col("deal") == "sale") & (F.col("sqm") >= 5), X.rounded(F.col("price") / F.col("sqm"), 0))
-    return c.withColumns({"rate": F.when(rate.between(1, 15_000), rate), "is_new": ~F.col("_known"), "reopened": F.col("_known") & F.col("_closed").isNotNull()})
+def unique_cards(cards: DataFrame) -> DataFrame:
+    """Cards of positive ids, one of each: the last by `place`, or as they come where there is no such column."""
+    known = cards.where(F.col("entity_id") > 0)
+    ordered = known if "place" in cards.columns else known.withColumn("place", F.monotonically_increasing_id())
+    return last_wins(ordered, ["entity_id"], "place").drop("place")
+
+
+def snapshot_rows(state: DataFrame, cards: DataFrame, search_key: str, day: date) -> DataFrame:
+    """The state after a complete snapshot of one search, with marks of what changed: _seen, _new, _reopened, _removed,
+    _valid, and _deal, _price, _rate as they were.
+
+    Cards come to the state by one join that shuffles it only where the snapshot is too large to send around."""
+    got = unique_cards(cards)
+    tagged = got.select("entity_id", *(F.col(c).alias(f"_c_{c}") for c in got.columns if c != "entity_id"), F.lit(True).alias("_seen"))
+    known = state.join(tagged.select("entity_id"), "entity_id", "left_semi").select("entity_id")
+    old = state.join(tagged, "entity_id", "left").withColumn("_known", F.lit(True))
+    both = old.unionByName(tagged.join(known, "entity_id", "left_anti"), allowMissingColumns=True)
+    seen, new = F.coalesce("_seen", F.lit(False)), F.col("_known").isNull()
+    card = lambda c: F.col(f"_c_{c}") if c in got.columns else F.lit(None)
+    declared = F.map_contains_key("characteristics", DECLARED_CODE) if "characteristics" in state.columns else F.lit(False)
+    both = both.withColumns({"_deal": F.col("deal"), "_price": F.col("price"), "_rate": F.col("rate"), "_reopened": seen & ~new & F.col("closed_at").isNotNull(), "_new": new, "_valid": seen & has_valid_price(card("price"), card("price_state"))})
+    both = both.withColumn("_now", resolve_deal(card("deal").cast("string"), F.col("_deal"), declared))
+    both = both.withColumn("_paid", carry_price(F.col("_valid"), card("price").cast(state.schema["price"].dataType), F.col("_price"), F.col("_deal") == F.col("_now")))
+    area = F.coalesce(card("sqm").cast("double"), F.col("sqm"))
+    facts = {"latest_price_state": F.coalesce(card("price_state"), F.when(F.col("_valid"), "valid").otherwise("unpriced")), "price_basis": card("price_basis"), "category_id": card("category_id")}
+    entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in facts.items())), lambda e: e["value"].isNotNull())
+    said = {"deal": F.col("_now"), "price": F.col("_paid"), "rate": rate_of(F.col("_paid"), area, F.col("_now")), "currency": F.coalesce(card("currency").cast("string"), F.lit("unknown")), "search_keys": F.array(F.lit(search_key)),
+            "last_seen": F.lit(day), "closed_at": F.lit(None).cast("date"), "closing_price": F.lit(None).cast("double"), "extra": F.map_from_entries(entries)}
+    removed = ~seen & F.coalesce(F.array_contains("search_keys", search_key), F.lit(False))
+    out = {"_removed": removed}
+    for c, t in state.dtypes:
+        value = said[c] if c in said else F.col(f"_c_{c}") if c in got.columns else None
+        if c == "first_seen":
+            out[c] = F.when(new, F.lit(day)).otherwise(F.col(c))
+        elif c != "entity_id" and value is not None:
+            value = value.cast(t)
+            rest = F.when(removed, F.array_remove(c, search_key)).otherwise(F.col(c)) if c == "search_keys" else F.col(c)
+            out[c] = F.when(seen & new, value).when(seen, STATE_RULES.get(c, replace)(value, F.col(c))).otherwise(rest)
+    both = both.withColumns(out).withColumn("_seen", seen)
+    gone = F.col("_removed") & (F.size("search_keys") == 0) & F.col("closed_at").isNull()
+    both = close_where(both, gone, day)
+    return both.select(*state.columns, "closing", "_seen", "_new", "_reopened", "_valid", "_deal", "_price", "_rate")
+
+
+EVENT_COLUMNS = ("entity_id", "event", "occurred_on", "opened_on", "deal", "kind", "area_key", "rooms", "sqm", "price", "title", "url", "latitude", "longitude")
 
 
 def lifecycle_events(rows: DataFrame, event: str, day: date, reopenings: DataFrame | None = None) -> DataFrame:
-    """Snapshot rows of an event. A close opened at the latest reopening up to its day, else when first seen."""
+    """Snapshot rows of an event. A close opened at the latest reopening up to its day, else when first seen, and its
+    price is the closing price."""
     out = rows.withColumns({"event": F.lit(event), "occurred_on": F.lit(day)})
     if event != "closed":
         out = out.withColumn("opened_on", F.lit(None).cast("date"))
-    elif reopenings is None:
-        out = out.withColumn("opened_on", F.col("first_seen"))
     else:
-        last = reopenings.where(F.col("occurred_on") <= F.lit(day)).groupBy("entity_id").agg(F.max("occurred_on").alias("_o"))
-        out = out.join(last, "entity_id", "left").withColumn("opened_on", F.coalesce("_o", "first_seen"))
-    return out.select("entity_id", "event", "occurred_on", "opened_on", "deal", "kind", "area_key", "rooms", "sqm", "price", "title")
+        out = out.withColumn("price", F.col("closing_price"))
+        if reopenings is None:
+            out = out.withColumn("opened_on", F.col("first_seen"))
+        else:
+            last = reopenings.where(F.col("occurred_on") <= F.lit(day)).groupBy("entity_id").agg(F.max("occurred_on").alias("_o"))
+            out = out.join(last, "entity_id", "left").withColumn("opened_on", F.coalesce("_o", "first_seen"))
+    return out.select(*[c for c in EVENT_COLUMNS if c in out.columns])
 
 
-def price_markers(observed: DataFrame, day: date) -> DataFrame:
-    """One row per item that is new, or whose deal or price changed."""
-    changed = F.col("is_new") | ~F.col("_deal").eqNullSafe(F.col("deal")) | ~F.col("_price").eqNullSafe(F.col("price"))
-    return observed.where(changed & (F.col("price") > 0)).select("entity_id", F.lit(day).alias("on_date"), "price", F.lit("search").alias("source"))
+def price_markers(rows: DataFrame, day: date) -> DataFrame:
+    """One row per seen item with a valid price that is new, or whose deal or price changed."""
+    changed = F.col("_new") | ~F.col("_deal").eqNullSafe(F.col("deal")) | ~F.col("_price").eqNullSafe(F.col("price"))
+    currency = F.col("currency") if "currency" in rows.columns else F.lit("unknown")
+    return rows.where(F.col("_valid") & changed).select("entity_id", F.lit(day).alias("on_date"), "price", currency.alias("currency"), F.lit(SEARCH_SOURCE).alias("source"))
+
+
+def upsert_prices(prices: DataFrame, batch: DataFrame) -> DataFrame:
+    """Prices (entity_id, on_date, source, ...) after a batch: of one item, day and source the last write stays."""
+    key = ["entity_id", "on_date", "source"]
+    return prices.join(batch.select(*key), key, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
 def drop_membership(state: DataFrame, search_key: str, seen: DataFrame) -> DataFrame:
@@ -131,32 +191,52 @@ def drop_membership(state: DataFrame, search_key: str, seen: DataFrame) -> DataF
     return state.join(ids, "entity_id", "left").withColumn("search_keys", F.when(gone, F.array_remove("search_keys", search_key)).otherwise(F.col("search_keys"))).drop("_seen")
 
 
+def close_where(state: DataFrame, gone: Column, day: date) -> DataFrame:
+    """Closes rows at their price; `closing` marks them."""
+    return state.withColumn("closing", F.coalesce(gone, F.lit(False))).withColumns({"closed_at": F.when(F.col("closing"), F.lit(day)).otherwise(F.col("closed_at")), "closing_price": F.when(F.col("closing"), F.col("price")).otherwise(F.col("closing_price"))})
+
+
 def close_orphans(state: DataFrame, day: date) -> DataFrame:
-    """Closes open items that no search holds any more; `closing` marks them."""
-    orphan = F.col("closed_at").isNull() & (F.size("search_keys") == 0)
-    return state.withColumn("closing", orphan).withColumns({"closed_at": F.when(orphan, F.lit(day)).otherwise(F.col("closed_at")), "closing_price": F.when(orphan, F.col("price")).otherwise(F.col("closing_price"))})
+    """Closes open items that no search holds any more."""
+    return close_where(state, F.col("closed_at").isNull() & (F.size("search_keys") == 0), day)
+
+
+def outputs(rows: DataFrame, columns: list[str], day: date, reopenings: DataFrame | None = None) -> Ingested:
+    """What a snapshot changes, from its snapshot_rows. The median is over the valid prices' rates, after the update."""
+    back = lifecycle_events(rows.where("_reopened"), "reopened", day)
+    gone = lifecycle_events(rows.where("closing"), "closed", day, reopenings)
+    valid = F.col("_valid")
+    summary = rows.where("_seen").agg(
+        F.count(F.lit(1)).alias("listing_count"), X.rounded(X.median("rate", valid & (F.col("rate") > 0)), 0).alias("median_rate"),
+        X.count_if(F.col("_new")).alias("new_count"), X.count_if(valid & (F.col("rate") < F.col("_rate"))).alias("drop_count"),
+    )
+    return Ingested(rows.select(*columns), back.unionByName(gone), price_markers(rows.where("_seen"), day), summary)
 
 
 def ingest_snapshot(state: DataFrame, cards: DataFrame, search_key: str, day: date, reopenings: DataFrame | None = None) -> Ingested:
     """A complete snapshot of one search: upsert, reopenings, markers, membership, closings and summary, in this order.
 
-    cards: entity_id, title, url, deal, kind, rooms, sqm, price, price_state, area_key, seller; the last card of an id wins."""
-    observed = observe(state, cards)
-    batch = observed.withColumns({"search_keys": F.array(F.lit(search_key)), "first_seen": F.lit(day), "last_seen": F.lit(day), "closed_at": F.lit(None).cast("date"), "closing_price": F.lit(None).cast("double")})
-    batch = batch.select(*[c for c in state.columns if c in batch.columns])
-    after = upsert(state, batch, "entity_id", STATE_RULES)
-    closed = close_orphans(drop_membership(after, search_key, cards), day)
-    back = lifecycle_events(after.join(observed.where("reopened").select("entity_id"), "entity_id", "left_semi"), "reopened", day)
-    gone = lifecycle_events(closed.where("closing"), "closed", day, reopenings)
-    dropped = F.col("rate") < F.col("_rate")
-    summary = observed.agg(F.count(F.lit(1)).alias("listing_count"), X.rounded(X.median("rate"), 0).alias("median_rate"), X.count_if(F.col("is_new")).alias("new_count"), X.count_if(dropped & (F.col("price_state") == "valid")).alias("drop_count"))
-    return Ingested(closed.drop("closing"), back.unionByName(gone), price_markers(observed, day), summary)
+    cards: entity_id, title, url, deal, kind, rooms, sqm, price, price_state and more columns of the state; of cards with
+    one id the last by `place` wins. A caller that writes several outputs keeps snapshot_rows and calls outputs."""
+    return outputs(snapshot_rows(state, cards, search_key, day), state.columns, day, reopenings)
 
 
 def sweep(state: DataFrame, active_keys: list[str], day: date) -> DataFrame:
-    """Memberships cut down to configured searches, in order; orphans close."""
+    """Memberships cut down to configured searches, in order; orphans close. Without any configured search nothing changes."""
+    if not active_keys:
+        return state.withColumn("closing", F.lit(False))
     keys = F.array(*(F.lit(k) for k in active_keys)).cast("array<string>")
-    return close_orphans(state.withColumn("search_keys", F.array_sort(F.array_intersect("search_keys", keys))), day)
+    left = F.array_intersect("search_keys", keys)
+    cut = F.when(F.size(F.array_except("search_keys", keys)) > 0, F.array_sort(left)).otherwise(F.col("search_keys"))
+    return close_orphans(state.withColumn("search_keys", cut), day)
+
+
+def retire_searches(searches: DataFrame, active_keys: list[str], now) -> DataFrame:
+    """Searches that are no longer configured are retired; such as are already keep their time."""
+    if not active_keys:
+        return searches
+    retired = F.when(~F.col("search_key").isin(active_keys), F.lit(now).cast("timestamp_ntz"))
+    return searches.withColumn("retired_at", F.coalesce("retired_at", retired))
 
 
 def sweep_allowed(cycle_runs: DataFrame) -> DataFrame:
@@ -167,16 +247,31 @@ def sweep_allowed(cycle_runs: DataFrame) -> DataFrame:
 
 # -- details ------------------------------------------------------------------------------------------------------------
 
+#: How columns of known items take what details say; for others a null keeps what is known.
 DETAIL_RULES: dict[str, Policy] = {
-    "sqm": old_first, "latitude": old_first, "longitude": old_first, "rooms": old_first, "first_seen": lambda new, old: F.least(new, old),
+    **{c: old_first for c in ("sqm", "latitude", "longitude", "rooms", "published_on")}, **{c: replace for c in ("deal", "price", "rate", "first_seen")},
     "renewed_on": later, "extra": merge_map,
 }
 
 
-def enrich(state: DataFrame, details: DataFrame) -> DataFrame:
-    """Details fill what is missing of place and size, and go first for everything else."""
-    known = details.join(state.select("entity_id"), "entity_id", "left_semi")
-    return upsert(state, known, "entity_id", DETAIL_RULES, new_first)
+def enrich(state: DataFrame, details: DataFrame, now=None) -> DataFrame:
+    """Details fill what is missing of place, size and rooms, and go first for everything else. A deal that they do not
+    know is unknown; a price that is missing or invalid keeps the one before unless the deal changed; the day of
+    publication is the first day. now: the time of the fetch, for details_at and attempted_at."""
+    prior = state.select("entity_id", *(F.col(c).alias(f"_{c}") for c in ("deal", "price", "sqm", "published_on", "first_seen") if c in state.columns))
+    d = details.join(prior, "entity_id")
+    if "deal" in details.columns:
+        d = d.withColumn("deal", F.when(F.col("deal").isin("daily_rent", "rent", "sale"), F.col("deal")).otherwise("unknown"))
+        if "price" in details.columns:
+            state_of = F.col("price_state") if "price_state" in details.columns else F.lit(None).cast("string")
+            d = d.withColumn("price", carry_price(has_valid_price(F.col("price"), state_of), F.col("price"), F.col("_price"), F.col("_deal") == F.col("deal")))
+            area = F.coalesce("_sqm", "sqm") if "sqm" in details.columns else F.col("_sqm")
+            d = d.withColumn("rate", rate_of(F.col("price"), area, F.col("deal")))
+    if "published_on" in details.columns and "_published_on" in prior.columns:
+        d = d.withColumn("first_seen", F.coalesce("_published_on", "published_on", "_first_seen"))
+    if now is not None:
+        d = d.withColumns({c: F.lit(now).cast("timestamp_ntz") for c in ("details_at", "attempted_at")})
+    return upsert(state, d.select(*[c for c in d.columns if c in state.columns]), "entity_id", DETAIL_RULES, new_first)
 
 
 def daily_reported_prices(details: DataFrame, zone: str = "Europe/Sarajevo") -> DataFrame:
@@ -187,28 +282,35 @@ def daily_reported_prices(details: DataFrame, zone: str = "Europe/Sarajevo") ->
     return first_per_key(dated, ["entity_id", "on_date"], [F.desc("reported_at"), F.desc("place")]).select("entity_id", "on_date", "price")
 
 
-def clear_markers(markers: DataFrame, enriched: DataFrame) -> DataFrame:
-    return markers.join(enriched.select("entity_id").distinct(), "entity_id", "left_anti")
-
-
-def enrichment_queue(state: DataFrame, markers: DataFrame, day: date, n: int, refresh_days: int = 7, retry_days: int = 1) -> DataFrame:
-    """The n items whose details are due, with the reason and the size of the pool: never detailed first, then the
-    oldest attempt."""
-    last = markers.groupBy("entity_id").agg(F.max("on_date").alias("_m"))
-    s = state.where("closed_at is null").join(last, "entity_id", "left")
-    reason = (
-        F.when(F.col("details_on").isNull(), "never").when(F.col("latitude").isNull(), "unpinned").when(F.col("sqm").isNull(), "missing_area")
-        .when(F.col("_m") > F.col("details_on"), "price_changed").when(F.datediff(F.lit(day), "details_on") > refresh_days, "stale")
-    )
-    cool = F.col("attempted_on").isNotNull() & (F.datediff(F.lit(day), "attempted_on") < retry_days)
-    due = s.withColumn("reason", reason).where(F.col("reason").isNotNull() & ~cool)
-    top = due.orderBy(F.col("details_on").isNotNull(), F.asc_nulls_first("attempted_on"), "entity_id").limit(n)
-    return top.select("entity_id", "reason").crossJoin(F.broadcast(due.agg(F.count(F.lit(1)).alias("pool"))))
-
-
-def mark_attempts(state: DataFrame, queue: DataFrame, day: date) -> DataFrame:
+def clear_markers(prices: DataFrame, enriched: DataFrame) -> DataFrame:
+    """Prices without the search markers of the enriched items; reported prices stay."""
+    ids = enriched.select("entity_id").distinct()
+    return prices.where(F.col("source") != SEARCH_SOURCE).unionByName(prices.where(F.col("source") == SEARCH_SOURCE).join(ids, "entity_id", "left_anti"))
+
+
+def enrichment_queue(state: DataFrame, prices: DataFrame, now, n: int, ids: DataFrame | None = None, refresh_days: int = 7, retry_minutes: int = 720, zone: str = "Europe/Sarajevo") -> DataFrame:
+    """The n items whose details are due, with all reasons and the size of the pool: never detailed first, then the
+    oldest attempt. Only search markers tell of a changed price, and only priced sales need an area. Items that were
+    tried within retry_minutes wait."""
+    at = F.lit(now).cast("timestamp_ntz")
+    last = prices.where(F.col("source") == SEARCH_SOURCE).groupBy("entity_id").agg(F.max("on_date").alias("_m"))
+    s = state.where("closed_at is null")
+    s = (s if ids is None else s.join(ids.select("entity_id"), "entity_id", "left_semi")).join(last, "entity_id", "left")
+    fetched = F.to_date(F.from_utc_timestamp(F.col("details_at").cast("timestamp"), zone))
+    reasons = {
+        "unpinned": F.col("latitude").isNull() | F.col("longitude").isNull(), "missing_sqm": F.col("sqm").isNull() & F.col("price").isNotNull() & (F.col("deal") == "sale"),
+        "never_detailed": F.col("details_at").isNull(), "stale": F.col("details_at") <= at - F.make_dt_interval(F.lit(refresh_days)), "price_changed": F.col("_m").isNotNull() & (fetched.isNull() | (F.col("_m") >= fetched)),
+    }
+    s = s.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in reasons.items()})
+    rested = F.col("attempted_at").isNull() | (F.col("attempted_at") <= at - F.make_dt_interval(mins=F.lit(retry_minutes)))
+    due = s.where(rested & (F.col("unpinned") | F.col("missing_sqm") | F.col("never_detailed") | F.col("stale") | (F.col("price_changed"))))
+    top = due.orderBy(F.desc("never_detailed"), F.asc_nulls_first("attempted_at"), "entity_id").limit(n)
+    return top.select("entity_id", *reasons).crossJoin(F.broadcast(due.agg(F.count(F.lit(1)).alias("pool_total"))))
+
+
+def mark_attempts(state: DataFrame, queue: DataFrame, now) -> DataFrame:
     hit = queue.select("entity_id", F.lit(True).alias("_hit"))
-    return state.join(hit, "entity_id", "left").withColumn("attempted_on", F.when(F.col("_hit"), F.lit(day)).otherwise(F.col("attempted_on"))).drop("_hit")
+    return state.join(hit, "entity_id", "left").withColumn("attempted_at", F.when(F.col("_hit"), F.lit(now).cast("timestamp_ntz")).otherwise(F.col("attempted_at"))).drop("_hit")
 
 
 def merge_card_and_detail(cards: DataFrame, details: DataFrame) -> DataFrame:
@@ -222,16 +324,23 @@ def merge_card_and_detail(cards: DataFrame, details: DataFrame) -> DataFrame:
 # -- runs and pages ---------------------------------------------------------------------------------------------------
 
 
+#: Fixed texts of a run that was given up.
+ABANDONED_ERROR, ABANDONED_REASON = "scraper process stopped before run completion", "abandoned run recovered at startup"
+
+
 def recover_abandoned_runs(runs: DataFrame, now, minutes: int) -> DataFrame:
-    """Running for longer than `minutes` is an error."""
-    old = (F.col("status") == "running") & (F.col("started_at") < F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(mins=F.lit(minutes)))
-    return runs.withColumns({"status": F.when(old, "error").otherwise(F.col("status")), "error": F.when(old, "abandoned").otherwise(F.col("error"))})
+    """Running for longer than `minutes` is an error that ended now."""
+    at = F.lit(now).cast("timestamp_ntz")
+    old = (F.col("status") == "running") & F.col("finished_at").isNull() & (F.col("started_at") < at - F.make_dt_interval(mins=F.lit(minutes)))
+    reason = F.col("failure_reason") if "failure_reason" in runs.columns else F.lit(None).cast("string")
+    made = {"status": F.lit("error"), "error": F.lit(ABANDONED_ERROR), "finished_at": at, "is_complete": F.lit(False), "failure_reason": F.lit(ABANDONED_REASON)}
+    return runs.withColumns({c: F.when(old, v).otherwise(reason if c == "failure_reason" else F.col(c)) for c, v in made.items()})
 
 
 def has_recent_run(runs: DataFrame, now, minutes: int) -> DataFrame:
     """Searches with a complete success in the last minutes."""
     since = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(mins=F.lit(minutes))
-    return runs.where((F.col("status") == "ok") & F.col("is_complete") & (F.col("finished_at") >= since)).select("search_key").distinct()
+    return runs.where((F.col("status") == "ok") & F.col("is_complete") & (F.col("finished_at") > since)).select("search_key").distinct()
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:

@@ -83,3 +83,14 @@ def latest_version(spark: SparkSession, folder: str) -> int | None:
 def read_latest(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table as of the newest committed version; later files without a commit are not looked at."""
     return spark.read.parquet(f"{folder}/{name}/version={latest_version(spark, folder)}")
+
+
+def read_deltas(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """All committed versions' rows of a table that is published as what each version adds, with their version."""
+    rows = spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}")
+    return rows.where(F.col("version") <= latest_version(spark, folder))
+
+
+def read_prices(spark: SparkSession, folder: str, name: str = "markers") -> DataFrame:
+    """Published prices: of an item, day and source the last write stays."""
+    return first_per_key(read_deltas(spark, folder, name), ["entity_id", "on_date", "source"], [F.desc("version")]).drop("version")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.state import ingest_snapshot
-from ..sources.archive import latest_version, publish, read_latest
+from ..plans.state import outputs, snapshot_rows
+from ..sources.archive import latest_version, publish, read_deltas, read_latest
 
 CARDS = "snapshot_id bigint, search_key string, day date, entity_id bigint, title string, url string, deal string, kind string, rooms string, sqm double, price double, price_state string, area_key string, seller string, snapshot_rows bigint"
 
@@ -21,7 +21,10 @@ def stream_snapshots(spark: SparkSession, landing: str, store: str, checkpoint:
     not newer than the last one of its search is skipped, so a batch that runs again changes nothing.
 
     A snapshot's files may come in several batches: its rows are read from the landing folder, and it is folded when there
-    are snapshot_rows of them. Without snapshot_rows (null or no such column) what has landed counts as the whole."""
+    are snapshot_rows of them. Without snapshot_rows (null or no such column) what has landed counts as the whole.
+
+    state, summary and searches are published whole, lifecycle and markers as what each version adds
+    (archive.read_deltas, archive.read_prices)."""
     last_ids = "search_key string, snapshot_id bigint"
 
     def fold(batch: DataFrame, _: int) -> None:
@@ -35,12 +38,13 @@ def stream_snapshots(spark: SparkSession, landing: str, store: str, checkpoint:
             if (before and h["snapshot_id"] <= before["snapshot_id"]) or (h["whole"] is not None and h["n"] != h["whole"]):
                 continue
             state = empty_state if newest is None else read_latest(spark, store, "state")
-            past = None if newest is None else read_latest(spark, store, "lifecycle").where("event = 'reopened'")
+            past = None if newest is None else read_deltas(spark, store, "lifecycle").where("event = 'reopened'")
             cards = landed.where((F.col("snapshot_id") == h["snapshot_id"]) & (F.col("search_key") == h["search_key"])).drop("snapshot_id", "search_key", "day", "snapshot_rows")
-            out = ingest_snapshot(state, cards, h["search_key"], h["day"], past)
-            grown = {n: df if newest is None else read_latest(spark, store, n).unionByName(df) for n, df in (("lifecycle", out.lifecycle), ("markers", out.markers))}
+            rows = snapshot_rows(state, cards, h["search_key"], h["day"]).persist()
+            out = outputs(rows, state.columns, h["day"], past)
             searches = last.where(F.col("search_key") != h["search_key"]).unionByName(spark.createDataFrame([(h["search_key"], h["snapshot_id"])], last_ids))
-            publish({"state": out.state, **grown, "summary": out.summary, "searches": searches}, store, 1 if newest is None else newest + 1)
+            publish({"state": out.state, "lifecycle": out.lifecycle, "markers": out.markers, "summary": out.summary, "searches": searches}, store, 1 if newest is None else newest + 1)
+            rows.unpersist()
         landed.unpersist()
 
     source = spark.readStream.schema(CARDS).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
@@ -53,27 +57,53 @@ def hourly_runs(runs: DataFrame, late: str = "2 hours") -> DataFrame:
     return timed.groupBy(F.window("started_at", "1 hour").alias("w"), "status").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour"), "status", "n")
 
 
-def alert_step(hold_ms: int) -> Callable:
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+#: Fixed minutes that conditions are held before they fire.
+HOLD_MINUTES = {"no_successful_scrape_26h": 10, "stale_or_failing_saved_search": 15}
+
+
+def alert_step(hold_ms: Callable[[str], int]) -> Callable:
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, fired = state.get if state.exists else (None, False)
-        out = []
-        for r in pd.concat(rows).sort_values("at", ignore_index=True).itertuples():
-            at = int(r.at.value // 1_000_000)
+        hold, out = hold_ms(key[0]), []
+
+        def until(now: int) -> bool:
+            """Whether the condition fires by now; it does so when its hold is over, not when the next row comes."""
+            due = since is not None and not fired and now >= since + hold
+            if due:
+                out.append((key[0], pd.Timestamp(since + hold, unit="ms"), "fired"))
+            return fired or due
+
+        rows = [] if state.hasTimedOut else pd.concat(batches).sort_values(["at", "failing"], ignore_index=True).itertuples()
+        for r in rows:
+            now = int(r.at.value // 1_000_000)
             if r.failing:
-                since = at if since is None else since
-                if not fired and at - since >= hold_ms:
-                    fired = True
-                    out.append((key[0], r.at, "fired"))
+                since = now if since is None else since
+                fired = until(now)
             else:
+                fired = until(now - 1)  # a recovery at the end of the hold is in time
                 if fired:
                     out.append((key[0], r.at, "resolved"))
                 since, fired = None, False
-        state.update((since, fired))
-        yield pd.DataFrame(out, columns=["name", "at", "notice"])
+        fired = until(state.getCurrentWatermarkMs())
+        if since is None:
+            state.remove()
+        else:
+            state.update((since, fired))
+            if not fired:
+                state.setTimeoutTimestamp(since + hold)
+        if out:
+            yield pd.DataFrame(out, columns=["name", "at", "notice"])
 
     return step
 
 
-def stream_alerts(conditions: DataFrame, hold_minutes: int = 10) -> DataFrame:
-    """conditions (name, failing, at): a notice when a condition has failed for the hold, and one when it is over."""
-    return conditions.groupBy("name").applyInPandasWithState(alert_step(hold_minutes * 60_000), "name string, at timestamp, notice string", "since long, fired boolean", "append", GroupStateTimeout.NoTimeout)
+def stream_alerts(conditions: DataFrame, hold_minutes: int | dict[str, int] = 10, late: str = "0 seconds") -> DataFrame:
+    """conditions (name, failing, at): a notice when a condition has failed for its hold, and one when it is over.
+
+    A timer on event time fires a condition whose hold ends without a further row of its own: once the watermark, which
+    follows the latest row of any condition, has passed. Minutes by name, 10 for names that are not listed."""
+    minutes = hold_minutes if isinstance(hold_minutes, dict) else {}
+    other = 10 if isinstance(hold_minutes, dict) else hold_minutes
+    step = alert_step(lambda name: 60_000 * minutes.get(name, other))
+    keyed = conditions.withWatermark("at", late).groupBy("name")
+    return keyed.applyInPandasWithState(step, "name string, at timestamp, notice string", "since long, fired boolean", "append", GroupStateTimeout.EventTimeTimeout)

@@ -65,6 +65,54 @@ def test_sweep_cuts_memberships_once(spark):
     swept = state.sweep(first.state, ["b"], D2)
     assert by_id(swept)[1].closed_at == D2
     assert by_id(state.sweep(swept.drop("closing"), ["b"], D3))[1].closed_at == D2
+    assert by_id(state.sweep(first.state, [], D2))[1].closed_at is None
+    searches = spark.createDataFrame([("a", None), ("b", None), ("c", datetime(2023, 1, 1))], "search_key string, retired_at timestamp_ntz")
+    assert {r.search_key: r.retired_at for r in state.retire_searches(searches, ["b"], datetime(2024, 1, 1)).collect()} == {"a": datetime(2024, 1, 1), "b": None, "c": datetime(2023, 1, 1)}
+
+
+def test_last_card_of_an_id_wins(spark):
+    twice = cards(spark, card(1, 100000.0), card(2), card(1, 90000.0), card(0), card(-3)).coalesce(1)
+    first = state.ingest_snapshot(spark.createDataFrame([], STATE), twice, "a", D1)
+    assert {i: r.price for i, r in by_id(first.state).items()} == {1: 90000.0, 2: 100000.0} and first.state.count() == 2
+    assert first.summary.first().listing_count == 2 and first.markers.count() == 2
+
+
+def test_deals_of_cards_and_details(spark):
+    """Nightly categories win, then what details declared; an item may turn from a sale into a rent."""
+    s = STATE + ", characteristics map<string,string>"
+    old = [(i, "t", "u", deal, "apartments", None, "2", 50.0, 3000.0, None, "shop", D1, D1, None, None, ["a"], {state.DECLARED_CODE: "x"} if declared else {}) for i, deal, declared in ((1, "sale", False), (2, "rent", True), (3, "daily_rent", True), (4, "sale", True), (5, "sale", False))]
+    got = state.ingest_snapshot(spark.createDataFrame(old, s), cards(spark, card(1, 600.0, "rent"), card(2, 3000.0, "sale"), card(3, 3000.0, "sale"), card(4, 40.0, "daily_rent"), card(5, None, None, "unpriced")), "a", D2)
+    rows = by_id(got.state)
+    assert {i: (r.deal, r.price) for i, r in rows.items()} == {1: ("rent", 600.0), 2: ("rent", 3000.0), 3: ("sale", 3000.0), 4: ("daily_rent", 40.0), 5: ("unknown", None)}
+    assert sorted(r.entity_id for r in got.markers.collect()) == [1, 3, 4]
+
+
+def test_unpriced_cards_keep_the_price(spark):
+    first = state.ingest_snapshot(spark.createDataFrame([], STATE), cards(spark, card(1)), "a", D1)
+    kept = state.ingest_snapshot(first.state, cards(spark, card(1, None, "sale", "unpriced")), "a", D2)
+    assert by_id(kept.state)[1].price == 100000.0 and kept.markers.count() == 0 and kept.summary.first().median_rate is None
+
+
+def test_one_marker_a_day(spark):
+    one = state.ingest_snapshot(spark.createDataFrame([], STATE), cards(spark, card(1)), "a", D1)
+    two = state.ingest_snapshot(one.state, cards(spark, card(1, 90000.0)), "a", D1)
+    assert [r.price for r in state.upsert_prices(one.markers, two.markers).collect()] == [90000.0]
+
+
+def test_enrichment_queue(spark):
+    now = datetime(2024, 1, 20, 12)
+    fresh, tried = datetime(2024, 1, 19), datetime(2024, 1, 10)
+    rows = [[i, 44.0, 17.0, 50.0, 100000.0, "sale", None, fresh, tried] for i in range(1, 10)]
+    rows[0][7] = rows[5][7] = rows[6][7] = None
+    rows[1][7] = datetime(2024, 1, 12)
+    rows[2][1], rows[3][3], rows[5][8], rows[6][6], rows[8][3], rows[8][5] = None, None, now, D1, None, "rent"
+    s = spark.createDataFrame(rows, "entity_id long, latitude double, longitude double, sqm double, price double, deal string, closed_at date, details_at timestamp_ntz, attempted_at timestamp_ntz")
+    prices = spark.createDataFrame([(8, date(2024, 1, 19), "search"), (9, date(2024, 1, 20), "reported")], "entity_id long, on_date date, source string")
+    first = state.enrichment_queue(s, prices, now, 2, retry_minutes=60).collect()
+    assert [r.entity_id for r in first] == [1, 2] and {r.pool_total for r in first} == {5} and first[0].never_detailed and first[1].stale
+    s = state.mark_attempts(s, spark.createDataFrame([(1,), (2,)], "entity_id long"), now)
+    nxt = state.enrichment_queue(s, prices, now, 10, retry_minutes=60).collect()
+    assert [r.entity_id for r in nxt] == [3, 4, 8] and nxt[0].unpinned and nxt[1].missing_sqm and nxt[2].price_changed
 
 
 def test_sweep_allowed(spark):
@@ -161,14 +209,16 @@ def test_stream_of_several_searches_and_files(spark, tmp_path):
     assert rows[1].last_seen == rows[2].last_seen == D2 and all(r.closed_at is None for r in rows.values())
     rows = snap(5, "b", D2, 1, card(4))
     assert rows[3].closed_at == D2 and rows[4].closed_at is None
-    assert sorted((r.entity_id, r.on_date) for r in archive.read_latest(spark, store, "markers").collect()) == [(1, D1), (2, D1), (3, D1), (4, D2)]
+    assert sorted((r.entity_id, r.on_date) for r in archive.read_prices(spark, store).collect()) == [(1, D1), (2, D1), (3, D1), (4, D2)]
 
 
 def test_stream_of_alerts(spark, tmp_path):
+    """A hold ends by a timer, also where no further row of the condition comes; holds may differ."""
     t = datetime(2024, 1, 1)
-    rows = [("x", f, t + timedelta(minutes=m)) for m, f in ((0, True), (10, True), (30, True), (31, False))] + [("y", True, t)]
+    name = "stale_or_failing_saved_search"
+    rows = [("x", f, t + timedelta(minutes=m)) for m, f in ((0, True), (10, True), (30, True), (31, False))] + [("y", True, t), (name, True, t), ("z", True, t + timedelta(minutes=25)), ("w", True, t), ("w", False, t + timedelta(minutes=10)), ("last", False, t + timedelta(minutes=40))]
     spark.createDataFrame(rows, "name string, failing boolean, at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("name string, failing boolean, at timestamp").parquet(str(tmp_path / "in"))
-    q = streams.stream_alerts(source).writeStream.format("memory").queryName("alerts_out").outputMode("append").trigger(availableNow=True).start()
+    q = streams.stream_alerts(source, streams.HOLD_MINUTES).writeStream.format("memory").queryName("alerts_out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert [(r.name, r.at.minute, r.notice) for r in spark.table("alerts_out").orderBy("at").collect()] == [("x", 10, "fired"), ("x", 31, "resolved")]
+    assert sorted((r.name, r.at.minute, r.notice) for r in spark.table("alerts_out").collect()) == sorted([("x", 10, "fired"), ("x", 31, "resolved"), ("y", 10, "fired"), (name, 15, "fired"), ("z", 35, "fired")])
