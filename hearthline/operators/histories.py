@@ -65,8 +65,7 @@ def opening_ask(exits: DataFrame, history: DataFrame, how: str = "inner") -> Dat
     """exits with the price that the cycle opened with: the first report on or after the opening and up to the
     close, else the last one before the opening. Two aggregates over one join, so no ranking of reports."""
     reports = history.where("price > 0").select(F.col("entity_id").alias("_e"), "on_date", F.col("price").alias("_p"))
-    keyed = exits.withColumn("_x", F.monotonically_increasing_id()) if "event_key" not in exits.columns else exits.withColumn("_x", F.col("event_key"))
-    slim = keyed.select("entity_id", "opened_on", "occurred_on").distinct()
+    slim = exits.select("entity_id", "opened_on", "occurred_on").distinct()
     met = slim.join(reports, (F.col("entity_id") == F.col("_e")) & (F.col("on_date") <= F.col("occurred_on")))
     later = F.col("on_date") >= F.col("opened_on")
     found = met.groupBy("entity_id", "opened_on", "occurred_on").agg(
@@ -115,23 +114,41 @@ def days_in_cycle(days: DataFrame, cycles: DataFrame) -> DataFrame:
     return days.join(c, (F.col("entity_id") == F.col("_e")) & inside).drop("_e", "opened_on", "closed_on")
 
 
+def value_spans(entities: DataFrame, history: DataFrame, lifecycle: DataFrame, start: date, end: date) -> DataFrame:
+    """(price, sqm, lo, hi): in which days of the window a price was in force while a cycle of its entity was open.
+
+    Reports and events are gathered per entity (they are few: one report a day at most), and spans meet cycles as
+    intervals, before anything is spread over days. Entities without any report stand with their present price."""
+    day = F.col("on_date")
+    reports = history.where("price > 0").groupBy("entity_id").agg(
+        F.max_by(F.struct(day.alias("d"), F.col("price").alias("p")), F.when(day < F.lit(start), day)).alias("before"),
+        F.array_sort(F.collect_list(F.when(day.between(F.lit(start), F.lit(end)), F.struct(day.alias("d"), F.col("price").alias("p"))))).alias("inside"),
+    )
+    on = lambda event: F.collect_list(F.when(F.col("event") == event, F.col("occurred_on")))
+    life = lifecycle.where("event in ('closed', 'reopened')").groupBy("entity_id").agg(on("closed").alias("closes"), on("reopened").alias("opens"))
+    rows = entities.select("entity_id", "sqm", F.col("price").alias("_now"), "first_seen").join(reports, "entity_id", "left").join(life, "entity_id", "left")
+    none = F.array().cast("array<date>")
+    shut = lambda o: F.array_min(F.filter(F.coalesce("closes", none), lambda c: c > o))
+    cycles = F.transform(F.concat(F.array("first_seen"), F.coalesce("opens", none)), lambda o: F.struct(o.alias("o"), shut(o).alias("c")))
+    first = F.array(F.struct(F.col("first_seen").alias("d"), F.col("_now").alias("p")))
+    held = F.filter(F.array("before"), lambda b: b["d"] < F.lit(start))  # without an earlier report there is none
+    told = F.when(F.col("inside").isNotNull(), F.concat(held, "inside")).when(F.col("_now") > 0, first)
+    rows = rows.select("sqm", cycles.alias("cycles"), told.alias("told")).where("told is not null")
+    last = lambda i: F.least(F.coalesce(F.date_sub(F.get("told", i + 1)["d"], 1), F.lit(end)), F.lit(end))
+    spans = F.transform("told", lambda t, i: F.struct(F.greatest(t["d"], F.lit(start)).alias("lo"), last(i).alias("hi"), t["p"].alias("p")))
+    spans = F.filter(spans, lambda s: s["lo"] <= s["hi"])
+    met = lambda s: F.transform(F.col("cycles"), lambda c: F.struct(F.greatest(s["lo"], c["o"]).alias("lo"), F.least(s["hi"], F.date_sub(c["c"], 1)).alias("hi"), s["p"].alias("p")))
+    parts = F.filter(F.flatten(F.transform(spans, met)), lambda x: x["lo"] <= x["hi"])
+    return rows.select("sqm", F.explode(parts).alias("x")).select(F.col("x.p").alias("price"), "sqm", "x.lo", "x.hi")
+
+
 def daily_state_series(entities: DataFrame, history: DataFrame, lifecycle: DataFrame, start: date, end: date, value: Column | None = None) -> DataFrame:
-    """Quartiles and count of the value in force on every day, rebuilt from reports and cycles.
-
-    Only reports that matter are spread over days: the last before the window and those inside; entities without
-    any report stand with their present price. Days are counted per value before the percentile, so the last
-    shuffle holds a value of a day once per task."""
-    items = entities.select("entity_id", "sqm", F.col("price").alias("_now"), "first_seen")
-    prices = history.where("price > 0").join(items.select("entity_id"), "entity_id", "left_semi")
-    inside = prices.where(F.col("on_date").between(F.lit(start), F.lit(end))).select("entity_id", "price", "on_date")
-    never = items.where("_now > 0").join(prices.select("entity_id").distinct(), "entity_id", "left_anti").select("entity_id", F.col("_now").alias("price"), F.col("first_seen").alias("on_date"))
-    relevant = last_before(prices, start).select("entity_id", "price", "on_date").unionByName(inside).unionByName(never)
-    mine = lifecycle.join(items.select("entity_id"), "entity_id", "left_semi")
-    openings = items.select("entity_id", F.col("first_seen").alias("opened_on")).unionByName(mine.where("event = 'reopened'").select("entity_id", F.col("occurred_on").alias("opened_on")))
-    cycles = next_close(openings, mine.where("event = 'closed'"))
-    days = days_in_cycle(spans_to_days(price_spans(relevant), start, end), cycles)
-    each = days.join(items.select("entity_id", "sqm"), "entity_id") if value is not None else days
-    counted = each.groupBy("day", (F.col("price") if value is None else value).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    """Quartiles and count of the value in force on every day, rebuilt from reports and cycles; a price on a day counts
+    once per covering cycle, and a close on the day does not count.
+
+    Days are counted per value before the percentile, so only (day, value, count) is shuffled."""
+    spans = value_spans(entities, history, lifecycle, start, end).select((F.col("price") if value is None else value).alias("x"), "lo", "hi")
+    counted = spans.select("x", F.explode(F.sequence("lo", "hi")).alias("day")).groupBy("day", "x").agg(F.count(F.lit(1)).alias("n"))
     at = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
     out = counted.groupBy("day").agg(at.alias("p"), F.sum("n").alias("listings"))
     return out.select("day", *(X.rounded(F.col("p")[k], 2).alias(n) for k, n in enumerate(("p25", "median", "p75"))), "listings")

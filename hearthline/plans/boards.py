@@ -18,7 +18,7 @@ from ..functions import expr as X
 from ..operators import aggregates as A
 from ..operators import comparables as C
 from ..operators import histories as H
-from ..operators.filters import Selection, Window, active, attribute, covered_days, cross_filter, either, event_property, exits, filter_populations, furnishing, when_covered, where_deal
+from ..operators.filters import Selection, Window, active, attribute, covered_days, cross_filter, either, event_property, exits, filter_populations, furnishing, property_filters, when_covered, where_deal
 from ..sources.facts import Facts
 
 GROUPS: dict[str, Callable[[Board], DataFrame]] = {}

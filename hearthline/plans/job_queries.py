@@ -489,50 +489,61 @@ def _(s, d):
 
 # -- areas ---------------------------------------------------------------------------------------------------------------
 
-AREAS_SQL = """boxes AS (SELECT n_name AS name, 17.10 + 0.03 * (n_nationkey % 5) AS w, 44.70 + 0.03 * (n_nationkey // 5) AS s FROM nation),
-pins AS (SELECT entity_id, longitude AS x, latitude AS y, area_key FROM entities)"""
+#: Coordinates are multiples of 1 / 1024, so that both engines have them exactly and pins on borders can be compared.
+AREAS_SQL = """boxes AS (SELECT 'Čaršija ' || n_name AS name, 'Carsija ' || n_name AS plain, 17.125 + n_nationkey % 5 * 24 / 1024.0 AS w, 44.6875 + n_nationkey // 5 * 24 / 1024.0 AS s FROM nation),
+pins AS (SELECT o_orderkey AS entity_id, CASE WHEN o_orderkey % 19 <> 0 THEN 17.0::DOUBLE + 7 * o_orderkey % 401 / 1024.0::DOUBLE END AS x, CASE WHEN o_orderkey % 19 <> 0 THEN 44.625::DOUBLE + o_orderkey % 397 / 1024.0::DOUBLE END AS y FROM orders),
+inside AS (SELECT entity_id, name FROM pins JOIN boxes ON x >= w AND x <= w + 16 / 1024.0 AND y >= s AND y <= s + 16 / 1024.0),
+gaps AS (SELECT entity_id, name, x, y, w - x AS a, x - w - 16 / 1024.0 AS b, s - y AS c, y - s - 16 / 1024.0 AS d, cos(radians(y)) AS k FROM pins JOIN boxes ON abs(x - w) < 0.2 AND abs(y - s) < 0.2),
+far AS (SELECT entity_id, name, round(111320.0 * CASE WHEN a <= 0 AND b <= 0 AND c <= 0 AND d <= 0 THEN least(-a * k, -b * k, -c, -d) ELSE sqrt(pow(greatest(a, b, 0) * k, 2) + pow(greatest(c, d, 0), 2)) END, 3) AS metres FROM gaps),
+near AS (SELECT entity_id, name, metres FROM far WHERE metres <= 5000 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY metres, name) = 1)"""
 
 
 def areas(s: SparkSession, d: str) -> DataFrame:
-    """A square of 0.02 degrees per nation on a grid with gaps."""
+    """A square of 16 / 1024 degrees per nation on a grid with gaps."""
     k = F.col("n_nationkey")
-    w, t = 17.10 + 0.03 * (k % 5), 44.70 + 0.03 * F.floor(k / 5)
+    w, t, size = 17.125 + (k % 5) * 24 / 1024, 44.6875 + F.floor(k / 5) * 24 / 1024, 16 / 1024
     p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    ring = F.array(p(w, t), p(w + 0.02, t), p(w + 0.02, t + 0.02), p(w, t + 0.02), p(w, t))
-    return read(s, d, "nation").select(F.col("n_name").alias("name"), F.array(F.array(ring)).alias("polygons"))
+    ring = F.array(p(w, t), p(w + size, t), p(w + size, t + size), p(w, t + size), p(w, t))
+    return read(s, d, "nation").select(F.concat(F.lit("Čaršija "), "n_name").alias("name"), F.array(F.array(ring)).alias("polygons"))
 
 
-@query("area_containment", "SELECT entity_id, name FROM pins JOIN boxes ON x > w + 1e-9 AND x < w + 0.02 - 1e-9 AND y > s + 1e-9 AND y < s + 0.02 - 1e-9", AREAS_SQL)
+def pins(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    at = lambda start, n: F.when(i % 19 != 0, F.lit(start) + n / 1024)
+    return read(s, d, "orders").select(i.alias("entity_id"), at(17.0, 7 * i % 401).alias("longitude"), at(44.625, i % 397).alias("latitude"))
+
+
+@query("area_containment", f"WITH {AREAS_SQL} SELECT entity_id, name FROM inside", adapter=False)
 def _(s, d):
-    edge = 1e-9  # pins on a border are covered; they are left out here because binary fractions differ between engines
-    found = geo.covering(market(s, d).entities, areas(s, d))
-    e = market(s, d).entities.select("entity_id", "latitude", "longitude")
-    flat = areas(s, d).select("name", F.col("polygons")[0][0][0]["x"].alias("w"), F.col("polygons")[0][0][0]["y"].alias("t"))
-    both = found.join(e, "entity_id").join(F.broadcast(flat), "name")
-    return both.where((F.col("longitude") > F.col("w") + edge) & (F.col("longitude") < F.col("w") + 0.02 - edge) & (F.col("latitude") > F.col("t") + edge) & (F.col("latitude") < F.col("t") + 0.02 - edge)).select("entity_id", "name")
+    return geo.covering(pins(s, d), areas(s, d))
 
 
-@query("area_nearest")
+@query("area_nearest", f"WITH {AREAS_SQL} SELECT * FROM near", adapter=False)
 def _(s, d):
-    return geo.nearest(market(s, d).entities, areas(s, d))
+    return geo.nearest(pins(s, d), areas(s, d))
 
 
-@query("area_assign")
+@query("area_assign", f"""WITH {AREAS_SQL}, n AS (SELECT entity_id, CASE WHEN entity_id % 31 < 2 THEN 'Čaršija NATION_' || entity_id % 25 END AS named FROM pins)
+   SELECT entity_id, coalesce(named, i.name, near.name, 'old') AS area_key, CASE WHEN named IS NOT NULL THEN 'name' WHEN i.name IS NOT NULL THEN 'inside' WHEN near.name IS NOT NULL THEN 'near' ELSE 'kept' END AS how
+   FROM n LEFT JOIN (SELECT entity_id, min(name) AS name FROM inside GROUP BY 1) i USING (entity_id) LEFT JOIN near USING (entity_id)""", adapter=False)
 def _(s, d):
-    e = market(s, d).entities.select("entity_id", "latitude", "longitude", F.when(F.col("entity_id") % 31 == 0, F.lower("area_key")).alias("source_area"), "area_key")
-    return geo.assign_area(e, areas(s, d)).select("entity_id", "area_key", "how")
+    i = F.col("entity_id")
+    nation = F.concat(F.lit("NATION_"), (i % 25).cast("string"))
+    source = F.when(i % 31 == 0, F.concat(F.lit(" Carsija "), nation)).when(i % 31 == 1, F.concat(F.lit("Čaršija "), nation, F.lit(" "))).when(i % 31 == 2, F.concat(F.lit("čaršija "), nation)).when(i % 31 == 3, " ")
+    return geo.assign_area(pins(s, d).withColumns({"source_area": source, "area_key": F.lit("old")}), areas(s, d)).select("entity_id", "area_key", "how")
 
 
-@query("outline_join", "SELECT n_name AS name, n AS listings FROM nation LEFT JOIN (SELECT area_key, count(*) AS n FROM entities WHERE deal = 'rent' AND entity_id % 3 = 0 AND area_key < 'NATION_2' GROUP BY 1) ON n_name = area_key")
+@query("outline_join", "SELECT 'Čaršija ' || n_name AS name, n AS listings FROM nation LEFT JOIN (SELECT area_key, count(*) AS n FROM entities WHERE deal = 'rent' AND entity_id % 3 = 0 AND area_key < 'NATION_2' GROUP BY 1) ON n_name = area_key")
 def _(s, d):
-    m = market(s, d).entities.where("deal = 'rent' and entity_id % 3 = 0 and area_key < 'NATION_2'").groupBy("area_key").agg(F.count(F.lit(1)).alias("listings"))
+    m = market(s, d).entities.where("deal = 'rent' and entity_id % 3 = 0 and area_key < 'NATION_2'").groupBy(F.concat(F.lit("Čaršija "), "area_key").alias("area_key")).agg(F.count(F.lit(1)).alias("listings"))
     return geo.outline_join(areas(s, d).select("name"), m).select("name", "listings")
 
 
-@query("outline_features")
+@query("outline_features", f"""WITH {AREAS_SQL}, c AS (SELECT name, round(w, 4)::DOUBLE AS w, round(s, 4)::DOUBLE AS s, round(w + 16 / 1024.0, 4)::DOUBLE AS e, round(s + 16 / 1024.0, 4)::DOUBLE AS n FROM boxes WHERE name IN (SELECT name FROM inside))
+   SELECT name, '{{"type":"Feature","properties":{{"name":"' || name || '"}},"geometry":{{"type":"MultiPolygon","coordinates":[[[[' || w || ',' || s || '],[' || e || ',' || s || '],[' || e || ',' || n || '],[' || w || ',' || n || '],[' || w || ',' || s || ']]]]}}}}' AS feature FROM c""", adapter=False)
 def _(s, d):
-    """Outlines of the areas that hold open items."""
-    held = market(s, d).entities.where("closed_at is null").select(F.col("area_key").alias("name")).distinct()
+    """Outlines of the areas that hold pins."""
+    held = geo.covering(pins(s, d), areas(s, d)).select("name").distinct()
     return geo.features(areas(s, d).join(held, "name"))
 
 

@@ -1,5 +1,7 @@
 """State transitions, alerts, areas, archives and streams."""
 
+import math
+import random
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -150,10 +152,32 @@ def square(w, s, size):
 
 def test_areas(spark):
     areas = spark.createDataFrame([("B", [[square(17.0, 44.0, 0.1), square(17.04, 44.04, 0.02)]]), ("A", [[square(17.05, 44.0, 0.1)]])], f"name string, polygons array<{geo.RING}>")
-    pins = [(1, 44.01, 17.01, None, "old"), (2, 44.05, 17.05 - 0.005, None, "old"), (3, 44.01, 17.06, None, "old"), (4, 44.0, 16.99, None, "old"), (5, 45.0, 17.0, None, "old"), (6, None, None, "b", "old"), (7, 44.05, 17.0, None, "old")]
+    pins = [(1, 44.01, 17.01, None, "old"), (2, 44.05, 17.05 - 0.005, None, "old"), (3, 44.01, 17.06, None, "old"), (4, 44.0, 16.99, None, "old"), (5, 45.0, 17.0, None, "old"), (6, None, None, "b", "old"), (7, 44.05, 17.0, None, "old"), (8, 44.01, 17.01, " A ", "old"), (9, None, None, "", "old")]
     out = {r.entity_id: (r.area_key, r.how) for r in geo.assign_area(spark.createDataFrame(pins, "entity_id long, latitude double, longitude double, source_area string, area_key string"), areas).collect()}
     assert out[1] == ("B", "inside") and out[3] == ("A", "inside") and out[4] == ("B", "near")
-    assert out[2][1] == "near" and out[5] == ("old", "kept") and out[6] == ("B", "name") and out[7] == ("B", "inside")
+    assert out[2][1] == "near" and out[5] == ("old", "kept") and out[6] == ("old", "kept") and out[7] == ("B", "inside")
+    assert out[8] == ("A", "name") and out[9] == ("old", "kept")
+
+
+def test_cells_agree_with_plain_rays(spark):
+    """Random rings with a hole: cells, corners and crossings say the same as a ray over all edges."""
+    rng = random.Random(3)
+    ring = lambda x, y, r, n: (lambda ps: [*ps, ps[0]])([{"x": x + r * rng.uniform(0.4, 1) * math.cos(2 * math.pi * k / n), "y": y + r * rng.uniform(0.4, 1) * math.sin(2 * math.pi * k / n)} for k in range(n)])
+    shapes = {f"A{k}": [[ring(17 + 0.03 * k, 44 + 0.02 * (k % 3), 0.03, rng.randint(3, 14)), ring(17 + 0.03 * k, 44 + 0.02 * (k % 3), 0.008, 5)], [ring(17.3 + 0.02 * k, 44.1, 0.011, 6)]] for k in range(6)}
+    areas = spark.createDataFrame(list(shapes.items()), f"name string, polygons array<{geo.RING}>")
+    pins = [(i, 43.96 + rng.random() * 0.18, 16.95 + rng.random() * 0.5) for i in range(1500)]
+
+    def covered(y, x, rings):
+        n = 0
+        for r in rings:
+            for p, q in zip(r, r[1:]):
+                if (p["y"] > y) != (q["y"] > y) and x < p["x"] + (y - p["y"]) * (q["x"] - p["x"]) / (q["y"] - p["y"]):
+                    n += 1
+        return n % 2 == 1
+
+    want = {(i, name) for i, y, x in pins for name, polygons in shapes.items() if any(covered(y, x, rings) for rings in polygons)}
+    got = {tuple(r) for r in geo.covering(spark.createDataFrame(pins, "entity_id long, latitude double, longitude double"), areas).collect()}
+    assert got == want and len(got) > 100
 
 
 def test_geojson_round_trip(spark):
