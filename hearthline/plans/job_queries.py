@@ -478,6 +478,18 @@ def _(s, d):
     return out.groupBy("group").agg(F.count(F.when(F.col("row").startswith("{"), 1)).alias("n"))
 
 
+@query("collect_rows", """SELECT '[' || string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '","nations":' || n || '}', ',' ORDER BY r_regionkey) || ']' AS rows FROM (SELECT r_regionkey, r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL)""", adapter=False)
+def _(s, d):
+    n = read(s, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count(F.lit(1)).alias("nations"))
+    few = read(s, d, "region").join(n, "r_regionkey").select("r_regionkey", "r_name", "nations").orderBy("r_regionkey")
+    return export.collect_rows(few)
+
+
+@query("price_currencies", "SELECT CASE entity_id % 12 WHEN 0 THEN 'EUR' WHEN 6 THEN 'unknown' ELSE 'BAM' END AS currency, count(*) AS n FROM history GROUP BY 1")
+def _(s, d):
+    return market(s, d).history.groupBy("currency").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("versioned_publish", "SELECT 2 AS version, count(*) AS n FROM customer", adapter=False)
 def _(s, d):
     folder, customers = f"{archive.shared_folder(s)}/published-{uuid.uuid4().hex}", read(s, d, "customer")

@@ -36,6 +36,10 @@ def rate(price, sqm, deal):
     return F.when(r.between(1, 15_000), r)
 
 
+def currency(entity_id):
+    return F.when(entity_id % 12 == 0, "EUR").when(entity_id % 12 == 6, "unknown").otherwise("BAM")
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
     both = read(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
@@ -77,7 +81,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 19 != 0, 17.10 + (7 * i % 101) / 1000).alias("longitude"),
         F.when(F.col("o_custkey") % 3 == 0, "shop").when(F.col("o_custkey") % 3 == 1, "private").alias("seller"),
         F.when(i % 13 != 0, (i % 9 - 1).cast("int")).alias("floor_num"),
-        words(12, "EUR", *["BAM"] * 5, "unknown", *["BAM"] * 5).alias("currency"),
+        currency(i).alias("currency"),
         F.when(i % 8 == 0, True).when(i % 8 == 1, False).alias("elevator"),
         F.when(i % 9 == 0, True).when(i % 9 == 1, False).alias("parking"),
         words(10, "Renovirana", "Novogradnja", *[None] * 8).alias("condition"),
@@ -94,9 +98,9 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reported price per entity and day."""
+    """One reported price per entity and day, with its currency."""
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity_id"), F.to_date("l_shipdate").alias("on_date"), "l_extendedprice")
-    return lines.groupBy("entity_id", "on_date").agg(F.max("l_extendedprice").alias("price")).withColumn("source", F.lit(REPORTED))
+    return lines.groupBy("entity_id", "on_date").agg(F.max("l_extendedprice").alias("price")).withColumns({"currency": currency(F.col("entity_id")), "source": F.lit(REPORTED)})
 
 
 def lifecycle(entities: DataFrame) -> DataFrame:
