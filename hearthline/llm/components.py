@@ -20,7 +20,8 @@ def connected(edges: DataFrame) -> DataFrame:
         return out, least
 
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
+    state = lambda: now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    mark = state()
     while True:
         # Large star: neighbours larger than u point to the least of u and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,7 +34,7 @@ def connected(edges: DataFrame) -> DataFrame:
         for old in (now, large, used, used2):
             delete(old)
         now = after
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        seen = state()
         if seen == mark:
             out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
             out.written_to = now.written_to

@@ -292,9 +292,12 @@ def linked_groups(member: DataFrame, some_large: bool, met: Callable[[DataFrame]
         found = connected(reduce(DataFrame.unionByName, out))
         parts = many.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "group", F.coalesce("component", "doc_id").alias("part"), "n_shingles")
         parts = written(parts, "parts")
-        out.append(written(met(rest_against_all(parts, needed)), "links"))
-        for used in (many, parts, found):
+        rest = written(met(rest_against_all(parts, needed)), "links")
+        for used in (many, parts, *out):
             delete(used)
+        stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))  # what is connected so far, in short
+        stars.written_to = found.written_to
+        out = [stars, rest]
     return out
 
 
