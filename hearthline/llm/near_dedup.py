@@ -10,8 +10,9 @@
    100 * intersection) go on, again as a spanning forest. Their components are the answer.
 
 Buckets and candidate groups are met in the same way, in blocks of a fixed size whatever their own is. Groups of few
-chunks are compared whole: every two chunks meet in a block. Members of larger ones are first dealt DEALS times into
-pieces of a chunk's size; links found there join most near copies. Then every member outside the group's largest part
+chunks are compared whole: every two chunks meet in a block. Members of larger ones are first dealt into pieces of a
+chunk's size (buckets once, as near copies share many of them; candidate groups DEALS times); links found there join
+most near copies. Then every member outside the group's largest part
 (of all members that are connected by now) is compared with all members, and what is in that part already is not
 compared with itself again. No pair of members in different parts is left out. So copies travel a few times each, and
 only members that link with nothing meet all others, in blocks spread over all tasks.
@@ -41,8 +42,8 @@ from .textscan import mix, shingle_sets, slices
 SHINGLE, REGISTERS, MANTISSA = 5, 128, 10
 #: Sizes of a chunk: rows of registers, and members or shingles of full sets.
 CHUNK = 128
-MEMBERS_PER_CHUNK, SHINGLES_PER_CHUNK = 512, 2_000_000
-#: Groups of up to FEW chunks are compared whole; members of larger ones are first dealt DEALS times.
+MEMBERS_PER_CHUNK, SHINGLES_PER_CHUNK = 256, 2_000_000
+#: Groups of up to FEW chunks are compared whole; members of larger candidate groups are first dealt DEALS times.
 FEW, DEALS = 4, 3
 SHIFT = np.uint64(64 - REGISTERS.bit_length() + 1)
 BORDERS = np.arange(REGISTERS, dtype=np.uint64) << SHIFT
@@ -200,7 +201,7 @@ def candidate_links(reps: DataFrame, loose: float, id_type: str) -> list[DataFra
     def met(places: DataFrame) -> DataFrame:
         return over_blocks(places.join(reps.select("doc_id", "n_shingles", "registers"), "doc_id"), links, id_type)
 
-    out = linked_groups(member, bool(once.where(F.col("chunks") > FEW).head(1)), met, F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.lit(1)))
+    out = linked_groups(member, bool(once.where(F.col("chunks") > FEW).head(1)), 1, met, F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.lit(1)))
     delete(once)
     return out
 
@@ -257,10 +258,10 @@ def chunks_needed() -> Column:
     return F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_CHUNK), F.ceil(F.sum("n_shingles") / SHINGLES_PER_CHUNK))
 
 
-def pieces(members: DataFrame) -> DataFrame:
-    """Places of each member in DEALS pieces of its group; members (doc_id, group, chunks)."""
-    dealt = members.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
-    piece = F.pmod(F.xxhash64(F.lit(13), "_k", "doc_id"), F.col("chunks"))
+def pieces(members: DataFrame, deals: int) -> DataFrame:
+    """Places of each member in `deals` pieces of its group; members (doc_id, group, chunks)."""
+    dealt = members.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    piece = F.pmod(F.xxhash64(F.lit(13), "group", "_k", "doc_id"), F.col("chunks"))
     return dealt.select("doc_id", F.xxhash64("group", F.lit("piece"), "_k", piece).alias("block"), F.lit(False).alias("second"), F.lit(False).alias("cross"))
 
 
@@ -281,14 +282,14 @@ def rest_against_all(parts: DataFrame, needed: Column) -> DataFrame:
     return among.select(*PLACE).unionByName(across.select("doc_id", block.alias("block"), F.col("large").alias("second"), F.lit(True).alias("cross")))
 
 
-def linked_groups(member: DataFrame, some_large: bool, met: Callable[[DataFrame], DataFrame], needed: Column) -> list[DataFrame]:
+def linked_groups(member: DataFrame, some_large: bool, deals: int, met: Callable[[DataFrame], DataFrame], needed: Column) -> list[DataFrame]:
     """Written tables of links that join all rows which links within their group connect; member (doc_id, group,
     n_shingles, chunks), met: places -> links."""
     few = member.where(F.col("chunks") <= FEW)
     out = [written(met(in_blocks(few.select("doc_id", "group", "chunks"), "chunks", "group", "doc_id").select(*PLACE)), "links")]
     if some_large:
         many = written(member.where(F.col("chunks") > FEW), "many")
-        out.append(written(met(pieces(many.select("doc_id", "group", "chunks"))), "links"))
+        out.append(written(met(pieces(many.select("doc_id", "group", "chunks"), deals)), "links"))
         found = connected(reduce(DataFrame.unionByName, out))
         parts = many.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "group", F.coalesce("component", "doc_id").alias("part"), "n_shingles")
         parts = written(parts, "parts")
@@ -306,7 +307,7 @@ def group_links(docs: DataFrame, member: DataFrame, percent: int, id_type: str)
     member (doc_id, group, n_shingles)."""
     sizes = written(member.groupBy("group").agg(chunks_needed().alias("chunks")), "sizes")
     some_large = bool(sizes.where(F.col("chunks") > FEW).head(1))
-    out = linked_groups(member.join(sizes, "group"), some_large, lambda places: exact_links(docs, places, percent, id_type), chunks_needed())
+    out = linked_groups(member.join(sizes, "group"), some_large, DEALS, lambda places: exact_links(docs, places, percent, id_type), chunks_needed())
     delete(sizes)
     return out
 
