@@ -29,10 +29,11 @@ def covered_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text
     starts = F.sequence(F.lit(0), F.size("lines") - window)
     key = lambda i: F.struct(*(h.alias(n) for h, n in zip(two_hashes(*(F.get("lines", i + k) for k in range(window))), ("a", "b"))))
     windows = lines.select("_id", "_x", "_y", F.posexplode(F.transform(starts, key)).alias("at", "w")).select(*PLACE, "w.a", "w.b")
+    # Both joins are merge joins at every size: what repeats grows with the corpus, and a merge can split a hot key.
     # Only hashes of windows travel; the first place of each repeated one is found with map-side partial sums. It is
     # written, so that the join may split a window that very many documents share.
     first = written(windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1").drop("n"), "first")
-    later = windows.join(first, ["a", "b"]).where(~F.struct(*PLACE).eqNullSafe(F.col("first")))
+    later = windows.join(first.hint("merge"), ["a", "b"]).where(~F.struct(*PLACE).eqNullSafe(F.col("first")))
     merged = F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda s: F.sequence(s, s + (window - 1)))))
     out = written(later.groupBy("_id", "_x", "_y").agg(merged.alias("_covered")), "covered")
     delete(first)
@@ -45,7 +46,7 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
     x, y = two_hashes(text_col)
     split = set_aside(docs, id_col, text_col).withColumns({"_lines": F.split(text_col, "\n", -1), "_hx": x, "_hy": y}).drop(text_col)
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hx") == F.col("_x")) & (F.col("_hy") == F.col("_y"))
-    out = split.join(covered_lines(docs, window, id_col, text_col), same, "left")
+    out = split.join(covered_lines(docs, window, id_col, text_col).hint("merge"), same, "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_covered")
     count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
     text = F.when(F.col("_covered").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
