@@ -118,7 +118,7 @@ def _(s, d):
 def _(s, d):
     h = market(s, d).history
     third = h.where("entity_id % 3 = 0")
-    again = third.withColumn("price", F.lit(7.0)).unionByName(third.select("entity_id", F.lit(date(2030, 1, 1)).alias("on_date"), F.lit(7.0).alias("price"), "source").distinct())
+    again = third.withColumn("price", F.lit(7.0)).unionByName(third.select("entity_id", F.lit(date(2030, 1, 1)).alias("on_date"), F.lit(7.0).alias("price"), "currency", "source").distinct())
     return state.upsert_prices(h, again).select("entity_id", "on_date", "price")
 
 
