@@ -107,11 +107,15 @@ def spans_to_days(spans: DataFrame, start: date, end: date) -> DataFrame:
     return spans.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn("day", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
 
 
-def days_in_cycle(days: DataFrame, cycles: DataFrame) -> DataFrame:
-    """Days on which a cycle is open at the end of the day; a day counts once per covering cycle."""
+def days_in_cycle(spans: DataFrame, cycles: DataFrame, start: date, end: date) -> DataFrame:
+    """The days of each span (price_spans) on which a cycle (next_close) is open at the end of the day, within the
+    bounds; a day counts once per covering cycle. Spans and cycles meet as intervals, so only then rows are spread."""
     c = cycles.select(F.col("entity_id").alias("_e"), "opened_on", "closed_on")
-    inside = (F.col("opened_on") <= F.col("day")) & (F.col("closed_on").isNull() | (F.col("closed_on") > F.col("day")))
-    return days.join(c, (F.col("entity_id") == F.col("_e")) & inside).drop("_e", "opened_on", "closed_on")
+    met = spans.join(c, F.col("entity_id") == F.col("_e"))
+    lo = F.greatest("on_date", "opened_on", F.lit(start))
+    hi = F.least(F.date_sub("next_date", 1), F.date_sub("closed_on", 1), F.lit(end))
+    days = met.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn("day", F.explode(F.sequence("_lo", "_hi")))
+    return days.drop("_e", "opened_on", "closed_on", "_lo", "_hi")
 
 
 def value_spans(entities: DataFrame, history: DataFrame, lifecycle: DataFrame, start: date, end: date) -> DataFrame:

@@ -222,6 +222,16 @@ def _(s, d):
     return days.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("days_in_cycle", f"""SELECT day, count(*) AS n, sum(price::DECIMAL(20,2))::DOUBLE AS price FROM (SELECT entity_id, price, unnest(generate_series(greatest(on_date, {FROM})::TIMESTAMP, least(coalesce(nxt - 1, {TO}), {TO})::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM (SELECT *, lead(on_date) OVER (PARTITION BY entity_id ORDER BY on_date) AS nxt FROM history))
+   JOIN (SELECT entity_id, o, (SELECT min(occurred_on) FROM lifecycle l WHERE l.entity_id = x.entity_id AND event = 'closed' AND occurred_on > o) AS c FROM (SELECT entity_id, first_seen AS o FROM entities UNION ALL SELECT entity_id, occurred_on FROM lifecycle WHERE event = 'reopened') x) USING (entity_id)
+   WHERE o < day + 1 AND (c IS NULL OR c >= day + 1) GROUP BY 1""")
+def _(s, d):
+    m = market(s, d)
+    opened = m.entities.select("entity_id", F.col("first_seen").alias("opened_on")).unionByName(m.lifecycle.where("event = 'reopened'").select("entity_id", F.col("occurred_on").alias("opened_on")))
+    days = H.days_in_cycle(H.price_spans(m.history.select("entity_id", "on_date", "price")), H.next_close(opened, m.lifecycle.where("event = 'closed'")), WINDOW.start, WINDOW.end)
+    return days.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("price").cast("decimal(20,2)")).cast("double").alias("price"))
+
+
 @query("without_history", "SELECT entity_id FROM entities ANTI JOIN history USING (entity_id)")
 def _(s, d):
     m = market(s, d)
