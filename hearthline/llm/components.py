@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps on written tables."""
+"""Connected components by contraction on written tables."""
 
 from __future__ import annotations
 
@@ -9,34 +9,39 @@ from .common import delete, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> (id, component), a written table: the smallest id reachable, for every id that has an edge to another.
-
-    Each step is a grouped minimum and a join back, so that no node's neighbours meet in one task; the
-    rounds grow with the logarithm of the longest path."""
-
-    def star(both: DataFrame) -> DataFrame:
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")), "least")
-        out = both.join(least, "u").select("u", "v", F.least("m", "u").alias("m"))
-        return out, least
+    """edges (a, b) -> (id, component), a written table: the smallest id reachable, for every id that has an edge to a smaller one.
 
+    In each round every node takes the first of itself and its neighbours as its label, and the edges between different
+    labels are the next round's. First is the smallest id in the first round, which settles stars around their smallest
+    member at once, and the smallest of a new hash in later ones, so that the nodes left shrink by a constant factor
+    whatever the shape is. A round is one grouped minimum and joins with written tables: no node's neighbours meet in one
+    task."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = lambda: now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    mark = state()
-    while True:
-        # Large star: neighbours larger than u point to the least of u and its neighbours.
+    found, turn = None, 0
+    while now.head(1):
+        rank = lambda c, turn=turn: F.struct((F.xxhash64(F.lit(turn), c) if turn else F.col(c)).alias("r"), F.col(c).alias("n"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        wide, used = star(both)
-        large = written(wide.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
-        # Small star: u and its smaller neighbours point to the least of them.
-        narrow, used2 = star(large)
-        small = narrow.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(used2.select("u", F.col("m").alias("v")))
-        after = written(small.where("u <> v").distinct(), "edges")
-        for old in (now, large, used, used2):
-            delete(old)
-        now = after
-        seen = state()
-        if seen == mark:
-            out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-            out.written_to = now.written_to
-            return out
-        mark = seen
+        first = both.groupBy("u").agg(F.min(rank("v")).alias("m"))
+        labels = written(first.select("u", F.least("m", rank("u"))["n"].alias("label")), "labels")
+        ends = now.join(labels.withColumnRenamed("label", "lu"), "u").join(labels.select(F.col("u").alias("v"), F.col("label").alias("lv")), "v")
+        after = written(ends.where("lu <> lv").select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v")).distinct(), "edges")
+        if found is None:
+            moved = labels.select(F.col("u").alias("id"), "label")
+            moved.written_to = labels.written_to
+        else:
+            further = labels.select(F.col("u").alias("label"), F.col("label").alias("to"))
+            moved = written(found.join(further, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+            delete(labels)
+            delete(found)
+        delete(now)
+        now, found, turn = after, moved, turn + 1
+    if found is None:
+        out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        out.written_to = now.written_to
+        return out
+    # Written, so that the join may split a component of very many ids.
+    least = written(found.groupBy("label").agg(F.min("id").alias("component")), "least")
+    out = written(found.join(least, "label").where("id <> component").select("id", "component"), "components")
+    for used in (now, found, least):
+        delete(used)
+    return out

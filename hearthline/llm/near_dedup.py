@@ -181,7 +181,7 @@ def over_blocks(blocks: DataFrame, links: Callable[[pa.Table, np.ndarray | None]
 
     # As many tasks as the session's shuffles have: a block costs more time than its bytes tell.
     tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(run, f"a {id_type}, b {id_type}")
+    return blocks.repartition(tasks, "block").sortWithinPartitions("block", "doc_id").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
 def candidate_links(reps: DataFrame, loose: float, id_type: str) -> list[DataFrame]:

@@ -405,7 +405,7 @@ def test_jaccard_estimate_corrects_collisions():
 
 def test_components(spark):
     rng = random.Random(4)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + k, 1001 + k) for k in range(60)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(50)] + [(2050, 2000), (5, 5)]
     parent = {x: x for e in edges for x in e}
 
     def find(x):
