@@ -3,9 +3,10 @@
 The index holds each item's terms with BM25 weights as shares of the item's own full score, so a passage's
 score for an item runs from 0 to 1. Every training text is cut into overlapping passages (twice the longest
 item, half of that apart, so an item's copy lies whole in some passage), and every passage is a query for all
-items of score >= threshold. Its terms' posting lists have cursors, each at an item. In the order of their items, the
+items of score >= threshold. Passages whose terms' largest weights reach the threshold in no block of BLOCK items are
+done. For the others, the terms' posting lists have cursors, each at an item. In the order of their items, the
 cursors' largest weights add up to the threshold at some cursor: no item before that one's, the pivot, can reach it.
-If the largest weights of the blocks (of BLOCK items) that hold the pivot do not reach it either, all cursors up to the
+If the largest weights of the blocks that hold the pivot do not reach it either, all cursors up to the
 pivot skip the block; else they move to the pivot and it is scored. The passages of a batch take these steps together,
 as rows of a matrix of cursors. A hit is confirmed on shingles of five words: shares of the question's and of the
 answer's shingles that the passage holds. An item's answer is its last sentence and its question what comes before; an
@@ -36,7 +37,7 @@ from .common import delete, without_ids, written
 from .textscan import IS_PUNCTUATION, mix, slices, word_hashes
 
 K1, B, BLOCK, SHINGLE = 1.2, 0.75, 8, 5
-ROWS = 500  # passages that take their steps together
+ROWS, CELLS = 500, 4_000_000  # passages that take their steps together
 SLACK = 1e-9  # bounds may fall short of the scores that they bound by the rounding of sums
 ITEMS_PER_INDEX, BYTES_PER_INDEX = 20_000, 8_000_000
 
@@ -130,6 +131,8 @@ class Index:
         block = term * self.blocks + self.item // BLOCK
         at = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else block
         self.block_key, self.block_most = block[at], np.maximum.reduceat(self.weight, at) if len(at) else self.weight
+        self.block_size = np.bincount(self.block_key // self.blocks, minlength=len(self.terms))
+        self.block_start = np.cumsum(self.block_size) - self.block_size
         self.shares = []
         for t in texts:
             both = [word_hashes([p.encode()], IS_PUNCTUATION)[0] for p in parts(t)]
@@ -140,8 +143,27 @@ class Index:
         inside = place < self.end[term]
         return np.where(inside, self.item[np.where(inside, place, 0)], self.m)
 
+    def hopeful(self, passage: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Which (passage, term) pairs are of passages that can reach the threshold in some block."""
+        out = np.zeros(len(passage), bool)
+        some = max(1, CELLS // self.blocks)
+        for first in range(int(passage[0]), int(passage[-1]) + 1, some):
+            lo, hi = np.searchsorted(passage, [first, first + some])
+            p, t = passage[lo:hi] - first, term[lo:hi]
+            size = self.block_size[t]
+            owner = np.repeat(np.arange(len(t)), size)
+            entry = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + self.block_start[t][owner]
+            rows = min(some, int(passage[-1]) + 1 - first)
+            bound = np.bincount(p[owner] * self.blocks + self.block_key[entry] % self.blocks, self.block_most[entry], rows * self.blocks)
+            out[lo:hi] = (bound.reshape(rows, self.blocks).max(1) >= self.threshold - SLACK)[p]
+        return out
+
     def retrieve(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, ...]:
         """(passage, item, score) of all pairs that reach the threshold; passage ascends, terms of a passage differ."""
+        alive = self.hopeful(passage, term)
+        if not alive.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        passage, term = passage[alive], term[alive]
         new = np.append(True, passage[1:] != passage[:-1])
         names, number = passage[new], np.cumsum(new) - 1
         sizes = np.bincount(number)
