@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 GROUP = 8192  # pieces packed together in one task
-CACHE = 1_500_000  # chunks that a worker remembers
+CACHE = 800_000  # chunks that a worker remembers
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
 

@@ -33,7 +33,7 @@ SCALE = 4096
 MET_BY_PRODUCTS = ("wf", "wb", "uf", "ub", "wa", "va", "wo")
 VOCABULARY, TRIGRAMS = 3000, 2048
 SMOOTH = 2.0  # texts of each class that every word is taken to be in besides
-CACHE = 300_000  # distinct words whose gates a task remembers
+CACHE = 100_000  # distinct words whose gates a task remembers
 Params = dict[str, np.ndarray]
 
 
