@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language, line_dedup, near_dedup, packing, repeats, shards, toxicity, vector_search
+from . import chat_format, decontaminate, language, line_dedup, near_dedup, packing, prefix_trie, repeats, shards, toxicity, vector_search
 from .common import table
 
 
@@ -180,6 +180,35 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), prefix_trie.sharing_first_turns)
+
+
+# crc32 by eight steps a byte, as DuckDB has no function for it.
+OP11_SQL = r"""
+WITH RECURSIVE o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+crc AS (SELECT c, c::VARCHAR AS s, 4294967295::BIGINT AS v, 0 AS i, 0 AS b FROM (SELECT DISTINCT c FROM o)
+  UNION ALL SELECT c, s, CASE WHEN b = 0 THEN xor(v, ascii(s[i + 1])) WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, CASE WHEN b = 8 THEN i + 1 ELSE i END, (b + 1) % 9
+  FROM crc WHERE i < length(s)),
+ids AS (SELECT c, xor(v, 4294967295) % 4 AS h FROM crc WHERE i = length(s)),
+parts AS (SELECT o.c, 1 AS part, pos, role, text FROM o JOIN ids USING (c) WHERE pos > h
+  UNION ALL SELECT ids.c, 0, pos, role, text FROM ids JOIN o ON o.c = ids.c - ids.c % 20 WHERE pos <= h),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, md5(role || chr(1) || text) AS k, length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]', '', 'g')) AS words FROM parts),
+m AS (SELECT c, d, md5(string_agg(k, '' ) OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS node,
+        lag(d) OVER (PARTITION BY c ORDER BY d) AS has_parent, lead(d) OVER (PARTITION BY c ORDER BY d) IS NULL AS is_last, words FROM r
+  UNION ALL SELECT c, 0, '', NULL, c NOT IN (SELECT c FROM r), 0 FROM ids),
+up AS (SELECT c, d, node, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent, is_last, words FROM m),
+nodes AS (SELECT node, min(d) AS depth, min(c) AS conv_id, min(parent) AS parent, count(*) AS n, max(words) AS words FROM up GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes GROUP BY 1),
+valued AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.node = nodes.node),
+sums AS (SELECT up.node, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n - 1) * v.words) AS saved FROM valued v JOIN up ON up.c = v.conv_id AND up.d <= v.depth GROUP BY 1),
+ends AS (SELECT node, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS s FROM up WHERE is_last GROUP BY 1)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, sums.n_leaves, sums.saved::BIGINT AS saved_tokens, coalesce(s, sha256('')) AS ends_sha256
+FROM valued v JOIN sums ON sums.node = v.node LEFT JOIN nodes p ON p.node = v.parent LEFT JOIN ends ON ends.node = v.node
+"""
+
+
 QUERIES = {
     "op1_vector_search": op1_vector_search,
     "op2_language_id": op2_language_id,
@@ -192,5 +221,6 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-SQL = {"op1_vector_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "chat_parts": CHAT_PARTS_SQL, "op6_near_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL}
+SQL = {"op1_vector_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "chat_parts": CHAT_PARTS_SQL, "op6_near_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op11_prefix_trie": OP11_SQL}
