@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language, line_dedup, near_dedup, packing, prefix_trie, repeats, shards, toxicity, vector_search
+from . import chat_format, decontaminate, language, line_dedup, near_dedup, packing, phrases, prefix_trie, quality_rules, repeats, shards, toxicity, vector_search
 from .common import table
 
 
@@ -209,6 +209,32 @@ FROM valued v JOIN sums ON sums.node = v.node LEFT JOIN nodes p ON p.node = v.pa
 """
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS x FROM f WHERE m > 1),
+cuts AS (SELECT c.*, k, p.f AS l, q.f AS r, n, (1000::HUGEINT * a * n) // (p.f::HUGEINT * q.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN n ON n.lang = c.lang JOIN f p ON p.lang = c.lang AND p.g = array_to_string(x[1:k], ' ') JOIN f q ON q.lang = c.lang AND q.g = array_to_string(x[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(x[i:i + s - 1], ' ') AS g, max(a) AS a FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM c)) GROUP BY 1, 2)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.g) AS rank, b.g AS phrase, b.a, l, r, n, score::BIGINT AS score
+FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.g = b.g WHERE i.a IS NULL OR 100 * i.a < 100 * b.a QUALIFY rank <= 2000
+"""
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_vector_search": op1_vector_search,
     "op2_language_id": op2_language_id,
@@ -222,5 +248,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_phrases": op12_phrases,
+    "op13_quality_rules": op13_quality_rules,
 }
-SQL = {"op1_vector_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "chat_parts": CHAT_PARTS_SQL, "op6_near_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op11_prefix_trie": OP11_SQL}
+SQL = {"op1_vector_search": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "chat_parts": CHAT_PARTS_SQL, "op6_near_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_phrases": OP12_SQL}

@@ -51,6 +51,31 @@ def prefix_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inv
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of disjoint ascending spans of bytes. Sums are made block by block, so that neither they nor the
+    powers grow with a text; what a span has in later blocks is added to it there."""
+    h = np.zeros(len(starts), np.uint64)
+    for a in range(0, len(raw), block):
+        b = min(a + block, len(raw))
+        first, upto = np.searchsorted(starts, (a, b))
+        sums, inv = prefix_hashes(raw[a:b])
+        s, e = starts[first:upto] - a, np.minimum(ends[first:upto], b) - a
+        h[first:upto] = (sums[e] - sums[s]) * inv[s]
+        if first and ends[first - 1] > a:  # one span at most reaches over from the block before
+            k = first - 1
+            part = int(sums[min(int(ends[k]), b) - a]) * pow(int(MULTIPLIER), a - int(starts[k]), 1 << 64)
+            h[k] = np.uint64((int(h[k]) + part) % (1 << 64))
+    return mix(h + (ends - starts).astype(np.uint64))
+
+
+def word_spans(space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end, by a mask of the bytes between them, of which the last is one."""
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(space) and not space[0]:
+        edge = np.append(0, edge)
+    return edge[0::2], edge[1::2]
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
@@ -63,15 +88,9 @@ IS_PUNCTUATION = np.array([k < 128 and not chr(k).isalnum() for k in range(256)]
 
 def word_hashes(texts: list[bytes], cut: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lowered, cut at the bytes of `cut`), and each text's word count."""
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    raw = LOWER[raw]
-    space = cut[raw]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if len(raw) and not space[0]:
-        edge = np.append(0, edge)
-    starts, ends = edge[0::2], edge[1::2]
-    sums, inv = prefix_hashes(raw)
-    h = mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    raw = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    starts, ends = word_spans(cut[raw])
+    h = span_hashes(raw, starts, ends)
     bounds = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(starts, bounds)
     return h, np.diff(upto, prepend=0)
