@@ -33,11 +33,11 @@ HEAD = 1 << 18
 FIELD = 1 << 27
 TILE = 512
 #: A tile is counted densely from so many pairs of a chunk on, and so many tiles are kept by a task.
-DENSE_FROM, DENSE_TILES = TILE * TILE // 64, 32
+DENSE_FROM, DENSE_TILES = TILE * TILE // 64, 16
 #: Coordinates that a task holds before they leave it.
-HELD = 1_000_000
+HELD = 250_000
 #: Codes in a row of an encoded table.
-CHUNK = 500_000
+CHUNK = 100_000
 GAP = np.int64(1 << 62)
 IS_END = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 IS_BETWEEN = IS_END | np.isin(np.arange(256), [0x20, 0x09])
@@ -66,11 +66,12 @@ def strings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000) -> Iterator[tuple[list[str], list[bytes]]]:
+def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 2_000_000, rows: int = 500) -> Iterator[tuple[list[str], list[bytes]]]:
     for b in batches:
-        langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
-        for a, z in slices(texts, most_bytes):
-            yield langs[a:z], texts[a:z]
+        for k in range(0, b.num_rows, rows):
+            langs, texts = (b.column(c).slice(k, rows).to_pylist() for c in ("lang", "text"))
+            for a, z in slices(texts, most_bytes):
+                yield langs[a:z], texts[a:z]
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
