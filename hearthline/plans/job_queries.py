@@ -562,11 +562,21 @@ def _(s, d):
 # -- alerts ---------------------------------------------------------------------------------------------------------------
 
 
-@query("no_recent_success", f"SELECT 'no_recent_success' AS name, count(*) FILTER (WHERE status = 'ok' AND started_at >= {NOW_SQL} - INTERVAL 26 HOUR) = 0 AS failing, count(*) FILTER (WHERE status = 'ok' AND started_at >= {NOW_SQL} - INTERVAL 26 HOUR) AS good_runs FROM runs")
+GOOD_RUN = f"status = 'ok' AND started_at > {NOW_SQL} - INTERVAL 26 HOUR"
+
+
+@query("no_recent_success", f"SELECT 'no_successful_scrape_26h' AS name, count(*) FILTER (WHERE {GOOD_RUN}) = 0 AS failing, count(*) FILTER (WHERE {GOOD_RUN}) AS good_runs FROM runs")
 def _(s, d):
     return alerts.no_recent_success(market(s, d).runs, NOW)
 
 
+@query("alert_conditions", f"""SELECT 'no_successful_scrape_26h' AS name, count(*) FILTER (WHERE {GOOD_RUN}) = 0 AS failing FROM runs
+   UNION ALL SELECT 'stale_or_failing_saved_search', count(*) > 0 FROM searches LEFT JOIN (SELECT search_key, max(finished_at) AS l FROM runs WHERE status = 'ok' AND is_complete GROUP BY 1) USING (search_key) WHERE retired_at IS NULL AND (l IS NULL OR l < {NOW_SQL} - INTERVAL 26 HOUR)""")
+def _(s, d):
+    m = market(s, d)
+    return alerts.alert_conditions(m.searches, m.runs, NOW)
+
+
 @query("stale_searches", f"SELECT search_key, l AS last_success FROM searches LEFT JOIN (SELECT search_key, max(finished_at) AS l FROM runs WHERE status = 'ok' AND is_complete GROUP BY 1) USING (search_key) WHERE retired_at IS NULL AND (l IS NULL OR l < {NOW_SQL} - INTERVAL 48 HOUR)")
 def _(s, d):
     m = market(s, d)
@@ -595,11 +605,16 @@ def _(s, d):
 
 
 def drained(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there and returns its result table."""
+    """Runs a stream over what is there into a written table, with its state and offsets beside it in the shared folder."""
     spark = df.sparkSession
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    folder = f"{archive.shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    out = df.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        q = out.format("parquet").option("path", f"{folder}/rows").start()
+    else:  # every batch brings the whole result
+        q = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
 @query("stream_hourly_runs", "SELECT date_trunc('hour', ts) AS hour, event_type AS status, count(*) AS n FROM events GROUP BY 1, 2", adapter=False)
@@ -630,7 +645,7 @@ def _(s, d):
         missing = [(c.split()[0], c.split()[1]) for c in CARDS.split(", ") if c.split()[0] not in rows.columns]
         rows.withColumns({c: F.lit(None).cast(t) for c, t in missing}).write.mode("append").parquet(f"{folder}/landing")
     empty = s.createDataFrame([], "entity_id long, title string, deal string, kind string, rooms string, sqm double, price double, rate double, first_seen date, last_seen date, closed_at date, closing_price double, search_keys array<string>")
-    stream_snapshots(s, f"{folder}/landing", f"{folder}/store", f"{folder}/checkpoint", empty).awaitTermination()
+    stream_snapshots(s, f"{folder}/landing", f"{folder}/store", f"{folder}/checkpoint", empty, buckets=8).awaitTermination()
     count = lambda df, name: df.groupBy("entity_id").agg(F.count(F.lit(1)).alias(name))
     out = archive.read_latest(s, f"{folder}/store", "state")
     out = out.join(count(archive.read_prices(s, f"{folder}/store"), "markers"), "entity_id", "left").join(count(archive.read_deltas(s, f"{folder}/store", "lifecycle"), "events"), "entity_id", "left").na.fill(0, ["markers", "events"])

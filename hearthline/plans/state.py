@@ -119,12 +119,10 @@ def snapshot_rows(state: DataFrame, cards: DataFrame, search_key: str, day: date
     """The state after a complete snapshot of one search, with marks of what changed: _seen, _new, _reopened, _removed,
     _valid, and _deal, _price, _rate as they were.
 
-    Cards come to the state by one join that shuffles it only where the snapshot is too large to send around."""
+    Cards come to the state by one full join. A store hands in only the buckets that the snapshot can change."""
     got = unique_cards(cards)
     tagged = got.select("entity_id", *(F.col(c).alias(f"_c_{c}") for c in got.columns if c != "entity_id"), F.lit(True).alias("_seen"))
-    known = state.join(tagged.select("entity_id"), "entity_id", "left_semi").select("entity_id")
-    old = state.join(tagged, "entity_id", "left").withColumn("_known", F.lit(True))
-    both = old.unionByName(tagged.join(known, "entity_id", "left_anti"), allowMissingColumns=True)
+    both = state.withColumn("_known", F.lit(True)).join(tagged, "entity_id", "full")
     seen, new = F.coalesce("_seen", F.lit(False)), F.col("_known").isNull()
     card = lambda c: F.col(f"_c_{c}") if c in got.columns else F.lit(None)
     declared = F.map_contains_key("characteristics", DECLARED_CODE) if "characteristics" in state.columns else F.lit(False)

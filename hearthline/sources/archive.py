@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.histories import first_per_key
+from . import store
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir of the session. Only a session that runs on one machine
@@ -66,23 +68,25 @@ def retain_latest(archive: DataFrame) -> DataFrame:
 
 
 def publish(tables: dict[str, DataFrame], folder: str, version: int) -> None:
-    """Writes every table under its version, and then one commit row: readers see all of it or nothing."""
+    """Writes every table whole under its version, and then one commit row: readers see all of it or nothing."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}/version={version}")
-    spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{folder}/_commits")
+    store.write_commit(spark, folder, store.Commit(version))
 
 
 def latest_version(spark: SparkSession, folder: str) -> int | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_commits")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.schema("version int").parquet(f"{folder}/_commits").agg(F.max("version")).first()[0]
+    versions = store.committed(spark, folder)
+    return versions[-1] if versions else None
 
 
 def read_latest(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table as of the newest committed version; later files without a commit are not looked at."""
-    return spark.read.parquet(f"{folder}/{name}/version={latest_version(spark, folder)}")
+    """The table as of the newest commit, whole or in buckets; later files without a commit are not looked at."""
+    commit = store.newest(spark, folder)
+    of = commit.tables.get(name)
+    if of is None:
+        return spark.read.parquet(f"{folder}/{name}/version={commit.version}")
+    return spark.read.parquet(*(f"{folder}/{name}/version={at}/{store.BUCKET}={b}" for b, at in sorted(of.items())))
 
 
 def read_deltas(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,6 +95,6 @@ def read_deltas(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows.where(F.col("version") <= latest_version(spark, folder))
 
 
-def read_prices(spark: SparkSession, folder: str, name: str = "markers") -> DataFrame:
-    """Published prices: of an item, day and source the last write stays."""
-    return first_per_key(read_deltas(spark, folder, name), ["entity_id", "on_date", "source"], [F.desc("version")]).drop("version")
+def read_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Published prices: of an item, day and source the last write."""
+    return read_latest(spark, folder, "prices")

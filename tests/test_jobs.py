@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from hearthline.streaming import streams
 STATE = "entity_id long, title string, url string, deal string, kind string, area_key string, rooms string, sqm double, price double, rate double, seller string, first_seen date, last_seen date, closed_at date, closing_price double, search_keys array<string>"
 CARD = "entity_id long, title string, url string, deal string, kind string, rooms string, sqm double, price double, price_state string, area_key string, seller string"
 D1, D2, D3 = date(2024, 1, 1), date(2024, 1, 2), date(2024, 1, 3)
+D1_NOON = datetime(2024, 1, 1, 12)
 
 
 def card(i, price=100000.0, deal="sale", price_state="valid"):
@@ -236,6 +238,81 @@ def test_stream_of_several_searches_and_files(spark, tmp_path):
     assert sorted((r.entity_id, r.on_date) for r in archive.read_prices(spark, store).collect()) == [(1, D1), (2, D1), (3, D1), (4, D2)]
 
 
+def versions_of(folder, table):
+    """The version directory of every bucket of a table, and when its files were written."""
+    return {str(p.parent.parent.name) + "/" + p.parent.name: p.stat().st_mtime_ns for p in folder.glob(f"{table}/version=*/*/part-*")}
+
+
+def test_a_small_snapshot_leaves_most_buckets_alone(spark, tmp_path):
+    initial = spark.range(1, 2001).selectExpr("id as entity_id", "'t' title", "'u' url", "'sale' deal", "'flats' kind", "null area_key", "'2' rooms", "50D sqm", "1000D price", "20D rate", "'shop' seller", "date'2024-01-01' first_seen", "date'2024-01-01' last_seen", "cast(null as date) closed_at", "cast(null as double) closing_price", "array(if(id % 100 = 0, 'small', 'big')) search_keys")
+    initial = spark.createDataFrame(initial.collect(), STATE)
+    folder = streams.SnapshotFolder(spark, str(tmp_path), initial, buckets=128, keep=2)
+    first = folder.begin()
+    before = versions_of(tmp_path, "state")
+    got = folder.fold_one(first, cards(spark, *(card(100 * k) for k in range(1, 20)), card(5000)), "small", D2)
+    changed = [b for b, at in got.tables["state"].items() if at == got.version]
+    assert len(changed) <= 21 and set(before.items()) <= set(versions_of(tmp_path, "state").items())
+    rows = by_id(archive.read_latest(spark, str(tmp_path), "state"))
+    assert len(rows) == 2001 and rows[2000].closed_at == D2 and rows[1900].last_seen == D2 and rows[1].last_seen == D1
+    assert {r.entity_id for r in folder.store.read(got, "members").where("search_key = 'small'").collect()} == {100 * k for k in range(1, 20)} | {5000}
+    # A third commit forgets the first: its replaced buckets go, readers of the second still find theirs.
+    after = folder.fold_one(got, cards(spark, *(card(100 * k) for k in range(1, 21))), "small", D3)
+    assert folder.store.read(got, "state").count() == 2001 and by_id(folder.store.read(after, "state"))[2000].closed_at is None
+    gone = {f"version={first.version}/hash_bucket={b}" for b in changed}
+    assert not gone & set(versions_of(tmp_path, "state")) and [(r.entity_id, r.event) for r in archive.read_deltas(spark, str(tmp_path), "lifecycle").where("version = 3").orderBy("entity_id").collect()] == [(2000, "reopened"), (5000, "closed")]
+    # A version that was written and not committed is not seen.
+    spark.range(3).write.parquet(f"{tmp_path}/state/version={after.version + 1}/hash_bucket=0")
+    assert archive.read_latest(spark, str(tmp_path), "state").count() == 2001
+
+
+def test_files_of_waiting_snapshots_are_read_twice_at_most(spark, tmp_path):
+    """Twelve files of two snapshots, one a batch: each is read when it lands and when its snapshot is whole."""
+    landing, schema = str(tmp_path / "landing"), "snapshot_id long, search_key string, day date, " + CARD + ", snapshot_rows long"
+    for k in range(12):
+        spark.createDataFrame([(1, "ab"[k % 2], D1, *card(k + 1), 6)], schema).coalesce(1).write.mode("append").parquet(landing)
+    folder = streams.SnapshotFolder(spark, str(tmp_path / "store"), spark.createDataFrame([], STATE), 4)
+    paths = sorted((tmp_path / "landing").glob("part-*"), key=lambda p: p.stat().st_mtime_ns)
+    for n, p in enumerate(paths):
+        batch = spark.read.schema(streams.CARDS).parquet(str(p)).select("*", F.col("_metadata.file_path").alias("file"))
+        folder.fold(batch, n)
+        if n == 7:
+            folder.fold(batch, n)  # a batch that runs again
+            assert [(r.search_key, r.rows_landed, r.snapshot_rows, len(r.files)) for r in streams.pending_snapshots(spark, str(tmp_path / "store")).orderBy("search_key").collect()] == [("a", 4, 6, 4), ("b", 4, 6, 4)]
+    assert folder.files_read <= 2 * 12 + 1 and streams.pending_snapshots(spark, str(tmp_path / "store")).count() == 0
+    assert set(by_id(archive.read_latest(spark, str(tmp_path / "store"), "state"))) == set(range(1, 13))
+
+
+def test_live_alerts_fire_in_silence(spark, tmp_path):
+    """One failing row and then nothing: the hold ends by the clock. A good row within the hold takes the alert away."""
+    s = streams.live_session(spark)
+    schema = "name string, failing boolean, at timestamp"
+    s.createDataFrame([("x", True, D1_NOON), ("y", True, D1_NOON), ("y", False, D1_NOON + timedelta(seconds=1)), ("slow", True, D1_NOON)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = s.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = streams.live_alerts(source, {"x": 0.02, "y": 0.02, "slow": 60}).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(processingTime="1 second").start()
+    told = lambda: sorted((r.name, r.notice) for r in s.read.schema("name string, at timestamp, notice string").parquet(str(tmp_path / "out")).collect()) if (tmp_path / "out" / "_spark_metadata").exists() else []
+    try:
+        until = time.time() + 60
+        while time.time() < until and told() != [("x", "fired")]:
+            time.sleep(1)
+        assert told() == [("x", "fired")] and q.exception() is None
+        s.createDataFrame([("x", False, D1_NOON + timedelta(hours=1))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        until = time.time() + 60
+        while time.time() < until and len(told()) < 2:
+            time.sleep(1)
+        assert told() == [("x", "fired"), ("x", "resolved")]
+    finally:
+        q.stop()
+
+
+def test_holds_by_condition(spark):
+    """The batch holds each condition for its own minutes, as the streams do."""
+    t0 = datetime(2024, 1, 1)
+    conditions = spark.createDataFrame([(n, True) for n in (alerts.NO_SUCCESS, alerts.STALE_SEARCH, "z")], "name string, failing boolean")
+    prior = conditions.select("name", F.lit(t0).cast("timestamp_ntz").alias("first_seen"), F.lit(False).alias("fired"))
+    fired = lambda minutes: {r.name for r in alerts.alert_transitions(conditions, prior, t0 + timedelta(minutes=minutes)).collect() if r.fired}
+    assert fired(9) == set() and fired(10) == {alerts.NO_SUCCESS, "z"} and fired(15) == {alerts.NO_SUCCESS, alerts.STALE_SEARCH, "z"}
+
+
 def test_stream_of_alerts(spark, tmp_path):
     """A hold ends by a timer, also where no further row of the condition comes; holds may differ."""
     t = datetime(2024, 1, 1)
@@ -243,6 +320,6 @@ def test_stream_of_alerts(spark, tmp_path):
     rows = [("x", f, t + timedelta(minutes=m)) for m, f in ((0, True), (10, True), (30, True), (31, False))] + [("y", True, t), (name, True, t), ("z", True, t + timedelta(minutes=25)), ("w", True, t), ("w", False, t + timedelta(minutes=10)), ("last", False, t + timedelta(minutes=40))]
     spark.createDataFrame(rows, "name string, failing boolean, at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("name string, failing boolean, at timestamp").parquet(str(tmp_path / "in"))
-    q = streams.stream_alerts(source, streams.HOLD_MINUTES).writeStream.format("memory").queryName("alerts_out").outputMode("append").trigger(availableNow=True).start()
+    q = streams.stream_alerts(source).writeStream.format("memory").queryName("alerts_out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.name, r.at.minute, r.notice) for r in spark.table("alerts_out").collect()) == sorted([("x", 10, "fired"), ("x", 31, "resolved"), ("y", 10, "fired"), (name, 15, "fired"), ("z", 35, "fired")])
