@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from .percentiles import value_counts, values_at
 
 SPREAD = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
 
@@ -99,21 +100,8 @@ def fold_tail(df: DataFrame, label: str, value: str, k: int = 6) -> DataFrame:
     return named.groupBy(F.when(F.col("_k"), X.known(label)).otherwise("Other").alias(label)).agg(F.sum(value).alias(value))
 
 
-BUCKETS = 4096
-
-
 def quantile_breaks(df: DataFrame, x: str, at: Sequence[float] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
-    """Distinct lower-rank quantiles of the positive values (one row per break). Values are counted, then counts are
-    summed in BUCKETS equal ranges; only the values of ranges that hold a rank are looked at one by one, range by range."""
-    counts = df.where(F.col(x) > 0).groupBy(F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    share = F.coalesce((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0))
-    placed = counts.crossJoin(F.broadcast(whole)).withColumn("b", F.floor(share * (BUCKETS - 1)).cast("int"))
-    sizes = placed.groupBy("b", "total").agg(F.sum("n").alias("m"))  # BUCKETS rows at most
-    before = F.coalesce(F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    targets = lambda total: F.array(*(F.floor(F.lit(q) * total) for q in at))
-    held = lambda low, n: F.exists(targets(F.col("total")), lambda t: (t >= low) & (t < low + n))
-    wanted = sizes.withColumn("before", before).where(held(F.col("before"), F.col("m"))).select("b", "before")
-    near = placed.join(F.broadcast(wanted), "b")
-    low = F.col("before") + F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return near.withColumn("low", low).where(held(F.col("low"), F.col("n"))).select(F.col("v").alias("break"))
+    """Distinct lower-rank quantiles of the positive values (one row per break)."""
+    counts = value_counts(df, [F.when(F.col(x) > 0, F.col(x))])
+    ranks = lambda _, total: F.array(*(F.floor(F.lit(q) * total) for q in at))
+    return values_at(counts, ranks).select(F.col("v").alias("break")).distinct()

@@ -18,6 +18,7 @@ from ..functions import expr as X
 from ..operators import aggregates as A
 from ..operators import comparables as C
 from ..operators import histories as H
+from ..operators import percentiles as P
 from ..operators.filters import Selection, Window, active, attribute, covered_days, cross_filter, either, event_property, exits, filter_populations, furnishing, property_filters, when_covered, where_deal
 from ..sources.facts import Facts
 
@@ -97,6 +98,14 @@ def positive(x: str) -> Column:
     return F.col(x) > 0
 
 
+def if_positive(x: str) -> Column:
+    return F.when(positive(x), F.col(x))
+
+
+def share(part: str, base: str, digits: int = 1) -> Column:
+    return X.rounded(100.0 * F.col(part) / F.nullif(base, F.lit(0)), digits)
+
+
 def rows_n() -> Column:
     return F.count(F.lit(1))
 
@@ -181,9 +190,9 @@ def state_series(b: Board, deal: str, value: Column | None = None) -> DataFrame:
 @group("buyer_10")
 def _(b):
     w = b.window
-    now = b.marked("sale").agg(rows_n().alias("active"), med("price", -2, positive("price")).alias("median_price"), med("rate", 0, positive("rate")).alias("median_ppm2"), X.share_pct(below_peak()).alias("cut_share_pct"), med(cut_size(), 1, below_peak()).alias("median_cut_pct"), X.count_if(w.holds("first_seen")).alias("new_n"))
-    new = b.new_counts("sale").drop("new_n")
-    return b.covered(now.crossJoin(F.broadcast(new))).withColumn("new_prev", b.prev(F.col("_new_prev"))).drop("_new_prev", "covered_from")
+    now = P.whole(b.marked("sale"), {"active": F.lit(True), "_below": below_peak(), "new_n": w.holds("first_seen")}, {"_price": if_positive("price"), "_rate": if_positive("rate"), "_cut": F.when(below_peak(), cut_size())})
+    out = b.covered(now.crossJoin(F.broadcast(b.new_counts("sale").drop("new_n"))))
+    return out.select("active", X.rounded("_price", -2).alias("median_price"), X.rounded("_rate", 0).alias("median_ppm2"), share("_below", "active").alias("cut_share_pct"), X.rounded("_cut", 1).alias("median_cut_pct"), "new_n", b.prev(F.col("_new_prev")).alias("new_prev"))
 
 
 @group("buyer_20")
@@ -323,10 +332,9 @@ def _(b):
 @group("exits_1")
 def _(b):
     w, p = b.window.holds("occurred_on"), b.window.previous.holds("occurred_on")
-    x = b.every_exit().agg(
-        X.count_if(w).alias("exits"), X.count_if(p).alias("_xp"), med("final_rate", 0, w & positive("final_rate")).alias("median_exit_ppm2"), med("final_rate", 0, p & positive("final_rate")).alias("_rp"),
-        med("days_listed", 1, w).alias("median_days_on_market"), med("days_listed", 1, p).alias("_dp"),
-    )
+    rate, days = if_positive("final_rate"), F.col("days_listed")
+    x = P.whole(b.every_exit(), {"exits": w, "_xp": p}, {"_r": F.when(w, rate), "_rp": F.when(p, rate), "_d": F.when(w, days), "_dp": F.when(p, days)})
+    x = x.select("exits", "_xp", X.rounded("_r", 0).alias("median_exit_ppm2"), X.rounded("_rp", 0).alias("_rp"), X.rounded("_d", 1).alias("median_days_on_market"), X.rounded("_dp", 1).alias("_dp"))
     out = b.covered(x.crossJoin(F.broadcast(b.base().agg(rows_n().alias("_active")))))
     return out.select("exits", b.prev(F.col("_xp")).alias("exits_prev"), "median_exit_ppm2", b.prev(F.col("_rp")).alias("median_exit_ppm2_prev"), "median_days_on_market", b.prev(F.col("_dp")).alias("median_days_on_market_prev"), A.months_of_inventory(F.col("_active"), F.col("exits"), b.days).alias("months_of_inventory"))
 
@@ -508,10 +516,9 @@ def _(b):
     e, open_ = b.facts.entities, F.col("closed_at").isNull()
     flat = F.lit(True) if "All" in b.selection.category else F.coalesce(F.col("kind").isin(*b.selection.category), F.lit(False))
     w, sale = b.window, (F.col("deal") == "sale")
-    g = e.agg(
-        X.count_if(open_).alias("active"), X.median("rate", open_ & flat & sale & positive("rate")).alias("_r"), X.median("price", open_ & flat & (F.col("deal") == "rent") & positive("price")).alias("_m"),
-        X.median("price", open_ & flat & sale & positive("price")).alias("_p"), X.count_if(w.holds("closed_at")).alias("_x"), X.median("rate", flat & sale & positive("rate") & w.holds("first_seen")).alias("_n"), X.median("rate", flat & sale & positive("rate") & w.previous.holds("first_seen")).alias("_np"),
-    )
+    rate, price, rent = if_positive("rate"), if_positive("price"), F.col("deal") == "rent"
+    medians = {"_r": F.when(open_ & flat & sale, rate), "_m": F.when(open_ & flat & rent, price), "_p": F.when(open_ & flat & sale, price), "_n": F.when(flat & sale & w.holds("first_seen"), rate), "_np": F.when(flat & sale & w.previous.holds("first_seen"), rate)}
+    g = P.whole(e, {"active": open_, "_x": w.holds("closed_at")}, medians)
     return b.covered(g).select("active", X.rounded("_r", 0).alias("median_sale_ppm2"), X.rounded("_m", 0).alias("median_rent"), A.gross_yield(F.col("_m"), F.col("_p")).alias("gross_yield_pct"), A.months_of_inventory(F.col("active"), F.col("_x"), b.days).alias("months_of_inventory"), X.rounded("_n", 0).alias("new_sale_ppm2"), b.prev(X.rounded("_np", 0)).alias("new_sale_ppm2_prev"))
 
 
@@ -536,7 +543,8 @@ def sales(b: Board) -> DataFrame:
 
 @group("overview_1")
 def _(b):
-    now = b.base().agg(rows_n().alias("active"), med("rate", 0, (F.col("deal") == "sale") & positive("rate")).alias("median_sale_ppm2"), med("price", 0, (F.col("deal") == "rent") & positive("price")).alias("median_rent"))
+    now = P.whole(b.base(), {"active": F.lit(True)}, {"_r": F.when(F.col("deal") == "sale", if_positive("rate")), "_m": F.when(F.col("deal") == "rent", if_positive("price"))})
+    now = now.select("active", X.rounded("_r", 0).alias("median_sale_ppm2"), X.rounded("_m", 0).alias("median_rent"))
     out = b.covered(now.crossJoin(F.broadcast(b.new_counts())).crossJoin(F.broadcast(b.exits().agg(rows_n().alias("_x")))))
     return out.select("active", "new_n", b.prev(F.col("_new_prev")).alias("new_prev"), "median_sale_ppm2", "median_rent", A.months_of_inventory(F.col("active"), F.col("_x"), b.days).alias("months_of_inventory"))
 
@@ -640,9 +648,10 @@ def _(b):
 
 @group("pro_1")
 def _(b):
-    m = b.marked().agg(rows_n().alias("active"), X.share_pct(below_peak()).alias("cut_share_pct"), med(cut_size(), 1, below_peak()).alias("median_cut_pct"), med(views()).alias("median_views"), X.count_if(b.window.holds("first_seen")).alias("new_n"))
+    m = P.whole(b.marked(), {"active": F.lit(True), "_below": below_peak(), "new_n": b.window.holds("first_seen")}, {"_cut": F.when(below_peak(), cut_size()), "_views": views()})
+    m = m.select("active", share("_below", "active").alias("cut_share_pct"), X.rounded("_cut", 1).alias("median_cut_pct"), X.rounded("_views", 0).alias("median_views"), "new_n")
     w, p = b.window.holds("occurred_on"), b.window.previous.holds("occurred_on")
-    x = b.every_exit().agg(X.count_if(w).alias("exits"), X.count_if(p).alias("_xp"), med("days_listed", 0, w).alias("median_days_on_market"))
+    x = P.whole(b.every_exit(), {"exits": w, "_xp": p}, {"_d": F.when(w, F.col("days_listed"))}).select("exits", "_xp", X.rounded("_d", 0).alias("median_days_on_market"))
     out = b.covered(m.crossJoin(F.broadcast(x)).crossJoin(F.broadcast(b.new_counts().drop("new_n"))))
     return out.select("active", "new_n", b.prev(F.col("_new_prev")).alias("new_prev"), "exits", b.prev(F.col("_xp")).alias("exits_prev"), A.months_of_inventory(F.col("active"), F.col("exits"), b.days).alias("months_of_inventory"), "median_days_on_market", "cut_share_pct", "median_cut_pct", "median_views")
 
