@@ -185,17 +185,17 @@ BODIES: dict[str, tuple[str, str]] = {
     "exits_21": (f"SELECT p.area_key, rooms, sum(x)::BIGINT AS exits, (count(*) - sum(x))::BIGINT AS active, {pct('sum(x)')} AS exit_ratio, rank FROM p JOIN top_ ON p.area_key = top_.area_key GROUP BY p.area_key, rooms, rank HAVING count(*) >= 5", f"{base()}, {allx()}, p AS (SELECT area_key, {ROOMS}, 1 AS x FROM gone WHERE area_key IS NOT NULL UNION ALL SELECT area_key, {ROOMS}, 0 FROM base WHERE area_key IS NOT NULL), top_ AS (SELECT area_key, row_number() OVER (ORDER BY count(*) DESC, area_key) AS rank FROM p GROUP BY 1 QUALIFY rank <= 10)"),
     "health_2": (f"SELECT {cnt("status = 'error' AND " + RECENT)} AS failed_runs, {pct(cnt("status = 'ok' AND " + RECENT), cnt("status IN ('ok', 'error') AND " + RECENT), 0)} AS success_rate, {r(f'epoch({NOW_SQL} - max(finished_at) FILTER (WHERE {GOOD}))')} AS seconds_since_success, coalesce(sum(cards) FILTER (WHERE status = 'ok' AND {RECENT}), 0)::BIGINT AS cards, {cnt("NOT is_complete AND status IN ('ok', 'error') AND finished_at IS NOT NULL AND " + RECENT)} AS incomplete FROM runs", ""),
     "health_1": ("SELECT count(*) AS searches FROM searches WHERE retired_at IS NULL", ""),
-    "health_25": (f"SELECT count(*) AS backlog FROM entities WHERE closed_at IS NULL AND (details_on IS NULL OR details_on < {TODAY} - 7) AND entity_id % 5 <> 0", ""),
-    "health_26": (f"SELECT count(*) AS invalid_latest FROM entities WHERE price_state IN ('invalid', 'conflict') AND first_seen > {FROM}", ""),
+    "health_25": (f"SELECT count(*) AS backlog FROM entities WHERE closed_at IS NULL AND (details_at IS NULL OR details_at < {TODAY} - INTERVAL 7 DAY) AND (attempted_at IS NULL OR attempted_at < {TODAY} - INTERVAL 12 HOUR)", ""),
+    "health_26": (f"SELECT count(*) AS invalid_latest FROM entities WHERE price_state IN ('invalid', 'conflict') AND last_seen > {FROM}", ""),
     "health_7": (f"SELECT date_trunc('hour', started_at) AS hour, {', '.join(cnt(f"status = '{s}'") + f' AS {s}' for s in ('ok', 'error', 'running'))} FROM runs WHERE {IN_TIME} GROUP BY 1", ""),
     "health_8": (f"SELECT date_trunc('hour', started_at) AS hour, {r('avg(cards)')} AS avg_cards FROM runs WHERE {IN_TIME} GROUP BY 1", ""),
     "health_22": (f"SELECT date_trunc('hour', started_at) AS hour, {r(f'avg({TOOK}) / 60', 1)} AS avg_min, {r(f'max({TOOK}) / 60', 1)} AS max_min FROM runs WHERE finished_at IS NOT NULL AND {IN_TIME} GROUP BY 1", ""),
     "health_14": (f"SELECT {pct(cnt('latitude IS NOT NULL AND longitude IS NOT NULL'), digits=0)} AS pinned_pct, {pct('count(details_on)', digits=0)} AS details_pct, {pct(cnt('rate > 0'), digits=0)} AS priced_pct, {pct('count(source_status)', digits=0)} AS api_status_pct FROM entities WHERE closed_at IS NULL", ""),
-    "health_18": (f"SELECT coalesce(source_status, '(not exposed)') AS source_says, CASE WHEN closed_at IS NULL THEN 'open' ELSE 'closed' END AS we_say, count(*) AS listings FROM entities WHERE first_seen > {FROM} GROUP BY 1, 2", ""),
-    "health_28": (f"SELECT s.name, s.search_key, CASE WHEN status = 'error' THEN 'failed' WHEN status = 'running' THEN 'running' WHEN {AGE} > 93600 THEN 'stale' ELSE coalesce(status, 'never') END AS phase, {r(f'{AGE} / 60')} AS age_min, started_at, finished_at, error FROM searches s LEFT JOIN (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY search_key ORDER BY run_id DESC) = 1) x ON s.search_key = x.search_key WHERE retired_at IS NULL", ""),
+    "health_18": (f"SELECT coalesce(source_status, '(not exposed)') AS source_says, CASE WHEN closed_at IS NULL THEN 'open' ELSE 'closed' END AS we_say, count(*) AS listings FROM entities WHERE last_seen > {FROM} GROUP BY 1, 2", ""),
+    "health_28": (f"SELECT s.name, s.search_key, CASE WHEN status = 'error' THEN 'failed' WHEN status = 'running' THEN 'running' WHEN {AGE} > 93600 THEN 'stale' ELSE coalesce(status, 'never') END AS phase, {r(f'{AGE} / 60')} AS age_min, started_at, finished_at, error, url FROM searches s LEFT JOIN (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY search_key ORDER BY run_id DESC) = 1) x ON s.search_key = x.search_key WHERE retired_at IS NULL", ""),
     "health_19": (f"SELECT name, count(*) AS runs, {r(f'avg({TOOK})')} AS avg_s, {r(f'max({TOOK})')} AS max_s FROM runs JOIN searches USING (search_key) WHERE finished_at IS NOT NULL AND {IN_TIME} GROUP BY 1", ""),
     "health_21": (f"SELECT left(regexp_replace(coalesce(error, '(no message)'), '[0-9]+', '#', 'g'), 120) AS failure_pattern, count(*) AS runs, max(started_at) AS last_seen FROM runs WHERE status = 'error' AND {RECENT} GROUP BY 1", ""),
-    "health_12": ("SELECT run_id, search_key, status, cards, started_at, finished_at, error FROM runs ORDER BY run_id DESC LIMIT 50", ""),
+    "health_12": ("SELECT run_id, search_key, status, pages, cards, started_at, finished_at, error FROM runs ORDER BY run_id DESC LIMIT 50", ""),
     "home_2": (f"SELECT a AS active, {r('s')} AS median_sale_ppm2, {r('m')} AS median_rent, {r('1200 * m / nullif(p, 0)', 1)} AS gross_yield_pct, {months('a', 'x')} AS months_of_inventory, {r('nw')} AS new_sale_ppm2, {cov(r('np'))} AS new_sale_ppm2_prev FROM (SELECT {cnt('closed_at IS NULL')} AS a, {q('rate', 0.5, "closed_at IS NULL AND deal = 'sale' AND rate > 0")} AS s, {q('price', 0.5, "closed_at IS NULL AND deal = 'rent' AND price > 0")} AS m, {q('price', 0.5, "closed_at IS NULL AND deal = 'sale' AND price > 0")} AS p, {cnt(win('closed_at'))} AS x, {q('rate', 0.5, "deal = 'sale' AND rate > 0 AND " + win('first_seen'))} AS nw, {q('rate', 0.5, "deal = 'sale' AND rate > 0 AND " + prev('first_seen'))} AS np FROM entities)", ""),
     "home_13": (f"SELECT day, coalesce(sum(n), 0)::BIGINT AS new_n, coalesce(sum(c), 0)::BIGINT AS closed_n FROM (SELECT unnest(generate_series({FROM}::TIMESTAMP, {TO}::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day) LEFT JOIN (SELECT first_seen AS day, 1 AS n, 0 AS c FROM entities UNION ALL SELECT closed_at, 0, 1 FROM entities WHERE closed_at IS NOT NULL) USING (day) GROUP BY 1", ""),
     "home_9": (f"SELECT {r(f'epoch({NOW_SQL} - max(finished_at) FILTER (WHERE {GOOD})) / 60')} AS minutes_since_success FROM runs", ""),
@@ -211,10 +211,10 @@ BODIES: dict[str, tuple[str, str]] = {
     "overview_32": (f"SELECT {AREA}, count(*) AS listings, {spread_cols('rate')} FROM {SALES} GROUP BY 1 ORDER BY listings DESC, 1 LIMIT 15", base()),
     "overview_22": (f"SELECT kind AS segment, count(*) AS listings, {med('rate', 0, 'rate > 0')} AS median_ppm2 FROM base WHERE deal = 'sale' AND kind IS NOT NULL GROUP BY 1", base()),
     "overview_30": (f"SELECT {K.format('seller')}, count(*) AS listings, {med('rate', 0, 'rate > 0')} AS median_ppm2 FROM base WHERE deal = 'sale' GROUP BY 1", base()),
-    "overview_13": ("SELECT latitude, longitude, title, url, area_key, rooms, sqm, price, CASE WHEN deal = 'sale' THEN rate END AS ppm2 FROM base WHERE latitude IS NOT NULL AND longitude IS NOT NULL", base()),
+    "overview_13": ("SELECT latitude, longitude, title, url, area_key, rooms, sqm, price, CASE WHEN deal = 'sale' THEN rate END AS ppm2, last_seen FROM base WHERE latitude IS NOT NULL AND longitude IS NOT NULL", base()),
     "overview_16": (f"SELECT {ITEM}, rate, {r('100 * (rate / m - 1)')} AS vs_median_pct FROM base JOIN (SELECT area_key, {q('rate')} AS m FROM {SALES} AND area_key IS NOT NULL GROUP BY 1 HAVING count(*) >= 5) USING (area_key) WHERE deal = 'sale' AND rate > 0 AND sqm >= 20 ORDER BY {r('rate / m', 6)}, entity_id LIMIT 25", base()),
     "overview_17": cut_rows(None),
-    "overview_11": (f"SELECT {ITEM}, rate, {LISTED} AS days_listed FROM base ORDER BY first_seen, entity_id LIMIT 25", base()),
+    "overview_11": (f"SELECT {ITEM}, rate, {LISTED} AS days_listed, last_seen FROM base ORDER BY first_seen, entity_id LIMIT 25", base()),
     "overview_23": (f"SELECT {ITEM}, v AS views, {r(f'v / greatest({LISTED}, 1)', 1)} AS views_per_day FROM (SELECT *, {VIEWS} AS v FROM base) WHERE v IS NOT NULL ORDER BY views_per_day DESC, v DESC, entity_id LIMIT 25", base()),
     "pro_1": (f"SELECT count(*) AS active, {cnt(win('first_seen'))} AS new_n, {new_prev()} AS new_prev, (SELECT count(*) FROM gone) AS exits, (SELECT {cov(cnt(prev('occurred_on')))} FROM allx) AS exits_prev, {months('count(*)', '(SELECT count(*) FROM gone)')} AS months_of_inventory, (SELECT {med('days_listed')} FROM gone) AS median_days_on_market, {pct(cnt(BELOW))} AS cut_share_pct, {med(CUT, 1, BELOW)} AS median_cut_pct, {med(VIEWS)} AS median_views FROM marked", f"{base()}, {MARKED}, {allx()}"),
     "pro_10": (f"SELECT area_key, {months('active', 'x')} AS months_of_inventory, active, coalesce(x, 0) AS exits FROM (SELECT area_key, count(*) AS active FROM base WHERE area_key IS NOT NULL GROUP BY 1) LEFT JOIN (SELECT area_key, count(*) AS x FROM gone GROUP BY 1) USING (area_key)", f"{base()}, {allx()}"),

@@ -7,7 +7,7 @@ computed. Filters go onto the facts first and reach the scans. Names of result f
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime
 from functools import cached_property
 
@@ -56,7 +56,7 @@ class Board:
         return self.every_exit(deal).where(self.window.holds("occurred_on"))
 
     def marked(self, deal: str | None = None) -> DataFrame:
-        return H.mark_peak(self.base(deal), self.facts.history)
+        return H.mark_peak(self.base(deal), self.facts.reports)
 
     @cached_property
     def coverage(self) -> DataFrame:
@@ -136,24 +136,28 @@ ITEM = ["title", "url", "area_key", "rooms", "sqm", "price"]
 # -- comparables (four boards share these) -------------------------------------------------------------------
 
 
-def subject(b: Board, deal: str) -> DataFrame:
-    return C.subject_row(b.facts.entities, b.subject, deal)
+def subject(b: Board, deal: str | None) -> DataFrame:
+    """The reader's subject: its kind of offer where nothing is linked is the board's own, or with None that of the filter;
+    its type the single chosen category."""
+    chosen = [c for c in b.selection.category if c != "All"] if len(b.selection.category) == 1 else []
+    given = b.subject if b.subject.kind or not chosen else replace(b.subject, kind=chosen[0])
+    return C.subject_row(b.facts.entities, given, deal or ("rent" if b.selection.deal == "rent" else "sale"))
 
 
-def comparables(b: Board, deal: str) -> DataFrame:
+def comparables(b: Board, deal: str | None) -> DataFrame:
     window = exits(b.facts.lifecycle).where(b.window.holds("occurred_on"))
     return C.comparables(C.pool(b.facts.entities, window, b.as_of), subject(b, deal))
 
 
-def fair(deal: str):
+def fair(deal: str | None):
     return lambda b: C.fair_price(comparables(b, deal), subject(b, deal))
 
 
-def comparable_rows(deal: str):
+def comparable_rows(deal: str | None):
     return lambda b: comparables(b, deal).select("title", "url", "status", "area_key", "rooms", "sqm", "price", "ppm2", "days_listed", "distance_km", "rank")
 
 
-for prefix, first, table, deal in (("buyer", "1", "7", "sale"), ("pro", "60", "66", "sale"), ("renter", "1", "7", "rent")):
+for prefix, first, table, deal in (("buyer", "1", "7", "sale"), ("pro", "60", "66", None), ("renter", "1", "7", "rent")):
     GROUPS[f"{prefix}_{first}"], GROUPS[f"{prefix}_{table}"] = fair(deal), comparable_rows(deal)
 
 
@@ -161,7 +165,7 @@ for prefix, first, table, deal in (("buyer", "1", "7", "sale"), ("pro", "60", "6
 
 
 def recent_cuts(b: Board, deal: str | None, order: list[Column] | None = None) -> DataFrame:
-    c = H.cuts(b.facts.history).where(b.window.holds("on_date")).select("entity_id", "on_date", "was", F.col("price").alias("now"), "cut_pct")
+    c = H.cuts(b.facts.reports).where(b.window.holds("on_date")).select("entity_id", "on_date", "was", F.col("price").alias("now"), "cut_pct")
     rows = c.join(b.base(deal), "entity_id").withColumn("days_listed", b.days_listed)
     top = rows.orderBy(F.desc("on_date"), F.desc("cut_pct"), "entity_id").limit(25)
     return top.select("entity_id", "title", "url", "area_key", "rooms", "was", "now", "cut_pct", "on_date", "days_listed")
@@ -181,7 +185,7 @@ def weekly(df: DataFrame, day: str, *values: Column) -> DataFrame:
 
 def state_series(b: Board, deal: str, value: Column | None = None) -> DataFrame:
     items = b.all(deal) if value is None else b.all(deal).where("sqm > 0")
-    return H.daily_state_series(items, b.facts.history, b.facts.lifecycle, b.window.start, min(b.window.end, b.as_of), value)
+    return H.daily_state_series(items, b.facts.reports, b.facts.lifecycle, b.window.start, min(b.window.end, b.as_of), value)
 
 
 # -- Buy -----------------------------------------------------------------------------------------------------------
@@ -211,7 +215,7 @@ def _(b):
 
 @group("buyer_31")
 def _(b):
-    p = H.paired(b.exits("sale"), b.facts.history)
+    p = H.paired(b.exits("sale"), b.facts.reports)
     return p.agg(rows_n().alias("exits_paired"), X.share_pct(F.col("change_pct") < 0).alias("below_first_pct"), med("change_pct", 1).alias("median_final_change_pct"))
 
 
@@ -219,7 +223,7 @@ def _(b):
 def _(b):
     c = F.col("change_pct")
     band = F.when(c <= -15, "cut 15% or more").when(c <= -5, "cut 5–15%").when(c < 0, "cut under 5%").when(c == 0, "unchanged").otherwise("raised")
-    return H.paired(b.exits("sale"), b.facts.history).groupBy(band.alias("change_band")).agg(rows_n().alias("exits"))
+    return H.paired(b.exits("sale"), b.facts.reports).groupBy(band.alias("change_band")).agg(rows_n().alias("exits"))
 
 
 @group("buyer_34")
@@ -279,7 +283,7 @@ def _(b):
 @group("daily_10")
 def _(b):
     w, base = b.window, b.base("daily_rent")
-    steps = H.price_changes(b.facts.history.where("price > 0")).where("price <> was").join(base.select("entity_id"), "entity_id", "left_semi")
+    steps = H.price_changes(b.facts.reports.where("price > 0")).where("price <> was").join(base.select("entity_id"), "entity_id", "left_semi")
     repriced = steps.agg(F.count_distinct(F.when(w.holds("on_date"), F.col("entity_id"))).alias("r"), F.count_distinct(F.when(w.previous.holds("on_date"), F.col("entity_id"))).alias("rp"))
     now = base.agg(rows_n().alias("active"), med("price", 0, positive("price")).alias("median_night"), X.count_if(w.holds("first_seen")).alias("new_n"), X.share_pct(F.col("seller") == "shop", F.col("seller").isNotNull()).alias("agency_share_pct"))
     out = b.covered(now.crossJoin(F.broadcast(repriced)).crossJoin(F.broadcast(b.new_counts("daily_rent").drop("new_n"))))
@@ -347,7 +351,7 @@ def _(b):
 
 @group("exits_15")
 def _(b):
-    rows = H.opening_ask(b.exits().where("price is not null"), b.facts.history)
+    rows = H.opening_ask(b.exits().where("price is not null"), b.facts.reports)
     way = F.when(F.col("price") < F.col("opening_price"), "lower").when(F.col("price") > F.col("opening_price"), "higher").otherwise("same")
     g = rows.groupBy(way.alias("direction")).agg(rows_n().alias("listings"))
     return g.withColumn("place", F.array_position(F.array(F.lit("lower"), F.lit("same"), F.lit("higher")), F.col("direction")))
@@ -365,7 +369,7 @@ def _(b):
 
 @group("exits_18")
 def _(b):
-    return H.paired(b.exits().where("price is not null"), b.facts.history).select(F.col("days_listed").cast("double").alias("days_listed"), X.rounded("change_pct", 4).alias("final_change_pct"), "title", "url", "entity_id")
+    return H.paired(b.exits().where("price is not null"), b.facts.reports).select(F.col("days_listed").cast("double").alias("days_listed"), X.rounded("change_pct", 4).alias("final_change_pct"), "title", "url", "entity_id")
 
 
 @group("exits_7")
@@ -391,7 +395,7 @@ def _(b):
 @group("exits_9")
 def _(b):
     last = b.exits().orderBy(F.desc("occurred_on"), F.desc("entity_id"), F.desc("opened_on")).limit(50)  # before the as-of join
-    rows = H.opening_ask(last, b.facts.history, "left")
+    rows = H.opening_ask(last, b.facts.reports, "left")
     return rows.select("entity_id", *ITEM[:5], "opening_price", F.col("price").alias("final_asking_price"), X.rounded(100.0 * (F.col("price") / F.col("opening_price") - 1), 1).alias("final_change_pct"), X.rounded("final_rate", 0).alias("closing_ppm2"), "opened_on", "occurred_on", "days_listed")
 
 
@@ -440,15 +444,15 @@ def _(b):
 
 @group("health_25")
 def _(b):
-    stale = F.col("details_on").isNull() | (F.col("details_on") < F.date_sub(F.lit(b.as_of), 7))
-    tried = F.col("entity_id") % 5 == 0  # the adapter has no log of attempts: a fifth counts as just tried
-    return active(b.facts.entities).where(stale & ~tried).agg(rows_n().alias("backlog"))
+    due = lambda c, rest: F.col(c).isNull() | (F.col(c) < instant(b) - rest)
+    rows = active(b.facts.entities).where(due("details_at", F.make_dt_interval(days=F.lit(7))) & due("attempted_at", F.make_dt_interval(hours=F.lit(12))))
+    return rows.agg(rows_n().alias("backlog"))
 
 
 @group("health_26")
 def _(b):
     bad = F.element_at("extra", "latest_price_state").isin("invalid", "conflict")
-    return b.facts.entities.where(bad & (F.col("first_seen") > F.lit(b.window.start))).agg(rows_n().alias("invalid_latest"))
+    return b.facts.entities.where(bad & (F.col("last_seen") > F.lit(b.window.start))).agg(rows_n().alias("invalid_latest"))
 
 
 def hourly(b: Board, *values: Column) -> DataFrame:
@@ -468,7 +472,7 @@ def _(b):
 @group("health_22")
 def _(b):
     took = seconds_between("started_at", "finished_at")
-    return hourly(Board(Facts(b.facts.entities, b.facts.history, b.facts.lifecycle, b.facts.runs.where("finished_at is not null"), b.facts.searches), b.window, b.as_of, b.now), X.rounded(F.avg(took) / 60.0, 1).alias("avg_min"), X.rounded(F.max(took) / 60.0, 1).alias("max_min"))
+    return hourly(replace(b, facts=replace(b.facts, runs=b.facts.runs.where("finished_at is not null"))), X.rounded(F.avg(took) / 60.0, 1).alias("avg_min"), X.rounded(F.max(took) / 60.0, 1).alias("max_min"))
 
 
 @group("health_14")
@@ -479,7 +483,7 @@ def _(b):
 
 @group("health_18")
 def _(b):
-    rows = b.facts.entities.where(F.col("first_seen") > F.lit(b.window.start))
+    rows = b.facts.entities.where(F.col("last_seen") > F.lit(b.window.start))
     return rows.groupBy(F.coalesce("source_status", F.lit("(not exposed)")).alias("source_says"), F.when(F.col("closed_at").isNotNull(), "closed").otherwise("open").alias("we_say")).agg(rows_n().alias("listings"))
 
 
@@ -488,7 +492,7 @@ def _(b):
     rows = H.latest_per_key(b.facts.searches.where("retired_at is null"), b.facts.runs, "search_key", "run_id")
     age = seconds_between("finished_at", instant(b))
     phase = F.when(F.col("status") == "error", "failed").when(F.col("status") == "running", "running").when(age > 26 * 3600, "stale").otherwise(F.coalesce("status", F.lit("never")))
-    return rows.select("name", "search_key", phase.alias("phase"), X.rounded(age / 60, 0).alias("age_min"), "started_at", "finished_at", "error")
+    return rows.select("name", "search_key", phase.alias("phase"), X.rounded(age / 60, 0).alias("age_min"), "started_at", "finished_at", "error", "url")
 
 
 @group("health_19")
@@ -505,7 +509,7 @@ def _(b):
 
 @group("health_12")
 def _(b):
-    return b.facts.runs.orderBy(F.desc("run_id")).limit(50).select("run_id", "search_key", "status", "cards", "started_at", "finished_at", "error")
+    return b.facts.runs.orderBy(F.desc("run_id")).limit(50).select("run_id", "search_key", "status", "pages", "cards", "started_at", "finished_at", "error")
 
 
 # -- Home ----------------------------------------------------------------------------------------------------------
@@ -552,7 +556,7 @@ def _(b):
 @group("overview_3")
 def _(b):
     base, w = b.base(), b.window
-    c = H.cuts(b.facts.history).withColumn("_raw", 100.0 * (F.col("was") - F.col("price")) / F.col("was")).join(base.select("entity_id"), "entity_id", "left_semi")
+    c = H.cuts(b.facts.reports).withColumn("_raw", 100.0 * (F.col("was") - F.col("price")) / F.col("was")).join(base.select("entity_id"), "entity_id", "left_semi")
     g = c.agg(F.count_distinct(F.when(w.holds("on_date"), F.col("entity_id"))).alias("drops"), F.count_distinct(F.when(w.previous.holds("on_date"), F.col("entity_id"))).alias("_dp"), F.count_distinct("entity_id").alias("_all"), med("_raw", 1, w.holds("on_date")).alias("median_cut_pct"))
     out = b.covered(g.crossJoin(F.broadcast(base.agg(rows_n().alias("_n")))))
     return out.select("drops", b.prev(F.col("_dp")).alias("drops_prev"), X.rounded(100.0 * F.col("_all") / F.nullif("_n", F.lit(0)), 0).alias("cut_share_pct"), "median_cut_pct")
@@ -616,7 +620,7 @@ def _(b):
 
 @group("overview_13")
 def _(b):
-    return b.base().where("latitude is not null and longitude is not null").select("latitude", "longitude", *ITEM, F.when(F.col("deal") == "sale", F.col("rate")).alias("ppm2"))
+    return b.base().where("latitude is not null and longitude is not null").select("latitude", "longitude", *ITEM, F.when(F.col("deal") == "sale", F.col("rate")).alias("ppm2"), "last_seen")
 
 
 @group("overview_16")
@@ -633,7 +637,7 @@ def _(b):
 
 @group("overview_11")
 def _(b):
-    return b.base().orderBy("first_seen", "entity_id").limit(25).select("entity_id", *ITEM, "rate", b.days_listed.alias("days_listed"))
+    return b.base().orderBy("first_seen", "entity_id").limit(25).select("entity_id", *ITEM, "rate", b.days_listed.alias("days_listed"), "last_seen")
 
 
 @group("overview_23")
@@ -681,7 +685,7 @@ def _(b):
     keys = ["area_key", "rooms", "deal"]
     rate = F.when((F.col("sqm") >= 5) & positive("price"), F.col("price") / F.col("sqm"))
     medians = segment_medians(b.base().withColumn("_r", rate).where("_r is not null"), keys, "_r", 5)
-    rows = H.vs_segment(H.paired(b.exits(), b.facts.history).where("sqm >= 5"), medians, ["rooms"], ["area_key", "deal"])
+    rows = H.vs_segment(H.paired(b.exits(), b.facts.reports).where("sqm >= 5"), medians, ["rooms"], ["area_key", "deal"])
     rows = rows.withColumn("gap", 100.0 * (F.col("opening_price") / F.col("sqm") / F.col("segment_median") - 1))
     band = F.when(F.col("gap") < -5, "below segment").when(F.col("gap") <= 5, "within ±5%").when(F.col("gap") <= 15, "5–15% above").otherwise("over 15% above")
     return rows.groupBy(band.alias("pricing_band")).agg(med("days_listed").alias("median_days"), rows_n().alias("exits"), X.share_pct(F.col("change_pct") < 0).alias("cut_first_pct"))
@@ -689,7 +693,7 @@ def _(b):
 
 @group("pro_21")
 def _(b):
-    return H.paired(b.exits(), b.facts.history).select(F.col("days_listed").cast("double").alias("days_listed"), X.rounded("change_pct", 4).alias("final_change_pct"), "title", "url", "area_key")
+    return H.paired(b.exits(), b.facts.reports).select(F.col("days_listed").cast("double").alias("days_listed"), X.rounded("change_pct", 4).alias("final_change_pct"), "title", "url", "area_key")
 
 
 @group("pro_30")

@@ -64,7 +64,7 @@ def ingested(s: SparkSession, d: str) -> state.Ingested:
 
 
 STATE_SQL = f"""
-st AS (SELECT *, first_seen AS last_seen, CASE WHEN closed_at IS NOT NULL THEN [] WHEN entity_id % 10 = 0 THEN [search_key, 'extra'] ELSE [search_key] END AS search_keys, details_on::TIMESTAMP + INTERVAL 12 HOUR AS details_at,
+st AS (SELECT * EXCLUDE (last_seen, details_at, attempted_at), first_seen AS last_seen, CASE WHEN closed_at IS NOT NULL THEN [] WHEN entity_id % 10 = 0 THEN [search_key, 'extra'] ELSE [search_key] END AS search_keys, details_on::TIMESTAMP + INTERVAL 12 HOUR AS details_at,
    CASE WHEN entity_id % 5 = 0 THEN TIMESTAMP '2001-08-01' - to_minutes(entity_id % 1500) END AS attempted_at, entity_id % 6 = 0 AS declared FROM entities),
 seen AS (SELECT * FROM st WHERE search_key = 's7' AND entity_id % 4 <> 0),
 cd AS (SELECT entity_id, title || '!' AS title, (['rent', 'sale', NULL, 'daily_rent', 'unknown'])[entity_id % 5 + 1] AS cdeal, kind, rooms, CASE WHEN entity_id % 3 <> 0 THEN sqm + 1 END AS csqm, CASE WHEN entity_id % 11 <> 0 THEN CASE WHEN entity_id % 5 = 0 THEN price * 0.5 ELSE price END END AS cprice,
@@ -116,7 +116,7 @@ def _(s, d):
 
 @query("upsert_prices", "SELECT entity_id, on_date, CASE WHEN entity_id % 3 = 0 THEN 7.0 ELSE price END AS price FROM history UNION ALL SELECT DISTINCT entity_id, DATE '2030-01-01', 7.0 FROM history WHERE entity_id % 3 = 0")
 def _(s, d):
-    h = market(s, d).history
+    h = market(s, d).reports
     third = h.where("entity_id % 3 = 0")
     again = third.withColumn("price", F.lit(7.0)).unionByName(third.select("entity_id", F.lit(date(2030, 1, 1)).alias("on_date"), F.lit(7.0).alias("price"), "currency", "source").distinct())
     return state.upsert_prices(h, again).select("entity_id", "on_date", "price")
@@ -180,7 +180,7 @@ def _(s, d):
 
 def prices(s: SparkSession, d: str) -> DataFrame:
     """Reported prices, and those of every third item as markers of a search."""
-    return market(s, d).history.withColumn("source", F.when(F.col("entity_id") % 3 == 0, state.SEARCH_SOURCE).otherwise(F.col("source")))
+    return market(s, d).reports.withColumn("source", F.when(F.col("entity_id") % 3 == 0, state.SEARCH_SOURCE).otherwise(F.col("source")))
 
 
 @query("enrichment_queue", f"""SELECT entity_id, unpinned, missing_sqm, never_detailed, stale, price_changed, pool_total FROM (SELECT *, count(*) OVER () AS pool_total FROM (
@@ -487,7 +487,7 @@ def _(s, d):
 
 @query("price_currencies", "SELECT CASE entity_id % 12 WHEN 0 THEN 'EUR' WHEN 6 THEN 'unknown' ELSE 'BAM' END AS currency, count(*) AS n FROM history GROUP BY 1")
 def _(s, d):
-    return market(s, d).history.groupBy("currency").agg(F.count(F.lit(1)).alias("n"))
+    return market(s, d).reports.groupBy("currency").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("versioned_publish", "SELECT 2 AS version, count(*) AS n FROM customer", adapter=False)

@@ -6,7 +6,8 @@ ENTITIES = """
 entities AS (
   SELECT i AS entity_id, 'item ' || i AS title, 'https://olx.ba/artikal/' || i AS url, deal, kind, area_key, rooms, sqm, price,
          CASE WHEN rr BETWEEN 1 AND 15000 THEN rr END AS rate, latitude, longitude, seller, floor_num, views, favorites, flat_furnished, flat_heating, flat_garage, flat_bathrooms, currency, elevator, parking, condition, year_built, ch,
-         price_state, first_seen, closed_at, CASE WHEN closed_at IS NOT NULL THEN price END AS closing_price, details_on, source_status, search_key
+         price_state, first_seen, closed_at, CASE WHEN closed_at IS NOT NULL THEN price END AS closing_price, details_on, details_on::TIMESTAMP + INTERVAL 12 HOUR AS details_at, CASE WHEN i % 5 = 0 THEN TIMESTAMP '2001-08-01' - to_minutes(i % 1500) END AS attempted_at,
+         CASE WHEN closed_at IS NOT NULL THEN closed_at - 1 ELSE first_seen + (i % 300)::INTEGER END AS last_seen, source_status, search_key
   FROM (SELECT *, CASE WHEN deal = 'sale' AND sqm >= 5 THEN round(CAST(price / sqm AS DECIMAL(20,6)), 0)::DOUBLE END AS rr FROM (
     SELECT o_orderkey AS i, lower(c_mktsegment) AS kind, o_totalprice AS price, o_orderdate::DATE AS first_seen,
       CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'rent' WHEN o_orderpriority = '5-LOW' THEN 'daily_rent' ELSE 'sale' END AS deal,
@@ -53,11 +54,11 @@ runs AS (
   SELECT event_id AS run_id, 'u' || user_id AS search_key, ts - to_days((8218 + CASE WHEN event_id % 1000 = 0 THEN 300 ELSE 0 END)::INTEGER) AS started_at,
     CASE WHEN event_type <> 'signup' THEN date_trunc('second', ts - to_days((8218 + CASE WHEN event_id % 1000 = 0 THEN 300 ELSE 0 END)::INTEGER)) + to_seconds((30 + event_id % 600)::INTEGER) END AS finished_at,
     CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'running' ELSE 'ok' END AS status,
-    event_type <> 'error' AND event_id % 10 <> 0 AS is_complete, floor(value)::INTEGER AS cards,
+    event_type <> 'error' AND event_id % 10 <> 0 AS is_complete, floor(value)::INTEGER AS cards, (1 + event_id % 30)::INTEGER AS pages,
     CASE WHEN event_type = 'error' THEN 'HTTP ' || (500 + event_id % 4) || ' after ' || props END AS error
   FROM events),
 searches AS (
-  SELECT search_key, 'search ' || search_key AS name, CASE WHEN substr(search_key, 2)::BIGINT % 10 = 0 THEN TIMESTAMP '2001-07-17 00:00:00' END AS retired_at
+  SELECT search_key, 'search ' || search_key AS name, 'https://olx.ba/pretraga?s=' || search_key AS url, CASE WHEN substr(search_key, 2)::BIGINT % 10 = 0 THEN TIMESTAMP '2001-07-17 00:00:00' END AS retired_at
   FROM (SELECT DISTINCT search_key FROM runs))
 """
 

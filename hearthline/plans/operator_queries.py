@@ -182,18 +182,18 @@ def _(s, d):
 
 @query("price_changes", "SELECT entity_id, on_date, price, lag(price) OVER (PARTITION BY entity_id ORDER BY on_date) AS was FROM history")
 def _(s, d):
-    return H.price_changes(market(s, d).history).select("entity_id", "on_date", "price", "was")
+    return H.price_changes(market(s, d).reports).select("entity_id", "on_date", "price", "was")
 
 
 @query("price_spans", "SELECT entity_id, on_date, price, lead(on_date) OVER (PARTITION BY entity_id ORDER BY on_date) AS next_date FROM history")
 def _(s, d):
-    return H.price_spans(market(s, d).history).select("entity_id", "on_date", "price", "next_date")
+    return H.price_spans(market(s, d).reports).select("entity_id", "on_date", "price", "next_date")
 
 
 @query("peak_and_cuts", "SELECT e.entity_id, max(h.price) AS peak, CASE WHEN count(h.price) > 0 THEN count(*) FILTER (WHERE h.price < was) END AS cuts FROM entities e LEFT JOIN (SELECT *, lag(price) OVER (PARTITION BY entity_id ORDER BY on_date) AS was FROM history) h USING (entity_id) GROUP BY 1")
 def _(s, d):
     m = market(s, d)
-    return H.mark_peak(m.entities, m.history).select("entity_id", "peak", "cuts")
+    return H.mark_peak(m.entities, m.reports).select("entity_id", "peak", "cuts")
 
 
 for how in ("inner", "left"):
@@ -201,12 +201,12 @@ for how in ("inner", "left"):
     @query(f"opening_ask_{how}", f"SELECT g.entity_id, g.occurred_on, o.opening_price FROM gone g {'JOIN' if how == 'inner' else 'LEFT JOIN'} opening o ON g.entity_id = o.entity_id AND g.occurred_on = o.occurred_on AND g.opened_on = o.opened_on", f"{allx()}, {OPENING}")
     def _(s, d, how=how):
         b = board(s, d)
-        return H.opening_ask(b.exits(), b.facts.history, how).select("entity_id", "occurred_on", "opening_price")
+        return H.opening_ask(b.exits(), b.facts.reports, how).select("entity_id", "occurred_on", "opening_price")
 
 
 @query("last_before_window", f"SELECT entity_id, arg_max(price, on_date) AS price, max(on_date) AS on_date FROM history WHERE price > 0 AND on_date < {FROM} GROUP BY 1")
 def _(s, d):
-    return H.last_before(market(s, d).history, WINDOW.start)
+    return H.last_before(market(s, d).reports, WINDOW.start)
 
 
 @query("next_close", "SELECT entity_id, o AS opened_on, (SELECT min(occurred_on) FROM lifecycle l WHERE l.entity_id = x.entity_id AND event = 'closed' AND occurred_on > o) AS closed_on FROM (SELECT entity_id, first_seen AS o FROM entities UNION ALL SELECT entity_id, occurred_on FROM lifecycle WHERE event = 'reopened') x")
@@ -218,7 +218,7 @@ def _(s, d):
 
 @query("spans_to_days", f"SELECT day, count(*) AS n FROM (SELECT unnest(generate_series(greatest(on_date, {FROM})::TIMESTAMP, least(coalesce(nxt - 1, {TO}), {TO})::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM (SELECT *, lead(on_date) OVER (PARTITION BY entity_id ORDER BY on_date) AS nxt FROM history)) GROUP BY 1")
 def _(s, d):
-    days = H.spans_to_days(H.price_spans(market(s, d).history), WINDOW.start, WINDOW.end)
+    days = H.spans_to_days(H.price_spans(market(s, d).reports), WINDOW.start, WINDOW.end)
     return days.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -228,20 +228,20 @@ def _(s, d):
 def _(s, d):
     m = market(s, d)
     opened = m.entities.select("entity_id", F.col("first_seen").alias("opened_on")).unionByName(m.lifecycle.where("event = 'reopened'").select("entity_id", F.col("occurred_on").alias("opened_on")))
-    days = H.days_in_cycle(H.price_spans(m.history.select("entity_id", "on_date", "price")), H.next_close(opened, m.lifecycle.where("event = 'closed'")), WINDOW.start, WINDOW.end)
+    days = H.days_in_cycle(H.price_spans(m.reports.select("entity_id", "on_date", "price")), H.next_close(opened, m.lifecycle.where("event = 'closed'")), WINDOW.start, WINDOW.end)
     return days.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("price").cast("decimal(20,2)")).cast("double").alias("price"))
 
 
 @query("without_history", "SELECT entity_id FROM entities ANTI JOIN history USING (entity_id)")
 def _(s, d):
     m = market(s, d)
-    return H.without_history(m.entities.select("entity_id"), m.history)
+    return H.without_history(m.entities.select("entity_id"), m.reports)
 
 
 @query("has_marker", "SELECT entity_id, coalesce((SELECT max(on_date) FROM history h WHERE h.entity_id = e.entity_id) > details_on, false) AS has_marker FROM entities e")
 def _(s, d):
     m = market(s, d)
-    return H.has_marker(m.entities.select("entity_id", "details_on"), m.history, "details_on").select("entity_id", "has_marker")
+    return H.has_marker(m.entities.select("entity_id", "details_on"), m.reports, "details_on").select("entity_id", "has_marker")
 
 
 @query("first_per_key", "SELECT area_key, arg_min(entity_id, (first_seen, entity_id)) AS entity_id FROM entities WHERE area_key IS NOT NULL GROUP BY 1")

@@ -33,5 +33,7 @@ def groups_to_json(groups: dict[str, DataFrame]) -> DataFrame:
 
 
 def collect_rows(df: DataFrame, most: int = 1000) -> DataFrame:
-    """One JSON array of a small result: a report's rows, at most `most`."""
-    return df.limit(most).agg(F.to_json(F.collect_list(F.struct("*"))).alias("rows"))
+    """One JSON array of a small result: a report's rows. More than `most` are an error, never a part of them."""
+    rows = df.limit(most + 1).agg(F.collect_list(F.struct("*")).alias("rows"))
+    text = F.lit(f"a report of more than {most} rows")
+    return rows.select(F.when(F.size("rows") > most, F.raise_error(text)).otherwise(F.to_json("rows")).alias("rows"))

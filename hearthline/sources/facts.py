@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
+from . import archive
 
 MOVED_DAYS = 8218
 REPORTED, MARKER = "reported", "search"
@@ -25,6 +26,11 @@ class Facts:
     runs: DataFrame
     searches: DataFrame
 
+    @property
+    def reports(self) -> DataFrame:
+        """Prices that the items' own histories report. Boards read these; markers of searches are for the queue of details."""
+        return self.history.where(F.col("source") == REPORTED)
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,15 +98,21 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         closed.alias("closed_at"),
         F.when(closed.isNotNull(), price).alias("closing_price"),
         F.when(i % 3 != 0, F.date_add(first, (i % 40).cast("int"))).alias("details_on"),
+        F.when(i % 3 != 0, (F.date_add(first, (i % 40).cast("int")).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12)))).alias("details_at"),
+        F.when(i % 5 == 0, F.lit("2001-08-01 00:00:00").cast("timestamp_ntz") - F.make_dt_interval(mins=(i % 1500).cast("int"))).alias("attempted_at"),
+        F.when(closed.isNotNull(), F.date_sub(closed, 1)).otherwise(F.date_add(first, (i % 300).cast("int"))).alias("last_seen"),
         F.when(i % 8 != 0, words(2, "active", "finished")).alias("source_status"),
         F.concat(F.lit("s"), (F.col("o_custkey") % 50).cast("string")).alias("search_key"),
     )
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reported price per entity and day, with its currency."""
+    """One reported price per entity and day, with its currency; of a third of the items also markers of a search, on days
+    that have a report and dearer than it."""
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity_id"), F.to_date("l_shipdate").alias("on_date"), "l_extendedprice")
-    return lines.groupBy("entity_id", "on_date").agg(F.max("l_extendedprice").alias("price")).withColumns({"currency": currency(F.col("entity_id")), "source": F.lit(REPORTED)})
+    reports = lines.groupBy("entity_id", "on_date").agg(F.max("l_extendedprice").alias("price")).withColumns({"currency": currency(F.col("entity_id")), "source": F.lit(REPORTED)})
+    marked = reports.where((F.col("entity_id") % 3 == 0) & (F.dayofmonth("on_date") % 2 == 0))
+    return reports.unionByName(marked.withColumns({"price": F.col("price") * 1.25, "source": F.lit(MARKER)}))
 
 
 def lifecycle(entities: DataFrame) -> DataFrame:
@@ -130,6 +142,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(failed, "error").when(F.col("event_type") == "signup", "running").otherwise("ok").alias("status"),
         (~failed & (F.col("event_id") % 10 != 0)).alias("is_complete"),
         F.floor("value").cast("int").alias("cards"),
+        (1 + F.col("event_id") % 30).cast("int").alias("pages"),
         F.when(failed, F.concat(F.lit("HTTP "), (500 + F.col("event_id") % 4).cast("string"), F.lit(" after "), F.col("props"))).alias("error"),
     )
 
@@ -137,9 +150,30 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def searches(runs: DataFrame) -> DataFrame:
     n = F.substring("search_key", 2, 20).cast("long")
     keys = runs.select("search_key").distinct()
-    return keys.select("search_key", F.concat(F.lit("search "), "search_key").alias("name"), F.when(n % 10 == 0, F.lit("2001-07-17 00:00:00").cast("timestamp_ntz")).alias("retired_at"))
+    url = F.concat(F.lit("https://olx.ba/pretraga?s="), "search_key")
+    return keys.select("search_key", F.concat(F.lit("search "), "search_key").alias("name"), url.alias("url"), F.when(n % 10 == 0, F.lit("2001-07-17 00:00:00").cast("timestamp_ntz")).alias("retired_at"))
 
 
 def market(spark: SparkSession, sf_dir: str) -> Facts:
     items, logged = entities(spark, sf_dir), runs(spark, sf_dir)
     return Facts(items, history(spark, sf_dir), lifecycle(items), logged, searches(logged))
+
+
+#: What boards may ask of an item, an event, a run and a search; a store that lacks a column has nulls there.
+ENTITY = "entity_id bigint, title string, url string, deal string, kind string, area_key string, rooms string, sqm double, price double, rate double, latitude double, longitude double, seller string, floor_num int, currency string, elevator boolean, parking boolean, condition string, year_built int, extra map<string,string>, characteristics map<string,string>, first_seen date, last_seen date, published_on date, closed_at date, closing_price double, details_at timestamp_ntz, attempted_at timestamp_ntz, source_status string, search_keys array<string>"
+EVENT = "entity_id bigint, event string, occurred_on date, opened_on date, title string, url string, deal string, kind string, area_key string, rooms string, sqm double, price double, latitude double, longitude double"
+RUN = "run_id bigint, search_key string, started_at timestamp_ntz, finished_at timestamp_ntz, status string, is_complete boolean, pages int, cards int, error string"
+SEARCH = "search_key string, name string, url string, retired_at timestamp_ntz"
+
+
+def shaped(df: DataFrame, schema: str) -> DataFrame:
+    """The schema's columns of df, with nulls for those it lacks."""
+    wanted = df.sparkSession.createDataFrame([], schema).schema
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
+
+
+def published(spark: SparkSession, folder: str, runs: DataFrame, searches: DataFrame) -> Facts:
+    """The tables of a store of snapshots as facts, as of its newest commit; runs and searches are the collector's own."""
+    items = shaped(archive.read_latest(spark, folder, "state"), ENTITY).withColumn("details_on", F.to_date("details_at"))
+    prices = archive.read_prices(spark, folder)
+    return Facts(items, prices, shaped(archive.read_deltas(spark, folder, "lifecycle"), EVENT), shaped(runs, RUN), shaped(searches, SEARCH))

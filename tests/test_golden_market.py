@@ -39,8 +39,9 @@ def board(spark):
     h = spark.createDataFrame([(1, day(-6), 120000.0), (1, day(-4), 110000.0), (1, day(-2), 100000.0), (4, day(-30), 160000.0), (4, day(-8), 150000.0), (4, day(-7), 140000.0), (4, day(-5), 130000.0)], "entity_id long, on_date date, price double").withColumn("source", F.lit("reported"))
     ago = lambda **k: NOW - timedelta(**k)
     r = spark.createDataFrame([(1, "a", ago(days=100), ago(days=100), "ok", True, 4, None), (2, "a", ago(hours=1), ago(hours=1), "ok", True, 4, None), (3, "b", ago(minutes=30), ago(minutes=29), "error", False, 0, "HTTP 503")], "run_id long, search_key string, started_at timestamp_ntz, finished_at timestamp_ntz, status string, is_complete boolean, cards int, error string")
-    s = spark.createDataFrame([("a", "A", None), ("b", "B", None)], "search_key string, name string, retired_at timestamp_ntz")
-    return Board(Facts(e, h, ev.join(e.select("entity_id", *kept), "entity_id"), r, s), Window(day(-90), D0), D0, NOW)
+    s = spark.createDataFrame([("a", "A", "ua", None), ("b", "B", "ub", None)], "search_key string, name string, url string, retired_at timestamp_ntz")
+    r = r.withColumn("pages", F.lit(2))
+    return Board(Facts(e.withColumns({"last_seen": F.coalesce("closed_at", F.lit(D0)), "details_at": F.lit(None).cast("timestamp_ntz"), "attempted_at": F.when(F.col("entity_id") == 1, F.lit(NOW)).cast("timestamp_ntz")}), h, ev.join(e.select("entity_id", *kept), "entity_id"), r, s), Window(day(-90), D0), D0, NOW)
 
 
 def days(b, n):
@@ -138,6 +139,35 @@ def test_health(board):
     assert one(b, "health_1")["searches"] == 2
 
 
+def test_health_of_items(board):
+    """Details are due of items that were not tried in twelve hours; last_seen, not first_seen, tells what is recent."""
+    assert one(board, "health_25")["backlog"] == 5  # six are open, one was tried just now
+    odd = board.facts.entities.withColumns({"extra": F.when(F.col("entity_id").isin(4, 5), F.create_map(F.lit("latest_price_state"), F.lit("invalid"))).otherwise(F.col("extra")), "last_seen": F.when(F.col("entity_id") == 5, F.lit(day(-5))).otherwise(F.col("last_seen"))})
+    b = days(replace(board, facts=replace(board.facts, entities=odd)), 3)
+    assert one(b, "health_26")["invalid_latest"] == 1
+    assert {(r.we_say, r.listings) for r in GROUPS["health_18"](b).collect()} == {("open", 6)}
+    assert {r.url for r in GROUPS["health_28"](b).collect()} == {"ua", "ub"} and {r.pages for r in GROUPS["health_12"](b).collect()} == {2}
+
+
+def test_markers_of_searches_are_no_reports(board):
+    """Markers on the days of reports, dearer and cheaper, change no group that reads prices."""
+    h = board.facts.history
+    both = h.unionByName(h.withColumns({"price": F.col("price") * 3, "source": F.lit("search")})).unionByName(h.withColumns({"on_date": F.date_add("on_date", 1), "price": F.col("price") / 3, "source": F.lit("search")}))
+    marked = replace(board, facts=replace(board.facts, history=both))
+    for group in ("buyer_10", "buyer_31", "buyer_33", "buyer_41", "buyer_51", "buyer_52", "daily_10", "daily_31", "daily_41", "exits_15", "exits_18", "exits_9", "overview_3", "overview_7", "overview_17", "pro_1", "pro_11", "pro_20", "pro_21", "pro_40", "renter_52"):
+        key = lambda rows: sorted(map(str, rows.collect()))
+        assert key(GROUPS[group](marked)) == key(GROUPS[group](board)), group
+
+
+def test_subject_of_the_filter(board):
+    """Where nothing is linked, the filter tells the kind of offer and one chosen category the type."""
+    typed = replace(board, subject=Manual(sqm=50.0, rooms="2"))
+    assert one(chosen(typed, deal="rent"), "pro_60")["fair_price"] == 600 and one(typed, "pro_60")["fair_price"] > 10_000
+    assert one(chosen(typed, category=("apartments",)), "buyer_1")["comps"] == one(typed, "buyer_1")["comps"] > 0
+    assert one(chosen(typed, category=("houses",)), "buyer_1")["comps"] == 0
+    assert one(chosen(typed, category=("houses", "apartments")), "buyer_1")["comps"] > 0
+
+
 def test_every_group_on_full_and_empty_market(board):
     f = board.facts
     empty = replace(board, facts=Facts(*(x.where("false") for x in (f.entities, f.history, f.lifecycle, f.runs, f.searches))))

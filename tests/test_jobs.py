@@ -5,11 +5,13 @@ import random
 import time
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from hearthline.operators import geo
-from hearthline.plans import alerts, state
-from hearthline.sources import archive, export
+from hearthline.operators.filters import Window
+from hearthline.plans import alerts, boards, state
+from hearthline.sources import archive, export, facts
 from hearthline.streaming import streams
 
 STATE = "entity_id long, title string, url string, deal string, kind string, area_key string, rooms string, sqm double, price double, rate double, seller string, first_seen date, last_seen date, closed_at date, closing_price double, search_keys array<string>"
@@ -282,6 +284,32 @@ def test_files_of_waiting_snapshots_are_read_twice_at_most(spark, tmp_path):
     assert set(by_id(archive.read_latest(spark, str(tmp_path / "store"), "state"))) == set(range(1, 13))
 
 
+def test_boards_over_a_streamed_store(spark, tmp_path):
+    """Snapshots in, a board's figures out: the published tables serve as facts."""
+    landing, store = str(tmp_path / "landing"), str(tmp_path / "store")
+    snap = lambda n, day, *rows: spark.createDataFrame([(n, "a", day, *r) for r in rows], "snapshot_id long, search_key string, day date, " + CARD).coalesce(1).write.mode("append").parquet(landing)
+    empty = spark.createDataFrame([], facts.ENTITY)
+    for n, day, rows in ((1, D1, [card(1), card(2), card(3, 60000.0)]), (2, D2, [card(1, 90000.0), card(3, 60000.0)]), (3, D3, [card(1, 90000.0), card(3, 60000.0), card(4, 600.0, "rent")])):
+        snap(n, day, *rows)
+        streams.stream_snapshots(spark, landing, store, str(tmp_path / "cp"), empty, buckets=4).awaitTermination()
+    runs = spark.createDataFrame([(n, "a", datetime(2023, 1, n), datetime(2024, 1, n), "ok", True, 3) for n in (1, 2, 3)], "run_id long, search_key string, started_at timestamp_ntz, finished_at timestamp_ntz, status string, is_complete boolean, cards int")
+    f = facts.published(spark, store, runs, spark.createDataFrame([("a", "A")], "search_key string, name string"))
+    board = boards.Board(f, Window(D1 - timedelta(30), D3), D3, datetime(2024, 1, 3, 12))
+    one = lambda name: boards.GROUPS[name](board).first()
+    assert (one("overview_1").active, one("overview_1").median_sale_ppm2, one("overview_1").median_rent) == (3, 1500, 600)
+    assert (one("exits_1").exits, one("exits_1").median_days_on_market) == (1, 1)
+    assert one("overview_3").drops == 0 and f.history.count() == 5  # five markers, and no report: details were never read
+    assert one("health_25").backlog == 3
+    for name, group in boards.GROUPS.items():
+        assert group(board).columns, name
+
+
+def test_reports_are_never_cut(spark):
+    assert export.collect_rows(spark.range(1000)).count() == 1
+    with pytest.raises(Exception, match="more than 1000 rows"):
+        export.collect_rows(spark.range(1001)).collect()
+
+
 def test_live_alerts_fire_in_silence(spark, tmp_path):
     """One failing row and then nothing: the hold ends by the clock. A good row within the hold takes the alert away."""
     s = streams.live_session(spark)
