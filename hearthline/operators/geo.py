@@ -3,18 +3,20 @@
 Polygons become a table of grid cells: of every cell the polygons that meet it, each with the edges in the cell and with
 whether it holds the cell's south-east corner. A pin is looked up by its cell and counts crossings on the way to that
 corner: east to the cell's border, then south along it. So a pin meets the edges of its own cell only, inner cells need
-none, and items are neither multiplied nor grouped. Spark sends the cell table around where it is small enough and
-deals both sides by cell where it is not. No Python and no geometry library.
+none, and items are neither multiplied nor grouped. The same row of a cell holds the edges that can be nearest to a pin of
+it: those whose distance from the cell's middle does not rule them out, first for the cell and then for each of its parts,
+so a pin compares a few edges however many lie round it. One lookup by cell answers both. Spark sends the cell table around
+where it is small enough and deals both sides by cell where it is not. No Python and no geometry library.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Degrees of a cell, for holding and for being near. Cells begin at an odd offset, so that no round coordinate lies on
-#: their borders.
-CELL, NEAR_CELL, OFFSET = 0.01, 0.05, 0.0012345678901
+#: Degrees of a cell, and into how many parts each way it falls for nearness. Cells begin at an odd offset, so that no round
+#: coordinate lies on their borders.
+CELL, PARTS, OFFSET = 0.01, 4, 0.0012345678901
 METRES = 111_320.0
 RING = "array<array<struct<x:double,y:double>>>"
 EDGE = ("x0", "y0", "x1", "y1")
@@ -98,47 +100,70 @@ def holds(h: Column, px: Column, py: Column, cx: Column, cy: Column) -> Column:
     return (n % 2 == 1) | F.exists(h["edges"], on_edge)
 
 
-def placed(pins: DataFrame, size: float, cx: str = "cx", cy: str = "cy") -> DataFrame:
+def placed(pins: DataFrame) -> DataFrame:
     """pins with their cell. Rows without a pin get cells of their own that no area meets, dealt evenly."""
     nowhere = -1_000_000 - F.pmod(F.xxhash64("entity_id"), F.lit(1000)).cast("int")
     known = F.col("longitude").isNotNull() & F.col("latitude").isNotNull()
-    return pins.withColumns({cx: F.when(known, cell(F.col("longitude"), size)).otherwise(nowhere), cy: F.when(known, cell(F.col("latitude"), size)).otherwise(0)})
+    return pins.withColumns({"cx": F.when(known, cell(F.col("longitude"))).otherwise(nowhere), "cy": F.when(known, cell(F.col("latitude"))).otherwise(0)})
 
 
 def covering(pins: DataFrame, areas: DataFrame) -> DataFrame:
     """(entity_id, name) for every area that covers a pin, boundary included, holes counted."""
-    p = placed(pins.select("entity_id", "longitude", "latitude"), CELL)
-    met = p.join(holding_cells(areas), ["cx", "cy"])
+    met = placed(pins.select("entity_id", "longitude", "latitude")).join(holding_cells(areas), ["cx", "cy"])
     found = F.filter("holders", lambda h: holds(h, F.col("longitude"), F.col("latitude"), F.col("cx"), F.col("cy")))
     return met.select("entity_id", F.explode(F.array_distinct(F.transform(found, lambda h: h["name"]))).alias("name"))
 
 
-def near_cells(areas: DataFrame, radius: float) -> DataFrame:
-    """(cx, cy, near: array of edges with their names): the edges that a pin of each cell can have within the radius."""
-    reach = radius / METRES * 1.6
-    spread = lambda a: span(cell(lower(a) - reach, NEAR_CELL), cell(upper(a) + reach, NEAR_CELL))
-    return edges(areas).withColumn("cx", spread("x")).withColumn("cy", spread("y")).groupBy("cx", "cy").agg(F.collect_list(F.struct("name", *EDGE)).alias("near"))
+def metres_to(e, px: Column, py: Column) -> Column:
+    """From a pin to an edge, on a plane round the pin (under 1 % off at 5 km)."""
+    k = F.cos(F.radians(py))
+    dx, dy, ex, ey = (e["x1"] - e["x0"]) * k, e["y1"] - e["y0"], (px - e["x0"]) * k, py - e["y0"]
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce((ex * dx + ey * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
+    return METRES * F.sqrt(F.pow(ex - t * dx, 2) + F.pow(ey - t * dy, 2))
 
 
-def closest(px: Column, py: Column, radius: float) -> Column:
-    """struct(metres, name) of the nearest edge in `near` within the radius, on a plane round the pin (under 1 % off at
-    5 km), to the millimetre; ties go to the lower name."""
-    k = F.cos(F.radians(py))
+def part_of(px: Column, py: Column, cx: Column, cy: Column) -> Column:
+    """The part of its cell that a pin lies in."""
+    nth = lambda at, n: F.least(F.lit(PARTS - 1), F.greatest(F.lit(0), F.floor((at - border(n)) / (CELL / PARTS)))).cast("int")
+    return nth(py, cy) * PARTS + nth(px, cx)
+
 
-    def far(e: Column) -> Column:
-        dx, dy, ex, ey = (e["x1"] - e["x0"]) * k, e["y1"] - e["y0"], (px - e["x0"]) * k, py - e["y0"]
-        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce((ex * dx + ey * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
-        return F.round(METRES * F.sqrt(F.pow(ex - t * dx, 2) + F.pow(ey - t * dy, 2)), 3)
+def possible(rows: DataFrame, key: list[str], x: Column, y: Column, size: float, radius: float) -> DataFrame:
+    """rows (key and edge) without the edges that cannot be nearest, or not within the radius, for any pin of the square of
+    `size` degrees round (x, y). A pin is at most half a diagonal from the middle; five metres more are for the plane's turning."""
+    half, slack = 0.5 * size * METRES * 2**0.5, 5.0
+    far = rows.withColumn("_d", metres_to({c: F.col(c) for c in EDGE}, x, y))
+    least = F.min("_d").over(Window.partitionBy(*key))
+    return far.withColumn("_least", least).where((F.col("_d") <= radius + half + slack) & (F.col("_d") <= F.col("_least") + 2 * half + slack)).drop("_d", "_least")
 
-    every = F.transform("near", lambda e: F.struct(far(e).alias("metres"), e["name"].alias("name")))
+
+def near_cells(areas: DataFrame, radius: float) -> DataFrame:
+    """(cx, cy, near: map of a cell's parts to edges with their names): the edges that can be nearest to a pin there."""
+    reach = radius / METRES * 1.6
+    spread = lambda a: span(cell(lower(a) - reach), cell(upper(a) + reach))
+    rows = edges(areas).select("name", *EDGE).withColumn("cx", spread("x")).withColumn("cy", spread("y"))
+    middle = lambda n, at=F.lit(PARTS / 2): border(F.col(n)) + at * (CELL / PARTS)
+    rows = possible(rows, ["cx", "cy"], middle("cx"), middle("cy"), CELL, radius).withColumn("part", span(F.lit(0), F.lit(PARTS * PARTS - 1)))
+    rows = possible(rows, ["cx", "cy", "part"], middle("cx", F.col("part") % PARTS + 0.5), middle("cy", F.floor(F.col("part") / PARTS) + 0.5), CELL / PARTS, radius)
+    lists = rows.groupBy("cx", "cy", "part").agg(F.collect_list(F.struct("name", *EDGE)).alias("edges"))
+    return lists.groupBy("cx", "cy").agg(F.map_from_entries(F.collect_list(F.struct("part", "edges"))).alias("near"))
+
+
+def closest(near: Column, px: Column, py: Column, radius: float) -> Column:
+    """struct(metres, name) of the nearest of the edges within the radius, to the millimetre; ties go to the lower name."""
+    every = F.transform(near, lambda e: F.struct(F.round(metres_to(e, px, py), 3).alias("metres"), e["name"].alias("name")))
     return F.array_min(F.filter(every, lambda x: x["metres"] <= radius))
 
 
+def near_pin(radius: float) -> Column:
+    x, y = F.col("longitude"), F.col("latitude")
+    return closest(F.try_element_at("near", part_of(x, y, F.col("cx"), F.col("cy"))), x, y, radius)
+
+
 def nearest(pins: DataFrame, areas: DataFrame, radius: float = 5000.0) -> DataFrame:
     """(entity_id, name, metres): the nearest boundary within the radius."""
-    p = placed(pins.select("entity_id", "longitude", "latitude"), NEAR_CELL)
-    met = p.join(near_cells(areas, radius), ["cx", "cy"]).select("entity_id", closest(F.col("longitude"), F.col("latitude"), radius).alias("b"))
-    return met.where("b is not null").select("entity_id", "b.name", "b.metres")
+    met = placed(pins.select("entity_id", "longitude", "latitude")).join(near_cells(areas, radius), ["cx", "cy"])
+    return met.select("entity_id", near_pin(radius).alias("b")).where("b is not null").select("entity_id", "b.name", "b.metres")
 
 
 #: Fixed letters that older spellings of names lack.
@@ -156,16 +181,13 @@ def assign_area(items: DataFrame, areas: DataFrame, radius: float = 5000.0) -> D
     the first covering area by name, the nearest boundary within the radius, or the old key; `how` says which. Only
     items that have no area by then are looked up by nearness."""
     named = items.withColumn("_spelled", F.nullif(F.trim("source_area"), F.lit(""))).join(names_of(areas), "_spelled", "left").drop("_spelled")
-    met = placed(named, CELL, "_cx", "_cy").join(holding_cells(areas).select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "holders"), ["_cx", "_cy"], "left")
-    covers = F.filter("holders", lambda h: holds(h, F.col("longitude"), F.col("latitude"), F.col("_cx"), F.col("_cy")))
-    inside = F.when(F.col("_named").isNull(), F.array_min(F.transform(covers, lambda h: h["name"])))
-    left = met.withColumn("_inside", inside).drop("holders", "_cx", "_cy")
-    lost = F.coalesce("_named", "_inside").isNull()
-    near = placed(left, NEAR_CELL, "_nx", "_ny").withColumn("_nx", F.when(lost, F.col("_nx")).otherwise(-2_000_000 - F.pmod(F.xxhash64("entity_id"), F.lit(1000)).cast("int")))
-    near = near.join(near_cells(areas, radius).select(F.col("cx").alias("_nx"), F.col("cy").alias("_ny"), "near"), ["_nx", "_ny"], "left")
-    near = near.withColumn("_near", F.when(lost, closest(F.col("longitude"), F.col("latitude"), radius)["name"]))
+    cover = holding_cells(areas).join(near_cells(areas, radius), ["cx", "cy"], "full")
+    met = placed(named).join(cover, ["cx", "cy"], "left")
+    covers = F.filter("holders", lambda h: holds(h, F.col("longitude"), F.col("latitude"), F.col("cx"), F.col("cy")))
+    met = met.withColumn("_inside", F.when(F.col("_named").isNull(), F.array_min(F.transform(covers, lambda h: h["name"]))))
+    met = met.withColumn("_near", F.when(F.coalesce("_named", "_inside").isNull(), near_pin(radius)["name"]))
     how = F.when(F.col("_named").isNotNull(), "name").when(F.col("_inside").isNotNull(), "inside").when(F.col("_near").isNotNull(), "near").otherwise("kept")
-    out = near.withColumns({"how": how, "area_key": F.coalesce("_named", "_inside", "_near", "area_key")})
+    out = met.withColumns({"how": how, "area_key": F.coalesce("_named", "_inside", "_near", "area_key")})
     return out.select(*items.columns, "how")
 
 

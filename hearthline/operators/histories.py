@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from .percentiles import value_range
 
 
 def by_time():
@@ -146,16 +147,60 @@ def value_spans(entities: DataFrame, history: DataFrame, lifecycle: DataFrame, s
     return rows.select("sqm", F.explode(parts).alias("x")).select(F.col("x.p").alias("price"), "sqm", "x.lo", "x.hi")
 
 
+def span_counts(spans: DataFrame, value: Column | None = None) -> DataFrame:
+    """(x, lo, hi, n): how many items hold a value from lo to hi; items without a value do not count."""
+    x = (F.col("price") if value is None else value).cast("double")
+    return spans.select(x.alias("x"), "lo", "hi").where("x is not null").groupBy("x", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+
+
+def changed_counts(kept: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Kept counts after some items changed: those of their spans as they are now are added, as they were taken away. So
+    a snapshot costs what it changes, and the history is not read again."""
+    signed = kept.unionByName(added).unionByName(removed.withColumn("n", -F.col("n")))
+    return signed.groupBy("x", "lo", "hi").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+#: The quartiles of a day.
+QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+
+
+def series_of_counts(counts: DataFrame, start: date, end: date) -> DataFrame:
+    """Quartiles and count of every day from counts (x, lo, hi, n), without a row for every item and day.
+
+    In each range of values (percentiles.value_range) the items of a day are the sum of what has come and gone until then.
+    These sums, ranges times days, tell which ranges hold a day's quartiles; only spans of such a range are laid over
+    the days that it matters for."""
+    inside = counts.select("x", F.greatest("lo", F.lit(start)).alias("lo"), F.least("hi", F.lit(end)).alias("hi"), "n").where("lo <= hi")
+    cells = inside.withColumn("b", value_range(F.col("x")))
+    move = F.explode(F.array(F.struct(F.col("lo").alias("day"), F.col("n").alias("d")), F.struct(F.date_add("hi", 1).alias("day"), (-F.col("n")).alias("d")))).alias("e")
+    moves = cells.select("b", move).groupBy("b", "e.day").agg(F.sum("e.d").alias("d"))
+    in_range = Window.partitionBy("b").orderBy("day")
+    steps = moves.select("b", "day", F.sum("d").over(in_range).alias("k"), F.date_sub(F.lead("day").over(in_range), 1).alias("upto")).where("k > 0 and day <= upto")
+    held = steps.select("b", "k", F.explode(F.sequence("day", "upto")).alias("day"))
+    below = F.sum("k").over(Window.partitionBy("day").orderBy("b")) - F.col("k")
+    held = held.select("b", "day", "k", below.alias("before"), F.sum("k").over(Window.partitionBy("day")).alias("total"))
+    place = lambda p: F.lit(p) * (F.col("total") - 1)
+    ranks = F.array_distinct(F.array(*(f(place(p)) for p in QUARTILES.values() for f in (F.floor, F.ceil))))
+    wanted = held.withColumn("rs", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("k")))).where(F.size("rs") > 0)
+    wanted = wanted.select("b", F.col("day"), "before", "total", "rs")  # as many rows as ranks of the days, at most
+    near = cells.join(F.broadcast(wanted), "b").where("day between lo and hi").groupBy("day", "b", "x", "before", "total", "rs").agg(F.sum("n").alias("n"))
+    low = F.col("before") + F.sum("n").over(Window.partitionBy("day", "b").orderBy("x")) - F.col("n")
+    hit = near.withColumn("low", low).select("day", "total", "x", F.explode(F.filter("rs", lambda r: (r >= F.col("low")) & (r < F.col("low") + F.col("n")))).alias("r"))
+    at = lambda r: F.max(F.when(F.col("r") == r, F.col("x")))
+    ends = [c for n, p in QUARTILES.items() for c in (at(F.floor(place(p))).alias(f"_lo_{n}"), at(F.ceil(place(p))).alias(f"_hi_{n}"))]
+    days = hit.groupBy("day").agg(F.max("total").alias("listings"), *ends)
+
+    def between(n: str, p: float) -> Column:
+        lo, hi, at = F.col(f"_lo_{n}"), F.col(f"_hi_{n}"), F.lit(p) * (F.col("listings") - 1)
+        return X.rounded(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi), 2).alias(n)
+
+    return days.select("day", *(between(n, p) for n, p in QUARTILES.items()), "listings")
+
+
 def daily_state_series(entities: DataFrame, history: DataFrame, lifecycle: DataFrame, start: date, end: date, value: Column | None = None) -> DataFrame:
     """Quartiles and count of the value in force on every day, rebuilt from reports and cycles; a price on a day counts
-    once per covering cycle, and a close on the day does not count.
-
-    Days are counted per value before the percentile, so only (day, value, count) is shuffled."""
-    spans = value_spans(entities, history, lifecycle, start, end).select((F.col("price") if value is None else value).alias("x"), "lo", "hi")
-    counted = spans.select("x", F.explode(F.sequence("lo", "hi")).alias("day")).groupBy("day", "x").agg(F.count(F.lit(1)).alias("n"))
-    at = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    out = counted.groupBy("day").agg(at.alias("p"), F.sum("n").alias("listings"))
-    return out.select("day", *(X.rounded(F.col("p")[k], 2).alias(n) for k, n in enumerate(("p25", "median", "p75"))), "listings")
+    once per covering cycle, and a close on the day does not count."""
+    return series_of_counts(span_counts(value_spans(entities, history, lifecycle, start, end), value), start, end)
 
 
 def dense_calendar(movements: DataFrame, start: date, end: date, sums: Sequence[str]) -> DataFrame:

@@ -20,19 +20,29 @@ def value_range(v: Column) -> Column:
     """A whole number that never falls as v rises; infinite values and NaN, which is above all, have ranges of their own."""
     plain = ~F.isnan(v) & (F.abs(v) < float("inf"))
     size = (F.floor(F.ln(F.when(plain & (v != 0), F.abs(v))) * WIDTH) + OFFSET).cast("long")
-    return F.when(v == 0, F.lit(0).cast("long")).when(plain & (v > 0), size).when(plain, -size).when(v < 0, F.lit(-BEYOND).cast("long")).otherwise(F.lit(BEYOND).cast("long"))
+    found = F.when(v == 0, F.lit(0).cast("long")).when(plain & (v > 0), size).when(plain, -size).when(v < 0, F.lit(-BEYOND).cast("long"))
+    return F.coalesce(found, F.lit(BEYOND).cast("long"))
 
 
 def value_counts(df: DataFrame, measures: Sequence[Column]) -> DataFrame:
-    """(m, v, n): how often each value of each measure (by its place) occurs; nulls do not count."""
+    """(m, v, n): how often each value of each measure (by its place) occurs; nulls do not count.
+
+    m is never null, nor is a range: a join on them adds no filter of its own below the counts, so that whatever reads the
+    counts shares their shuffle."""
     pairs = F.array(*(F.struct(F.lit(m).alias("m"), c.cast("double").alias("v")) for m, c in enumerate(measures)))
-    return df.select(F.explode(F.filter(pairs, lambda x: x["v"].isNotNull())).alias("x")).groupBy("x.m", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    each = df.select(F.explode(F.filter(pairs, lambda x: x["v"].isNotNull())).alias("x")).select(F.coalesce("x.m", F.lit(-1)).alias("m"), F.col("x.v").alias("v"))
+    return each.groupBy("m", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranges_of(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counts with their range b, how many rows each range of each measure has: m, b, k)."""
+    placed = counts.withColumn("b", value_range(F.col("v")))
+    return placed, placed.groupBy("m", "b").agg(F.sum("n").alias("k"))
 
 
 def values_at(counts: DataFrame, ranks: Callable[[Column, Column], Column]) -> DataFrame:
     """(m, total, r, v) for the ranks (from 0) that ranks(m, total) lists."""
-    placed = counts.withColumn("b", value_range(F.col("v")))
-    sizes = placed.groupBy("m", "b").agg(F.sum("n").alias("k"))
+    placed, sizes = ranges_of(counts)
     below = F.sum("k").over(Window.partitionBy("m").orderBy("b")) - F.col("k")
     sizes = sizes.select("m", "b", "k", below.alias("before"), F.sum("k").over(Window.partitionBy("m")).alias("total"))
     held = sizes.withColumn("r", F.explode(F.array_distinct(ranks(F.col("m"), F.col("total"))))).where("r >= before and r < before + k").select("m", "b", "before", "total", "r")
@@ -51,8 +61,9 @@ def whole(df: DataFrame, counts: Mapping[str, Column], values: Mapping[str, Colu
     first = len(counts)
     at = F.array(*(F.lit(None).cast("double") for _ in counts), *(F.lit(float(p)) for _, p in named.values()))
     place = lambda m, total: F.get(at, m) * (total - 1)
-    found = values_at(each.where(F.col("m") >= first), lambda m, total: F.array(F.floor(place(m, total)), F.ceil(place(m, total)))) if named else None
-    out = each.groupBy().agg(*(F.coalesce(F.sum(F.when(F.col("m") == k, F.col("n"))), F.lit(0)).alias(n) for k, n in enumerate(counts)), F.lit(1).alias("_one"))
+    ranks = lambda m, total: F.filter(F.array(F.floor(place(m, total)), F.ceil(place(m, total))), lambda r: r.isNotNull())
+    found = values_at(each, ranks) if named else None
+    out = ranges_of(each)[1].agg(*(F.coalesce(F.sum(F.when(F.col("m") == k, F.col("k"))), F.lit(0)).alias(n) for k, n in enumerate(counts)), F.lit(1).alias("_one"))
     if named:
         def ends(k: int) -> list[Column]:
             here = F.col("m") == k

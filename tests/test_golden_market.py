@@ -1,11 +1,13 @@
 """A small market with answers worked out by hand."""
 
+import random
 from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from hearthline.operators import histories as H
 from hearthline.operators.comparables import Manual
 from hearthline.operators.filters import Selection, Window
 from hearthline.plans.boards import GROUPS, Board, run_board
@@ -132,6 +134,30 @@ def test_nightly_series(board, spark):
     assert set(series) == {45, 40} and series[-1] == 40
 
 
+def test_series_from_kept_counts(spark):
+    """Three snapshots: counts changed by what each touches give the same days as the whole history."""
+    rng = random.Random(12)
+    item = "entity_id long, sqm double, price double, first_seen date"
+    reports, events, items = [], [], {}
+    kept = spark.createDataFrame([], "x double, lo date, hi date, n long")
+    facts_of = lambda ids: (spark.createDataFrame([items[i] for i in ids], item), spark.createDataFrame([r for r in reports if r[0] in ids], "entity_id long, on_date date, price double"), spark.createDataFrame([e for e in events if e[0] in ids], "entity_id long, event string, occurred_on date"))
+    counts = lambda ids: H.span_counts(H.value_spans(*facts_of(ids), day(-40), D0)) if ids else kept.where("false")
+    for n in range(3):
+        at = day(-30 + 10 * n)
+        touched = {i for i in range(40) if rng.random() < 0.5}
+        was = spark.createDataFrame(counts([i for i in touched if i in items]).collect(), kept.schema)
+        for i in touched:
+            items.setdefault(i, (i, 50.0, float(rng.randint(1, 30)), at))
+            reports.append((i, at, float(rng.randint(1, 30))))
+            if n and rng.random() < 0.3:
+                events.append((i, "closed", at))
+        kept = spark.createDataFrame(H.changed_counts(kept, counts(sorted(touched)), was).collect(), kept.schema)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = H.daily_state_series(*facts_of(sorted(items)), day(-40), D0)
+    assert rows(H.series_of_counts(kept, day(-40), D0)) == rows(whole) and whole.count() == 31
+    assert rows(H.series_of_counts(kept, day(-15), day(-3))) == rows(H.daily_state_series(*facts_of(sorted(items)), day(-15), day(-3)))
+
+
 def test_health(board):
     b = days(board, 2)
     r = one(b, "health_2")
