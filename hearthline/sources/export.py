@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import files
+
 
 def safe_cell(c: Column) -> Column:
     """Texts that start like a formula get an apostrophe."""
@@ -23,13 +27,28 @@ def export_csv(df: DataFrame, path: str) -> None:
     rows.select(F.concat(line, F.lit("\r")).alias("value")).write.text(path)
 
 
-def groups_to_json(groups: dict[str, DataFrame]) -> DataFrame:
-    """(group, row): every row of every group as JSON, distributed; nothing is gathered."""
-    out = None
-    for name, df in groups.items():
-        rows = df.select(F.lit(name).alias("group"), F.to_json(F.struct("*")).alias("row"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def groups_to_json(groups: dict[str, DataFrame], path: str) -> None:
+    """One JSON object with an array of rows for each group, written as text parts: read in the order of their names they
+    are the document. Every row is a line of its own, so nothing is gathered and any size streams out.
+
+    A group's rows are written first, with their places; the least place tells the row that no comma goes before. Rows
+    keep their order."""
+    document = None
+    for k, (name, df) in enumerate(groups.items()):
+        spark = df.sparkSession
+        line = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)  # noqa: B023, E731
+        staged = f"{path}-rows/{k}"
+        df.select(F.monotonically_increasing_id().alias("place"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).write.parquet(staged)
+        rows = spark.read.schema("place bigint, row string").parquet(staged)
+        first = rows.agg(F.min("place")).first()[0]
+        lines = rows.orderBy("place").select(F.concat(F.when(F.col("place") == F.lit(first), "").otherwise(","), "row").alias("value"))
+        part = line(("{" if k == 0 else "],") + json.dumps(name, ensure_ascii=False) + ":[").unionByName(lines)
+        document = part if document is None else document.unionByName(part)
+    if document is None:
+        raise ValueError("a document of no groups")
+    document.unionByName(line("]}")).write.text(path)
+    folder, fs = files(spark, f"{path}-rows")
+    fs.delete(folder, True)
 
 
 def collect_rows(df: DataFrame, most: int = 1000) -> DataFrame:

@@ -1,5 +1,6 @@
 """State transitions, alerts, areas, archives and streams."""
 
+import json
 import math
 import random
 import time
@@ -304,6 +305,14 @@ def test_boards_over_a_streamed_store(spark, tmp_path):
         assert group(board).columns, name
 
 
+def test_one_document_of_all_groups(spark, tmp_path):
+    groups = {"many": spark.range(500, numPartitions=7).withColumn("t", F.lit('a"ž\n')), "none": spark.range(0), 'od"d': spark.createDataFrame([(None, 1.5)], "a string, b double"), "sparse": spark.range(90, numPartitions=9).where("id >= 70")}
+    export.groups_to_json(groups, str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert json.loads(text) == {"many": [{"id": k, "t": 'a"ž\n'} for k in range(500)], "none": [], 'od"d': [{"a": None, "b": 1.5}], "sparse": [{"id": k} for k in range(70, 90)]}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+
+
 def test_reports_are_never_cut(spark):
     assert export.collect_rows(spark.range(1000)).count() == 1
     with pytest.raises(Exception, match="more than 1000 rows"):
