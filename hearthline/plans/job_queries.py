@@ -147,33 +147,40 @@ def _(s, d):
     return state.retire_searches(market(s, d).searches, ["u1", "u2", "u10"], NOW).select("search_key", "retired_at")
 
 
-@query("sweep_allowed", "SELECT search_key AS cycle, coalesce(sum(cards), 0) > 0 OR bool_and(status = 'ok' AND is_complete) AS allowed FROM runs GROUP BY 1")
+@query("sweep_allowed", """SELECT cycle, c > 0 OR (ok = (SELECT count(*) FROM searches) AND bad = 0) AS allowed FROM (SELECT cycle, coalesce(sum(cards), 0) AS c, count(DISTINCT search_key) FILTER (WHERE status = 'ok' AND is_complete) AS ok,
+   count(*) FILTER (WHERE NOT coalesce(status = 'ok' AND is_complete, false)) AS bad FROM (SELECT *, CASE WHEN cycle % 3 > 0 THEN 0 ELSE card_n END AS cards FROM (SELECT search_key, status, is_complete, cards AS card_n, run_id // 20 AS cycle FROM runs WHERE run_id // 20 % 7 <> 1 OR status = 'ok' AND is_complete)
+   UNION ALL SELECT search_key, 'ok', true, 0, -1, 0 FROM searches) GROUP BY 1)""")
 def _(s, d):
-    return state.sweep_allowed(market(s, d).runs.withColumnRenamed("search_key", "cycle"))
+    """Cycles of twenty runs, most without a card, and one in which every search ran and saw nothing."""
+    m, cycle = market(s, d), F.floor(F.col("run_id") / 20)
+    runs = m.runs.withColumn("cycle", cycle).where("cycle % 7 <> 1 or (status = 'ok' and is_complete)").withColumn("cards", F.when(F.col("cycle") % 3 > 0, 0).otherwise(F.col("cards")))
+    every = m.searches.select(F.lit(-1).cast("long").alias("cycle"), "search_key", F.lit("ok").alias("status"), F.lit(True).alias("is_complete"), F.lit(0).alias("cards"))
+    return state.sweep_allowed(runs.select(*every.columns).unionByName(every), m.searches)
 
 
-@query("enrich_merge", f"""SELECT entity_id, title, sqm, rooms, deal, price, CASE WHEN rr BETWEEN 1 AND 15000 THEN rr END AS rate, coalesce(published, DATE '1999-01-01') AS first_seen, published_on, details_at FROM (
+@query("enrich_merge", f"""SELECT entity_id, title, sqm, rooms, deal, price, CASE WHEN rr BETWEEN 1 AND 15000 THEN rr END AS rate, coalesce(published, DATE '1999-01-01') AS first_seen, published_on, details_at, CASE WHEN entity_id % 3 = 0 THEN 'EUR' ELSE 'unknown' END AS currency, CASE WHEN entity_id % 7 = 0 THEN 'invalid' ELSE 'valid' END AS latest, (entity_id % 500)::VARCHAR AS views, (entity_id % 4 + 1)::VARCHAR AS bathrooms FROM (
   SELECT *, CASE WHEN deal = 'sale' AND sqm >= 5 AND price > 0 THEN {r('price / sqm')} END AS rr FROM (
     SELECT *, CASE WHEN entity_id % 7 <> 0 THEN was + 1 WHEN deal = was_deal THEN was END AS price FROM (
       SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN 'detailed' ELSE title END AS title, coalesce(sqm, 33.0) AS sqm, coalesce(rooms, '9') AS rooms, (['sale', 'rent', 'unknown', 'daily_rent', 'unknown'])[entity_id % 5 + 1] AS deal, deal AS was_deal, price AS was, CASE WHEN entity_id % 3 <> 0 THEN first_seen END AS published,
         CASE WHEN entity_id % 3 <> 0 THEN first_seen ELSE DATE '1999-01-01' END AS published_on, {NOW_SQL} AS details_at FROM st WHERE entity_id % 4 = 0)))""", STATE_SQL)
 def _(s, d):
     st, i = state_table(s, d), F.col("entity_id")
-    details = st.where("entity_id % 4 = 0").select("entity_id", F.lit(33.0).alias("sqm"), F.when(i % 2 == 0, "detailed").alias("title"), F.lit(date(1999, 1, 1)).alias("published_on"), F.lit("9").alias("rooms"), pick(i % 5, ("sale", "rent", None, "daily_rent", "unknown")).alias("deal"), (F.col("price") + 1).alias("price"), F.when(i % 7 == 0, "invalid").otherwise("valid").alias("price_state"))
-    return state.enrich(st, details, NOW).where("entity_id % 4 = 0").select("entity_id", "title", "sqm", "rooms", "deal", "price", "rate", "first_seen", "published_on", "details_at")
+    details = st.where("entity_id % 4 = 0").select("entity_id", F.lit(33.0).alias("sqm"), F.when(i % 2 == 0, "detailed").alias("title"), F.lit(date(1999, 1, 1)).alias("published_on"), F.lit("9").alias("rooms"), pick(i % 5, ("sale", "rent", None, "daily_rent", "unknown")).alias("deal"), (F.col("price") + 1).alias("price"), F.when(i % 7 == 0, "invalid").otherwise("valid").alias("price_state"), F.when(i % 3 == 0, "EUR").alias("currency"), (i % 4 + 1).alias("bathrooms"))
+    told = lambda k: F.element_at("extra", k)
+    return state.enrich(st, details, NOW).where("entity_id % 4 = 0").select("entity_id", "title", "sqm", "rooms", "deal", "price", "rate", "first_seen", "published_on", "details_at", "currency", told("latest_price_state").alias("latest"), told("views").alias("views"), told("bathrooms").alias("bathrooms"))
 
 
-@query("merge_card_and_detail", "SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN 'detailed' ELSE title END AS title, CASE WHEN entity_id % 3 = 0 THEN 'unknown' ELSE deal END AS deal FROM entities")
+@query("merge_card_and_detail", "SELECT entity_id, CASE WHEN entity_id % 2 = 0 AND entity_id % 5 <> 0 THEN 'detailed' ELSE title END AS title, CASE WHEN entity_id % 5 = 0 THEN deal WHEN entity_id % 3 = 0 THEN 'unknown' END AS deal FROM entities")
 def _(s, d):
     e, i = market(s, d).entities, F.col("entity_id")
-    details = e.select("entity_id", F.when(i % 2 == 0, "detailed").otherwise("").alias("title"), F.when(i % 3 == 0, "unknown").alias("deal"))
+    details = e.where(i % 5 != 0).select("entity_id", F.when(i % 2 == 0, "detailed").otherwise("").alias("title"), F.when(i % 3 == 0, "unknown").alias("deal"))
     return state.merge_card_and_detail(e.select("entity_id", "title", "deal"), details)
 
 
-@query("daily_reported_prices", """SELECT entity_id, on_date, arg_max(price, (reported_at, place)) AS price FROM (
+@query("daily_reported_prices", """SELECT entity_id, on_date, arg_max(price, (reported_at, place)) AS price, arg_max(CASE WHEN entity_id % 2 = 0 THEN 'EUR' ELSE 'unknown' END, (reported_at, place)) AS currency, 'reported' AS source FROM (
    SELECT l_orderkey AS entity_id, (l_shipdate + INTERVAL 2 HOUR)::DATE AS on_date, l_extendedprice AS price, l_shipdate AS reported_at, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS place FROM lineitem WHERE l_extendedprice > 0) GROUP BY 1, 2""", adapter=False)
 def _(s, d):
-    rows = read(s, d, "lineitem").select(F.col("l_orderkey").alias("entity_id"), F.struct("l_linenumber", F.col("l_extendedprice").alias("price"), F.col("l_shipdate").cast("timestamp").alias("reported_at")).alias("r"))
+    rows = read(s, d, "lineitem").select(F.col("l_orderkey").alias("entity_id"), F.struct("l_linenumber", F.col("l_extendedprice").alias("price"), F.col("l_shipdate").cast("timestamp").alias("reported_at"), F.when(F.col("l_orderkey") % 2 == 0, " EUR ").when(F.col("l_orderkey") % 3 == 0, "").alias("currency")).alias("r"))
     details = rows.groupBy("entity_id").agg(F.array_sort(F.collect_list("r")).alias("reports"))
     return state.daily_reported_prices(details)
 
@@ -215,30 +222,42 @@ def _(s, d):
 
 
 PAGES_SQL = """
-pg AS (SELECT *, CASE WHEN http_status IN (403, 429) THEN 'blocked' WHEN http_status >= 400 THEN 'error' WHEN NOT (has_data AND total IS NOT NULL AND page = current_page) THEN 'malformed' WHEN total = 0 AND items = 0 THEN 'verified_empty' WHEN items = 0 THEN 'malformed' ELSE 'ok' END AS response_state
- FROM (SELECT event_id // 3 AS run_id, event_id % 3 + 1 AS page, CASE event_id % 41 WHEN 0 THEN 403 WHEN 1 THEN 500 ELSE 200 END AS http_status, event_id % 37 <> 0 AS has_data,
-   CASE WHEN event_id // 3 % 8 = 0 THEN 0 ELSE 30 + event_id // 3 % 2 END AS total, CASE WHEN event_id // 3 % 13 = 0 THEN 4 ELSE 3 END AS last_page, event_id % 3 + 1 AS current_page, CASE WHEN event_id // 3 % 8 = 0 THEN 0 ELSE 10 END AS items FROM events))
+raw AS (SELECT event_id // 3 AS run_id, event_id % 3 + 1 AS page, CASE event_id % 41 WHEN 0 THEN 403 WHEN 1 THEN 500 ELSE 200 END AS http_status, event_id % 37 <> 0 AS has_data,
+   CASE WHEN event_id // 3 % 8 = 0 THEN 0 ELSE 30 + CASE WHEN event_id % 53 = 0 THEN 1 ELSE 0 END END AS total, CASE WHEN event_id // 3 % 16 = 0 THEN 1 WHEN event_id // 3 % 13 = 0 THEN 4 WHEN event_id // 3 % 47 = 0 THEN 31 ELSE 3 END AS last_page, event_id % 3 + 1 AS current_page,
+   CASE WHEN event_id // 3 % 8 = 0 THEN 0 ELSE 10 END AS items, CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END AS rejected FROM events WHERE event_id // 3 % 16 <> 0 OR event_id % 3 = 0 OR event_id // 3 % 32 = 0),
+counted AS (SELECT *, CASE WHEN items = 0 OR run_id % 43 = 5 AND page = 2 THEN 0 ELSE items - rejected END AS cards, max(CASE WHEN page = 1 AND has_data AND http_status < 400 THEN total END) OVER w AS total_1, max(CASE WHEN page = 1 AND has_data AND http_status < 400 THEN last_page END) OVER w AS last_1 FROM raw WINDOW w AS (PARTITION BY run_id)),
+pg AS (SELECT *, CASE WHEN http_status IN (403, 429) THEN 'blocked' WHEN http_status >= 400 THEN 'error' WHEN NOT has_data THEN 'malformed' WHEN ok AND items = 0 AND rejected = 0 AND total = 0 AND page = 1 AND last_page = 1 THEN 'verified_empty'
+    WHEN rejected > 0 OR NOT ok OR items = 0 AND total <> 0 OR items > 0 AND cards = 0 THEN 'malformed' ELSE 'ok' END AS response_state
+  FROM (SELECT *, coalesce(total = total_1 AND last_page = last_1 AND current_page = page AND current_page <= last_page, false) AS ok FROM counted))
 """
 
 
 def pages(s: SparkSession, d: str) -> DataFrame:
+    """Runs of three pages, with all that goes wrong: refused, without data, other totals, rejected items, no cards."""
     i = F.col("event_id")
-    run = F.floor(i / 3)
-    return state.classify_pages(read(s, d, "events").select(
-        run.alias("run_id"), (i % 3 + 1).alias("page"), F.when(i % 41 == 0, 403).when(i % 41 == 1, 500).otherwise(200).alias("http_status"), (i % 37 != 0).alias("has_data"),
-        F.when(run % 8 == 0, 0).otherwise(30 + run % 2).alias("total"), F.when(run % 13 == 0, 4).otherwise(3).alias("last_page"), (i % 3 + 1).alias("current_page"), F.when(run % 8 == 0, 0).otherwise(10).alias("items"),
+    run, page = F.floor(i / 3), i % 3 + 1
+    rejected, items = F.when(i % 29 == 0, 1).otherwise(0), F.when(run % 8 == 0, 0).otherwise(10)
+    return state.classify_pages(read(s, d, "events").where((run % 16 != 0) | (i % 3 == 0) | (run % 32 == 0)).select(
+        run.alias("run_id"), page.alias("page"), F.when(i % 41 == 0, 403).when(i % 41 == 1, 500).otherwise(200).alias("http_status"), (i % 37 != 0).alias("has_data"),
+        F.when(run % 8 == 0, 0).otherwise(30 + F.when(i % 53 == 0, 1).otherwise(0)).alias("total"), F.when(run % 16 == 0, 1).when(run % 13 == 0, 4).when(run % 47 == 0, 31).otherwise(3).alias("last_page"), page.alias("current_page"), items.alias("items"),
+        rejected.alias("rejected"), F.when((items == 0) | ((run % 43 == 5) & (page == 2)), 0).otherwise(items - rejected).alias("cards"),
     ))
 
 
-@query("classify_pages", f"WITH {PAGES_SQL} SELECT response_state, count(*) AS n FROM pg GROUP BY 1", adapter=False)
+@query("classify_pages", f"WITH {PAGES_SQL} SELECT run_id, page, response_state FROM pg", adapter=False)
 def _(s, d):
-    return pages(s, d).groupBy("response_state").agg(F.count(F.lit(1)).alias("n"))
+    return pages(s, d).select("run_id", "page", "response_state")
 
 
-@query("page_verdict", f"""WITH {PAGES_SQL} SELECT run_id, CASE WHEN bool_or(response_state = 'malformed') THEN 'malformed' WHEN bool_or(response_state IN ('error', 'blocked')) THEN 'failed' WHEN max(last_page) > 30 THEN 'capped' WHEN count(*) < max(last_page) THEN 'truncated'
-   WHEN sum(items) <> max(total) THEN 'count_mismatch' ELSE 'complete' END AS verdict FROM pg GROUP BY 1""", adapter=False)
+@query("page_verdict", f"""WITH {PAGES_SQL}, cd AS (SELECT run_id, count(DISTINCT CASE WHEN run_id % 6 = 1 AND page = 3 THEN k + 100 ELSE page * 100 + k END) AS u FROM (SELECT run_id, page, unnest(range(0, cards)) AS k FROM pg) GROUP BY 1)
+   SELECT run_id, CASE WHEN m THEN 'malformed' WHEN f THEN 'failed' WHEN last > 30 THEN 'capped' WHEN empty OR n < last THEN 'truncated' WHEN coalesce(u, 0) IS DISTINCT FROM total THEN 'count_mismatch' ELSE 'complete' END AS verdict
+   FROM (SELECT run_id, bool_or(response_state = 'malformed') AS m, bool_or(response_state IN ('error', 'blocked')) AS f, min(last_page) AS last, count(*) AS n, max(CASE WHEN page = 1 THEN total END) AS total, bool_or(cards = 0 AND response_state = 'ok') AS empty FROM pg GROUP BY 1) LEFT JOIN cd USING (run_id)""", adapter=False)
 def _(s, d):
-    return state.completeness_verdict(pages(s, d))
+    """Some runs show cards of their first page again on the third."""
+    pg = pages(s, d)
+    k, page = F.col("k"), F.col("page")
+    cards = pg.where("cards > 0").select("run_id", "page", F.explode(F.sequence(F.lit(0), F.col("cards") - 1)).alias("k")).select("run_id", F.when((F.col("run_id") % 6 == 1) & (page == 3), k + 100).otherwise(page * 100 + k).alias("entity_id"))
+    return state.completeness_verdict(pg, cards)
 
 
 @query("dedupe_cards", "SELECT user_id AS run_id, k AS entity_id, min(event_id) AS place, count(*) - 1 AS repeats FROM (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events) GROUP BY 1, 2", adapter=False)

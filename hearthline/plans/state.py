@@ -12,6 +12,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..operators.histories import first_per_key, last_wins
@@ -70,7 +71,7 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, rules: dict[str, Polic
 # -- one snapshot ------------------------------------------------------------------------------------------------------
 
 #: Fixed: the attribute by which an item's details declare its kind of offer, and where markers come from.
-DECLARED_CODE, SEARCH_SOURCE = "vrsta-oglasa", "search"
+DECLARED_CODE, SEARCH_SOURCE, REPORTED = "vrsta-oglasa", "search", "reported"
 
 
 def has_valid_price(price: Column, state: Column) -> Column:
@@ -237,10 +238,14 @@ def retire_searches(searches: DataFrame, active_keys: list[str], now) -> DataFra
     return searches.withColumn("retired_at", F.coalesce("retired_at", retired))
 
 
-def sweep_allowed(cycle_runs: DataFrame) -> DataFrame:
-    """Per cycle: not if no card was seen, unless every search was authoritative."""
-    g = cycle_runs.groupBy("cycle").agg(F.coalesce(F.sum("cards"), F.lit(0)).alias("c"), F.bool_and((F.col("status") == "ok") & F.col("is_complete")).alias("a"))
-    return g.select("cycle", ((F.col("c") > 0) | F.col("a")).alias("allowed"))
+def sweep_allowed(cycle_runs: DataFrame, configured: DataFrame) -> DataFrame:
+    """Per cycle of cycle_runs (cycle, search_key, status, is_complete, cards): not if no card was seen, unless every
+    configured search (search_key) ran to an authoritative end and none failed."""
+    good = (F.col("status") == "ok") & F.coalesce("is_complete", F.lit(False))
+    runs = cycle_runs.join(configured.select("search_key", F.lit(True).alias("_wanted")).distinct(), "search_key", "left")
+    g = runs.groupBy("cycle").agg(F.coalesce(F.sum("cards"), F.lit(0)).alias("c"), F.count_distinct(F.when(good & F.col("_wanted"), F.col("search_key"))).alias("ok"), X.count_if(~F.coalesce(good, F.lit(False))).alias("bad"))
+    wanted = configured.agg(F.count_distinct("search_key").alias("n"))  # one row
+    return g.crossJoin(F.broadcast(wanted)).select("cycle", ((F.col("c") > 0) | ((F.col("ok") == F.col("n")) & (F.col("bad") == 0))).alias("allowed"))
 
 
 # -- details ------------------------------------------------------------------------------------------------------------
@@ -248,7 +253,12 @@ def sweep_allowed(cycle_runs: DataFrame) -> DataFrame:
 #: How columns of known items take what details say; for others a null keeps what is known.
 DETAIL_RULES: dict[str, Policy] = {
     **{c: old_first for c in ("sqm", "latitude", "longitude", "rooms", "published_on")}, **{c: replace for c in ("deal", "price", "rate", "first_seen")},
-    "renewed_on": later, "extra": merge_map,
+    "renewed_on": later, "extra": merge_map, "currency": replace,
+}
+#: Fixed: what details tell beyond the columns of an item, and the names that it is kept by.
+DETAIL_EXTRA = {
+    **{c: c for c in ("rooms_detail", "bathrooms", "floors_total", "unit_levels", "heating", "furnished", "garage", "plot_sqm", "orientation", "views", "favorites")},
+    "category_id": "olx_category_id", "price_basis": "price_basis",
 }
 
 
@@ -257,7 +267,8 @@ def enrich(state: DataFrame, details: DataFrame, now=None) -> DataFrame:
     know is unknown; a price that is missing or invalid keeps the one before unless the deal changed; the day of
     publication is the first day. now: the time of the fetch, for details_at and attempted_at."""
     prior = state.select("entity_id", *(F.col(c).alias(f"_{c}") for c in ("deal", "price", "sqm", "published_on", "first_seen") if c in state.columns))
-    d = details.join(prior, "entity_id")
+    d = details.withColumn("extra", detail_extra(details)) if "extra" in state.columns else details
+    d = d.join(prior, "entity_id")
     if "deal" in details.columns:
         d = d.withColumn("deal", F.when(F.col("deal").isin("daily_rent", "rent", "sale"), F.col("deal")).otherwise("unknown"))
         if "price" in details.columns:
@@ -265,6 +276,8 @@ def enrich(state: DataFrame, details: DataFrame, now=None) -> DataFrame:
             d = d.withColumn("price", carry_price(has_valid_price(F.col("price"), state_of), F.col("price"), F.col("_price"), F.col("_deal") == F.col("deal")))
             area = F.coalesce("_sqm", "sqm") if "sqm" in details.columns else F.col("_sqm")
             d = d.withColumn("rate", rate_of(F.col("price"), area, F.col("deal")))
+    if "currency" in details.columns:  # without evidence it is unknown, not what a card said
+        d = d.withColumn("currency", F.coalesce(F.nullif(F.trim("currency"), F.lit("")), F.lit("unknown")))
     if "published_on" in details.columns and "_published_on" in prior.columns:
         d = d.withColumn("first_seen", F.coalesce("_published_on", "published_on", "_first_seen"))
     if now is not None:
@@ -272,12 +285,25 @@ def enrich(state: DataFrame, details: DataFrame, now=None) -> DataFrame:
     return upsert(state, d.select(*[c for c in d.columns if c in state.columns]), "entity_id", DETAIL_RULES, new_first)
 
 
+def detail_extra(details: DataFrame) -> Column:
+    """What details add to an item's further facts: those that they know, as texts, and the state of the latest price."""
+    facts = {key: F.col(c) for c, key in DETAIL_EXTRA.items() if c in details.columns}
+    told = F.col("price_state") if "price_state" in details.columns else F.lit(None).cast("string")
+    paid = F.col("price") if "price" in details.columns else F.lit(None).cast("double")
+    facts["latest_price_state"] = F.coalesce(told, F.when(has_valid_price(paid, told), "valid").otherwise("unpriced"))
+    entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in facts.items())), lambda e: e["value"].isNotNull())
+    return F.map_from_entries(entries)
+
+
 def daily_reported_prices(details: DataFrame, zone: str = "Europe/Sarajevo") -> DataFrame:
-    """(entity_id, on_date, price): details (entity_id, reports array of price and time); of a local day the last
-    report by time, then by place in the list."""
-    each = details.select("entity_id", F.posexplode("reports").alias("place", "r")).select("entity_id", "place", "r.price", "r.reported_at").where("price > 0")
+    """(entity_id, on_date, price, currency, source): details (entity_id, reports array of price, time and perhaps
+    currency); of a local day the last report by time, then by place in the list."""
+    each = details.select("entity_id", F.posexplode("reports").alias("place", "r"))
+    has_currency = "currency" in details.schema["reports"].dataType.elementType.names
+    currency = F.coalesce(F.nullif(F.trim("r.currency"), F.lit("")), F.lit("unknown")) if has_currency else F.lit("unknown")
+    each = each.select("entity_id", "place", "r.price", "r.reported_at", currency.alias("currency")).where("price > 0 and reported_at is not null")
     dated = each.withColumn("on_date", X.local_date("reported_at", zone))
-    return first_per_key(dated, ["entity_id", "on_date"], [F.desc("reported_at"), F.desc("place")]).select("entity_id", "on_date", "price")
+    return first_per_key(dated, ["entity_id", "on_date"], [F.desc("reported_at"), F.desc("place")]).select("entity_id", "on_date", "price", "currency", F.lit(REPORTED).alias("source"))
 
 
 def clear_markers(prices: DataFrame, enriched: DataFrame) -> DataFrame:
@@ -312,11 +338,19 @@ def mark_attempts(state: DataFrame, queue: DataFrame, now) -> DataFrame:
 
 
 def merge_card_and_detail(cards: DataFrame, details: DataFrame) -> DataFrame:
-    """Empty details never clear what a card says; an explicit unknown deal does."""
-    d = details.select("entity_id", *(F.col(c).alias(f"_{c}") for c in details.columns if c != "entity_id"))
+    """Empty details never clear what a card says, but for the deal: one that details leave open is open."""
+    d = details.select("entity_id", F.lit(True).alias("_detailed"), *(F.col(c).alias(f"_{c}") for c in details.columns if c != "entity_id"))
     both = cards.join(d, "entity_id", "left")
-    cols = {c: F.coalesce(F.nullif(F.col(f"_{c}").cast("string"), F.lit("")).cast(cards.schema[c].dataType), F.col(c)) for c in cards.columns if c != "entity_id" and c in details.columns}
-    return both.withColumns(cols).select(*cards.columns)
+
+    def merged(c: str) -> Column:
+        if c == "deal":
+            return F.when(F.col("_detailed"), F.col("_deal")).otherwise(F.col("deal"))
+        kind = cards.schema[c].dataType
+        if isinstance(kind, (T.MapType, T.ArrayType)):
+            return F.when(F.size(f"_{c}") > 0, F.col(f"_{c}")).otherwise(F.col(c))
+        return F.coalesce(F.nullif(F.col(f"_{c}").cast("string"), F.lit("")).cast(kind), F.col(c))
+
+    return both.withColumns({c: merged(c) for c in cards.columns if c != "entity_id" and c in details.columns}).select(*cards.columns)
 
 
 # -- runs and pages ---------------------------------------------------------------------------------------------------
@@ -342,13 +376,26 @@ def has_recent_run(runs: DataFrame, now, minutes: int) -> DataFrame:
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:
-    """Adds response_state. pages: http_status, has_data, total, last_page, current_page, page, items."""
-    coherent = F.col("has_data") & F.col("total").isNotNull() & (F.col("current_page") == F.col("page")) & (F.col("last_page") >= 1)
+    """Adds response_state. pages: run_id, page, http_status, has_data, total, last_page, current_page, items, and perhaps
+    cards (items that are cards; else all), rejected (items that are none) and attempt.
+
+    A page counts only beside the first answer to its run's page 1: with the same total and last page, as the page that was
+    asked for, with no item rejected, and with cards unless the whole search is empty."""
+    given = lambda c, other: F.coalesce(F.col(c), other) if c in pages.columns else other
+    cards, rejected, page, last = given("cards", F.col("items")), given("rejected", F.lit(0)), F.col("page"), F.col("last_page")
+    http = F.coalesce("http_status", F.lit(200))
+    answered = F.coalesce("has_data", F.lit(False)) & (http < 400)
+    first = F.min_by(F.struct("total", "last_page"), F.when(answered & (page == 1), given("attempt", F.lit(1)))).over(Window.partitionBy("run_id"))
+    rows = pages.withColumn("_first", first)
+    same = (F.col("total") >= 0) & (F.col("total") == F.col("_first.total")) & (last == F.col("_first.last_page"))
+    coherent = F.coalesce(same & (last > 0) & (F.col("current_page") == page) & (F.col("current_page") <= last), F.lit(False))
+    nothing = (F.col("items") == 0) & (cards == 0) & (rejected == 0)
+    odd = (rejected > 0) | ~coherent | ((F.col("items") == 0) & (F.col("total") != 0)) | ((F.col("items") > 0) & (cards == 0))
     state = (
-        F.when(F.col("http_status").isin(403, 429), "blocked").when(F.col("http_status") >= 400, "error").when(~F.coalesce(coherent, F.lit(False)), "malformed")
-        .when((F.col("total") == 0) & (F.col("items") == 0), "verified_empty").when(F.col("items") == 0, "malformed").otherwise("ok")
+        F.when(http.isin(403, 429), "blocked").when(http >= 400, "error").when(~answered, "malformed")
+        .when(coherent & nothing & (F.col("total") == 0) & (page == 1) & (last == 1), "verified_empty").when(odd, "malformed").otherwise("ok")
     )
-    return pages.withColumn("response_state", state)
+    return rows.withColumn("response_state", state).drop("_first")
 
 
 def dedupe_cards(cards: DataFrame) -> DataFrame:
@@ -358,13 +405,19 @@ def dedupe_cards(cards: DataFrame) -> DataFrame:
     return cards.withColumns({"_n": F.row_number().over(order), "repeats": F.count(F.lit(1)).over(every) - 1}).where("_n = 1").drop("_n")
 
 
-def completeness_verdict(pages: DataFrame, most_pages: int = 30) -> DataFrame:
-    """(run_id, verdict): the first reason that holds, or complete."""
+def completeness_verdict(pages: DataFrame, cards: DataFrame | None = None, most_pages: int = 30) -> DataFrame:
+    """(run_id, verdict): the first reason that holds, or complete. pages: as classified; cards (run_id, entity_id): what
+    they hold, so that a card on two pages counts once. Without cards the pages' own numbers are taken."""
+    n_cards = F.col("cards") if "cards" in pages.columns else F.col("items")
     g = pages.groupBy("run_id").agg(
-        F.bool_or(F.col("response_state") == "malformed").alias("m"), F.bool_or(F.col("response_state").isin("error", "blocked")).alias("f"),
-        F.max("last_page").alias("last"), F.count(F.lit(1)).alias("n"), F.max("total").alias("total"), F.sum("items").alias("items"),
+        F.bool_or(F.col("response_state") == "malformed").alias("m"), F.bool_or(F.col("response_state").isin("error", "blocked")).alias("f"), F.min(F.when(F.col("last_page") > 0, F.col("last_page"))).alias("last"),
+        F.count_distinct("page").alias("n"), F.max(F.when(F.col("page") == 1, F.col("total"))).alias("total"), F.sum(n_cards).alias("unique"), F.bool_or((n_cards == 0) & (F.col("response_state") == "ok")).alias("empty"),
     )
-    verdict = F.when(F.col("m"), "malformed").when(F.col("f"), "failed").when(F.col("last") > most_pages, "capped").when(F.col("n") < F.col("last"), "truncated").when(F.col("items") != F.col("total"), "count_mismatch").otherwise("complete")
+    if cards is not None:
+        found = cards.groupBy("run_id").agg(F.count_distinct("entity_id").alias("_unique"))
+        g = g.join(found, "run_id", "left").withColumn("unique", F.coalesce("_unique", F.lit(0)))
+    short = F.col("empty") | (F.col("n") < F.col("last"))
+    verdict = F.when(F.col("m"), "malformed").when(F.col("f"), "failed").when(F.col("last") > most_pages, "capped").when(short, "truncated").when(~F.col("unique").eqNullSafe(F.col("total")), "count_mismatch").otherwise("complete")
     return g.select("run_id", verdict.alias("verdict"))
 
 

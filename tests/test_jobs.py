@@ -123,8 +123,11 @@ def test_enrichment_queue(spark):
 
 
 def test_sweep_allowed(spark):
-    runs = spark.createDataFrame([(1, 0, "ok", True), (2, 0, "error", False), (3, 5, "error", False)], "cycle int, cards int, status string, is_complete boolean")
-    assert {r.cycle: r.allowed for r in state.sweep_allowed(runs).collect()} == {1: True, 2: False, 3: True}
+    """Without a card, only if every configured search was authoritative: one of two that ran and saw nothing is not enough."""
+    rows = [(1, "a", 0, "ok", True), (1, "b", 0, "ok", True), (2, "a", 0, "error", False), (2, "b", 0, "ok", True), (3, "a", 5, "error", False), (4, "a", 0, "ok", True), (5, "a", 0, "ok", True), (5, "b", 0, "ok", False)]
+    runs = spark.createDataFrame(rows, "cycle int, search_key string, cards int, status string, is_complete boolean")
+    configured = spark.createDataFrame([("a",), ("b",)], "search_key string")
+    assert {r.cycle: r.allowed for r in state.sweep_allowed(runs, configured).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False}
 
 
 def test_verdicts(spark):
@@ -134,6 +137,42 @@ def test_verdicts(spark):
     assert {r.run_id: r.verdict for r in state.completeness_verdict(pages).collect()} == {1: "complete", 2: "truncated", 3: "failed", 4: "count_mismatch", 5: "complete", 6: "malformed"}
 
 
+def test_pages_must_agree_with_the_first(spark):
+    """(run, page, total, last, current, items, cards, rejected) and what becomes of them."""
+    rows = [
+        (1, 1, 30, 2, 1, 15, 15, 0, "ok"), (1, 2, 31, 2, 2, 15, 15, 0, "malformed"),  # another total
+        (2, 1, 0, 3, 1, 0, 0, 0, "ok"), (2, 3, 0, 3, 3, 0, 0, 0, "ok"),  # empty, but not as page 1 of 1
+        (3, 1, 15, 1, 1, 15, 0, 0, "malformed"), (4, 1, 15, 1, 1, 15, 14, 1, "malformed"),  # no card; one rejected
+        (5, 1, 30, 2, 1, 15, 15, 0, "ok"), (5, 2, 30, 3, 2, 15, 15, 0, "malformed"), (6, 1, 0, 1, 1, 0, 0, 0, "verified_empty"),  # another last page
+        (7, 1, 9, 1, 2, 9, 9, 0, "malformed"), (8, 2, 9, 2, 2, 4, 4, 0, "malformed"),  # not the page asked for; no page 1
+        (9, 1, 4, 2, 1, 2, 2, 0, "ok"), (9, 2, 4, 2, 2, 2, 2, 0, "ok"),
+    ]
+    pages = spark.createDataFrame(rows, "run_id int, page int, total int, last_page int, current_page int, items int, cards int, rejected int, want string").withColumns({"http_status": F.lit(200), "has_data": F.lit(True)})
+    got = state.classify_pages(pages)
+    assert got.where("want <> response_state").collect() == []
+    cards = spark.createDataFrame([(9, 1), (9, 2), (9, 2), (9, 3)], "run_id int, entity_id int")  # a card on both pages hides a missing one
+    verdict = {r.run_id: r.verdict for r in state.completeness_verdict(got, cards).collect()}
+    assert verdict == {1: "malformed", 2: "truncated", 3: "malformed", 4: "malformed", 5: "malformed", 6: "complete", 7: "malformed", 8: "malformed", 9: "count_mismatch"}
+    assert state.completeness_verdict(got.where("run_id = 9")).first().verdict == "complete"
+
+
+def test_details_and_currency_state_and_deal(spark):
+    """Details without a currency leave it unknown, an invalid price is told by its state and keeps the one before, and a deal
+    that they leave open is open."""
+    s = STATE + ", currency string, extra map<string,string>"
+    old = [(i, "t", "u", "rent", "apartments", None, "2", 50.0, 600.0, None, "shop", D1, D1, None, None, ["a"], "BAM", {"views": "1", "latest_price_state": "valid"}) for i in (1, 2)]
+    details = spark.createDataFrame([(1, "rent", 5.0, "invalid", None, 7, 3), (2, None, 700.0, "valid", "EUR", None, None)], "entity_id long, deal string, price double, price_state string, currency string, views int, bathrooms int")
+    rows = by_id(state.enrich(spark.createDataFrame(old, s), details))
+    assert (rows[1].price, rows[1].currency, rows[1].extra) == (600.0, "unknown", {"views": "7", "bathrooms": "3", "latest_price_state": "invalid"})
+    assert (rows[2].deal, rows[2].price, rows[2].currency, rows[2].extra) == ("unknown", 700.0, "EUR", {"views": "1", "latest_price_state": "valid"})
+    card_rows = spark.createDataFrame([(1, "rent", "a"), (2, "rent", "b"), (3, "rent", "c")], "entity_id long, deal string, title string")
+    told = spark.createDataFrame([(1, None, "x"), (2, "sale", None)], "entity_id long, deal string, title string")
+    assert {r.entity_id: (r.deal, r.title) for r in state.merge_card_and_detail(card_rows, told).collect()} == {1: (None, "x"), 2: ("sale", "b"), 3: ("rent", "c")}
+    at = lambda h: datetime(2024, 1, 1, h)
+    reports = spark.createDataFrame([(1, [(5.0, at(8), " EUR "), (6.0, at(9), ""), (0.0, at(10), "EUR")])], "entity_id long, reports array<struct<price:double,reported_at:timestamp,currency:string>>")
+    assert [tuple(r) for r in state.daily_reported_prices(reports).collect()] == [(1, D1, 6.0, "unknown", "reported")]
+
+
 def test_alert_timeline(spark):
     prior = spark.createDataFrame([], "name string, first_seen timestamp_ntz, fired boolean")
     t0, told = datetime(2024, 1, 1), []
