@@ -33,11 +33,11 @@ HEAD = 1 << 18
 FIELD = 1 << 27
 TILE = 512
 #: A tile is counted densely from so many pairs of a chunk on, and so many tiles are kept by a task.
-DENSE_FROM, DENSE_TILES = TILE * TILE // 64, 16
+DENSE_FROM, DENSE_TILES = TILE * TILE // 64, 8
 #: Coordinates that a task holds before they leave it.
-HELD = 250_000
-#: Codes in a row of an encoded table.
-CHUNK = 100_000
+HELD = 150_000
+#: Codes in a row of an encoded table, and such as are looked at together.
+CHUNK, TOGETHER = 4_096, 200_000
 GAP = np.int64(1 << 62)
 IS_END = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 IS_BETWEEN = IS_END | np.isin(np.arange(256), [0x20, 0x09])
@@ -66,7 +66,7 @@ def strings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 2_000_000, rows: int = 500) -> Iterator[tuple[list[str], list[bytes]]]:
+def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 1_000_000, rows: int = 200) -> Iterator[tuple[list[str], list[bytes]]]:
     for b in batches:
         for k in range(0, b.num_rows, rows):
             langs, texts = (b.column(c).slice(k, rows).to_pylist() for c in ("lang", "text"))
@@ -147,39 +147,68 @@ def runs(codes: np.ndarray, own: int, chunk: int, overlap: int) -> Iterator[tupl
 
 
 def encoded(parts: Iterator[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-    for codes, own in parts:
-        lists = pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(codes))
-        yield pa.RecordBatch.from_arrays([lists, pa.array([own], pa.int32())], names=["codes", "own"])
+    """Rows of an encoded table, some TOGETHER codes a batch."""
+    held: list[tuple[np.ndarray, int]] = []
+    n = 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= TOGETHER:
+            yield rows_of(held)
+            held, n = [], 0
+    if held:
+        yield rows_of(held)
+
+
+def rows_of(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    offsets = np.append(0, np.cumsum([len(c) for c, _ in parts])).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([c for c, _ in parts])))
+    return pa.RecordBatch.from_arrays([lists, pa.array([own for _, own in parts], pa.int32())], names=["codes", "own"])
 
 
 def encode_texts(batches: Iterator[pa.RecordBatch], words: Coder, longest: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    for langs, texts in sliced(batches):
-        *_, piece, key = text_words(texts, langs)
-        if not len(key):
-            continue
-        # A gap between pieces: the place of a word is its number and that of the pieces begun before it.
-        at = np.arange(len(key)) + np.append(0, np.cumsum(piece[1:] != piece[:-1]))
-        codes = np.full(at[-1] + 1, GAP)
-        codes[at] = words.codes(key)
-        yield from encoded(runs(codes, len(codes), chunk, longest - 1))
+    def parts() -> Iterator[tuple[np.ndarray, int]]:
+        for langs, texts in sliced(batches):
+            *_, piece, key = text_words(texts, langs)
+            if len(key):
+                # A gap between pieces: the place of a word is its number and that of the pieces begun before it.
+                at = np.arange(len(key)) + np.append(0, np.cumsum(piece[1:] != piece[:-1]))
+                codes = np.full(at[-1] + 1, GAP)
+                codes[at] = words.codes(key)
+                yield from runs(codes, len(codes), chunk, longest - 1)
+
+    yield from encoded(parts())
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(mix(left.view(np.uint64)) + right.view(np.uint64))
 
 
-def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes of several rows one after the other, where each row ends, own) of an encoded table."""
     for b in batches:
-        for codes, own in zip(b.column("codes"), b.column("own").to_pylist()):
-            yield codes.values.to_numpy(), own
+        lists, own = b.column("codes"), b.column("own").to_numpy()
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        flat = lists.flatten().to_numpy()
+        group = ends // TOGETHER
+        cuts = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1 if len(ends) else []
+        for a, z in zip([0, *cuts[:-1]], cuts):
+            first = int(ends[a - 1]) if a else 0
+            yield flat[first : ends[z - 1]], ends[a:z] - first, own[a:z]
 
 
 def encode_pairs(batches: Iterator[pa.RecordBatch], pairs: Coder, overlap: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    for c, own in lists_of(batches):
-        both = (c[:-1] != GAP) & (c[1:] != GAP)
-        codes = np.full(len(both), GAP)
-        codes[both] = pairs.codes(pair_keys(c[:-1][both], c[1:][both]))
-        yield from encoded(runs(codes, min(own, len(codes)), chunk, overlap))
+    def parts() -> Iterator[tuple[np.ndarray, int]]:
+        for c, ends, own in lists_of(batches):
+            both = np.append((c[:-1] != GAP) & (c[1:] != GAP), False)
+            both[ends - 1] = False  # no pair over the end of a row
+            codes = np.full(len(c), GAP)
+            at = np.flatnonzero(both)
+            codes[at] = pairs.codes(pair_keys(c[at], c[at + 1]))
+            for a, z, mine in zip(np.append(0, ends[:-1]), ends, own):
+                yield from runs(codes[a : z - 1], min(mine, z - 1 - a), chunk, overlap)
+
+    yield from encoded(parts())
 
 
 def merged(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,10 +229,12 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(left), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (left, right, n)], names=["left", "right", "n"])
 
-    for c, own in lists_of(batches):
-        left, right = c[:-1][:own], c[1:][:own]
-        both = (left != GAP) & (right != GAP)
-        left, right = left[both], right[both]
+    for c, ends, own in lists_of(batches):
+        begins = np.append(0, ends[:-1])
+        within = np.arange(len(c)) - np.repeat(begins, ends - begins)
+        mine = within < np.repeat(np.minimum(own, ends - begins - 1), ends - begins)  # starts of the row's own pairs
+        at = np.flatnonzero(mine[:-1] & (c[:-1] != GAP) & (c[1:] != GAP)) if len(c) else np.zeros(0, np.int64)
+        left, right = c[at], c[at + 1]
         ranked = (left >= 0) & (right >= 0)
         sparse.append((left[~ranked], right[~ranked], np.ones((~ranked).sum(), np.int64)))
         left, right = left[ranked], right[ranked]

@@ -57,7 +57,7 @@ def trie_rows(df):
 MESSAGES = "conv_id long, turn long, role string, text string"
 
 
-@pytest.mark.parametrize("most", [1, 5, 256])
+@pytest.mark.parametrize("most", [2, 256])
 def test_trie_against_prefixes(spark, most):
     rng = random.Random(most)
     rows = [(c, t, rng.choice(["user", None]), rng.choice(["a b", "a b", "c\td  e", "", None, "\n"])) for c in range(-45, 120) for t in range(rng.choice([1, 2, 3, 9]))]
@@ -67,7 +67,7 @@ def test_trie_against_prefixes(spark, most):
     assert trie_rows(prefix_trie.conversation_trie(clashing(given), prefix_trie.sharing_first_turns, most)) == brute_trie(rows, True)
 
 
-@pytest.mark.parametrize("most", [16, 4096])
+@pytest.mark.parametrize("most", [64])
 def test_trie_of_one_deep_chain(spark, most):
     """A conversation of 500 turns, one that leaves it half way, and one that is its beginning."""
     rows = [(1, t, "u", f"w {t}") for t in range(500)] + [(2, t, "u", f"w {t}" if t < 250 else f"v {t}") for t in range(400)] + [(3, t, "u", f"w {t}") for t in range(100)]
