@@ -403,7 +403,10 @@ def test_jaccard_estimate_corrects_collisions():
     assert abs(est[0, 0] - 1 / 3) < 0.15
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 40, 10**6])
+def test_components(spark, monkeypatch, few):
+    """By rounds alone, by rounds and then one task, and by one task."""
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(50)] + [(2050, 2000), (5, 5)]
     parent = {x: x for e in edges for x in e}
