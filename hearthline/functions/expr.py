@@ -115,7 +115,10 @@ def locale_number(x: ColumnLike, integer_like: bool = False) -> Column:
             cases = cases.when(s.rlike(r"^[+-]?\d{1,3}[.,]\d{3}$"), bare(s))
         return cases.when(s.rlike(r"^[+-]?\d*[.,]?\d*$"), F.replace(s, F.lit(","), F.lit("."))).try_cast("double")
 
-    return let(F.regexp_replace(col(x).cast("string"), UNITS, ""), read)
+    def either(t: Column) -> Column:  # most numbers are plain digits
+        return F.when(t.rlike(r"^[+-]?\d{1,15}$"), t.try_cast("double")).otherwise(let(F.regexp_replace(t, UNITS, ""), read))
+
+    return let(col(x).cast("string"), either)
 
 
 def trimmed(x: ColumnLike) -> Column:
@@ -137,7 +140,7 @@ def norm_id(x: ColumnLike) -> Column:
     """A positive whole number up to 2 ** 53 - 1."""
     s = col(x).cast("string")
     n = F.when(s.rlike(r"^\s*\d+\s*$"), F.regexp_replace(s, r"\s", "").try_cast("bigint"))
-    return F.when((n > 0) & (n <= 2**53 - 1), n)
+    return let(n, lambda n: F.when((n > 0) & (n <= 2**53 - 1), n))
 
 
 #: Fixed bounds of an area in square metres.
@@ -147,8 +150,8 @@ SQM_MINIMUM, SQM_MAXIMUM = 5, 999_999
 def norm_area(x: ColumnLike) -> Column:
     """Square metres within the bounds; groups of three are thousands, so 7.500 is a plot of 7500."""
     s = F.regexp_replace(col(x).cast("string"), SPACE, "")
-    n = F.when(s.rlike(r"^\d{1,3}([.,]\d{3})+$") & locale_number(x).isNotNull(), F.regexp_replace(s, "[.,]", "").try_cast("double")).otherwise(locale_number(x))
-    return let(n, lambda v: F.when(v.between(SQM_MINIMUM, SQM_MAXIMUM), v))
+    thousands = lambda n: F.when(n.isNotNull() & s.rlike(r"^\d{1,3}([.,]\d{3})+$"), F.regexp_replace(s, "[.,]", "").try_cast("double")).otherwise(n)
+    return let(let(locale_number(x), thousands), lambda v: F.when(v.between(SQM_MINIMUM, SQM_MAXIMUM), v))
 
 
 #: Fixed: 2100-01-01. Milliseconds are beyond.
@@ -346,7 +349,8 @@ LAT_RANGE, LON_RANGE = (42.4, 46.4), (15.5, 19.9)
 
 def pin(lat: ColumnLike, lon: ColumnLike) -> Column:
     """struct(latitude, longitude), or null outside the country's box."""
-    return F.when(col(lat).between(*LAT_RANGE) & col(lon).between(*LON_RANGE), F.struct(col(lat).alias("latitude"), col(lon).alias("longitude")))
+    both = F.struct(col(lat).alias("latitude"), col(lon).alias("longitude"))
+    return let(both, lambda p: F.when(p["latitude"].between(*LAT_RANGE) & p["longitude"].between(*LON_RANGE), p))
 
 
 #: Fixed: parameters that come first in a key, and such as are not part of it.

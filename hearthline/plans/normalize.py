@@ -32,39 +32,59 @@ FURNISHED_DETAIL, FURNISHED_FLAGS = "opremljenost", ("namjesten", "namjestena")
 AREA_CODES, ROOMS_CODE, DECLARED_CODE = ("kvadrata", "kvadratura"), "broj-soba", "vrsta-oglasa"
 
 
+PLACE = "lat:string,lon:string"
+#: A card's fields as texts, whatever they came as, and those of which it matters whether they came as a text.
+ITEM = f"struct<id:string,title:string,category_id:string,listing_type:string,price:string,display_price:string,currency:string,price_currency:string,currency_code:string,user_type:string,status:string,date:string,special_labels:array<struct<label:string,value:string>>,location:struct<{PLACE},location:struct<{PLACE}>>>"
+TEXTS = ("title", "price", "display_price", "status")
+
+
+def read_items(items: DataFrame) -> DataFrame:
+    """items with `_s`, the fields of `item` (a variant) in one reading, null if it is no object; texts that must have come
+    as such are null otherwise, but for the price, of which `_text` tells."""
+    kinds = "struct<" + ",".join(f"{c}:variant" for c in TEXTS) + ">"
+    rows = items.withColumns({"_s": F.try_variant_get("item", "$", ITEM), "_k": F.try_variant_get("item", "$", kinds)})
+    rows = rows.withColumn("_k", F.struct(*(P.is_text(F.col("_k")[c]).alias(c) for c in TEXTS)))
+    only = lambda c: F.when(F.col("_k")[c], F.col("_s")[c])
+    return rows.withColumns({"_title": X.trimmed(only("title")), "_display": only("display_price"), "_status": only("status"), "_text": F.col("_k.price")}).drop("_k")
+
+
 def labelled(labels: Column, name: str) -> Column:
-    """The first value with this label, as a variant."""
-    return P.field(F.get(F.filter(labels, lambda x: P.field(x, "label") == name), 0), "value", "variant")
+    """The text of the first value with this label."""
+    return F.get(F.filter(labels, lambda x: x["label"] == name), 0)["value"]
 
 
 def pin_of(place: Column) -> Column:
     """struct(latitude, longitude): a place may hold its point directly or under location."""
-    inner = F.when(P.is_object(P.field(place, "location", "variant")), P.field(place, "location", "variant")).otherwise(place)
-    return X.let(inner, lambda p: X.pin(X.number(P.field(p, "lat"), P.is_text(P.field(p, "lat", "variant"))), X.number(P.field(p, "lon"), P.is_text(P.field(p, "lon", "variant")))))
+    at = lambda c: X.locale_number(F.when(place["location"].isNotNull(), place["location"][c]).otherwise(place[c]))
+    return X.pin(at("lat"), at("lon"))
 
 
 def one_of(value: Column, known: tuple[str, ...]) -> Column:
     return F.when(value.isin(*known), value)
 
 
+CURRENCY_FIELDS = ("currency", "price_currency", "currency_code")
+
+
 def currency(item: Column) -> Column:
-    return X.currency_of(P.text_field(item, "price"), P.text_field(item, "display_price"), *(P.field(item, f) for f in ("currency", "price_currency", "currency_code")))
+    return X.currency_of(P.text_field(item, "price"), P.text_field(item, "display_price"), *(P.field(item, f) for f in CURRENCY_FIELDS))
 
 
-def price_columns(rows: DataFrame, item: Column, deal: Column, declared: Column) -> DataFrame:
-    """Adds what is read from an item's price: rows with `kind`, `sqm`, `title`."""
-    shown = X.trimmed(F.coalesce(P.text_field(item, "display_price"), F.lit("")))
-    rows = rows.withColumns({"_deal": deal, "_declared": declared, "_shown": shown, "_price": P.field(item, "price"), "_text": P.is_text(P.field(item, "price", "variant")), "currency": currency(item)})
+def price_columns(rows: DataFrame, deal: Column, declared: Column) -> DataFrame:
+    """Adds what is read from an item's price: rows with `kind`, `sqm`, `title`, and _price, _text (it came as a text), _display
+    and currency, which go but for the last."""
+    shown = X.trimmed(F.coalesce("_display", F.lit("")))
+    rows = rows.withColumns({"_deal": deal, "_declared": declared, "_shown": shown})
     rows = rows.withColumn("_read", X.read_price("_price", "_deal", "kind", "sqm", "title", "_declared", "_shown", "_text"))
     price_text = F.when(F.col("_shown") != "", F.col("_shown")).when(F.col("_read.state") == "unpriced", UNPRICED_TEXT).otherwise(F.coalesce("_price", F.lit("")))
     made = {"deal": "_read.deal", "price": "_read.price", "price_state": "_read.state", "price_reason": "_read.reason", "price_basis": "_read.basis"}
-    return rows.withColumns({k: F.col(v) for k, v in made.items()} | {"price_text": price_text}).drop("_deal", "_declared", "_shown", "_price", "_text", "_read")
+    return rows.withColumns({k: F.col(v) for k, v in made.items()} | {"price_text": price_text}).drop("_deal", "_declared", "_shown", "_display", "_price", "_text", "_read")
 
 
-def rejection(item: Column) -> Column:
-    """Why an item is no card, or null. An expression cannot fail on a row, so no item is lost to an exception."""
-    title = X.trimmed(P.text_field(item, "title"))
-    return F.when(~P.is_object(item), "not_an_object").when(X.norm_id(P.field(item, "id")).isNull(), "invalid_id").when(F.coalesce(F.char_length(title), F.lit(0)) <= 2, "invalid_title")
+def rejection() -> Column:
+    """Why an item (read_items) is no card, or null. An expression cannot fail on a row, so no item is lost to an exception."""
+    short = F.coalesce(F.char_length("_title"), F.lit(0)) <= 2
+    return F.when(F.col("_s").isNull(), "not_an_object").when(X.norm_id("_s.id").isNull(), "invalid_id").when(short, "invalid_title")
 
 
 CARD = (
@@ -75,19 +95,19 @@ CARD = (
 
 def normalize_search_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) of rows with an `item` (a variant)."""
-    i, keep = F.col("item"), [c for c in items.columns if c != "item"]
-    marked = items.withColumn("reason", F.when(i.isNull(), "not_an_object").otherwise(rejection(i)))
-    labels = P.objects(i, "special_labels")
+    s, keep = F.col("_s"), [c for c in items.columns if c != "item"]
+    marked = read_items(items).drop("item").withColumn("reason", rejection())
     rows = marked.where("reason is null").withColumns({
-        "entity_id": X.norm_id(P.field(i, "id")), "title": X.trimmed(P.field(i, "title")), "category_id": X.norm_id(P.field(i, "category_id")), "kind": X.property_type(P.field(i, "category_id")),
-        "_area": labelled(labels, SQM_LABEL), "_rooms": labelled(labels, ROOMS_LABEL), "_pin": pin_of(P.field(i, "location", "variant")),
-        "renewed_at": X.norm_unix_seconds(P.field(i, "date")), "seller": one_of(P.field(i, "user_type"), SELLERS), "source_status": P.text_field(i, "status"),
+        "entity_id": X.norm_id(s["id"]), "title": F.col("_title"), "category_id": X.norm_id(s["category_id"]), "kind": X.property_type(s["category_id"]),
+        "sqm": X.norm_area(labelled(s["special_labels"], SQM_LABEL)), "_rooms": labelled(s["special_labels"], ROOMS_LABEL), "_pin": pin_of(s["location"]),
+        "renewed_at": X.norm_unix_seconds(s["date"]), "seller": one_of(s["user_type"], SELLERS), "source_status": F.col("_status"),
+        "_price": s["price"], "currency": X.currency_of(F.when(F.col("_text"), s["price"]), "_display", *(s[f] for f in CURRENCY_FIELDS)),
     })
     rows = rows.withColumns({
-        "url": F.concat(F.lit(ITEM_URL), F.col("entity_id").cast("string")), "sqm": X.norm_area(F.col("_area").try_cast("string")), "latitude": F.col("_pin.latitude"), "longitude": F.col("_pin.longitude"),
-        "rooms": F.when(F.col("title").rlike("(?i)garsonjera"), "0").otherwise(X.rooms_from(F.col("_rooms").try_cast("string"))),
+        "url": F.concat(F.lit(ITEM_URL), F.col("entity_id").cast("string")), "latitude": F.col("_pin.latitude"), "longitude": F.col("_pin.longitude"),
+        "rooms": F.when(F.col("title").rlike("(?i)garsonjera"), "0").otherwise(X.rooms_from("_rooms")),
     })
-    rows = price_columns(rows, i, X.deal_for("category_id", X.deal_type(P.field(i, "listing_type"))), F.lit(False))
+    rows = price_columns(rows, X.deal_for("category_id", X.deal_type(s["listing_type"])), F.lit(False))
     return rows.select(*keep, *CARD), marked.where("reason is not null").select(*keep, "reason")
 
 
@@ -163,12 +183,13 @@ def map_details(details: DataFrame, fallback_id: str | None = None) -> DataFrame
     number = lambda path, most: X.small_int(P.field(d, path), 0, most)
     rows = details.where(P.is_object(d)).withColumns({
         "entity_id": F.coalesce(X.norm_id(P.field(d, "id")), *([X.norm_id(fallback_id)] if fallback_id else [])), "entries": attribute_entries(P.objects(d, "attributes")),
-        "title": P.field(d, "title"), "category_id": X.norm_id(P.field(d, "category_id")), "kind": X.property_type(P.field(d, "category_id")), "_pin": pin_of(P.field(d, "location", "variant")),
+        "title": P.field(d, "title"), "category_id": X.norm_id(P.field(d, "category_id")), "kind": X.property_type(P.field(d, "category_id")), "_pin": pin_of(P.field(d, "location", f"struct<{PLACE},location:struct<{PLACE}>>")),
         "views": number("views", 100_000_000), "favorites": number("favorites", 1_000_000), "seller": one_of(P.field(d, "user.type"), SELLERS), "source_status": P.text_field(d, "status"),
         "published_at": X.norm_unix_seconds(P.field(d, "created_at")), "renewed_at": X.norm_unix_seconds(P.field(d, "date")), "reports": reports_of(d),
     }).where("entity_id is not null")
     rows = attributes_to_columns(rows).withColumns({"latitude": F.col("_pin.latitude"), "longitude": F.col("_pin.longitude"), "declared": X.deal_type(value_of(F.col("entries"), DECLARED_CODE))})
-    rows = price_columns(rows, d, X.deal_for("category_id", F.coalesce("declared", X.deal_type(P.field(d, "listing_type")))), F.col("declared").isNotNull())
+    rows = rows.withColumns({"_price": P.field(d, "price"), "_text": P.is_text(P.field(d, "price", "variant")), "_display": P.text_field(d, "display_price"), "currency": currency(d)})
+    rows = price_columns(rows, X.deal_for("category_id", F.coalesce("declared", X.deal_type(P.field(d, "listing_type")))), F.col("declared").isNotNull())
     return rows.select(*[c for c in keep if c not in DETAIL], *DETAIL)
 
 
