@@ -272,7 +272,7 @@ def _(s, d):
     return state.run_log(runs.select("run_id", "started_at"), runs.where("finished_at is not null").select("run_id", "status", "finished_at")).select("run_id", "status", "started_at", "finished_at")
 
 
-@query("revived_searches", "SELECT search_key, name, CASE WHEN search_key NOT IN (SELECT search_key FROM runs WHERE run_id % 3 = 0) THEN retired_at END AS retired_at FROM searches")
+@query("revived_searches", "SELECT search_key, name, url, CASE WHEN search_key NOT IN (SELECT search_key FROM runs WHERE run_id % 3 = 0) THEN retired_at END AS retired_at FROM searches")
 def _(s, d):
     m = market(s, d)
     ran = m.runs.where("run_id % 3 = 0").select("search_key").distinct().withColumn("name", F.lit(None).cast("string"))
