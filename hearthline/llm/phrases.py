@@ -291,7 +291,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, head:
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
     counts = texts.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
     counts = written(counts.where(f"word is null or f >= {least}"), "words")
-    frequent = counts.where("word is not null").mapInArrow(keyed, "lang string, word string, f long, key long")
+    # Written, as two Python steps in one stage would keep twice as many workers in an executor.
+    frequent = written(counts.where("word is not null").mapInArrow(keyed, "lang string, word string, f long, key long"), "keys")
     codes = spark.sparkContext.broadcast(coder(frequent, ["lang"], head, field))
     none = F.array().cast("array<long>")
     words = frequent.mapInArrow(lambda it, by=codes: named(it, by.value), "lang string, word string, f long, code long")
