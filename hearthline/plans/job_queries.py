@@ -666,6 +666,7 @@ def _(s, d):
     for n, key, day, which in SNAPSHOTS:
         price = F.when(F.lit(n == 3) & (F.col("entity_id") % 4 == 0), F.col("price") * 0.5).otherwise(F.col("price"))
         rows = o.where(which).withColumns({"snapshot_id": F.lit(n).cast("long"), "search_key": F.lit(key), "day": F.lit(day), "price": price, "deal": F.lit("sale"), "price_state": F.lit("valid"), "sqm": F.lit(50.0)})
+        rows = rows.withColumn("snapshot_rows", F.lit(o.where(which).count()).cast("long"))  # its files may come in several batches
         missing = [(c.split()[0], c.split()[1]) for c in CARDS.split(", ") if c.split()[0] not in rows.columns]
         rows.withColumns({c: F.lit(None).cast(t) for c, t in missing}).write.mode("append").parquet(f"{folder}/landing")
     empty = s.createDataFrame([], "entity_id long, title string, deal string, kind string, rooms string, sqm double, price double, rate double, first_seen date, last_seen date, closed_at date, closing_price double, search_keys array<string>")

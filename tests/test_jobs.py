@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hearthline.operators import geo
 from hearthline.operators.filters import Window
-from hearthline.plans import alerts, boards, state
+from hearthline.plans import alerts, boards, job_queries, state
 from hearthline.sources import archive, export, facts
 from hearthline.streaming import streams
 
@@ -280,6 +280,22 @@ def test_stream_of_several_searches_and_files(spark, tmp_path):
     assert sorted((r.entity_id, r.on_date) for r in archive.read_prices(spark, store).collect()) == [(1, D1), (2, D1), (3, D1), (4, D2)]
 
 
+def test_snapshots_of_more_files_than_a_batch_takes(spark, tmp_path):
+    """Each snapshot of the registered query lands in more than 16 files, which come in several batches: no row is lost."""
+    spark.range(1, 301).selectExpr("id o_orderkey", "cast(1000 + id as double) o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 4)
+    try:
+        rows = by_id(job_queries.QUERIES["stream_snapshots"](spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert set(rows) == {i for i in range(1, 301) if i % 2 == 0 or i % 3 == 0}
+    for i, r in rows.items():
+        a, b = i % 2 == 0 and i % 10 != 0, i % 3 == 0
+        cheaper = a and i % 4 == 0
+        assert r.search_keys == ",".join(k for k, held in (("a", a), ("b", b)) if held) and r.price == (1000 + i) * (0.5 if cheaper else 1)
+        assert r.closed_at == (None if a or b else date(2001, 7, 31)) and (r.markers, r.events) == (1 + cheaper, int(not a and not b))
+
+
 def versions_of(folder, table):
     """The version directory of every bucket of a table, and when its files were written."""
     return {str(p.parent.parent.name) + "/" + p.parent.name: p.stat().st_mtime_ns for p in folder.glob(f"{table}/version=*/*/part-*")}
