@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthline.functions import expr as X
+from hearthline.operators import filters
 from hearthline.plans import normalize
 from hearthline.sources import payloads
 
@@ -174,3 +175,10 @@ def test_unusable_pages(spark, tmp_path):
     (tmp_path / "d" / "x.jsonl").write_text('{"id": 7}\n{"id": "8", "price": 5}\nnot json\n')
     details = payloads.read_details(spark, str(tmp_path / "d"), one_per_line=True)
     assert sorted(r.entity_id for r in normalize.map_details(details).collect()) == [7, 8]
+
+
+def test_a_search_in_an_attribute_makes_no_map(spark):
+    """A filter over items whose attributes a projection makes looks at the one attribute alone."""
+    made = spark.range(5).select("id", F.create_map(F.lit("adresa"), F.concat(F.lit("Šetalište "), F.col("id").cast("string")), F.lit("lift"), F.lit("da")).alias("characteristics"))
+    found = filters.property_filters(made, {"address": "SETALISTE 3"}).select("id")
+    assert [r.id for r in found.collect()] == [3] and "map(" not in found._jdf.queryExecution().optimizedPlan().toString()
