@@ -182,3 +182,12 @@ def test_a_search_in_an_attribute_makes_no_map(spark):
     made = spark.range(5).select("id", F.create_map(F.lit("adresa"), F.concat(F.lit("Šetalište "), F.col("id").cast("string")), F.lit("lift"), F.lit("da")).alias("characteristics"))
     found = filters.property_filters(made, {"address": "SETALISTE 3"}).select("id")
     assert [r.id for r in found.collect()] == [3] and "map(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_options_are_valued_after_they_are_counted(spark):
+    """Values of controls are made of the different texts, not of every row; different texts of one value are one option."""
+    rows = spark.createDataFrame([({"heating": "Drugo"}, {"balkon": "Da"}), ({}, {"grijanje": "Ostalo", "balkon": "true"}), ({"heating": "z"}, {"balkon": ""})], "extra map<string,string>, characteristics map<string,string>")
+    options = filters.option_lists(rows, ["heating", "balcony"])
+    assert sorted(map(tuple, options.collect())) == [("balcony", "Unknown"), ("balcony", "Yes"), ("heating", "Ostalo"), ("heating", "Unknown")]
+    plan = options._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rlike" in plan and "rlike" not in plan[plan.index("generate"):]
