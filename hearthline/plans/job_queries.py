@@ -298,6 +298,12 @@ def quoted(c) -> Column:
     return F.concat(F.lit('"'), c, F.lit('"'))
 
 
+def spread_orders(s: SparkSession, d: str, key: str) -> DataFrame:
+    """Orders dealt by a key, into all of the session's partitions: a file of few row groups is few tasks, narrow rows would be
+    put together into few again, and each row here makes a kilobyte of JSON that is read."""
+    return read(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def item_json() -> Column:
     """An order as an item of a result page, with all that pages get wrong."""
     i, p = F.col("o_orderkey"), F.floor("o_totalprice").cast("string")
@@ -384,7 +390,7 @@ DETAILS_READ = reading("""SELECT i AS id, CASE WHEN i % 2 = 0 THEN p ELSE i % 40
    CASE WHEN 1790 + i % 400 BETWEEN 1800 AND 2100 THEN 1790 + i % 400 END::INTEGER AS year_built, (i % 9) || '.5' AS unknown_code, 44.77::DOUBLE AS latitude, CASE WHEN i % 2 = 0 THEN 'shop' END AS seller, (i % 50)::INTEGER AS views, TIMESTAMP '2025-07-18 21:43:56' AS published_at, CASE WHEN i % 2 = 0 THEN TIMESTAMP '2025-07-18 21:43:56' END AS renewed_at
    FROM dt JOIN reading r ON r.id = i""", adapter=False)
 def _(s, d):
-    details = payloads.parse_details(read(s, d, "orders").select(detail_json().alias("body")), "body").drop("body")
+    details = payloads.parse_details(spread_orders(s, d, "o_orderkey").select(detail_json().alias("body")), "body").drop("body")
     time_of = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return normalize.map_details(details).select(
         "entity_id", "kind", "deal", "declared", "price", "price_state", "price_reason", "price_basis", "sqm", "rooms", "rooms_detail", "floor_num", "heating", "furnished", "garage", "elevator", "year_built",

@@ -111,34 +111,49 @@ def normalize_search_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select(*keep, *CARD), marked.where("reason is not null").select(*keep, "reason")
 
 
+#: An attribute's fields as texts.
+CODED = "struct<attr_code:string,value:string>"
+
+
 def attribute_entries(attributes: Column) -> Column:
-    """array<struct<code, value>>: the first value of each code that is not empty, in the order of the list."""
-    every = F.filter(F.transform(attributes, lambda a: F.struct(P.field(a, "attr_code").alias("code"), X.trimmed(P.field(a, "value")).alias("value"))), lambda e: (e["code"] != "") & (e["value"] != ""))
+    """entries_of of an array of variants."""
+    return entries_of(F.transform(attributes, lambda a: F.try_variant_get(a, "$", CODED)))
+
+
+def entries_of(attributes: Column) -> Column:
+    """array<struct<code, value>> of an array<CODED>: the first value of each code that is not empty, in the order of the list."""
+    named = F.transform(attributes, lambda a: F.struct(a["attr_code"].alias("code"), X.trimmed(a["value"]).alias("value")))
+    every = F.filter(named, lambda e: (e["code"] != "") & (e["value"] != ""))
 
-    def first(entries: Column) -> Column:
-        codes = F.transform(entries, lambda e: e["code"])
-        return F.filter(entries, lambda e, k: F.array_position(codes, e["code"]) == k + 1)
+    def first(entries: Column) -> Column:  # the codes are listed once, not for every entry
+        return X.let(entries["code"], lambda codes: F.filter(entries, lambda e, k: F.array_position(codes, e["code"]) == k + 1))
 
     return X.let(every, first)
 
 
-def value_of(entries: Column, *codes: str, last: bool = False) -> Column:
-    found = F.transform(F.filter(entries, lambda e: e["code"].isin(*codes)), lambda e: e["value"])
-    return F.try_element_at(found, F.lit(-1 if last else 1))
+def by_place(attributes: Column, found: dict[str, Column], last: bool = False) -> Column:
+    """Of what was found for codes, what is not null and stands first (or last) in the map of attributes."""
+    if len(found) == 1:
+        return next(iter(found.values()))
+    at = (F.when(v.isNotNull(), F.struct(F.array_position(F.map_keys(attributes), F.lit(c)).alias("place"), v.alias("value"))) for c, v in found.items())
+    return (F.greatest if last else F.least)(*at)["value"]
+
+
+def value_of(attributes: Column, *codes: str, last: bool = False) -> Column:
+    return by_place(attributes, {c: attributes[c] for c in codes}, last)
 
 
 def attributes_to_columns(df: DataFrame, entries: str = "entries") -> DataFrame:
     """Typed columns of the known codes; all codes stay in `characteristics`, numbers in plain form. A detailed
-    furnishing text goes before a yes or no."""
-    e = F.col(entries)
-    plain = lambda x: F.struct(x["code"].alias("key"), F.coalesce(X.plain_number(X.locale_number(x["value"])), x["value"]).alias("value"))
-    flags = F.filter(F.transform(F.filter(e, lambda x: x["code"].isin(*FURNISHED_FLAGS)), lambda x: X.bool_text(x["value"])), lambda b: b.isNotNull())
-    detail = value_of(e, FURNISHED_DETAIL)
-    typed = {name: rule(value_of(e, *codes, last=True)) for name, (codes, rule) in ATTRIBUTES.items()}
-    return df.withColumns(typed | {
-        "characteristics": F.map_from_entries(F.transform(e, plain)), "furnished": F.when(detail.isNotNull(), X.furnished_text(detail)).otherwise(F.get(flags, 0)),
-        "sqm": X.norm_area(value_of(e, *AREA_CODES)), "rooms": X.rooms_from(value_of(e, ROOMS_CODE)),
-    })
+    furnishing text goes before a yes or no. The entries become a map once, and every code is one look into it."""
+    a = F.col("_by_code")
+    detail = value_of(a, FURNISHED_DETAIL)
+    flags = by_place(a, {c: X.bool_text(a[c]) for c in FURNISHED_FLAGS})
+    typed = {name: rule(value_of(a, *codes, last=True)) for name, (codes, rule) in ATTRIBUTES.items()}
+    return df.withColumn("_by_code", F.map_from_entries(entries)).withColumns(typed | {
+        "characteristics": F.transform_values(a, lambda _, v: X.plain_text(v)), "furnished": F.when(detail.isNotNull(), X.furnished_text(detail)).otherwise(flags),
+        "sqm": X.norm_area(value_of(a, *AREA_CODES)), "rooms": X.rooms_from(value_of(a, ROOMS_CODE)), "declared": X.deal_type(value_of(a, DECLARED_CODE)),
+    }).drop("_by_code")
 
 
 REPORT = "struct<at:string,price:string,is_text:boolean,currency:string>"
@@ -146,7 +161,12 @@ REPORT = "struct<at:string,price:string,is_text:boolean,currency:string>"
 
 def reports_of(detail: Column) -> Column:
     """array<REPORT> of a payload's price history; null where it is no array (also none in a text)."""
-    given = F.coalesce(P.field(detail, "price_history", "array<variant>"), F.try_variant_get(F.try_parse_json(P.text_field(detail, "price_history")), "$", "array<variant>"))
+    return reports_in(P.field(detail, "price_history", "variant"))
+
+
+def reports_in(history: Column) -> Column:
+    """reports_of, of the price history itself."""
+    given = F.coalesce(F.try_variant_get(history, "$", "array<variant>"), F.try_variant_get(F.try_parse_json(P.text_of(history)), "$", "array<variant>"))
     at = lambda r: F.coalesce(P.field(r, "created_at"), P.field(r, "date"))
     return F.transform(given, lambda r: F.struct(at(r).alias("at"), P.field(r, "price").alias("price"), P.is_text(P.field(r, "price", "variant")).alias("is_text"), currency(r).alias("currency")))
 
@@ -176,20 +196,32 @@ DETAIL = (
 )
 
 
+#: A detail's fields, read as a card's are.
+DETAIL_ITEM = f"struct<id:string,title:string,category_id:string,listing_type:string,price:variant,display_price:variant,currency:string,price_currency:string,currency_code:string,user:struct<type:string>,status:variant,views:string,favorites:string,created_at:string,date:string,location:struct<{PLACE},location:struct<{PLACE}>>,attributes:array<{CODED}>,price_history:variant>"
+
+
 def map_details(details: DataFrame, fallback_id: str | None = None) -> DataFrame:
     """Details (rows with `detail`, a variant) as typed rows; rows that are no object or have no id go. The kind of
     offer that an item's own attributes declare beats its listing type, which follows the category it was posted in."""
-    d, keep = F.col("detail"), [c for c in details.columns if c != "detail"]
-    number = lambda path, most: X.small_int(P.field(d, path), 0, most)
-    rows = details.where(P.is_object(d)).withColumns({
-        "entity_id": F.coalesce(X.norm_id(P.field(d, "id")), *([X.norm_id(fallback_id)] if fallback_id else [])), "entries": attribute_entries(P.objects(d, "attributes")),
-        "title": P.field(d, "title"), "category_id": X.norm_id(P.field(d, "category_id")), "kind": X.property_type(P.field(d, "category_id")), "_pin": pin_of(P.field(d, "location", f"struct<{PLACE},location:struct<{PLACE}>>")),
-        "views": number("views", 100_000_000), "favorites": number("favorites", 1_000_000), "seller": one_of(P.field(d, "user.type"), SELLERS), "source_status": P.text_field(d, "status"),
-        "published_at": X.norm_unix_seconds(P.field(d, "created_at")), "renewed_at": X.norm_unix_seconds(P.field(d, "date")), "reports": reports_of(d),
-    }).where("entity_id is not null")
-    rows = attributes_to_columns(rows).withColumns({"latitude": F.col("_pin.latitude"), "longitude": F.col("_pin.longitude"), "declared": X.deal_type(value_of(F.col("entries"), DECLARED_CODE))})
-    rows = rows.withColumns({"_price": P.field(d, "price"), "_text": P.is_text(P.field(d, "price", "variant")), "_display": P.text_field(d, "display_price"), "currency": currency(d)})
-    rows = price_columns(rows, X.deal_for("category_id", F.coalesce("declared", X.deal_type(P.field(d, "listing_type")))), F.col("declared").isNotNull())
+    return mapped(details, fallback_id).where("entity_id is not null")
+
+
+def mapped(details: DataFrame, fallback_id: str | None = None) -> DataFrame:
+    """map_details with the rows that it drops, which have no entity_id."""
+    s, keep = F.col("_s"), [c for c in details.columns if c != "detail"]
+    number = lambda c, most: X.small_int(s[c], 0, most)
+    ids = F.coalesce(X.norm_id(s["id"]), *([X.norm_id(fallback_id)] if fallback_id else []))
+    rows = P.read_once(details, "detail", DETAIL_ITEM).withColumns({
+        "entity_id": F.when(s.isNotNull(), ids), "entries": entries_of(s["attributes"]), "category_id": X.norm_id(s["category_id"]), "title": s["title"], "_pin": pin_of(s["location"]),
+        "views": number("views", 100_000_000), "favorites": number("favorites", 1_000_000), "seller": one_of(s["user"]["type"], SELLERS), "source_status": P.text_of(s["status"]),
+        "published_at": X.norm_unix_seconds(s["created_at"]), "renewed_at": X.norm_unix_seconds(s["date"]), "reports": reports_in(s["price_history"]),
+        "_price": P.any_text(s["price"]), "_text": P.is_text(s["price"]), "_display": P.text_of(s["display_price"]),
+    })
+    rows = attributes_to_columns(rows).withColumns({
+        "kind": X.kind_of("category_id"), "latitude": F.col("_pin.latitude"), "longitude": F.col("_pin.longitude"),
+        "currency": X.currency_of(F.when(F.col("_text"), F.col("_price")), "_display", *(s[f] for f in CURRENCY_FIELDS)),
+    })
+    rows = price_columns(rows, X.deal_for("category_id", F.coalesce("declared", X.deal_type(s["listing_type"]))), F.col("declared").isNotNull())
     return rows.select(*[c for c in keep if c not in DETAIL], *DETAIL)
 
 

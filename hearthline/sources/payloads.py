@@ -24,6 +24,23 @@ def is_text(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
+def any_text(value: Column) -> Column:
+    """A variant as a text, whatever it is."""
+    return F.try_variant_get(value, "$", "string")
+
+
+def text_of(value: Column) -> Column:
+    """The text that a variant is, null if it is something else."""
+    return F.when(is_text(value), any_text(value))
+
+
+def read_once(rows: DataFrame, column: str, kind: str) -> DataFrame:
+    """rows with a variant column read as `_s`, null where it is no such thing, in place of the column. As an array of one
+    that is exploded: a filter on what is read would else be put before it and read (and parse) every row again."""
+    keep = [c for c in rows.columns if c != column]
+    return rows.select(*keep, F.explode(F.array(F.try_variant_get(column, "$", kind))).alias("_s"))
+
+
 def is_object(item: Column) -> Column:
     return F.try_variant_get(item, "$", OBJECT).isNotNull()
 

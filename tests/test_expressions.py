@@ -191,3 +191,23 @@ def test_options_are_valued_after_they_are_counted(spark):
     assert sorted(map(tuple, options.collect())) == [("balcony", "Unknown"), ("balcony", "Yes"), ("heating", "Ostalo"), ("heating", "Unknown")]
     plan = options._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "rlike" in plan and "rlike" not in plan[plan.index("generate"):]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_details_are_parsed_once(spark):
+    """No filter is put before the reading of a payload, and of a column's codes the last (or first) in the list still counts."""
+    a = lambda *pairs: [{"attr_code": k, "value": v} for k, v in pairs]
+    given = [
+        {"id": 1, "attributes": [*a(("garaza", "ne"), ("gara-a", "da"), ("kvadratura", 60), ("kvadrata", "50,5"), ("namjestena", "?"), ("namjesten", "Da"), ("x", " "), ("x", "1.234,50"), ("x", "2")), 7, {"value": "y"}]},
+        {"id": 2, "attributes": a(("gara-a", "da"), ("garaza", "ne"), ("kvadrata", 40), ("kvadratura", 60), ("x", "007 KM"), ("y", "Trosoban (3)"), ("z", "-0,50"))}, {"title": "no id"}, [1],
+    ]
+    texts = spark.createDataFrame([(k, json.dumps(g)) for k, g in enumerate(given)], "k int, p string").repartition(2).select("k", F.concat("p", F.lit(" ")).alias("p"))
+    rows = normalize.map_details(payloads.parse_details(texts, "p").drop("p"))
+    got = {r.k: r for r in rows.collect()}
+    assert set(got) == {0, 1}
+    assert (got[0].garage, got[0].sqm, got[0].furnished, got[0].characteristics["x"]) == (True, 60.0, True, "1234.5")
+    assert (got[1].garage, got[1].sqm, got[1].characteristics["x"], got[1].characteristics["y"], got[1].characteristics["z"]) == (False, 40.0, "7", "Trosoban (3)", "-0.5")
+    assert plan_of(rows.drop("reports")).count("parseJson") == 1
