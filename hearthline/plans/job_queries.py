@@ -323,7 +323,7 @@ def item_json() -> Column:
 def item_payloads(s: SparkSession, d: str) -> DataFrame:
     """A result page per customer, as the archive holds it: JSON texts with the customer's orders as items."""
     c = F.col("o_custkey")
-    g = read(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", item_json().alias("j")))).alias("x"))
+    g = spread_orders(s, d, "o_custkey").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", item_json().alias("j")))).alias("x"))
     data = F.concat(F.lit('{"data":['), F.array_join(F.transform("x", lambda x: x["j"]), ","), F.lit('],"meta":{"total":'), F.size("x").cast("string"), F.lit(',"current_page":1}}'))
     return g.select(c.alias("id"), F.lit("search").alias("kind"), (c % 33 == 0).alias("diagnostic"), F.when(c % 20 == 0, F.lit('{"error": true}')).otherwise(data).alias("source_payload"), F.lit(None).cast("string").alias("payload"))
 

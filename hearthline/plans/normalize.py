@@ -33,19 +33,14 @@ AREA_CODES, ROOMS_CODE, DECLARED_CODE = ("kvadrata", "kvadratura"), "broj-soba",
 
 
 PLACE = "lat:string,lon:string"
-#: A card's fields as texts, whatever they came as, and those of which it matters whether they came as a text.
-ITEM = f"struct<id:string,title:string,category_id:string,listing_type:string,price:string,display_price:string,currency:string,price_currency:string,currency_code:string,user_type:string,status:string,date:string,special_labels:array<struct<label:string,value:string>>,location:struct<{PLACE},location:struct<{PLACE}>>>"
-TEXTS = ("title", "price", "display_price", "status")
+#: A card's fields as texts, whatever they came as; those of which it matters whether they came as a text stay variants.
+ITEM = f"struct<id:string,title:variant,category_id:string,listing_type:string,price:variant,display_price:variant,currency:string,price_currency:string,currency_code:string,user_type:string,status:variant,date:string,special_labels:array<struct<label:string,value:string>>,location:struct<{PLACE},location:struct<{PLACE}>>>"
 
 
 def read_items(items: DataFrame) -> DataFrame:
-    """items with `_s`, the fields of `item` (a variant) in one reading, null if it is no object; texts that must have come
-    as such are null otherwise, but for the price, of which `_text` tells."""
-    kinds = "struct<" + ",".join(f"{c}:variant" for c in TEXTS) + ">"
-    rows = items.withColumns({"_s": F.try_variant_get("item", "$", ITEM), "_k": F.try_variant_get("item", "$", kinds)})
-    rows = rows.withColumn("_k", F.struct(*(P.is_text(F.col("_k")[c]).alias(c) for c in TEXTS)))
-    only = lambda c: F.when(F.col("_k")[c], F.col("_s")[c])
-    return rows.withColumns({"_title": X.trimmed(only("title")), "_display": only("display_price"), "_status": only("status"), "_text": F.col("_k.price")}).drop("_k")
+    """items with `_s`, the fields of `item` (a variant, which goes) in one reading, null if it is no object; `_title` is null
+    unless it came as a text."""
+    return P.read_once(items, "item", ITEM).withColumn("_title", X.trimmed(P.text_of(F.col("_s")["title"])))
 
 
 def labelled(labels: Column, name: str) -> Column:
@@ -96,14 +91,15 @@ CARD = (
 def normalize_search_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) of rows with an `item` (a variant)."""
     s, keep = F.col("_s"), [c for c in items.columns if c != "item"]
-    marked = read_items(items).drop("item").withColumn("reason", rejection())
+    marked = read_items(items).withColumn("reason", rejection())
     rows = marked.where("reason is null").withColumns({
-        "entity_id": X.norm_id(s["id"]), "title": F.col("_title"), "category_id": X.norm_id(s["category_id"]), "kind": X.property_type(s["category_id"]),
+        "entity_id": X.norm_id(s["id"]), "title": F.col("_title"), "category_id": X.norm_id(s["category_id"]),
         "sqm": X.norm_area(labelled(s["special_labels"], SQM_LABEL)), "_rooms": labelled(s["special_labels"], ROOMS_LABEL), "_pin": pin_of(s["location"]),
-        "renewed_at": X.norm_unix_seconds(s["date"]), "seller": one_of(s["user_type"], SELLERS), "source_status": F.col("_status"),
-        "_price": s["price"], "currency": X.currency_of(F.when(F.col("_text"), s["price"]), "_display", *(s[f] for f in CURRENCY_FIELDS)),
+        "renewed_at": X.norm_unix_seconds(s["date"]), "seller": one_of(s["user_type"], SELLERS), "source_status": P.text_of(s["status"]),
+        "_price": P.any_text(s["price"]), "_text": P.is_text(s["price"]), "_display": P.text_of(s["display_price"]),
     })
     rows = rows.withColumns({
+        "kind": X.kind_of("category_id"), "currency": X.currency_of(F.when(F.col("_text"), F.col("_price")), "_display", *(s[f] for f in CURRENCY_FIELDS)),
         "url": F.concat(F.lit(ITEM_URL), F.col("entity_id").cast("string")), "latitude": F.col("_pin.latitude"), "longitude": F.col("_pin.longitude"),
         "rooms": F.when(F.col("title").rlike("(?i)garsonjera"), "0").otherwise(X.rooms_from("_rooms")),
     })

@@ -79,9 +79,12 @@ def read_details(spark: SparkSession, path: str, one_per_line: bool = False) ->
 
 
 def items_of(pages: DataFrame) -> DataFrame:
-    """Items of usable pages, one per row, with their place; an empty page has one row without a place."""
+    """Items of usable pages, one per row, with their place; an empty page has one row without a place. What is usable is
+    asked in what is exploded: a filter would be put before the reading of the pages and read them again."""
     keep = [c for c in pages.columns if c not in ("data", "meta", "usable")]
-    return pages.where("usable").select(*keep, F.col("meta.current_page").try_cast("int").alias("page"), F.posexplode_outer("data").alias("place", "item"))
+    none = F.array(F.lit(None).cast("variant"))
+    items = pages.select(*keep, F.col("meta.current_page").try_cast("int").alias("page"), F.posexplode(F.when(F.col("usable"), F.when(F.size("data") > 0, F.col("data")).otherwise(none))).alias("place", "item"))
+    return items.withColumn("place", F.when(F.col("item").isNotNull(), F.col("place")))
 
 
 def records_from_json(df: DataFrame, column: str, schema: str) -> DataFrame:

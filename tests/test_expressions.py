@@ -211,3 +211,17 @@ def test_details_are_parsed_once(spark):
     assert (got[0].garage, got[0].sqm, got[0].furnished, got[0].characteristics["x"]) == (True, 60.0, True, "1234.5")
     assert (got[1].garage, got[1].sqm, got[1].characteristics["x"], got[1].characteristics["y"], got[1].characteristics["z"]) == (False, 40.0, "7", "Trosoban (3)", "-0.5")
     assert plan_of(rows.drop("reports")).count("parseJson") == 1
+
+
+def pages_of(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "id long, p string").repartition(2).select("id", F.concat("p", F.lit(" ")).alias("p"))
+
+
+def test_pages_are_parsed_once(spark):
+    pages = pages_of(spark, '{"data":[{"id":1,"title":"abc","price":"40"},null,7],"meta":{"total":3}}', '{"data":[],"meta":{"total":0}}', '{"data":[1]}', '{"data":{"a":1},"meta":{"total":3}}')
+    items = payloads.items_of(payloads.parse_pages(pages, "p")).select("id", "place", "item")
+    assert sorted((r.id, r.place) for r in items.where("place is not null").collect()) == [(0, 0), (0, 1), (0, 2)]
+    assert items.where("place is null").select("id").collect()[0].id == 1 and items.count() == 4
+    good, bad = normalize.normalize_search_items(items.where("place is not null"))
+    assert [r.place for r in good.collect()] == [0] and sorted(r.place for r in bad.collect()) == [1, 2]
+    assert plan_of(good).count("from_json") == 1
