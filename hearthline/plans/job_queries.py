@@ -415,7 +415,7 @@ def _(s, d):
    UNION ALL SELECT 1000000000 + o_orderkey, 'detail', o_orderkey % 33 = 0, NULL, NULL, NULL, CASE WHEN o_orderkey % 33 <> 0 THEN dt.i END, CASE WHEN o_orderkey % 33 <> 0 THEN dt.kind END, CASE WHEN o_orderkey % 33 <> 0 AND dt.i IS NOT NULL THEN 'pinned' END, CASE WHEN o_orderkey % 33 = 0 THEN 'no_source' ELSE 'replayed' END FROM orders LEFT JOIN dt ON dt.i = o_orderkey""", adapter=False)
 def _(s, d):
     i = F.col("o_orderkey")
-    details = read(s, d, "orders").select((i + 1_000_000_000).alias("id"), F.lit("detail").alias("kind"), (i % 33 == 0).alias("diagnostic"), F.lit(None).cast("string").alias("source_payload"), detail_json().alias("payload"))
+    details = spread_orders(s, d, "o_orderkey").select((i + 1_000_000_000).alias("id"), F.lit("detail").alias("kind"), (i % 33 == 0).alias("diagnostic"), F.lit(None).cast("string").alias("source_payload"), detail_json().alias("payload"))
     out = normalize.replay(item_payloads(s, d).unionByName(details))
     return out.select("id", "kind", "diagnostic", "parsed_items", "rejected_items", F.when(F.col("kind") == "search", F.coalesce("rejections", F.when(~F.col("diagnostic"), F.lit("")))).alias("rejections"), "entity_id", "property_type", F.when(F.col("has_pin"), "pinned").alias("rooms_known"), "outcome")
 

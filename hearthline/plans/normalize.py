@@ -225,23 +225,29 @@ def replay(archive: DataFrame) -> DataFrame:
     """Archived responses (id, kind, diagnostic, payload of details, source_payload of searches) under the present rules,
     one row each and nothing written: parsed and rejected items and the reasons of a search, the mapped summary of
     a detail; diagnostics have no source."""
-    live = archive.where("not diagnostic")
-    source = F.from_json("source_payload", P.PAGE)
-    data = F.coalesce(F.try_variant_get(source["data"], "$", "array<variant>"), F.try_variant_get(source["items"], "$", "array<variant>"))
-    searches = live.where("kind = 'search'").select("id", data.alias("data"))
-    parsed, rejected = normalize_search_items(searches.select("id", F.explode("data").alias("item")))
-    told = parsed.select("id", F.lit(None).cast("string").alias("reason")).unionByName(rejected)
-    counts = told.groupBy("id", "reason").agg(F.count(F.lit(1)).alias("n"))
-    named = F.concat("reason", F.lit(":"), F.col("n").cast("string"))
-    s = counts.groupBy("id").agg(
-        F.sum(F.when(F.col("reason").isNull(), F.col("n"))).alias("parsed_items"), F.sum(F.when(F.col("reason").isNotNull(), F.col("n"))).alias("rejected_items"),
-        F.array_join(F.array_sort(F.collect_list(named)), ",").alias("rejections"),  # a handful of reasons
-    )
-    d = map_details(P.parse_details(live.where("kind = 'detail'").select("id", "payload"), "payload"))
-    d = d.select("id", "entity_id", "deal", "kind", "price_state", "price", "sqm", F.col("latitude").isNotNull().alias("has_pin")).withColumnRenamed("kind", "property_type")
-    out = archive.select("id", "kind", "diagnostic").join(s, "id", "left").join(d, "id", "left")
-    no_array = searches.where("data is null").select("id", F.lit("data_not_array:1").alias("_no"))
-    out = out.join(no_array, "id", "left").withColumn("rejections", F.coalesce("rejections", "_no")).drop("_no")
-    search = (F.col("kind") == "search") & ~F.col("diagnostic")
-    zero = lambda c: F.when(search, F.coalesce(c, F.lit(0))).cast("long")
-    return out.withColumns({"parsed_items": zero("parsed_items"), "rejected_items": zero("rejected_items"), "outcome": F.when(F.col("diagnostic"), "no_source").otherwise("replayed")})
+    live = lambda kind: F.coalesce(~F.col("diagnostic") & (F.col("kind") == kind), F.lit(False))
+    shown = archive.select("id", "kind", "diagnostic")
+    summary = lambda rows: rows.withColumn("outcome", F.when(F.col("diagnostic"), "no_source").otherwise("replayed"))
+    found = replayed_searches(archive.where(live("search"))).withColumns({"kind": F.lit("search"), "diagnostic": F.lit(False)})
+    d = mapped(P.parse_details(archive.where(live("detail")).select("id", "payload"), "payload").drop("payload"))
+    read = {"entity_id": "entity_id", "deal": "deal", "property_type": "kind", "price_state": "price_state", "price": "price", "sqm": "sqm"}
+    told = d.select("id", F.lit("detail").alias("kind"), F.lit(False).alias("diagnostic"), *(F.when(F.col("entity_id").isNotNull(), F.col(c)).alias(k) for k, c in read.items()), F.when(F.col("entity_id").isNotNull(), F.col("latitude").isNotNull()).alias("has_pin"))
+    rest = shown.where(~live("search") & ~live("detail"))
+    out = found.unionByName(told, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
+    return summary(out.select("id", "kind", "diagnostic", "parsed_items", "rejected_items", "rejections", *read, "has_pin"))
+
+
+def replayed_searches(searches: DataFrame) -> DataFrame:
+    """(id, parsed_items, rejected_items, rejections) of archived searches; a page without items is one row without an item."""
+    array = lambda c: F.try_variant_get(F.col("_page")[c], "$", "array<variant>")
+    pages = searches.select("id", F.from_json("source_payload", P.PAGE).alias("_page")).select("id", F.coalesce(array("data"), array("items")).alias("data"))
+    each = pages.select("id", F.col("data").isNull().alias("_none"), F.explode_outer("data").alias("item")).withColumn("_item", F.col("item").isNotNull())
+    reason = F.when(F.col("_none"), "data_not_array").when(F.col("_item"), rejection())
+    counts = read_items(each).groupBy("id", reason.alias("reason"), "_none").agg(F.count(F.when(F.col("_item"), 1)).alias("n"))
+    named = F.when(F.col("_none"), "data_not_array:1").otherwise(F.concat("reason", F.lit(":"), F.col("n").cast("string")))
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)).cast("long")
+    good = F.col("reason").isNull()
+    return counts.groupBy("id").agg(
+        total(good).alias("parsed_items"), total(~good).alias("rejected_items"),
+        F.when((F.sum("n") > 0) | F.max("_none"), F.array_join(F.array_sort(F.collect_list(named)), ",")).alias("rejections"),  # a handful of reasons
+    )

@@ -225,3 +225,20 @@ def test_pages_are_parsed_once(spark):
     good, bad = normalize.normalize_search_items(items.where("place is not null"))
     assert [r.place for r in good.collect()] == [0] and sorted(r.place for r in bad.collect()) == [1, 2]
     assert plan_of(good).count("from_json") == 1
+
+
+def test_replay_reads_and_joins_once(spark):
+    """Every archived response is one row of its own reading: no join, no page read again for what it rejects."""
+    page, none = '{"data":[{"id":1,"title":"abc"},{"id":2,"title":"abd"},null,7,{"id":"x"}]}', '{"error":true}'
+    s, d = [page, '{"items":[{"id":1,"title":"abc"}]}', '{"data":[]}', none, "not json", page], ['{"id":9,"category_id":23,"location":{"lat":44.5,"lon":17.5}}', "[1]", "{", '{"id":8}']
+    rows = [(k, "search", k == 5, t, None) for k, t in enumerate(s)] + [(k + 10, "detail", k == 3, None, t) for k, t in enumerate(d)]
+    archive = spark.createDataFrame(rows, "id long, kind string, diagnostic boolean, source_payload string, payload string").repartition(2)
+    out = normalize.replay(archive)
+    got = {r.id: (r.parsed_items, r.rejected_items, r.rejections, r.entity_id, r.property_type, r.has_pin, r.outcome) for r in out.collect()}
+    assert got == {
+        0: (2, 3, "invalid_id:1,not_an_object:2", None, None, None, "replayed"), 1: (1, 0, "", None, None, None, "replayed"), 2: (0, 0, None, None, None, None, "replayed"),
+        3: (0, 0, "data_not_array:1", None, None, None, "replayed"), 4: (0, 0, "data_not_array:1", None, None, None, "replayed"), 5: (None, None, None, None, None, None, "no_source"),
+        10: (None, None, None, 9, "apartments", True, "replayed"), 11: (None, None, None, None, None, None, "replayed"), 12: (None, None, None, None, None, None, "replayed"), 13: (None, None, None, None, None, None, "no_source"),
+    }
+    plan = plan_of(out)
+    assert "Join" not in plan and plan.count("from_json") == 1 and plan.count("parseJson") == 1
